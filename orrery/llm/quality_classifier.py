@@ -159,15 +159,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(stored(rows.mapInArrow(run, "x array<double>, y double, calibrate boolean"), "taught"))
 
 
-def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text") -> DataFrame:
-    """The carried columns and score, one row for each row of docs; no row moves."""
+def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text", out: str = "score") -> DataFrame:
+    """The carried columns and the score, one row for each row of docs; no row moves."""
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(model.score(table(b.column(0))))], names=[*carry, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(model.score(table(b.column(0))))], names=[*carry, out])
 
-    return docs.select(F.col(text_col).alias("__text"), *carry).mapInArrow(run, f"{fields}, score double")
+    return docs.select(F.col(text_col).alias("__text"), *carry).mapInArrow(run, f"{fields}, `{out}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:

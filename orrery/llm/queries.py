@@ -12,7 +12,7 @@ from orrery.session import ship
 TOKENIZERS = None
 
 
-def _path(name: str) -> str:
+def vocabulary_path(name: str) -> str:
     """Where a vocabulary file lies: in TOKENIZERS if that is set, else where the package has it."""
     import public_tokenizers
 
@@ -35,11 +35,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return round_trip_digests(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return round_trip_digests(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
