@@ -154,7 +154,8 @@ def normalise_archives(manifest: DataFrame, revisits: DataFrame, folder: str) ->
     archives = manifest.groupBy("archive").agg(F.count(F.lit(1)).alias("n"))
     # References of one archive: at most FILE_RECORDS rows.
     own = revisits.groupBy("archive").agg(F.collect_list(F.struct("ordinal", "refers_to")).alias("refs"))
-    work = archives.join(own, "archive", "left").repartition(shuffle_partitions(spark), "archive")
+    # By a hash of the name: the join's own partitions are few and would be merged by size, but the work is in the files.
+    work = archives.join(own, "archive", "left").repartition(shuffle_partitions(spark), F.xxhash64("archive"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
