@@ -34,9 +34,9 @@ from orrery.llm.shared import slices
 LENGTH = 2048
 POOL = 512
 #: Words whose ids are kept for reuse in a task.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 #: A word that stands alone between others while they are encoded together.
-MARK = "\u2603"
+MARK = "~"
 END_ID = 1
 
 
