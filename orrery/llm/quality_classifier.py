@@ -126,16 +126,29 @@ def fit(taught: DataFrame) -> Model:
                 total += f.T @ np.hstack([f, b.column(1).to_numpy()[:, None]])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    parts = taught.filter("NOT calibrate").select("x", "y").mapInArrow(sums, "sums binary").collect()  # FIT_PARTITIONS rows
-    total = np.sum([np.frombuffer(r.sums).reshape(N_FEATURES + 1, N_FEATURES + 2) for r in parts], axis=0)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((N_FEATURES + 1, N_FEATURES + 2))
+        for b in batches:
+            for x in b.column(0):
+                total += np.frombuffer(x.as_buffer()).reshape(total.shape)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    parts = taught.filter("NOT calibrate").select("x", "y").mapInArrow(sums, "sums binary")
+    row = parts.repartition(1).mapInArrow(added, "sums binary").first()  # one matrix, however many partitions
+    total = np.frombuffer(row.sums).reshape(N_FEATURES + 1, N_FEATURES + 2)
     a = total[:, :-1]
     n = max(a[-1, -1], 1.0)
     penalty = np.full(N_FEATURES + 1, RIDGE * n)
     penalty[-1] = 1e-9
     model.beta = np.linalg.solve(a + np.diag(penalty / N_FEATURES), total[:, -1])
-    held = taught.filter("calibrate").select("x", "y").toPandas()  # a part of the bounded sample
+
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(matrix(b.column(0)))), b.column(1)], names=["raw", "y"])
+
+    held = taught.filter("calibrate").select("x", "y").mapInArrow(raw, "raw double, y double").toPandas()  # a part of the bounded sample
     if len(held):
-        model.knots = isotonic(model.raw(np.stack(held["x"])), held["y"].to_numpy())
+        model.knots = isotonic(held["raw"].to_numpy(), held["y"].to_numpy())
     return model
 
 
