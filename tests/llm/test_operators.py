@@ -310,9 +310,13 @@ def test_rules_agree_with_labels(spark, sf):
 
 
 # -- 7 ---------------------------------------------------------------------------
-def test_language_model(spark, sf, docs, nothing):
+@pytest.mark.parametrize("places", [4096, 2])
+def test_language_model(spark, sf, docs, nothing, places, monkeypatch):
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(language_model, "PLACES", places)
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 20_000 if places == 2 else 1 << 21)
+
     real = spark.read.parquet(f"{sf}/documents.parquet")
     for d in (real, docs):
         d = d.select("doc_id", "text").withColumn("held_out", language_model.held_out(F.col("doc_id")))
