@@ -34,7 +34,7 @@ from orrery.llm.shared import slices
 LENGTH = 2048
 POOL = 512
 #: Words whose ids are kept for reuse in a task.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: A word that stands alone between others while they are encoded together.
 MARK = "~"
 END_ID = 1
