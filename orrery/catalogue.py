@@ -1,11 +1,659 @@
-"""The registered queries of the vector engine."""
+"""The registered queries of the vector engine: each runs over its whole tables.
+
+Searches take as queries the rows whose id is divisible by 50, against all rows.
+The graph that graph operators are shown on follows from ids alone, so that it
+is the same in SQL: CANDIDATES edges from each row.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.functions import vectors as V
+from orrery.operators import graph as G
+from orrery.operators import labels as L
+from orrery.operators import partitioning as P
+from orrery.operators import quantise as Q
+from orrery.operators import ranking as R
+from orrery.operators import recall as C
+from orrery.operators import updates as U
+from orrery.operators.knn import knn, merge_top_k
+from orrery.plans import build as B
+from orrery.plans import search as S
+from orrery.session import ship
+from orrery.storage import scratch
+from orrery.streaming import maintain as M
+
+K, EVERY, CANDIDATES, PARTS, CENTRES, CHUNKS = 10, 50, 12, 4, 8, 8
+PIVOTS = 16
+
+
+# -- tables -----------------------------------------------------------------------
+def base(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{d}/embeddings.parquet")
+
+
+def asked(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("vec_id") % EVERY == 0)
+
+
+def edges(df: DataFrame) -> DataFrame:
+    """(src, pos, dst): CANDIDATES targets of each row, a self loop or two and repeats among them."""
+    n = df.count()
+    target = lambda j: F.pmod(F.col("vec_id") * 31 + j * j * 17 + j * F.floor(F.col("vec_id") / 7), F.lit(n))
+    lists = F.transform(F.sequence(F.lit(1), F.lit(CANDIDATES)), lambda j: target(j).cast("bigint"))
+    return df.select(F.col("vec_id").alias("src"), F.posexplode(lists).alias("pos", "dst"))
+
+
+def label_sets(df: DataFrame) -> DataFrame:
+    """Each row's own label, and one or two more that follow from the id."""
+    more = F.when(F.col("vec_id") % 5 == 0, F.array(F.col("label"), (F.col("vec_id") % 3 + 10).cast("int"), F.lit(20))).otherwise(F.array(F.col("label"), (F.col("vec_id") % 3 + 10).cast("int")))
+    return df.withColumn("labels", more)
+
+
+def centres(df: DataFrame, n: int = CENTRES) -> list[tuple[int, list[float]]]:
+    return [(r[0], r[1]) for r in df.filter(F.col("vec_id") < n).orderBy("vec_id").select("vec_id", "embedding").collect()]
+
+
+def book(df: DataFrame) -> Q.Codebook:
+    import numpy as np
+
+    x = np.array([v for _, v in centres(df, PIVOTS)], dtype=np.float64)
+    return Q.Codebook(x, Q.chunk_offsets(x.shape[1], CHUNKS), np.zeros(x.shape[1]))
+
+
+def truth(df: DataFrame, k: int = K) -> DataFrame:
+    return knn(asked(df), df, k)
+
+
+def found(df: DataFrame) -> DataFrame:
+    """A result that is the truth, but for odd queries' tenth, which is the eleventh."""
+    t = truth(df, K + 1)
+    odd = (F.col("qid") / EVERY).cast("bigint") % 2 == 1
+    return t.filter(F.when(odd, F.col("rank") != K).otherwise(F.col("rank") <= K)).withColumn("rank", F.least("rank", F.lit(K)))
+
+
+SQL: dict[str, str] = {}
+QUERIES: dict = {}
+
+E_SQL = f"""e AS (SELECT vec_id AS src, j - 1 AS pos, (vec_id * 31 + j * j * 17 + j * (vec_id // 7)) % (SELECT count(*) FROM embeddings) AS dst
+              FROM embeddings, range(1, {CANDIDATES + 1}) r(j))"""
+B_SQL = "b AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+LS_SQL = "s AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN [label, vec_id % 3 + 10, 20] ELSE [label, vec_id % 3 + 10] END AS labels FROM embeddings)"
+
+
+def l2(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+
+
+def dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1] * x[2]))"
+
+
+def n2(a: str) -> str:
+    return f"list_sum(list_transform({a}, lambda x: x * x))"
+
+
+def knn_sql(dist: str, where: str = "true", k: int = K) -> str:
+    return f"""WITH {B_SQL}, {LS_SQL}, d AS (SELECT q.vec_id AS qid, b.vec_id AS id, {dist} AS dist FROM b q JOIN b ON {where} JOIN s ON s.vec_id = b.vec_id JOIN s qs ON qs.vec_id = q.vec_id WHERE q.vec_id % {EVERY} = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM d)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+TOP = "SELECT qid, id, round(dist, 6) AS dist, rank FROM r WHERE rank <= 10"
+L2_SQL = l2("q.v", "b.v")
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("dist", F.round("dist", 6))
+
+
+# -- searches -----------------------------------------------------------------------
+@query(f"{knn_sql(L2_SQL)} {TOP}")
+def exact_knn_l2(spark, d):
+    df = base(spark, d)
+    return rounded(knn(asked(df), df, K))
+
+
+@query(f"{knn_sql('-' + dot('q.v', 'b.v'))} {TOP}")
+def exact_knn_ip(spark, d):
+    df = base(spark, d)
+    return rounded(knn(asked(df), df, K, "inner_product"))
+
+
+@query(f"{knn_sql('1 - ' + dot('q.v', 'b.v') + ' / (sqrt(' + n2('q.v') + ') * sqrt(' + n2('b.v') + '))')} {TOP}")
+def exact_knn_cosine(spark, d):
+    df = base(spark, d)
+    return rounded(knn(asked(df), df, K, "cosine"))
+
+
+@query(f"{knn_sql(L2_SQL, 'b.label = 3')} {TOP}")
+def knn_filtered_label(spark, d):
+    df = base(spark, d)
+    return rounded(knn(asked(df), df.filter(F.col("label") == 3), K))
+
+
+@query(f"{knn_sql(L2_SQL, 'b.label = q.label')} {TOP}")
+def knn_per_query_label(spark, d):
+    df = base(spark, d)
+    return rounded(knn(asked(df), df, K, match=("label", "label")))
+
+
+@query(f"{knn_sql(L2_SQL).replace('WHERE q.vec_id', 'WHERE list_has_any(s.labels, [4, 11]) AND q.vec_id')} {TOP}")
+def knn_label_intersect(spark, d):
+    df = base(spark, d)
+    return rounded(knn(asked(df), label_sets(df).filter(L.any_common(F.col("labels"), F.array(F.lit(4), F.lit(11)))), K))
+
+
+@query(f"{knn_sql(L2_SQL).replace('WHERE q.vec_id', 'WHERE list_has_all(s.labels, [11, 20]) AND q.vec_id')} {TOP}")
+def knn_label_subset(spark, d):
+    df = base(spark, d)
+    return rounded(knn(asked(df), label_sets(df).filter(L.has_all(F.col("labels"), F.array(F.lit(11), F.lit(20)))), K))
+
+
+@query(f"{knn_sql(L2_SQL, 'b.vec_id % 100 BETWEEN 20 AND 60')} {TOP}")
+def knn_range_attr(spark, d):
+    df = base(spark, d)
+    return rounded(knn(asked(df), df.filter(L.within(F.col("vec_id") % 100, 20, 60)), K))
+
+
+@query(f"{knn_sql(L2_SQL, 'b.vec_id <> q.vec_id')} {TOP}")
+def knn_without_self(spark, d):
+    df = base(spark, d)
+    return rounded(knn(asked(df), df, K, without_self=True))
+
+
+@query(f"{knn_sql(L2_SQL)} SELECT qid, id, round(dist, 6) AS dist, rank FROM r WHERE dist <= 1.6")
+def range_search_exact(spark, d):
+    df = base(spark, d)
+    return rounded(knn(asked(df), df, 0, radius=1.6))
+
+
+@query(f"{knn_sql(L2_SQL, 'b.vec_id % 7 <> 0')} {TOP}")
+def knn_live_tags(spark, d):
+    df = base(spark, d)
+    dead = df.filter(F.col("vec_id") % 7 == 0).select("vec_id")
+    return rounded(knn(asked(df), U.after_deletes(df, dead, "vec_id"), K))
+
+
+@query(f"{knn_sql(L2_SQL)} {TOP}")
+def shard_topk_merge(spark, d):
+    """Two shards' answers, merged."""
+    df = base(spark, d)
+    halves = [knn(asked(df), df.filter(F.col("vec_id") % 2 == i), K).drop("rank") for i in (0, 1)]
+    return rounded(merge_top_k(halves[0].unionByName(halves[1]), K))
+
+
+# -- vector functions -----------------------------------------------------------------
+@query(f"WITH {B_SQL} SELECT vec_id, round(sqrt({n2('v')}), 6) AS norm, round({n2('v')}, 6) AS norm2 FROM b")
+def vector_norms(spark, d):
+    return base(spark, d).select("vec_id", F.round(V.norm("embedding"), 6).alias("norm"), F.round(V.norm2("embedding"), 6).alias("norm2"))
+
+
+SHARES = [round(0.05 * i, 2) for i in range(20)]
+
+
+@query(f"""WITH {B_SQL}, r AS (SELECT {n2('v')} AS x, row_number() OVER (ORDER BY {n2('v')}) - 1 AS place, count(*) OVER () AS n FROM b)
+    SELECT CAST(p AS DOUBLE) AS share, round(x, 6) AS value FROM r JOIN (SELECT unnest({SHARES}::DOUBLE[]) AS p) ON place = CAST(floor(p * n) AS BIGINT)""")
+def norm_percentiles(spark, d):
+    return R.percentiles(base(spark, d).select(V.norm2("embedding").alias("norm2")), "norm2", SHARES).select("share", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {B_SQL}, x AS (SELECT vec_id, list_transform(v, lambda x: x * 3.0) AS v FROM b), u AS (SELECT vec_id, v, sqrt({n2('v')}) AS n FROM x) SELECT vec_id, i - 1 AS pos, round(v[i] / n, 6) AS x FROM u, range(1, 65) r(i)")
+def normalize(spark, d):
+    x = base(spark, d).select("vec_id", F.transform(V.as_double("embedding"), lambda x: x * 3.0).alias("v"))
+    return x.select("vec_id", F.posexplode(V.normalise("v")).alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+LIFTED = "SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (1 + label)) AS v FROM embeddings"
+
+
+@query(f"WITH b AS ({LIFTED}), m AS (SELECT max(sqrt({n2('v')})) AS m FROM b), u AS (SELECT vec_id, list_append(list_transform(v, lambda x: x / m), sqrt(greatest(0, 1 - {n2('v')} / (m * m)))) AS v FROM b, m) SELECT vec_id, i - 1 AS pos, round(v[i], 6) AS x FROM u, range(1, 66) r(i)")
+def mips_lift_base(spark, d):
+    x = base(spark, d).select("vec_id", F.transform(V.as_double("embedding"), lambda x: x * (1 + F.col("label"))).alias("v"))
+    most = x.agg(F.max(V.norm("v"))).first()[0]
+    return x.select("vec_id", F.posexplode(V.lift_base("v", F.lit(most))).alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"WITH b AS ({LIFTED}), u AS (SELECT vec_id, v, sqrt({n2('v')}) AS n FROM b) SELECT vec_id, i - 1 AS pos, CASE WHEN i = 65 THEN 0.0 ELSE round(v[i] / n, 6) END AS x FROM u, range(1, 66) r(i)")
+def mips_lift_query(spark, d):
+    x = base(spark, d).select("vec_id", F.transform(V.as_double("embedding"), lambda x: x * (1 + F.col("label"))).alias("v"))
+    return x.select("vec_id", F.posexplode(V.lift_query("v")).alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+PAIRED = f"WITH {B_SQL} SELECT a.vec_id, {{}} FROM b a JOIN b c ON c.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM b)"
+
+
+def paired(spark, d) -> DataFrame:
+    """Each row with one other."""
+    df = base(spark, d)
+    own = df.select("vec_id", F.col("embedding").alias("a"), F.pmod(F.col("vec_id") * 7 + 3, F.lit(df.count())).alias("other"))
+    return own.join(df.select(F.col("vec_id").alias("other"), F.col("embedding").alias("b")), "other")
+
+
+@query(PAIRED.format(f"round({l2('a.v', 'c.v')}, 6) AS l2, round(-{dot('a.v', 'c.v')}, 6) AS inner_product, round(1 - {dot('a.v', 'c.v')} / (sqrt({n2('a.v')}) * sqrt({n2('c.v')})), 6) AS cosine, round({n2('c.v')} - 2 * {dot('a.v', 'c.v')}, 6) AS fast_l2"))
+def pair_distances(spark, d):
+    a, b = "a", "b"
+    each = {"l2": V.l2(a, b), "inner_product": V.inner_product(a, b), "cosine": V.cosine(a, b), "fast_l2": V.fast_l2(a, b)}
+    return paired(spark, d).select("vec_id", *[F.round(c, 6).alias(k) for k, c in each.items()])
+
+
+@query(PAIRED.format("unnest(range(64)) AS pos, unnest(list_transform(list_zip(a.v, c.v), lambda x: round(x[1] - x[2], 6))) AS residual, unnest(list_transform(list_zip(a.v, c.v), lambda x: round(x[1] + x[2], 6))) AS total"))
+def residuals(spark, d):
+    both = F.arrays_zip(V.subtract("a", "b").alias("residual"), V.add("a", "b").alias("total"))
+    return paired(spark, d).select("vec_id", F.posexplode(both).alias("pos", "x")).select("vec_id", "pos", F.round("x.residual", 6).alias("residual"), F.round("x.total", 6).alias("total"))
+
+
+@query("SELECT i - 1 AS pos, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY i")
+def centroid(spark, d):
+    return P.centroids(base(spark, d).withColumn("all", F.lit(0)), "all").select("pos", F.round("mean", 6).alias("mean"))
+
+
+@query(f"""WITH {B_SQL}, c AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(v[i]) AS m FROM b, range(1, 65) r(i) GROUP BY i))
+    SELECT vec_id, round({l2('v', 'c')}, 6) AS dist FROM b, c ORDER BY {l2('v', 'c')}, vec_id LIMIT 1""")
+def medoid(spark, d):
+    df = base(spark, d)
+    mean = [r["mean"] for r in P.centroids(df.withColumn("all", F.lit(0)), "all").orderBy("pos").collect()]
+    return df.select("vec_id", V.l2("embedding", F.array(*map(F.lit, mean))).alias("dist")).orderBy("dist", "vec_id").limit(1).withColumn("dist", F.round("dist", 6))
+
+
+# -- partitioning ---------------------------------------------------------------------
+PART_SQL = f"p AS (SELECT vec_id, CASE WHEN vec_id < n % {PARTS + 3} * (n // {PARTS + 3} + 1) THEN vec_id // (n // {PARTS + 3} + 1) ELSE n % {PARTS + 3} + (vec_id - n % {PARTS + 3} * (n // {PARTS + 3} + 1)) // (n // {PARTS + 3}) END AS part FROM embeddings, (SELECT count(*) AS n FROM embeddings))"
+
+
+@query(f"WITH {PART_SQL} SELECT vec_id, part FROM p")
+def id_range_partition(spark, d):
+    df = base(spark, d)
+    return df.select("vec_id", P.contiguous("vec_id", df.count(), PARTS + 3).alias("part"))
+
+
+@query(f"WITH {PART_SQL} SELECT part, count(*) AS n_rows, min(vec_id) AS first, max(vec_id) AS last FROM p GROUP BY part")
+def partition_sizes(spark, d):
+    return id_range_partition(spark, d).groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
+
+
+@query(f"SELECT a.i AS i, b.i AS j FROM range({PARTS}) a(i), range({PARTS}) b(i) WHERE a.i < b.i")
+def cross_pairs_all(spark, d):
+    return P.all_pairs(spark, PARTS)
+
+
+@query("SELECT i, j FROM (VALUES (0, 1), (1, 2), (2, 3)) t(i, j)")
+def cross_pairs_allowlist(spark, d):
+    lines = spark.createDataFrame([("0 1",), ("# pairs",), ("",), (" 2 1  # again",), ("1 2",), ("3\t2",)], "value string")
+    return P.allowed_pairs(lines, PARTS)
+
+
+@query("SELECT vec_id FROM embeddings ORDER BY md5('0:' || vec_id), vec_id LIMIT 100")
+def fixed_sample(spark, d):
+    return P.fixed_sample(base(spark, d).select("vec_id"), "vec_id", 100)
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE md5('0:' || vec_id) < '40000000'")
+def hash_sample(spark, d):
+    return P.hash_sample(base(spark, d).select("vec_id", "label"), "vec_id", 0.25)
+
+
+NEAR_SQL = f"n AS (SELECT a.vec_id, c.vec_id AS centre, {l2('a.v', 'c.v')} AS dist, row_number() OVER (PARTITION BY a.vec_id ORDER BY {l2('a.v', 'c.v')}, c.vec_id) AS rank FROM b a JOIN b c ON c.vec_id < {CENTRES})"
+
+
+@query(f"WITH {B_SQL}, {NEAR_SQL} SELECT vec_id, centre, round(dist, 6) AS dist FROM n WHERE rank = 1")
+def kmeans_assign_top1(spark, d):
+    df = base(spark, d)
+    return P.nearest_centres(df, centres(df)).select("vec_id", F.inline("nearest")).select("vec_id", "centre", F.round("dist", 6).alias("dist"))
+
+
+@query(f"WITH {B_SQL}, {NEAR_SQL} SELECT vec_id, rank - 1 AS rank, centre, round(dist, 6) AS dist FROM n WHERE rank <= 3")
+def kmeans_assign_topk(spark, d):
+    df = base(spark, d)
+    return P.nearest_centres(df, centres(df), 3).select("vec_id", F.posexplode("nearest").alias("rank", "x")).select("vec_id", "rank", "x.centre", F.round("x.dist", 6).alias("dist"))
+
+
+@query(f"WITH {B_SQL}, {NEAR_SQL} SELECT centre, i - 1 AS pos, round(avg(v[i]), 6) AS mean FROM n JOIN b USING (vec_id), range(1, 65) r(i) WHERE rank = 1 GROUP BY centre, i")
+def kmeans_lloyd_1iter(spark, d):
+    df = base(spark, d)
+    near = P.nearest_centres(df, centres(df)).select("embedding", F.col("nearest")[0]["centre"].alias("centre"))
+    return P.centroids(near, "centre").select("centre", "pos", F.round("mean", 6).alias("mean"))
+
+
+@query(f"WITH {B_SQL}, {NEAR_SQL} SELECT centre, count(*) AS n_rows FROM n WHERE rank <= 2 GROUP BY centre")
+def cluster_sizes(spark, d):
+    """Rows in each shard when every row goes to its two nearest centres."""
+    df = base(spark, d)
+    return P.nearest_centres(df, centres(df), 2).select(F.inline("nearest")).groupBy("centre").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _ram_sql() -> str:
+    return """SELECT b AS budget_mb, (SELECT min(p) FROM range(1, 2001) r(p) WHERE 2 * 1.1 * (ceil(1000000.0 / p) * 64 * 4 + ceil(1000000.0 / p) * 32 * 4 * 1.3 + 48 * ceil(1000000.0 / p)) <= b * 1e6) AS partitions FROM (VALUES (50), (100), (500), (2000)) t(b)"""
+
+
+@query(_ram_sql())
+def ram_estimate_min_partitions(spark, d):
+    return spark.createDataFrame([(b, P.least_partitions(1_000_000, 64, b * 1e6)) for b in (50, 100, 500, 2000)], "budget_mb int, partitions int")
+
+
+# -- quantisation -----------------------------------------------------------------------
+@query("SELECT c AS chunk, CASE WHEN c <= 4 THEN c * 7 ELSE 28 + (c - 4) * 6 END AS start, CASE WHEN c + 1 <= 4 THEN (c + 1) * 7 ELSE 28 + (c - 3) * 6 END AS \"end\" FROM range(10) r(c)")
+def pq_chunk_offsets(spark, d):
+    cuts = Q.chunk_offsets(64, 10)
+    return spark.createDataFrame(list(zip(range(10), cuts, cuts[1:], strict=False)), "chunk int, start int, end int")
+
+
+CODE_SQL = f"""{B_SQL}, pq AS (SELECT a.vec_id, c, p.vec_id AS centre, {l2(f'a.v[c * 8 + 1:c * 8 + 8]', f'p.v[c * 8 + 1:c * 8 + 8]')} AS dist FROM b a JOIN b p ON p.vec_id < {PIVOTS}, range({CHUNKS}) r(c)),
+    code AS (SELECT vec_id, c, min_by(centre, (dist, centre)) AS code FROM pq GROUP BY vec_id, c)"""
+
+
+def codes(df: DataFrame) -> DataFrame:
+    return Q.encode(df, book(df)).select(F.col("id").alias("vec_id"), F.posexplode("code").alias("chunk", "code"))
+
+
+@query(f"WITH {CODE_SQL} SELECT vec_id, c AS chunk, code FROM code")
+def pq_encode_fixed_pivots(spark, d):
+    return codes(base(spark, d))
+
+
+@query(f"WITH {CODE_SQL} SELECT q.vec_id AS qid, code.vec_id AS id, round(sum({l2('q.v[c * 8 + 1:c * 8 + 8]', 'p.v[c * 8 + 1:c * 8 + 8]')}), 6) AS dist FROM b q JOIN code ON q.vec_id % {EVERY} = 0 JOIN b p ON p.vec_id = code GROUP BY q.vec_id, code.vec_id")
+def pq_adc_distance(spark, d):
+    """Asymmetric distances of the queries to all codes: each query has a table, small by its dimensions."""
+    df = base(spark, d)
+    return Q.adc(asked(df), df, book(df)).withColumn("dist", F.round("dist", 6))
+
+
+@query(f"WITH {CODE_SQL} SELECT x.vec_id, round(sum({l2('p.v[x.c * 8 + 1:x.c * 8 + 8]', 'r.v[x.c * 8 + 1:x.c * 8 + 8]')}), 6) AS dist FROM code x JOIN code y ON y.c = x.c AND y.vec_id = (x.vec_id * 7 + 3) % (SELECT count(*) FROM b) JOIN b p ON p.vec_id = x.code JOIN b r ON r.vec_id = y.code GROUP BY x.vec_id")
+def pq_sym_distance(spark, d):
+    """Code to code, for each row and one other."""
+    df = base(spark, d)
+    own = book(df)
+    flat = F.array(*[F.lit(float(x)) for x in own.symmetric().ravel()])
+    enc = Q.encode(df, own)
+    other = enc.select(F.col("id").alias("other"), F.col("code").alias("y"))
+    both = enc.withColumn("other", F.pmod(F.col("id") * 7 + 3, F.lit(df.count()))).join(other, "other").withColumn("lut", flat)
+    at = F.zip_with("code", "y", lambda a, b: a.cast("int") * PIVOTS + b.cast("int"))
+    sums = F.aggregate(F.transform(at, lambda x, m: F.get("lut", m * PIVOTS * PIVOTS + x)), F.lit(0.0), lambda a, x: a + x)
+    return both.select(F.col("id").alias("vec_id"), F.round(sums, 6).alias("dist"))
+
+
+@query(f"WITH {CODE_SQL} SELECT code.vec_id, c * 8 + i - 1 AS pos, round(p.v[c * 8 + i], 6) AS x FROM code JOIN b p ON p.vec_id = code, range(1, 9) r(i)")
+def pq_inflate(spark, d):
+    df = base(spark, d)
+    pivots = F.broadcast(spark.createDataFrame([(i, v) for i, v in centres(df, PIVOTS)], "centre bigint, v array<double>"))
+    part = codes(df).join(pivots, F.col("code") == F.col("centre"))
+    return part.select("vec_id", "chunk", F.posexplode(F.slice("v", F.col("chunk") * 8 + 1, F.lit(8))).alias("i", "x")).select("vec_id", (F.col("chunk") * 8 + F.col("i")).alias("pos"), F.round("x", 6).alias("x"))
+
+
+# -- graphs -----------------------------------------------------------------------------
+@query(f"WITH {E_SQL} SELECT src, pos, dst FROM e WHERE src <> dst AND dst BETWEEN 0 AND (SELECT count(*) FROM embeddings) - 1")
+def valid_edges(spark, d):
+    df = base(spark, d)
+    return G.valid_edges(edges(df), df.count())
+
+
+@query(f"WITH {E_SQL}, {PART_SQL} SELECT src, pos, dst FROM e JOIN p a ON a.vec_id = src JOIN p b ON b.vec_id = dst WHERE a.part <> b.part")
+def keep_only_cross(spark, d):
+    df = base(spark, d)
+    part = lambda c: P.contiguous(c, df.count(), PARTS + 3)
+    return edges(df).filter(part("src") != part("dst"))
+
+
+@query(f"WITH {E_SQL}, u AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) SELECT src, dst, count(*) AS n FROM u GROUP BY src, dst")
+def reverse_edges(spark, d):
+    return G.with_reverse(edges(base(spark, d)).select("src", "dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {E_SQL} SELECT dst AS src, array_to_string(list(src ORDER BY src, pos), ',') AS cands, count(*) AS n FROM e GROUP BY dst")
+def compact_candidates(spark, d):
+    own = edges(base(spark, d)).select(F.col("dst").alias("src"), F.struct(F.col("src").alias("a"), "pos").alias("pos"), F.col("src").alias("dst"))
+    return G.adjacency(own).select("src", F.array_join("nbrs", ",").alias("cands"), F.size("nbrs").cast("bigint").alias("n"))
+
+
+@query(f"WITH {E_SQL}, c AS (SELECT dst AS src, count(*) AS n FROM e GROUP BY dst) SELECT src, n AS count, coalesce(sum(n) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM c")
+def csr_offsets(spark, d):
+    return G.offsets(edges(base(spark, d)).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+@query(f"WITH {E_SQL}, c AS (SELECT dst, count(*) AS n FROM e GROUP BY dst) SELECT max(n) AS max_degree, avg(n) AS avg_degree, min(n) AS min_degree, count(*) FILTER (n < 2) AS n_below_two FROM c")
+def degree_stats(spark, d):
+    own = edges(base(spark, d)).select(F.col("dst").alias("src"), "pos", F.col("src").alias("dst"))
+    return G.degree_stats(G.adjacency(own))
+
+
+@query(f"WITH {E_SQL} SELECT dst, count(*) AS in_degree FROM e GROUP BY dst ORDER BY 2 DESC, 1 LIMIT 25")
+def in_degree_topk(spark, d):
+    return G.top_in_degree(edges(base(spark, d)), 25)
+
+
+BFS_SQL = f"""WITH RECURSIVE {E_SQL}, f AS (SELECT DISTINCT src, dst FROM e), l(node, level) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT f.dst, l.level + 1 FROM l JOIN f ON f.src = l.node WHERE l.level < {{}}),
+    m AS (SELECT node, min(level) AS level FROM l GROUP BY node)"""
+
+
+@query(f"{BFS_SQL.format(6)} SELECT node, level FROM m")
+def bfs_levels(spark, d):
+    return G.bfs_levels(edges(base(spark, d)), 0, 6)
+
+
+@query(f"""{BFS_SQL.format(1)}, i AS (SELECT dst AS node, count(*) AS n FROM e GROUP BY dst), a AS (SELECT node, 0 AS kind, level AS o FROM m UNION ALL SELECT node, 1, -n FROM i WHERE node NOT IN (SELECT node FROM m))
+    SELECT node, kind FROM a ORDER BY kind, o, node LIMIT 60""")
+def hybrid_cache_list(spark, d):
+    return G.hybrid_cache(edges(base(spark, d)), 0, 1, 60)
+
+
+@query(f"WITH {E_SQL}, g AS (SELECT src, array_to_string(list(dst ORDER BY pos), ',') AS nbrs FROM e GROUP BY src) SELECT vec_id AS id, coalesce(nbrs, '') AS nbrs, vec_id = 7 AS is_entry, len(embedding) AS dim FROM embeddings LEFT JOIN g ON src = vec_id")
+def disk_layout_join(spark, d):
+    df = base(spark, d)
+    return G.layout(df, G.adjacency(edges(df)), 7).select("id", F.array_join("nbrs", ",").alias("nbrs"), "is_entry", F.size("vec").cast("bigint").alias("dim"))
+
+
+@query(f"WITH {E_SQL}, u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e WHERE pos < 4)), r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY md5(src || ':' || dst), dst) - 1 AS pos FROM u) SELECT src, pos, dst FROM r WHERE pos < 8")
+def shard_merge(spark, d):
+    e = edges(base(spark, d))
+    two = e.select("src", "dst").unionByName(e.filter("pos < 4").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return G.merge_shards(two, 8)
+
+
+PRUNED = 6
+
+
+@query(f"""WITH RECURSIVE {E_SQL}, {B_SQL}, c AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst),
+    k AS (SELECT c.src, c.dst, {l2('a.v', 'b.v')} AS d, row_number() OVER (PARTITION BY c.src ORDER BY {l2('a.v', 'b.v')}, c.dst) AS r FROM c JOIN b a ON a.vec_id = c.src JOIN b ON b.vec_id = c.dst),
+    o AS (SELECT x.src, x.dst AS s, y.dst AS v FROM k x JOIN k y ON x.src = y.src AND x.r < y.r JOIN b p ON p.vec_id = x.dst JOIN b q ON q.vec_id = y.dst WHERE {l2('p.v', 'q.v')} <= y.d),
+    occ AS (SELECT src, v, list(s) AS by FROM o GROUP BY src, v),
+    step(src, r, sel) AS (SELECT src, 0::BIGINT, []::BIGINT[] FROM k WHERE r = 1
+      UNION ALL SELECT step.src, k.r, CASE WHEN len(sel) < {PRUNED} AND NOT list_has_any(sel, coalesce(occ.by, []::BIGINT[])) THEN list_append(sel, k.dst) ELSE sel END
+      FROM step JOIN k ON k.src = step.src AND k.r = step.r + 1 LEFT JOIN occ ON occ.src = k.src AND occ.v = k.dst),
+    last AS (SELECT src, arg_max(sel, r) AS sel FROM step GROUP BY src),
+    f AS (SELECT k.src, k.dst, k.d, row_number() OVER (PARTITION BY k.src ORDER BY CASE WHEN list_contains(sel, k.dst) THEN 0 ELSE 1 END, k.r) - 1 AS pos FROM k JOIN last ON last.src = k.src)
+    SELECT src, pos, dst, round(d, 6) AS dist FROM f WHERE pos < {PRUNED}""")
+def t_occlusion_prune(spark, d):
+    df = base(spark, d)
+    return rounded(G.occlusion_prune(edges(df).select("src", "dst").distinct(), df, PRUNED))
+
+
+# -- labels -----------------------------------------------------------------------------
+@query("""WITH l AS (SELECT 'l' || label AS label, min(vec_id) AS first FROM embeddings GROUP BY label)
+    SELECT label, CASE WHEN label = 'l5' THEN 0 ELSE 1 + row_number() OVER (PARTITION BY label = 'l5' ORDER BY first, label) END AS number FROM l""")
+def label_string_to_int(spark, d):
+    named = base(spark, d).select(F.col("vec_id").alias("pos"), F.concat(F.lit("l"), "label").alias("label"))
+    return L.number_labels(named, universal="l5")
+
+
+@query(f"WITH {LS_SQL}, x AS (SELECT unnest(labels) AS label FROM s) SELECT label, count(*) AS n_rows FROM x GROUP BY label")
+def label_stats(spark, d):
+    return L.label_counts(label_sets(base(spark, d)))
+
+
+@query(f"WITH {LS_SQL} SELECT vec_id, i AS copy, array_to_string(labels[i * 2 + 1:i * 2 + 2], ',') AS labels FROM s, range(2) r(i) WHERE i * 2 < len(labels)")
+def break_dense_points(spark, d):
+    return L.break_dense(label_sets(base(spark, d)), "vec_id", 2).withColumn("labels", F.array_join("labels", ","))
+
+
+# -- recall -----------------------------------------------------------------------------
+FOUND_SQL = f"{knn_sql(L2_SQL)}, a AS (SELECT qid, id FROM r WHERE CASE WHEN qid // {EVERY} % 2 = 1 THEN rank <= 11 AND rank <> 10 ELSE rank <= 10 END)"
+
+
+@query(f"{FOUND_SQL} SELECT r.qid, count(a.id) AS hits, count(a.id) / 10 AS recall FROM r LEFT JOIN a ON a.qid = r.qid AND a.id = r.id WHERE rank <= 10 GROUP BY r.qid")
+def recall_at_k_ties(spark, d):
+    df = base(spark, d)
+    return C.recall_with_ties(truth(df, K + 5), found(df), K)
+
+
+@query(f"{FOUND_SQL}, t AS (SELECT qid, id FROM r WHERE dist <= 1.5) SELECT q.vec_id AS qid, coalesce(count(a.id) / nullif(count(t.id), 0), 1.0) AS recall FROM (SELECT vec_id FROM b WHERE vec_id % {EVERY} = 0) q LEFT JOIN t ON t.qid = q.vec_id LEFT JOIN a ON a.qid = t.qid AND a.id = t.id GROUP BY q.vec_id")
+def range_recall(spark, d):
+    df = base(spark, d)
+    return C.range_recall(knn(asked(df), df, 0, radius=1.5), found(df), asked(df).select(F.col("vec_id").alias("qid")))
+
+
+@query(f"{knn_sql(L2_SQL, k=20)} SELECT qid, id, round(dist, 6) AS dist, rank FROM r WHERE rank <= 20 AND dist <= 1.6")
+def prune_truth_to_range(spark, d):
+    df = base(spark, d)
+    return rounded(C.prune_to_range(truth(df, 20), 1.6))
+
+
+@query("""WITH l AS (SELECT (vec_id * 37) % 101 AS x FROM embeddings), r AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS place, count(*) OVER () AS n FROM l)
+    SELECT p AS share, x AS value, (SELECT avg(x) FROM l) AS mean FROM r JOIN (SELECT unnest([0.5, 0.99, 0.999]::DOUBLE[]) AS p) ON place = CAST(floor(p * n) AS BIGINT)""")
+def latency_mean_p999(spark, d):
+    x = base(spark, d).select((F.col("vec_id") * 37 % 101).alias("x"))
+    return R.percentiles(x, "x", [0.5, 0.99, 0.999]).withColumn("mean", F.lit(x.agg(F.avg("x")).first()[0]))
+
+
+@query(f"{knn_sql(L2_SQL)}, w AS (SELECT s.step, qid, id, dist, row_number() OVER (PARTITION BY s.step, qid ORDER BY dist, id) AS rank FROM r JOIN (SELECT range AS step FROM range(6)) s ON id >= s.step * 50 AND id < s.step * 50 + 200 WHERE r.rank <= 1000) SELECT step, qid, rank, id, round(dist, 6) AS dist FROM w WHERE rank <= 10")
+def sliding_window_gt(spark, d):
+    df = base(spark, d)
+    starts = spark.range(6).select(F.col("id").alias("step"), (F.col("id") * 50).alias("first"))
+    return rounded(C.window_truth(truth(df, 1000), starts, 200, K))
+
+
+# -- updates ----------------------------------------------------------------------------
+@query("SELECT vec_id * 3 AS tag FROM embeddings WHERE vec_id * 3 NOT IN (SELECT vec_id FROM embeddings)")
+def lazy_delete_failed_tags(spark, d):
+    df = base(spark, d)
+    return U.failed_deletes(df.select(F.col("vec_id").alias("tag")), df.select((F.col("vec_id") * 3).alias("tag")))
+
+
+@query(f"""WITH {E_SQL}, f AS (SELECT DISTINCT src, dst FROM e), k AS (SELECT src, dst FROM f WHERE src % 7 <> 0),
+    x AS (SELECT src, dst FROM k WHERE dst % 7 <> 0 UNION SELECT k.src, f.dst FROM k JOIN f ON f.src = k.dst WHERE k.dst % 7 = 0 AND f.dst % 7 <> 0) SELECT src, dst FROM x WHERE src <> dst""")
+def consolidate_expand(spark, d):
+    df = base(spark, d)
+    return U.consolidate_expand(edges(df), df.filter(F.col("vec_id") % 7 == 0).select(F.col("vec_id").alias("id")))
+
+
+@query("SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS location FROM embeddings WHERE vec_id % 7 <> 0")
+def compact_ids(spark, d):
+    return U.compact_ids(base(spark, d).filter(F.col("vec_id") % 7 != 0), "vec_id")
+
+
+@query("""SELECT vec_id AS tag, CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 0 END AS version FROM embeddings""")
+def upsert_tags(spark, d):
+    df = base(spark, d)
+    new = df.filter(F.col("vec_id") % 4 == 0).select(F.col("vec_id").alias("tag"), F.explode(F.array(F.lit(0), F.lit(1))).alias("version"))
+    live = df.select(F.col("vec_id").alias("tag"), F.lit(0).alias("version"))
+    return U.upsert(live, new, "tag", "version")
+
+
+# -- building and searching: no SQL form ----------------------------------------------------
+PARAMS = B.BuildParams(partitions=PARTS, degree=24, length=64)
+
+
+def local(df: DataFrame) -> DataFrame:
+    return B.local_graphs(B.partitioned(df, PARAMS), PARAMS)
+
+
+@query()
+def vamana_build(spark, d):
+    return B.own_edges(local(base(spark, d)), PARAMS)
+
+
+@query()
+def cross_probe(spark, d):
+    return B.cross_edges(local(base(spark, d)), P.all_pairs(spark, PARTS), PARAMS)
+
+
+@query()
+def pipeline_graph(spark, d):
+    return B.build_graph(base(spark, d), PARAMS, cross_pairs_allowlist(spark, d))
+
+
+@query()
+def beam_search(spark, d):
+    df = base(spark, d)
+    return S.search_partitions(asked(df), local(df), S.SearchParams(k=K, length=100))
+
+
+@query()
+def filtered_vamana(spark, d):
+    """The nearest rows with the query's own label, found in traversal."""
+    df = label_sets(base(spark, d))
+    graphs = B.local_graphs(B.partitioned(df, PARAMS, labels="labels"), PARAMS)
+    return S.search_partitions(asked(df), graphs, S.SearchParams(k=K, length=64), label_col="label")
+
+
+@query()
+def capped_assignment(spark, d):
+    df = base(spark, d)
+    near = P.nearest_centres(df, centres(df), CENTRES).select(F.col("vec_id").alias("id"), "nearest")
+    return P.capped_assignment(near, cap=-(-2 * df.count() // CENTRES))
+
+
+@query("SELECT vec_id AS tag, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS seq FROM embeddings WHERE vec_id % 5 <> 0")
+def stream_insert_delete(spark, d):
+    """A stream of three batches - all rows inserted, a third of them again, a fifth deleted - applied to a live table."""
+    df = base(spark, d)
+    row = lambda op, seq, keep: df.filter(keep).select(F.lit(op).alias("op"), F.col("vec_id").alias("tag"), F.col("embedding").alias("vec"), F.lit(seq).cast("bigint").alias("seq"))
+    folder = scratch(spark, "live")
+    changes = [row("insert", 1, F.lit(True)), row("insert", 2, F.col("vec_id") % 3 == 0), row("delete", 3, F.col("vec_id") % 5 == 0)]
+    table = M.LiveTable(spark, f"{folder}/table")
+    for n, c in enumerate(changes):  # one run of the query for each arrival
+        c.write.mode("append").parquet(f"{folder}/changes")
+        stream = spark.readStream.schema(c.schema).parquet(f"{folder}/changes")
+        table.follow(stream, f"{folder}/checkpoint").awaitTermination()
+    return table.read(len(changes) - 1).select("tag", "seq")
+
+
+@query()
+def beam_search_pq_early_exit(spark, d):
+    df = base(spark, d)
+    trained = Q.train(df, 16, centres=32)
+    return S.search_partitions(asked(df), local(df), S.SearchParams(k=K, length=100, mode="early_exit", batch=20), trained)
+
+
+@query()
+def multi_l_metrics(spark, d):
+    df = base(spark, d)
+    return S.sweep(asked(df), local(df), truth(df), [10, 20, 50, 100], K)
+
+
+@query()
+def opq_encode(spark, d):
+    df = base(spark, d)
+    return Q.encode(df, Q.train(df, 8, centres=16, rotate=5))
+
+
+@query()
+def stitched_vamana(spark, d):
+    df = base(spark, d)
+    own = label_sets(df).select(F.col("vec_id").alias("id"), F.explode("labels").alias("label"))
+    return B.stitched_graph(df, own, PARAMS)
+
+
+@query()
+def synthetic_labels(spark, d):
+    df = base(spark, d)
+    kinds = [L.synthetic(df, "vec_id", k, 12).withColumn("kind", F.lit(k)) for k in ("random", "zipf", "one_per_point")]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
