@@ -7,7 +7,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from orrery.storage import remove, scratch, stored
+
+__all__ = ["LOWER", "SPACE", "Out", "encoded", "remove", "scratch", "shuffle_partitions", "slices", "stored", "with_scheme"]
 
 #: Lower-cases A-Z alone, on UTF-8 bytes.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -15,36 +19,6 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SPACE = b" \t\n\x0b\x0c\r"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the storage that the driver and all executors share.
-
-    spark.checkpoint.dir if the session names one; otherwise the warehouse,
-    which is shared as well. Never a machine-local temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to shared storage and read again: lineage ends here,
-
-    and a lost executor costs a read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete folders of scratch() that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that Python objects exist for few rows at a time."""
     for batch in batches:
