@@ -40,7 +40,7 @@ from orrery.llm.shared import LOWER, encoded, slices, stored
 
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 16, 4
-SAMPLES, SAMPLE = 8, 3
+SAMPLES, SAMPLE = 10, 3
 #: The byte lanes of a 64-bit word that count the bits of each byte value.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -154,19 +154,22 @@ def _signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Da
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b), a > b: nodes that share a sampled fingerprint, each with the least of its group and with its neighbour in the
+    """(a, b), a > b: nodes that share a sampled fingerprint, each with the least of its group and with its neighbours in
 
-    order of fingerprints; nodes with one fingerprint; and the least nodes of fingerprints within 2 bits.
+    the orders of the whole fingerprint and of two other samples, where similar nodes lie together even among
+    strangers; nodes with one fingerprint; and the least nodes of fingerprints within 2 bits.
     """
-    keyed = nodes.select("node", "fp", F.posexplode("samples").alias("k", "key")).unionByName(nodes.select("node", "fp", F.lit(-1).alias("k"), F.col("fp").alias("key")))
+    other = lambda i: F.get("samples", (F.col("k") + i) % SAMPLES).alias(f"o{i}")
+    keyed = nodes.select("node", "fp", "samples", F.posexplode("samples").alias("k", "key")).select("node", "fp", "k", "key", other(1), other(2))
+    keyed = keyed.unionByName(nodes.select("node", "fp", F.lit(-1).alias("k"), F.col("fp").alias("key"), F.col("samples")[0].alias("o1"), F.col("samples")[1].alias("o2")))
     least = keyed.groupBy("k", "key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     hit = stored(keyed.join(least, ["k", "key"]), "candidates")
-    star = hit.select(F.col("node").alias("a"), "b")
-    chain = hit.select(F.col("node").alias("a"), F.lag("node").over(Window.partitionBy("k", "key").orderBy("fp", "node")).alias("b"))
+    before = {f"by_{o}": F.lag("node").over(Window.partitionBy("k", "key").orderBy(o, "node")) for o in ("fp", "o1", "o2")}
+    pairs = hit.withColumns(before).select(F.col("node").alias("a"), F.explode(F.array("b", *before)).alias("b"))
     first = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     grid_links = links(first.select("fp"))
     near = grid_links.join(first.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v").select("a", "b")
-    pairs = star.unionByName(chain).unionByName(near).filter("a <> b")
+    pairs = pairs.unionByName(near).filter("a <> b")
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
