@@ -164,7 +164,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     keyed = keyed.unionByName(nodes.select("node", "fp", F.lit(-1).alias("k"), F.col("fp").alias("key"), F.col("samples")[0].alias("o1"), F.col("samples")[1].alias("o2")))
     least = keyed.groupBy("k", "key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     hit = stored(keyed.join(least, ["k", "key"]), "candidates")
-    before = {f"by_{o}": F.lag("node").over(Window.partitionBy("k", "key").orderBy(o, "node")) for o in ("fp", "o1", "o2")}
+    before = {f"by_{o}_{i}": F.lag("node", i).over(Window.partitionBy("k", "key").orderBy(o, "node")) for o in ("fp", "o1", "o2") for i in (1, 2)}
     pairs = hit.withColumns(before).select(F.col("node").alias("a"), F.explode(F.array("b", *before)).alias("b"))
     first = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     grid_links = links(first.select("fp"))
