@@ -26,7 +26,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of stored() that no later step reads."""
+    for t in tables:
+        remove(t.sparkSession, t.stored_at)
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
