@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 
-from orrery.storage import remove, scratch, stored
+from orrery.storage import discard, remove, scratch, stored
 
-__all__ = ["LOWER", "SPACE", "Out", "encoded", "remove", "scratch", "shuffle_partitions", "slices", "stored", "with_scheme"]
+__all__ = ["LOWER", "SPACE", "Out", "discard", "encoded", "remove", "scratch", "shuffle_partitions", "slices", "stored", "with_scheme"]
 
 #: Lower-cases A-Z alone, on UTF-8 bytes.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))

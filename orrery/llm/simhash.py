@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.components import components
-from orrery.llm.shared import LOWER, encoded, slices, stored
+from orrery.llm.shared import LOWER, discard, encoded, slices, stored
 
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 16, 4
@@ -124,6 +124,7 @@ def near_components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     rooted = groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = stored(rooted.join(whole, "root").select("fp", "component_id"), "fingerprint-components")
+    discard(groups)
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -154,7 +155,7 @@ def _signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Da
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b), a > b: nodes that share a sampled fingerprint, each with the least of its group and with its neighbours in
+    """A written table of (a, b), a > b: nodes that share a sampled fingerprint, each with the least of its group and with its neighbours in
 
     the orders of the whole fingerprint and of two other samples, where similar nodes lie together even among
     strangers; nodes with one fingerprint; and the least nodes of fingerprints within 2 bits.
@@ -170,7 +171,9 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     grid_links = links(first.select("fp"))
     near = grid_links.join(first.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v").select("a", "b")
     pairs = pairs.unionByName(near).filter("a <> b")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    discard(hit)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +184,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     rows = stored(_signatures(docs, shingle, id_col, text_col), "signatures")
     nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("samples").alias("samples"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    pairs = stored(_candidates(nodes), "pairs")
+    discard(rows)
+    pairs = _candidates(nodes)
 
     # Whole shingle sets of the nodes in question, from one row each.
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -208,6 +212,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     verified = both.mapInArrow(verify, "a bigint, b bigint")
     roots = components(verified.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    discard(pairs, of)
     rooted = nodes.select("node", "digest", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))).alias("first"))
-    return stored(rooted.join(chosen, "root").select("digest", (F.col("node") == F.col("first.node")).alias("stays"), "doc_id"), "near-duplicates")
+    out = stored(rooted.join(chosen, "root").select("digest", (F.col("node") == F.col("first.node")).alias("stays"), "doc_id"), "near-duplicates")
+    discard(nodes)
+    return out
