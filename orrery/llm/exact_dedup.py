@@ -3,7 +3,8 @@
 The index is a Parquet table bucketed and sorted by the text's SHA-256. A batch
 is reduced to one row for each digest before anything else moves, compared with
 the index by a sort-merge anti-join (the index side is neither shuffled nor
-sorted again), and what is new is appended.
+sorted again), and what is new is appended. Rows of a hot digest are answered
+without a shuffle.
 
 Defined results: a null text counts as empty; rows that repeat a document id
 with the same text are one document and stay or go together; a null id never
@@ -18,8 +19,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import scratch, shuffle_partitions
+from orrery.llm.shared import scratch, shuffle_partitions, stored
 
+#: A digest with over 1 / HOT of a batch's rows is hot.
+HOT = 1000
 INDEX_SCHEMA = "digest binary, keep_id bigint, group_size bigint"
 
 
@@ -45,9 +48,8 @@ class DigestIndex:
         """The same rows without the bucketing, for joins that must be free to split a hot digest."""
         return self.spark.read.schema(INDEX_SCHEMA).parquet(self.location)
 
-    def append_new(self, digests: DataFrame) -> None:
-        """Add the digests that the index lacks. digests: (digest, doc_id), any number of rows each."""
-        groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    def append_new(self, groups: DataFrame) -> None:
+        """Add the digests that the index lacks. groups: (digest, keep_id, group_size), one row each."""
         fresh = groups.hint("merge").join(self.frame().select("digest"), "digest", "left_anti")
         (fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest")
          .write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
@@ -67,10 +69,16 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     group_size is the size of the group in the batch that stored it.
     """
     index = index or DigestIndex(docs.sparkSession)
-    digests = with_digest(docs, id_col, text_col)
-    index.append_new(digests)
-    # Both sides are shuffled here, so that adaptive execution can split a hot digest.
-    joined = digests.join(index.plain(), "digest")
+    digests = stored(with_digest(docs, id_col, text_col), "digests")
+    groups = stored(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "digest-groups")
+    index.append_new(groups)
+    # A digest with more than 1 / HOT of the rows is hot. Fewer than HOT can be, so they go to all tasks; their rows don't move.
+    hot = groups.filter(F.col("group_size") * HOT > digests.count()).select("digest")
+    known = index.plain()
+    of_hot = F.broadcast(known.join(F.broadcast(hot), "digest"))
+    of_rest = known.join(F.broadcast(hot), "digest", "left_anti")
+    rest = digests.join(F.broadcast(hot), "digest", "left_anti")
+    joined = digests.join(of_hot, "digest").unionByName(rest.join(of_rest, "digest"))
     return joined.select(
         "doc_id", "keep_id", "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("doc_id").isNull() & F.col("keep_id").isNull()).alias("kept"),
