@@ -111,8 +111,8 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def fit(taught: DataFrame) -> Model:
-    """A model from rows (x, y, calibrate): some fit the weights, the others calibrate."""
-    taught = taught.repartition(FIT_PARTITIONS, F.xxhash64("x", "y"))
+    """A model from rows (x, y, calibrate, deal): some fit the weights, the others calibrate. deal spreads equal rows."""
+    taught = taught.repartition(FIT_PARTITIONS, "deal")
     moments = taught.select(F.posexplode("x"), F.lit(1)).groupBy("pos").agg(F.avg("col").alias("m"), F.stddev_pop("col").alias("s")).orderBy("pos").collect()
     if not moments:
         return Model(np.zeros(N_STATISTICS), np.ones(N_STATISTICS))
@@ -166,10 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([as_lists(table(b.column(0))), b.column(1), b.column(2)], names=["x", "y", "calibrate"])
+            yield pa.RecordBatch.from_arrays([as_lists(table(b.column(0))), *b.columns[1:]], names=["x", "y", "calibrate", "deal"])
 
-    rows = docs.select(id_col, text_col).join(known, id_col).select(text_col, "__y", "__calibrate")
-    return fit(stored(rows.mapInArrow(run, "x array<double>, y double, calibrate boolean"), "taught"))
+    rows = docs.select(id_col, text_col).join(known, id_col).select(text_col, "__y", "__calibrate", F.xxhash64(id_col))
+    return fit(stored(rows.mapInArrow(run, "x array<double>, y double, calibrate boolean, deal bigint"), "taught"))
 
 
 def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text", out: str = "score") -> DataFrame:
