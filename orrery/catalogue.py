@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
+from orrery.operators import convert as X
 from orrery.operators import graph as G
 from orrery.operators import labels as L
 from orrery.operators import partitioning as P
@@ -268,6 +269,29 @@ def medoid(spark, d):
     return df.select("vec_id", V.l2("embedding", F.array(*map(F.lit, mean))).alias("dist")).orderBy("dist", "vec_id").limit(1).withColumn("dist", F.round("dist", 6))
 
 
+# -- conversions ------------------------------------------------------------------------
+@query("SELECT vec_id, i - 1 AS pos, CAST(floor(CAST(embedding[i] AS DOUBLE) * 127) AS INTEGER) AS x FROM embeddings, range(1, 65) r(i)")
+def float_to_int8(spark, d):
+    return base(spark, d).select("vec_id", F.posexplode(X.to_integers("embedding", "int8", 127.0)).alias("pos", "x")).withColumn("x", F.col("x").cast("int"))
+
+
+@query("SELECT vec_id, i - 1 AS pos, round(CAST(embedding[i] AS DOUBLE), 6) AS x FROM embeddings, range(1, 65) r(i)")
+def tsv_round_trip(spark, d):
+    lines = base(spark, d).select("vec_id", X.to_tsv("embedding").alias("line"))
+    return lines.select("vec_id", F.posexplode(X.from_tsv("line", 64)).alias("pos", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
+
+
+@query("SELECT vec_id, vec_id AS tag, label FROM embeddings WHERE vec_id < 300")
+def first_rows_with_tags(spark, d):
+    return X.with_tags(X.first_rows(base(spark, d), 300)).select("vec_id", "tag", "label")
+
+
+@query()
+def clustered_data(spark, d):
+    ship(spark)
+    return X.clustered(spark, 2048, 32, seed=20240101)
+
+
 # -- partitioning ---------------------------------------------------------------------
 PART_SQL = f"p AS (SELECT vec_id, CASE WHEN vec_id < n % {PARTS + 3} * (n // {PARTS + 3} + 1) THEN vec_id // (n // {PARTS + 3} + 1) ELSE n % {PARTS + 3} + (vec_id - n % {PARTS + 3} * (n // {PARTS + 3} + 1)) // (n // {PARTS + 3}) END AS part FROM embeddings, (SELECT count(*) AS n FROM embeddings))"
 
@@ -625,6 +649,18 @@ def beam_search_pq_early_exit(spark, d):
     return S.search_partitions(asked(df), local(df), S.SearchParams(k=K, length=100, mode="early_exit", batch=20), trained)
 
 
+@query()
+def graph_range_search(spark, d):
+    df = base(spark, d)
+    return S.range_search(asked(df), local(df), 1.5)
+
+
+@query()
+def visit_frequency_cache(spark, d):
+    df = base(spark, d)
+    return S.visit_counts(asked(df), local(df), S.SearchParams(k=K, length=50)).orderBy(F.desc("visits"), "id").limit(60)
+
+
 @query()
 def multi_l_metrics(spark, d):
     df = base(spark, d)

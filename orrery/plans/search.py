@@ -96,6 +96,54 @@ def search_partitions(queries: DataFrame, local: DataFrame, params: SearchParams
     return merge_top_k(ordered, params.k).drop("exact_first")
 
 
+def visit_counts(queries: DataFrame, local: DataFrame, params: SearchParams, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, visits): how often searches of the queries expand each node, for choosing what to keep in memory."""
+    spark, out = queries.sparkSession, None
+    for _, vectors, _ in query_blocks(queries, id_col, vec_col, []):
+        sent = spark.sparkContext.broadcast(vectors)
+
+        def run(batches, sent=sent):
+            for pdf in batches:
+                for blob in pdf["blob"]:
+                    own, g = opened(blob, BuildParams())
+                    visits = np.zeros(len(own), dtype=np.int64)
+                    for q in sent.value:
+                        visits[g.search(q, params.length, params.beam)["expanded"]] += 1
+                    at = np.flatnonzero(visits)
+                    yield pd.DataFrame({"id": own[at], "visits": visits[at]})
+
+        part = local.mapInPandas(run, "id bigint, visits bigint")
+        out = part if out is None else out.unionByName(part)
+    out = spark.createDataFrame([], "id bigint, visits bigint") if out is None else out
+    return out.groupBy("id").agg(F.sum("visits").alias("visits"))
+
+
+def range_search(queries: DataFrame, local: DataFrame, radius: float, least: int = 16, most: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(qid, id, dist) within a radius, from the graphs: a pool grows twofold until under half of it lies within."""
+    spark, out = queries.sparkSession, None
+    for ids, vectors, _ in query_blocks(queries, id_col, vec_col, []):
+        sent = spark.sparkContext.broadcast((ids, vectors))
+
+        def run(batches, sent=sent):
+            for pdf in batches:
+                for blob in pdf["blob"]:
+                    (own, g), rows = opened(blob, BuildParams()), []
+                    for qid, q in zip(*sent.value, strict=True):
+                        length = least
+                        while True:
+                            pool = g.search(q, length, max(1, min(100, length // 5)))["pool"]
+                            near = [(d, i) for d, i in pool if d <= radius]
+                            if 2 * len(near) < length or length >= min(most, len(own)):
+                                break
+                            length *= 2
+                        rows += [(int(qid), int(own[i]), d) for d, i in near]
+                    yield pd.DataFrame(rows, columns=["qid", "id", "dist"])
+
+        part = local.mapInPandas(run, "qid bigint, id bigint, dist double")
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "qid bigint, id bigint, dist double") if out is None else out
+
+
 def sweep(queries: DataFrame, local: DataFrame, truth: DataFrame, lengths: list[int], k: int, book: Codebook | None = None, beam: int = 8) -> DataFrame:
     """A row for each pool length: recall at k and the mean work of a query."""
     out = None

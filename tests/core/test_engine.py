@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
 from orrery.index import VectorIndex
+from orrery.operators import convert as X
 from orrery.operators import graph as G
 from orrery.operators import kernels as N
 from orrery.operators import labels as L
@@ -177,6 +178,28 @@ def test_plans_recall(table, x):
         B.BuildParams(degree=0)
 
 
+def test_range_search_on_graphs(table):
+    params = B.BuildParams(partitions=2, degree=16, length=40)
+    local = B.local_graphs(B.partitioned(table, params), params)
+    asked = table.filter("vec_id % 40 = 0")
+    exact, got = knn(asked, table, 0, radius=0.8), S.range_search(asked, local, 0.8)
+    assert got.join(exact, ["qid", "id"], "left_anti").count() == 0
+    assert got.count() >= 0.95 * exact.count() > 0
+    assert S.visit_counts(asked, local, S.SearchParams(k=5, length=20)).agg(F.max("visits")).first()[0] <= 10
+
+
+def test_conversions(spark):
+    df = spark.createDataFrame([(1, [1.5, -2.5, 999.0])], "id long, v array<float>")
+    assert df.select(X.to_integers("v", "int8")).first()[0] == [1, -3, 127]
+    assert df.select(X.to_integers("v", "uint8")).first()[0] == [1, 0, 255]
+    with pytest.raises(ValueError):
+        X.to_integers("v", "int7")
+    with pytest.raises(Exception, match="not 4 elements"):
+        df.select(X.to_tsv("v").alias("line")).select(X.from_tsv("line", 4)).collect()
+    a, b = X.clustered(spark, 50, 4, partitions=2), X.clustered(spark, 50, 4, partitions=5)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 def test_filtered_search(table):
     params = B.BuildParams(partitions=2, degree=16, length=40)
     rows = table.withColumn("labels", F.array("label"))
