@@ -16,7 +16,9 @@ similarity of at least 0.8. So similar texts differ in up to 14 of 64 bits,
 where neither grid nor any other lower bound leaves few candidates. It therefore
 also takes SimHashes of small min-wise samples of the shingles, equal with high
 probability for similar texts, and verifies every candidate on whole shingle
-sets.
+sets. Nodes with an equal sample form a group. Pairs in it are not all made: a
+node meets the least one and its neighbours in several orders; then, in turns,
+components that are still apart in a group meet in further orders.
 
 Defined results: null or empty text, or one without words, has the fingerprint
 zero and is linked like any other; a null id is never chosen over another;
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,8 @@ from orrery.llm.shared import LOWER, discard, encoded, slices, stored
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 16, 4
 SAMPLES, SAMPLE = 10, 3
+#: Neighbours before a node in each order, and turns in which components that share a group meet again.
+BACK, TURNS = 2, 2
 #: The byte lanes of a 64-bit word that count the bits of each byte value.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -154,25 +159,88 @@ def _signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Da
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, digest binary, fp bigint, samples array<bigint>")
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """A written table of (a, b), a > b: nodes that share a sampled fingerprint, each with the least of its group and with its neighbours in
+def _groups(nodes: DataFrame) -> DataFrame:
+    """A written table of (node, k, key): the nodes that share a sampled fingerprint, or the whole one (k -1)."""
+    keys = nodes.select("node", F.posexplode("samples").alias("k", "key")).unionByName(nodes.select("node", F.lit(-1).alias("k"), F.col("fp").alias("key")))
+    shared = keys.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", "key")
+    return stored(keys.join(shared, ["k", "key"], "left_semi"), "groups")
 
-    the orders of the whole fingerprint and of two other samples, where similar nodes lie together even among
-    strangers; nodes with one fingerprint; and the least nodes of fingerprints within 2 bits.
+
+def _neighbours(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) and the written table that it reads: each node with the BACK before it in its group, in each of its orders, where their roots differ.
+
+    met: (node, root, k, key, orders array<bigint>). Rows are sorted by range, so a large group is cut over tasks; the
+    first and last rows of each task then meet the rows across the cuts, 2 * BACK for a task.
+    """
+    order = ["k", "key", "j", "o", "node"]
+    laid = met.select("k", "key", F.posexplode("orders").alias("j", "o"), "node", "root").repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(rows: pa.Table) -> pa.RecordBatch:
+            return rows.select([*order, "root"]).append_column("b", pa.nulls(len(rows), pa.int64())).combine_chunks().to_batches()[0]
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            if last is None:
+                yield edges(new.slice(0, BACK))
+            rows, skip = (new, 0) if last is None else (pa.concat_tables([last, new]), len(last))
+            group = np.stack([rows.column(c).to_numpy() for c in ("k", "key", "j")])
+            node, root = rows.column("node").to_numpy(), rows.column("root").to_numpy()
+            for i in range(1, BACK + 1):
+                at = np.arange(max(skip, i), len(rows))
+                at = at[(group[:, at] == group[:, at - i]).all(axis=0) & (root[at] != root[at - i])]
+                if len(at):
+                    yield edges(rows.take(at)).set_column(6, "b", pa.array(node[at - i]))
+            last = rows.slice(max(0, len(rows) - BACK))
+        if last is not None:
+            yield edges(last)
+
+    out = stored(laid.mapInArrow(run, "k int, key bigint, j int, o bigint, node bigint, root bigint, b bigint"), "neighbours")
+    cut, w = out.filter("b IS NULL").drop("b").distinct(), Window.partitionBy("k", "key", "j").orderBy("o", "node")
+    across = [F.when(F.lag("root", i).over(w) != F.col("root"), F.lag("node", i).over(w)) for i in range(1, BACK + 1)]
+    met_again = cut.select("node", F.array(*across).alias("b")).select("node", F.explode("b").alias("b"))
+    return out.select("node", "b").union(met_again).filter("b IS NOT NULL").toDF("a", "b"), out
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _candidates(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """A written table of (a, b), a > b: each node of a group with the least one and with its neighbours in the orders of the
+
+    whole fingerprint and of two other samples, where similar nodes lie together even among strangers; and the
+    least nodes of fingerprints within 2 bits.
     """
-    other = lambda i: F.get("samples", (F.col("k") + i) % SAMPLES).alias(f"o{i}")
-    keyed = nodes.select("node", "fp", "samples", F.posexplode("samples").alias("k", "key")).select("node", "fp", "k", "key", other(1), other(2))
-    keyed = keyed.unionByName(nodes.select("node", "fp", F.lit(-1).alias("k"), F.col("fp").alias("key"), F.col("samples")[0].alias("o1"), F.col("samples")[1].alias("o2")))
-    least = keyed.groupBy("k", "key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    hit = stored(keyed.join(least, ["k", "key"]), "candidates")
-    before = {f"by_{o}_{i}": F.lag("node", i).over(Window.partitionBy("k", "key").orderBy(o, "node")) for o in ("fp", "o1", "o2") for i in (1, 2)}
-    pairs = hit.withColumns(before).select(F.col("node").alias("a"), F.explode(F.array("b", *before)).alias("b"))
+    met = groups.join(nodes.select("node", "fp", "samples"), "node")
+    orders = F.array("fp", *[F.get("samples", (F.col("k") + i) % SAMPLES) for i in (1, 2)])
+    pairs, laid = _neighbours(met.select("node", F.col("node").alias("root"), "k", "key", orders.alias("orders")))
+    least = groups.groupBy("k", "key").agg(F.min("node").alias("b"))
+    pairs = pairs.union(groups.join(least, ["k", "key"]).select(F.col("node").alias("a"), "b"))
     first = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     grid_links = links(first.select("fp"))
     near = grid_links.join(first.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v").select("a", "b")
-    pairs = pairs.unionByName(near).filter("a <> b")
-    pairs = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    discard(hit)
+    pairs = stored(_ordered(pairs.union(near)), "pairs")
+    discard(laid)
+    return pairs
+
+
+def _more_candidates(nodes: DataFrame, groups: DataFrame, roots: DataFrame, seen: DataFrame, turn: int) -> DataFrame:
+    """A written table of (a, b) not in seen: neighbours of different components in three further orders, in groups of over
+
+    BACK + 1 nodes (in smaller ones every pair has been seen) that still hold more than one component.
+    """
+    own = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    torn = own.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
+    met = own.join(torn.filter((F.col("n") > BACK + 1) & (F.col("x") != F.col("y"))).select("k", "key"), ["k", "key"], "left_semi")
+    orders = F.array(*[F.get("samples", (F.col("k") + 1 + 3 * turn + i) % SAMPLES) for i in (-1, 0, 1)])
+    met = met.join(nodes.select("node", "samples"), "node").select("node", "root", "k", "key", orders.alias("orders"))
+    pairs, laid = _neighbours(met)
+    pairs = stored(_ordered(pairs).join(seen, ["a", "b"], "left_anti"), "more-pairs")
+    discard(laid)
     return pairs
 
 
@@ -185,7 +253,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("samples").alias("samples"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     discard(rows)
-    pairs = _candidates(nodes)
+    groups = _groups(nodes)
+    pairs = _candidates(nodes, groups)
 
     # Whole shingle sets of the nodes in question, from one row each.
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -199,7 +268,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary())], names=["node", "set"])
 
     of = stored(texts.mapInArrow(sets, "node bigint, set binary").groupBy("node").agg(F.first("set").alias("set")), "shingle-sets")
-    both = pairs.join(of.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -210,9 +278,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
                 keep.append(common >= similarity * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    verified = both.mapInArrow(verify, "a bigint, b bigint")
-    roots = components(verified.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    discard(pairs, of)
+    def similar(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(of.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+        return stored(both.mapInArrow(verify, "a bigint, b bigint").select(F.col("a").alias("u"), F.col("b").alias("v")), "similar")
+
+    tables, found = [pairs], [similar(pairs)]
+    roots = components(found[0])
+    for turn in range(1, TURNS + 1):
+        tables.append(_more_candidates(nodes, groups, roots, reduce(DataFrame.union, tables), turn))
+        found.append(similar(tables[-1]))
+        if found[-1].isEmpty():
+            break
+        # Old roots stand for their nodes, so the steps begin from stars.
+        roots = components(found[-1].union(roots.select("node", "root")))
+    discard(groups, of, *tables, *found)
     rooted = nodes.select("node", "digest", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))).alias("first"))
     out = stored(rooted.join(chosen, "root").select("digest", (F.col("node") == F.col("first.node")).alias("stays"), "doc_id"), "near-duplicates")

@@ -141,6 +141,18 @@ def test_simhash_empty(nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_neighbours_across_tasks(spark):
+    rng = random.Random(8)
+    rows = [(n, n % 3 if k == 1 else n, k, key, [rng.randrange(9), rng.randrange(9)]) for k in (0, 1) for key, size in ((5, 1), (6, 2), (7, 90)) for n in rng.sample(range(200), size)]
+    pairs, _ = simhash._neighbours(spark.createDataFrame(rows, "node bigint, root bigint, k int, key bigint, orders array<bigint>").repartition(3))
+    got, want = {(r.a, r.b) for r in pairs.collect()}, set()
+    for k, key in {r[2:4] for r in rows}:
+        for j in (0, 1):
+            group = sorted((r[4][j], r[0], r[1]) for r in rows if r[2:4] == (k, key))
+            want |= {(a[1], b[1]) for i in (1, 2) for b, a in zip(group, group[i:]) if a[2] != b[2]}
+    assert want <= got and len(got - want) <= 2 * 4 * 4  # rows at both ends of one task may meet besides
+
+
 def test_near_duplicates_by_similarity(spark, sf):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(3000)]
