@@ -17,8 +17,13 @@ where neither grid nor any other lower bound leaves few candidates. It therefore
 also takes SimHashes of small min-wise samples of the shingles, equal with high
 probability for similar texts, and verifies every candidate on whole shingle
 sets. Nodes with an equal sample form a group. Pairs in it are not all made: a
-node meets the least one and its neighbours in several orders; then, in turns,
-components that are still apart in a group meet in further orders.
+node meets the least one and its neighbours in several orders. This is only a
+first pass that joins most of a family cheaply. What it leaves apart is found by
+a prefix-filter join, which misses nothing: with all shingles in one order,
+rarest first, two sets of a similarity of at least s have a shingle in common
+among the first n - ceil(s n) + 1 of each, n being the set's size. All nodes of
+different components that share such a shingle, and whose sizes and places of it
+allow the similarity, are verified on whole sets.
 
 Defined results: null or empty text, or one without words, has the fingerprint
 zero and is linked like any other; a null id is never chosen over another;
@@ -29,10 +34,11 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -44,8 +50,12 @@ from orrery.llm.shared import LOWER, discard, encoded, slices, stored
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 16, 4
 SAMPLES, SAMPLE = 10, 3
-#: Neighbours before a node in each order, and turns in which components that share a group meet again.
-BACK, TURNS = 2, 2
+#: Neighbours before a node in each order.
+BACK = 2
+#: Counters for the shingles' frequencies, and the parts in which they are added up.
+COUNTERS, COUNTER_PARTS = 1 << 20, 16
+#: Nodes of one block where those that share a shingle are compared block by block.
+BLOCK = 512
 #: The byte lanes of a 64-bit word that count the bits of each byte value.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -147,16 +157,60 @@ def sampled(h: np.ndarray) -> list[int]:
     return ((a & b) | (b & c) | (a & c)).astype(np.int64).tolist()
 
 
-def _signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+def _ranks(docs: DataFrame, shingle: int, text_col: str) -> np.ndarray:
+    """By counter (the low bits of a shingle's hash) a byte that grows with the number of its shingles.
+
+    It only makes the order of shingles cheap; any order gives the same links.
+    """
+    each = COUNTERS // COUNTER_PARTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype=np.uint32)
+        for b in slices(batches):
+            h = [hashes(x, shingle) for x in encoded(b.column(0))]
+            counts += np.bincount((np.concatenate(h).astype(np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+        parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(COUNTER_PARTS, each)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(each, dtype=np.uint64)
+        for x in pdf["counts"]:
+            total += np.frombuffer(zlib.decompress(x), dtype=np.uint32)
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "ranks": [(4 * np.log2(total + 1.0)).astype(np.uint8).tobytes()]})
+
+    parts = docs.select(text_col).mapInArrow(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, ranks binary").collect()
+    ranks = np.zeros(COUNTERS, dtype=np.uint8)
+    for r in parts:
+        ranks[r.part * each:(r.part + 1) * each] = np.frombuffer(r.ranks, dtype=np.uint8)
+    return ranks
+
+
+def prefix(h: np.ndarray, ranks: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in the common order, one of which every similar set has among its own first, and the set's size.
+
+    A set without shingles has the shingle 0, so that all such meet.
+    """
+    h = np.unique(h.astype(np.uint64))
+    if not len(h):
+        return np.zeros(1, dtype=np.int64), 0
+    order = np.lexsort((h, ranks[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+    return h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]].astype(np.int64), len(h)
+
+
+def _signatures(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(_ranks(docs, shingle, text_col))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = encoded(b.column(1))
             h = [hashes(x, shingle) for x in texts]
+            first = [prefix(x, sent.value, similarity) for x in h]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([hashlib.sha256(x).digest() for x in texts]), pa.array([fingerprint(x) for x in h], pa.int64()), pa.array([sampled(x) for x in h], pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "fp", "samples"])
+                [b.column(0), pa.array([hashlib.sha256(x).digest() for x in texts]), pa.array([fingerprint(x) for x in h], pa.int64()), pa.array([sampled(x) for x in h], pa.list_(pa.int64())),
+                 pa.array([x for x, _ in first], pa.list_(pa.int64())), pa.array([n for _, n in first], pa.int32())],
+                names=["doc_id", "digest", "fp", "samples", "prefix", "size"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, digest binary, fp bigint, samples array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, digest binary, fp bigint, samples array<bigint>, prefix array<bigint>, size int")
 
 
 def _groups(nodes: DataFrame) -> DataFrame:
@@ -228,20 +282,31 @@ def _candidates(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs
 
 
-def _more_candidates(nodes: DataFrame, groups: DataFrame, roots: DataFrame, seen: DataFrame, turn: int) -> DataFrame:
-    """A written table of (a, b) not in seen: neighbours of different components in three further orders, in groups of over
+def _apart(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """A written table of (a, b), a > b: all nodes of different components that can be similar, by the prefix filter.
 
-    BACK + 1 nodes (in smaller ones every pair has been seen) that still hold more than one component.
+    Nodes that share a shingle are cut into blocks of about BLOCK, and each block meets each other and itself.
     """
-    own = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    torn = own.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
-    met = own.join(torn.filter((F.col("n") > BACK + 1) & (F.col("x") != F.col("y"))).select("k", "key"), ["k", "key"], "left_semi")
-    orders = F.array(*[F.get("samples", (F.col("k") + 1 + 3 * turn + i) % SAMPLES) for i in (-1, 0, 1)])
-    met = met.join(nodes.select("node", "samples"), "node").select("node", "root", "k", "key", orders.alias("orders"))
-    pairs, laid = _neighbours(met)
-    pairs = stored(_ordered(pairs).join(seen, ["a", "b"], "left_anti"), "more-pairs")
-    discard(laid)
-    return pairs
+    own = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", F.posexplode("prefix").alias("at", "key"))
+    torn = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    met = own.join(torn.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    met = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    met = met.groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(F.struct("node", "root", "size", "at", "own")).alias("all"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            for row, crossed in enumerate((b.column(1).to_numpy() != b.column(2).to_numpy()).tolist()):
+                node, root, size, at, block = (x.to_numpy() for x in b.column(3)[row].values.flatten())
+                rest = size - at  # what can still be common, this shingle included
+                for i in range(len(node)):
+                    least = similarity / (1 + similarity) * (size[i] + size) - 1e-6
+                    keep = (node < node[i]) & (root != root[i]) & (np.minimum(rest, rest[i]) >= least)
+                    if crossed:
+                        keep &= block != block[i]
+                    if keep.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), node[i])), pa.array(node[keep])], names=["a", "b"])
+
+    return stored(met.mapInArrow(run, "a bigint, b bigint").distinct(), "apart")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,26 +314,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     that document stays for its group: the group's least id.
     """
-    rows = stored(_signatures(docs, shingle, id_col, text_col), "signatures")
-    nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("samples").alias("samples"))
+    rows = stored(_signatures(docs, shingle, similarity, id_col, text_col), "signatures")
+    nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.first("prefix").alias("prefix"), F.first("size").alias("size"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     discard(rows)
     groups = _groups(nodes)
     pairs = _candidates(nodes, groups)
 
-    # Whole shingle sets of the nodes in question, from one row each.
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    asked = asked.join(nodes.select("node", "digest", F.col("doc_id").alias("__id")), "node")
-    texts = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text")).withColumn("digest", F.unhex(F.sha2(F.coalesce("__text", F.lit("")), 256)))
-    texts = texts.join(asked, "digest").filter(F.col("__own").eqNullSafe(F.col("__id"))).select("node", "__text")
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             h = [np.unique(hashes(x, shingle)).astype("<u8").tobytes() for x in encoded(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary())], names=["node", "set"])
 
-    of = stored(texts.mapInArrow(sets, "node bigint, set binary").groupBy("node").agg(F.first("set").alias("set")), "shingle-sets")
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             keep = []
@@ -279,19 +336,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def similar(pairs: DataFrame) -> DataFrame:
+        # Whole shingle sets of the nodes in question, from one row each.
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        asked = asked.join(nodes.select("node", "digest", F.col("doc_id").alias("__id")), "node")
+        texts = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text")).withColumn("digest", F.unhex(F.sha2(F.coalesce("__text", F.lit("")), 256)))
+        texts = texts.join(asked, "digest").filter(F.col("__own").eqNullSafe(F.col("__id"))).select("node", "__text")
+        of = stored(texts.mapInArrow(sets, "node bigint, set binary").groupBy("node").agg(F.first("set").alias("set")), "shingle-sets")
         both = pairs.join(of.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-        return stored(both.mapInArrow(verify, "a bigint, b bigint").select(F.col("a").alias("u"), F.col("b").alias("v")), "similar")
-
-    tables, found = [pairs], [similar(pairs)]
-    roots = components(found[0])
-    for turn in range(1, TURNS + 1):
-        tables.append(_more_candidates(nodes, groups, roots, reduce(DataFrame.union, tables), turn))
-        found.append(similar(tables[-1]))
-        if found[-1].isEmpty():
-            break
+        out = stored(both.mapInArrow(verify, "a bigint, b bigint").select(F.col("a").alias("u"), F.col("b").alias("v")), "similar")
+        discard(of)
+        return out
+
+    found = similar(pairs)
+    roots = components(found)
+    discard(groups, pairs, found)
+    pairs = _apart(nodes, roots, similarity)
+    found = similar(pairs)
+    if not found.isEmpty():
         # Old roots stand for their nodes, so the steps begin from stars.
-        roots = components(found[-1].union(roots.select("node", "root")))
-    discard(groups, of, *tables, *found)
+        roots = components(found.union(roots.select("node", "root")))
+    discard(pairs, found)
     rooted = nodes.select("node", "digest", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))).alias("first"))
     out = stored(rooted.join(chosen, "root").select("digest", (F.col("node") == F.col("first.node")).alias("stays"), "doc_id"), "near-duplicates")

@@ -184,6 +184,31 @@ def test_near_duplicates_by_similarity(spark, sf):
         assert got[digest] == (root[first] == first), i
 
 
+def test_near_duplicates_of_dense_families(spark):
+    rng = random.Random(5)
+    words, texts = [f"w{i}" for i in range(3000)], ["", " ", "\n", "w1 w2"]
+    for _ in range(3):  # in a family few pairs are linked, all others nearly
+        base = [rng.choice(words) for _ in range(100)]
+        for _ in range(150):
+            c = list(base)
+            for i in rng.sample(range(100), 2):
+                c[i] = rng.choice(words)
+            texts.append(" ".join(c))
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) and root[i] != root[j]:
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for block in (simhash.BLOCK, 20):
+        own, simhash.BLOCK = simhash.BLOCK, block
+        stay = sorted(r.doc_id for r in simhash.near_duplicates(docs).filter("stays").collect())
+        simhash.BLOCK = own
+        assert stay == sorted(set(root))
+
+
 # -- 3 ---------------------------------------------------------------------------
 def reference_encoding():
     import tiktoken
