@@ -1,9 +1,10 @@
 """N-gram scoring by a weighted backoff automaton (operator 7).
 
 The model is a bigram model with absolute discounting over an add-one unigram
-model. Words of at least FREQUENT of all training tokens are histories: each is
-a state with an arc for every bigram kept, and a failure arc to the root whose
-weight is its backoff. The root has an arc for every word. A text is scored in
+model. Every training word that another follows is a history: a state with an
+arc for every bigram seen in training, and a failure arc to the root whose
+weight is its backoff. (A larger FREQUENT or LEAST_BIGRAM would leave out words
+of under that share of all training tokens, or rarer bigrams.) The root has an arc for every word. A text is scored in
 one traversal from left to right that carries the state and adds log10 weights.
 
 Neither vocabulary nor arcs are sent everywhere. Texts are turned into blocks of
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from orrery.llm.shared import LOWER, Out, encoded, scratch, shuffle_partitions, slices, stored, with_scheme
 
 BLOCK_TOKENS = 1 << 21
-FREQUENT = 1e-4
-DISCOUNT, LEAST_BIGRAM = 0.75, 3
+FREQUENT = 0.0
+DISCOUNT, LEAST_BIGRAM = 0.75, 1
 PLACES = 4096
 END = b""  # no word is empty
 
@@ -141,8 +142,11 @@ class Automaton:
 
 
 def _pairs(blocks: DataFrame, least: int) -> DataFrame:
-    """The distinct neighbours of frequent words in each block, with their number in training texts."""
-    schema = "u bigint, v bigint, cu bigint, cv bigint, n bigint, block bigint, lu int, lv int"
+    """The distinct neighbours in each block of words seen least times, with their number in training texts.
+
+    at: the pair's numbers in the block, the first one times 2^32.
+    """
+    schema = "u bigint, v bigint, cv bigint, n bigint, block bigint, at bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
@@ -164,13 +168,13 @@ def _pairs(blocks: DataFrame, least: int) -> DataFrame:
             keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(inverse, weights=np.concatenate(taught), minlength=len(keys)).astype(np.int64)
             lu, lv = keys >> 32, keys & 0xFFFFFFFF
-            arrays = [name[lu], name[lv], count[lu], count[lv], n, np.full(len(keys), b.column(0)[0].as_py()), lu.astype(np.int32), lv.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["u", "v", "cu", "cv", "n", "block", "lu", "lv"])
+            arrays = [name[lu], name[lv], count[lv], n, np.full(len(keys), b.column(0)[0].as_py()), keys]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["u", "v", "cv", "n", "block", "at"])
 
     return blocks.select("block", "path", "vocabulary").mapInArrow(run, schema)
 
 
-def _score(blocks: DataFrame, total: int, distinct: int) -> DataFrame:
+def _score(blocks: DataFrame, total: int, distinct: int, discount: float) -> DataFrame:
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     below = log10(total + distinct + 1)
 
@@ -180,14 +184,16 @@ def _score(blocks: DataFrame, total: int, distinct: int) -> DataFrame:
             count = np.zeros(len(c), dtype=np.int64)
             count[local] = c
             root = np.log10(count + 1) - below
-            lu, lv, weight = structs(b.column(2), 0, (np.int64, np.int64, np.float64))
+            at, weight = structs(b.column(2), 0, (np.int64, np.float64))  # a bigram's count, or a state's failure weight at -1 - word
             after = np.zeros(len(count), dtype=np.int64)
             model = Automaton(root.tolist(), [])
-            fails = lv < 0  # a state's failure weight
-            for w, f in zip(lu[fails].tolist(), weight[fails].tolist(), strict=True):
+            fails = at < 0
+            for w, f in zip((-1 - at[fails]).tolist(), weight[fails].tolist(), strict=True):
                 after[w] = model.add(f)
             model.after = after.tolist()
-            for s, w, p in zip(after[lu[~fails]].tolist(), lv[~fails].tolist(), weight[~fails].tolist(), strict=True):
+            at, n = at[~fails], weight[~fails]
+            lu = at >> 32
+            for s, w, p in zip(after[lu].tolist(), (at & 0xFFFFFFFF).tolist(), np.log10((n - discount) / count[lu]).tolist(), strict=True):
                 model.arcs[s][w] = p
             for part in open_block(b.column(0)[0].as_py()).to_batches():
                 ids = part.column(2)
@@ -231,17 +237,19 @@ def score_texts(docs: DataFrame, frequent: float = FREQUENT, least_bigram: int =
     paths = blocks.select("block", "path")
     known = stored(paths.join(by_block, "block"), "lm-block-vocabulary")
 
-    pairs = _pairs(known.repartition(n, "block"), least).groupBy("u", "v", part).agg(
-        F.sum("n").alias("n"), F.first("cu").alias("cu"), F.first("cv").alias("cv"), F.collect_list(F.struct("block", "lu", "lv")).alias("at"))
+    # Dealt before they are added up: few rows of a block have a key in common, and lists take more room than rows.
+    pairs = _pairs(known.repartition(n, "block"), least).repartition(n, "u", "v").groupBy("u", "v", part).agg(
+        F.sum("n").alias("n"), F.first("cv").alias("cv"), F.collect_list(F.struct("block", "at")).alias("at"))
     if lists > 1:
         pairs = stored(pairs, "lm-pairs")
         pairs = pairs.drop("n").join(pairs.groupBy("u", "v").agg(F.sum("n").alias("n")), ["u", "v"])
-    arcs = stored(pairs.filter(F.col("n") >= least_bigram).select("u", "v", ((F.col("n") - discount) / F.col("cu")).alias("p"), ((F.col("cv") + 1) / (total + distinct + 1)).alias("p1"), "at"), "lm-arcs")
-    # A history's arcs and failures add up to one. At most 1 / frequent histories.
-    once = arcs.select("u", "v", "p", "p1") if lists <= 1 else arcs.select("u", "v", "p", "p1").distinct()
-    states = once.groupBy("u").agg(F.log10((1 - F.sum("p")) / (1 - F.sum("p1"))).alias("fail"))
-    fails = states.join(vocabulary.filter(F.col("c") >= least), F.col("u") == F.col("word")).select(F.col("fail").alias("weight"), F.inline("at")).select("block", F.col("local").alias("lu"), F.lit(-1).alias("lv"), "weight")
-    moves = arcs.select(F.log10("p").alias("weight"), F.inline("at")).select("block", "lu", "lv", "weight")
-    of_block = moves.unionByName(fails).groupBy("block").agg(F.collect_list(F.struct("lu", "lv", "weight")).alias("arcs"))
-    scored = _score(known.join(of_block, "block", "left"), total, distinct)
+    arcs = stored(pairs.filter(F.col("n") >= least_bigram).select("u", "v", "n", "cv", F.col("at").alias("places")), "lm-arcs")
+    # A history's arcs and failures add up to one.
+    once = arcs.select("u", "v", "n", "cv") if lists <= 1 else arcs.select("u", "v", "n", "cv").distinct()
+    states = once.groupBy("u").agg(F.sum(F.col("n") - discount).alias("seen"), (F.sum(F.col("cv") + 1) / (total + distinct + 1)).alias("p1"))
+    fails = states.join(vocabulary.filter(F.col("c") >= least), F.col("u") == F.col("word")).select(F.log10((1 - F.col("seen") / F.col("c")) / (1 - F.col("p1"))).alias("weight"), F.inline("at"))
+    fails = fails.select("block", (-1 - F.col("local")).cast("bigint").alias("at"), "weight")
+    moves = arcs.select(F.col("n").cast("double").alias("weight"), F.inline("places")).select("block", "at", "weight")
+    of_block = moves.unionByName(fails).groupBy("block").agg(F.collect_list(F.struct("at", "weight")).alias("arcs"))
+    scored = _score(known.join(of_block, "block", "left"), total, distinct, discount)
     return scored.withColumn("train_tokens", F.lit(total).cast("bigint"))

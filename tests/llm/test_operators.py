@@ -388,6 +388,16 @@ def test_language_model(spark, sf, docs, nothing, places, monkeypatch):
     assert language_model.score_texts(nothing.selectExpr("doc_id", "text", "false AS held_out")).count() == 0
 
 
+def test_language_model_knows_rare_pairs(spark):
+    texts = ["a " * 30_000] + ["rare word"] * 3 + ["odd pair", "rare word odd pair"]
+    docs = spark.createDataFrame([(i, i == 5, t) for i, t in enumerate(texts)], "doc_id bigint, held_out boolean, text string")
+    got = {r.doc_id: r for r in language_model.score_texts(docs).collect()}[5]
+    p1 = lambda c: (c + 1) / (30_013 + 6 + 1)
+    after_word = (3 - 3 + 0.75) / 3 / (1 - p1(5))  # the end alone has been seen after it
+    want = p1(3) * (2.25 / 3) * after_word * p1(1) * 0.25 * 0.25
+    assert got.score == pytest.approx(log10(want))
+
+
 # -- 8 ---------------------------------------------------------------------------
 def test_exact_dedup(spark, docs, nothing):
     own = docs.select("doc_id", "text").collect()
