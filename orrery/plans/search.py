@@ -60,16 +60,18 @@ def search_partitions(queries: DataFrame, local: DataFrame, params: SearchParams
 
     label_col: only rows with the query's label, in graphs built with labels; the
     search starts at the label's own medoid and visits no other rows.
+    local may have a column dead (array<bigint>, or null): ids that are travelled through but not found.
     """
-    spark, out = queries.sparkSession, None
+    spark, out, tombs = queries.sparkSession, None, "dead" in local.columns
     for ids, vectors, more in query_blocks(queries, id_col, vec_col, [label_col] if label_col else []):
         sent = spark.sparkContext.broadcast((ids, vectors, [m[0] for m in more] if label_col else [None] * len(ids)))
 
         def run(batches, sent=sent):
             ids, qs, wanted = sent.value
             for pdf in batches:
-                for blob in pdf["blob"]:
+                for blob, dead in zip(pdf["blob"], pdf["dead"] if tombs else [None] * len(pdf), strict=True):
                     own, g = opened(blob, BuildParams())
+                    live = None if dead is None else (~np.isin(own, dead)).__getitem__
                     codes = book.encode(g.x) if book else None
                     rows = []
                     starts = label_medoids(g) if label_col else {}
@@ -82,7 +84,7 @@ def search_partitions(queries: DataFrame, local: DataFrame, params: SearchParams
                         else:
                             dist = lambda at, q=q: ((g.x[at] - q) ** 2).sum(axis=1)
                         near = (lambda u, label=label: [v for v in g.nbrs[u] if label in g.labels[v]]) if label_col else (lambda u: g.nbrs[u])
-                        found = best_first([starts.get(label, g.start)], dist, near, params.length, params.beam, params.limit)
+                        found = best_first([starts.get(label, g.start)], dist, near, params.length, params.beam, params.limit, live)
                         best, n = refine(q, found["pool"], lambda at: g.x[at], params.k, params.mode, params.batch, params.streak, params.count, params.ratio)
                         rows += [(int(qid), int(own[i]), d, r, len(found["expanded"]), found["rounds"], found["comparisons"], n) for d, i, r in best]
                     yield pd.DataFrame(rows, columns=["qid", "id", "dist", "refined", "expanded", "rounds", "comparisons", "n_refined"])

@@ -232,6 +232,15 @@ def test_index_lives(spark, table, tmp_path):
         VectorIndex.build(table.drop("embedding"))
 
 
+def test_index_finds_live_rows_behind_deleted_ones(spark, table, x):
+    index = VectorIndex.build(table, B.BuildParams(partitions=2, degree=24, length=60))
+    gone = brute(x, x[7], 150)
+    index, _ = index.delete(spark.createDataFrame([(i,) for i in gone], "tag long"))
+    got = [r.id for r in index.search(table.filter("vec_id = 7"), S.SearchParams(k=10, length=30)).orderBy("rank").collect()]
+    want = [i for i in brute(x, x[7], 400) if i not in set(gone)][:10]
+    assert len(got) == 10 and not set(got) & set(gone) and len(set(got) & set(want)) >= 8
+
+
 @pytest.mark.parametrize("layout", ["bin", "vecs"])
 def test_vector_files(spark, table, x, tmp_path, layout):
     spark.dataSource.register(VectorFiles)
