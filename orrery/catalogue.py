@@ -603,7 +603,7 @@ def cross_probe(spark, d):
 
 @query()
 def pipeline_graph(spark, d):
-    return B.build_graph(base(spark, d), PARAMS, cross_pairs_allowlist(spark, d))
+    return B.build_graph(base(spark, d), PARAMS)
 
 
 @query()
