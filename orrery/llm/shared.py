@@ -7,17 +7,21 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orrery.storage import discard, remove, scratch, stored
 
-__all__ = ["LOWER", "SPACE", "Out", "discard", "encoded", "remove", "scratch", "shuffle_partitions", "slices", "stored", "with_scheme"]
+__all__ = ["LOWER", "SPACE", "Out", "discard", "encoded", "for_arrow", "of_keys", "remove", "scratch", "shuffle_partitions", "slices", "stored"]
 
 #: Lower-cases A-Z alone, on UTF-8 bytes.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: The white space of the contracts: [\x20\x09-\x0D], which is also what bytes.split() splits at.
 SPACE = b" \t\n\x0b\x0c\r"
 
+#: A key with over 1 / HOT of all rows is hot.
+HOT = 1000
+
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that Python objects exist for few rows at a time."""
@@ -55,5 +59,22 @@ class Out:
         self.fs.move(self.own, self.path)
 
 
-def with_scheme(folder: str) -> str:
-    return folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+#: Spark's names of object stores that Arrow knows under another one.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def for_arrow(spark: SparkSession, folder: str) -> str:
+    """The URI under which Arrow opens a folder that Spark names, on Spark's default file system if it has no scheme."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    scheme = uri.getScheme()
+    return f"{ARROW_SCHEMES.get(scheme, scheme)}://{uri.getAuthority() or ''}{uri.getPath()}"
+
+
+def of_keys(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of keys, of whose keys they have one. keys: (key, n, ...), n being the key's rows among the total.
+
+    A key with over 1 / HOT of the rows is hot; fewer than HOT can be, so they go to all tasks, and their rows don't move.
+    """
+    hot = F.col("n") * HOT > total
+    return rows.join(F.broadcast(keys.filter(hot)), key).unionByName(rows.join(F.broadcast(keys.filter(hot).select(key)), key, "left_anti").join(keys.filter(~hot), key))

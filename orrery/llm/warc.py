@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import Out, encoded, scratch, shuffle_partitions, slices, stored, with_scheme
+from orrery.llm.shared import Out, discard, encoded, for_arrow, of_keys, remove, scratch, shuffle_partitions, slices, stored
 
 #: A file is closed after so many bytes of payload or so many records.
 FILE_BYTES, FILE_RECORDS = 64 << 20, 50_000
@@ -107,7 +107,7 @@ INDEX = "archive string, ordinal bigint, page_id bigint, `offset` bigint, size b
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Each partition as gzip files of one stream, every row a response record. Returns the manifest: one row for each record."""
-    folder = with_scheme(folder)
+    folder = for_arrow(pages.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, out, held = TaskContext.get().partitionId(), 0, None, (0, 0)
@@ -141,16 +141,16 @@ def references(manifest: DataFrame, least: int = REVISIT_LEAST) -> DataFrame:
     are reduced before the shuffle.
     """
     place = F.struct("page_id", "archive", "ordinal")
-    large = F.col("payload_bytes") >= least
-    first = manifest.filter(large).groupBy("digest").agg(F.max(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = manifest.filter(large).join(first, "digest").filter(~place.eqNullSafe(F.col("first")))
+    large = manifest.filter(F.col("payload_bytes") >= least)
+    first = stored(large.groupBy("digest").agg(F.max(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "warc-first")
+    shared = of_keys(large, first, "digest", large.count()).filter(~place.eqNullSafe(F.col("first")))
     return shared.select("archive", "ordinal", F.col("first.page_id").alias("refers_to"))
 
 
 def normalise_archives(manifest: DataFrame, revisits: DataFrame, folder: str) -> DataFrame:
     """Rewrites every archive of the manifest to folder, a member for each record, with a sidecar index. Returns the index."""
-    folder = with_scheme(folder)
     spark = manifest.sparkSession
+    folder = for_arrow(spark, folder)
     archives = manifest.groupBy("archive").agg(F.count(F.lit(1)).alias("n"))
     # References of one archive: at most FILE_RECORDS rows.
     own = revisits.groupBy("archive").agg(F.collect_list(F.struct("ordinal", "refers_to")).alias("refs"))
@@ -229,8 +229,15 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, least: int = REVISIT_LEAST) -> DataFrame:
-    """pages written, normalised and read back. folder gets raw/ and normal/."""
-    folder = folder or scratch(pages.sparkSession, "warc")
-    manifest = write_archives(pages, f"{folder}/raw")
-    index = normalise_archives(manifest, references(manifest, least), f"{folder}/normal")
-    return read_records(index)
+    """pages written, normalised and read back. folder gets raw/ and normal/; without one the archives are deleted once read."""
+    spark = pages.sparkSession
+    place = folder or scratch(spark, "warc")
+    manifest = write_archives(pages, f"{place}/raw")
+    index = normalise_archives(manifest, references(manifest, least), f"{place}/normal")
+    if folder:
+        return read_records(index)
+    remove(spark, f"{place}/raw")
+    out = stored(read_records(index), "warc-records")
+    remove(spark, place)
+    discard(manifest, index)
+    return out
