@@ -1,23 +1,29 @@
 """N-gram scoring by a weighted backoff automaton (operator 7).
 
-The model is a bigram model with absolute discounting over an add-one unigram
-model. Every training word that another follows is a history: a state with an
-arc for every bigram seen in training, and a failure arc to the root whose
-weight is its backoff. (A larger FREQUENT or LEAST_BIGRAM would leave out words
-of under that share of all training tokens, or rarer bigrams.) The root has an arc for every word. A text is scored in
-one traversal from left to right that carries the state and adds log10 weights.
-
-Neither vocabulary nor arcs are sent everywhere. Texts are turned into blocks of
-about BLOCK_TOKENS tokens with a vocabulary of their own and written to shared
-storage once. Counts are added up by word over the blocks' vocabularies, and
-what a block needs - its words' counts, the arcs and failure weights that can
-occur in it - comes back by block. So what moves are distinct words and bigrams
-of blocks, not tokens, and a task holds one block's part of the model.
+The model has every n-gram of up to ORDER words that training texts hold, with
+Dirichlet smoothing: a history h that was seen gives a word w the probability
+(c(hw) + m p(w | shorter h)) / (c(h) + m), where m is the order's STRENGTH, and
+the empty history gives the add-one unigram. Nothing is cut by count. As an
+automaton: every seen history is a state, with an arc for each word seen after
+it, and a failure arc of the weight m / (c(h) + m) to the history without its
+first word; the root has an arc for every word. A text is scored in one
+traversal from left to right that carries the state and adds log10 weights.
+
+No model is sent everywhere. Texts become blocks of about BLOCK_TOKENS tokens in
+shared storage, with a vocabulary of their own. A block's distinct words, and
+then its distinct n-grams order by order under 64-bit hashes, are added up over
+blocks as packed lists (exchange.py), and the totals come back to the block; so
+a task holds one block's part of the model. An n-gram need not be sent if no
+other block has some part of it: then none has the n-gram, and the count at hand
+is whole. Words are told apart by their bytes, n-grams by
+their hashes: n of them share a count with some other with a chance of about
+n / 2^64 each.
 
 Defined results: null or empty text has the end token alone; rows with a null id
 teach (they aren't held out); repeated rows count each; without training rows
 every token has probability 1 under the base formula; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns are ignored; texts of any length are one sequence of
+tokens, of which a block holds all.
 """
 
 from __future__ import annotations
@@ -28,17 +34,19 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import LOWER, Out, encoded, scratch, shuffle_partitions, slices, stored, with_scheme
+from orrery.llm.exchange import LISTS, numbered_keys, numbered_words, of_blocks, packed_lists, shards_for, squeezed, totals, unpacked_totals, unsqueezed
+from orrery.llm.shared import LOWER, Out, discard, encoded, for_arrow, remove, scratch, shuffle_partitions, slices, stored
 
-BLOCK_TOKENS = 1 << 21
-FREQUENT = 0.0
-DISCOUNT, LEAST_BIGRAM = 0.75, 1
-PLACES = 4096
+ORDER = 3
+#: By the history's number of words: how many occurrences the shorter history's estimate weighs.
+STRENGTH = (0.0, 50.0, 5.0)
+BLOCK_TOKENS = 1 << 19
 END = b""  # no word is empty
 
 
@@ -46,210 +54,233 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 7 == 2, F.lit(False))
 
 
-# -- blocks -------------------------------------------------------------------------
-BLOCKS = "block bigint, path string, words array<binary>, counts array<bigint>"
+# -- n-grams of a block ---------------------------------------------------------------
+def word_keys(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+
+
+def joined_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The key of a sequence from that of its beginning and that of its last word."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # the finaliser of SplitMix64
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+class Grams:
+    """A block's distinct n-grams of one order, ascending by key."""
+
+    def __init__(self, keys: np.ndarray, at: np.ndarray, shorter: np.ndarray):
+        """keys: of the n-grams at the places at; shorter: by place, the number of the one shorter that begins there."""
+        self.places = at
+        self.keys, first, self.of = np.unique(keys, return_index=True, return_inverse=True)
+        self.begin, self.rest = shorter[at[first]], shorter[at[first] + 1]  # without the last word, and without the first
+
+    def counts(self, taught: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, weights=taught[self.places], minlength=len(self.keys)).astype(np.int64)
+
+
+def grams(ids: np.ndarray, last: np.ndarray, words: np.ndarray, order: int) -> list[Grams]:
+    """For 2 to order words. ids: all tokens; last: which are ends of texts, over which no n-gram reaches; words: keys by id."""
+    key, at, shorter, out = words[ids], np.arange(len(ids)), ids.astype(np.int64), []
+    for n in range(2, order + 1):
+        at = at[at < len(ids) - n + 1]
+        at = at[~last[at + n - 2]]
+        key[at] = joined_keys(key[at], words[ids[at + n - 1]])
+        out.append(Grams(key[at], at, shorter))
+        shorter[at] = out[-1].of
+    return out
+
+
+# -- blocks ---------------------------------------------------------------------------
+BLOCKS = "block bigint, path string, n_words bigint, n_tokens bigint"
 FILE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.list_(pa.int32()))])
 
 
 def make_blocks(docs: DataFrame, folder: str) -> DataFrame:
-    """docs (doc_id, held_out, text) as files of numbered tokens. One row for each block: its words and their training counts."""
-    folder = with_scheme(folder)
+    """docs (doc_id, held_out, text) as files of numbered tokens, the block's words, ascending by key, beside them. One row for each block."""
+    folder = for_arrow(docs.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        numbers, out = None, None
+        numbers: dict[bytes, int] = defaultdict()
+        texts: list[tuple[int | None, bool, np.ndarray]] = []
+        tokens = 0
 
-        def begin():
-            own: dict[bytes, int] = defaultdict()
-            own.default_factory = own.__len__
-            own[END]
+        def end() -> pa.RecordBatch:
+            words = np.array(list(numbers), dtype=object)
+            order = np.argsort(word_keys(words.tolist()), kind="stable")
+            rank = np.empty(len(order), dtype=np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            sizes = np.array([len(x) for *_, x in texts])
+            ids = rank[np.concatenate([x for *_, x in texts])]
+            held = np.array([h for _, h, _ in texts], dtype=bool)
             path = f"{folder}/{part:06d}-{number:04d}.arrow"
             file = Out(path)
-            return own, file, pa.ipc.new_stream(file.stream, FILE, options=pa.ipc.IpcWriteOptions(compression="zstd")), path, np.zeros(1 << 16, dtype=np.int64)
-
-        def end():
-            writer.close()
-            out.close()
-            words = list(numbers)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 20) + number]), pa.array([path]), pa.array([words], pa.list_(pa.binary())), pa.array([counts[: len(words)]], pa.list_(pa.int64()))], names=["block", "path", "words", "counts"])
+            with pa.ipc.new_stream(file.stream, FILE, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids))
+                writer.write_batch(pa.RecordBatch.from_arrays([pa.array([i for i, *_ in texts], pa.int64()), pa.array(held), lists], schema=FILE))
+            file.close()
+            file = Out(f"{path}.words")
+            file.write(squeezed(b" ".join(words[order])))
+            file.close()
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in ((part << 20) + number, path, len(order), len(ids))], names=["block", "path", "n_words", "n_tokens"])
 
-        tokens = 0
         for b in slices(batches):
-            if numbers is None:
-                numbers, out, writer, path, counts = begin()
-            ids = []
-            for text in encoded(b.column(2)):
+            for doc_id, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoded(b.column(2)), strict=True):
+                if not texts:
+                    numbers = defaultdict()
+                    numbers.default_factory = numbers.__len__
+                    numbers[END]
                 own = list(map(numbers.__getitem__, text.translate(LOWER).split()))
                 own.append(0)
-                ids.append(np.array(own, dtype=np.int32))
-            held = b.column(1)
-            writer.write_batch(pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), held, pa.array(ids, pa.list_(pa.int32()))], schema=FILE))
-            taught = [x for x, h in zip(ids, held.to_pylist(), strict=True) if not h]
-            if len(counts) < len(numbers):
-                counts = np.concatenate([counts, np.zeros(max(len(counts), len(numbers)), dtype=np.int64)])
-            if taught:
-                seen = np.bincount(np.concatenate(taught))
-                counts[: len(seen)] += seen
-            tokens += sum(map(len, ids))
-            if tokens >= BLOCK_TOKENS:
-                yield end()
-                number, tokens, numbers = number + 1, 0, None
-        if numbers is not None:
+                texts.append((doc_id, held, np.array(own, dtype=np.int32)))
+                tokens += len(own)
+                if tokens >= BLOCK_TOKENS:
+                    yield end()
+                    number, tokens, texts = number + 1, 0, []
+        if texts:
             yield end()
 
     return stored(docs.select("doc_id", "held_out", "text").mapInArrow(run, BLOCKS), "lm-blocks")
 
 
-def open_block(path: str) -> pa.Table:
-    fs, inner = pafs.FileSystem.from_uri(path)
-    with fs.open_input_stream(inner) as f:
-        return pa.ipc.open_stream(f).read_all()
+class Block:
+    """A block's files, and what follows from them and from the totals that came back. Words are kept for an order of 1 alone."""
+
+    def __init__(self, path: str, order: int):
+        fs, inner = pafs.FileSystem.from_uri(path)
+        with fs.open_input_stream(inner) as f:
+            table = pa.ipc.open_stream(f).read_all().combine_chunks()
+        with fs.open_input_stream(f"{inner}.words") as f:
+            words = unsqueezed(f.read()).split(b" ")
+        self.doc_id, self.held = table.column(0), table.column(1).to_numpy()
+        lists = table.column(2).chunk(0)
+        self.ids, self.sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        last = np.zeros(len(self.ids), dtype=bool)
+        last[self.starts + self.sizes - 1] = True
+        self.taught = ~np.repeat(self.held, self.sizes)
+        self.keys = word_keys(words)
+        self.words = words if order == 1 else None
+        self.grams = grams(self.ids, last, self.keys, order)
+
+    def resolved(self, answers: list[pa.Scalar]) -> tuple[list[np.ndarray], np.ndarray | None]:
+        """The counts of words, and of n-grams order by order as far as answers go; and which n-grams of the next order must be asked for."""
+        count, shared = unpacked_totals(answers[0])
+        out = [count]
+        for n, g in enumerate(self.grams, start=1):
+            ask = shared[g.begin] & shared[g.rest]
+            if n == len(answers):
+                return out, ask
+            count, shared = g.counts(self.taught), np.zeros(len(g.keys), dtype=bool)
+            count[ask], shared[ask] = unpacked_totals(answers[n])
+            out.append(count)
+        return out, None
+
+
+# -- adding up over blocks ------------------------------------------------------------
+def _word_lists(blocks: DataFrame, shards: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            block = Block(b.column(1)[0].as_py(), 1)
+            yield packed_lists(b.column(0)[0].as_py(), block.keys, np.bincount(block.ids[block.taught], minlength=len(block.keys)), shards, block.words)
 
+    return blocks.select("block", "path").mapInArrow(run, LISTS)
 
-def structs(column: pa.Array, row: int, dtypes: tuple) -> list[np.ndarray]:
-    """The fields of a row's list of structs, as numpy arrays."""
-    values = column[row].values
-    if values is None:
-        return [np.zeros(0, dtype=t) for t in dtypes]
-    return [values.field(i).to_numpy(zero_copy_only=False).astype(t) for i, t in enumerate(dtypes)]
+
+def _gram_lists(work: DataFrame, shards: int) -> DataFrame:
+    """Of the order that follows those that work (block, path, answers...) has totals of."""
+    answered = len(work.columns) - 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            block = Block(b.column(1)[0].as_py(), answered + 1)
+            g, (_, ask) = block.grams[-1], block.resolved([c[0] for c in b.columns[2:]])
+            yield packed_lists(b.column(0)[0].as_py(), g.keys[ask], g.counts(block.taught)[ask], shards)
+
+    return work.mapInArrow(run, LISTS)
 
 
 # -- the model ------------------------------------------------------------------------
 class Automaton:
-    """States: 0 is the root, which has an arc for every word; the others have some arcs and fail to the root."""
-
-    def __init__(self, root: list[float], after: list[int]):
-        self.root, self.after = root, after  # by word: the root arc's weight, and the state that any arc with the word leads to
-        self.arcs: list[dict[int, float]] = [{}]
-        self.fail = [0.0]
-
-    def add(self, fail: float) -> int:
-        self.arcs.append({})
-        self.fail.append(fail)
-        return len(self.arcs) - 1
-
-    def score(self, ids: list[int]) -> float:
-        root, after, arcs, fail = self.root, self.after, self.arcs, self.fail
-        total, state = 0.0, 0
-        for w in ids:
-            if state:
-                weight = arcs[state].get(w)
-                total += fail[state] + root[w] if weight is None else weight
-            else:
-                total += root[w]
-            state = after[w]
-        return total
+    """The part of the model that a block's texts can reach.
 
+    A state is a seen history, and 0 words are the root. Tokens have their n-grams' numbers, so the arc from a state of k
+    words with the next token is the n-gram of k + 1 words that ends there, and a failure leads to the k - 1 words before it.
+    """
 
-def _pairs(blocks: DataFrame, least: int) -> DataFrame:
-    """The distinct neighbours in each block of words seen least times, with their number in training texts.
+    def __init__(self, block: Block, root: np.ndarray, counts: list[np.ndarray], strength: tuple):
+        """root: log10 weights of its arcs by word; counts: of words and of each order's n-grams."""
+        n = len(block.ids)
+        self.top = len(block.grams)
+        #: By token: the root arc's weight and whether it leads to a state; then for histories of 1, 2, ... words the arc's weight (NaN: no arc) and the failure's.
+        self.weights = [root[block.ids], (counts[0] > 0)[block.ids]]
+        p = 10 ** root
+        for k, g in enumerate(block.grams, start=1):
+            before, c, m = counts[k - 1][g.begin], counts[k], strength[k]
+            p = np.where(before > 0, (c + m * p[g.rest]) / (before + m), p[g.rest])
+            arc, fail = np.full(n, np.nan), np.zeros(n)
+            arc[g.places + k] = np.where(c > 0, np.log10(p), np.nan)[g.of]
+            fail[g.places + k] = np.log10(m / (before + m))[g.of]
+            self.weights += [arc, fail]
+
+    def score(self, start: int, end: int) -> float:
+        """One traversal of the tokens from start to end."""
+        total, state, top = 0.0, 0, self.top
+        for row in zip(*(w[start:end].tolist() for w in self.weights), strict=True):
+            while state:
+                arc = row[2 * state]
+                if arc == arc:
+                    break
+                total += row[2 * state + 1]
+                state -= 1
+            total += row[2 * state]
+            if state < top and (state or row[1]):
+                state += 1
+        return total
 
-    at: the pair's numbers in the block, the first one times 2^32.
-    """
-    schema = "u bigint, v bigint, cv bigint, n bigint, block bigint, at bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
-            local, c, word = structs(b.column(2), 0, (np.int64, np.int64, np.int64))
-            count, name = np.zeros(len(c), dtype=np.int64), np.zeros(len(c), dtype=np.int64)
-            count[local], name[local] = c, word
-            often = count >= least
-            texts = open_block(b.column(1)[0].as_py())
-            keys, taught = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-            for part in texts.to_batches():
-                ids = part.column(2).flatten().to_numpy()
-                sizes = np.diff(part.column(2).offsets.to_numpy())
-                held = np.repeat(part.column(1).to_numpy(zero_copy_only=False), sizes)
-                last = np.zeros(len(ids), dtype=bool)
-                last[np.cumsum(sizes) - 1] = True  # nothing follows a text's end
-                at = np.flatnonzero(often[ids[:-1]] & often[ids[1:]] & ~last[:-1])
-                keys.append(ids[at].astype(np.int64) << 32 | ids[at + 1])
-                taught.append(~held[at])
-            keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate(taught), minlength=len(keys)).astype(np.int64)
-            lu, lv = keys >> 32, keys & 0xFFFFFFFF
-            arrays = [name[lu], name[lv], count[lv], n, np.full(len(keys), b.column(0)[0].as_py()), keys]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["u", "v", "cv", "n", "block", "at"])
-
-    return blocks.select("block", "path", "vocabulary").mapInArrow(run, schema)
-
-
-def _score(blocks: DataFrame, total: int, distinct: int, discount: float) -> DataFrame:
+def _score(work: DataFrame, total: int, distinct: int, order: int, strength: tuple) -> DataFrame:
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     below = log10(total + distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            local, c, _ = structs(b.column(1), 0, (np.int64, np.int64, np.int64))
-            count = np.zeros(len(c), dtype=np.int64)
-            count[local] = c
-            root = np.log10(count + 1) - below
-            at, weight = structs(b.column(2), 0, (np.int64, np.float64))  # a bigram's count, or a state's failure weight at -1 - word
-            after = np.zeros(len(count), dtype=np.int64)
-            model = Automaton(root.tolist(), [])
-            fails = at < 0
-            for w, f in zip((-1 - at[fails]).tolist(), weight[fails].tolist(), strict=True):
-                after[w] = model.add(f)
-            model.after = after.tolist()
-            at, n = at[~fails], weight[~fails]
-            lu = at >> 32
-            for s, w, p in zip(after[lu].tolist(), (at & 0xFFFFFFFF).tolist(), np.log10((n - discount) / count[lu]).tolist(), strict=True):
-                model.arcs[s][w] = p
-            for part in open_block(b.column(0)[0].as_py()).to_batches():
-                ids = part.column(2)
-                flat, starts = ids.flatten().to_numpy(), ids.offsets.to_numpy()[:-1]
-                sizes = np.diff(ids.offsets.to_numpy())
-                add = lambda x: np.add.reduceat(x, starts - ids.offsets[0].as_py()) if len(starts) else x[:0]
-                score = [model.score(flat[s:s + n].tolist()) for s, n in zip((starts - ids.offsets[0].as_py()).tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes.astype(np.int64)), pa.array(add((count[flat] > 0).astype(np.int64))), pa.array(add(root[flat])), pa.array(score, pa.float64())],
-                                                 names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    return blocks.select("path", "vocabulary", "arcs").mapInArrow(run, schema)
-
-
-def score_texts(docs: DataFrame, frequent: float = FREQUENT, least_bigram: int = LEAST_BIGRAM, discount: float = DISCOUNT) -> DataFrame:
+            block = Block(b.column(1)[0].as_py(), order)
+            counts, _ = block.resolved([c[0] for c in b.columns[2:]])
+            root = np.log10(counts[0] + 1) - below
+            model = Automaton(block, root, counts, strength)
+            score = [model.score(s, s + n) for s, n in zip(block.starts.tolist(), block.sizes.tolist(), strict=True)]
+            add = lambda x: np.add.reduceat(x, block.starts)
+            yield pa.RecordBatch.from_arrays(
+                [block.doc_id.combine_chunks(), pa.array(block.held), pa.array(block.sizes.astype(np.int64)), pa.array(add((counts[0][block.ids] > 0).astype(np.int64))), pa.array(add(root[block.ids])), pa.array(score, pa.float64())],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return work.mapInArrow(run, schema)
+
+
+def score_texts(docs: DataFrame, order: int = ORDER, strength: tuple = STRENGTH) -> DataFrame:
     """Scores of all rows of docs (doc_id, held_out, text) under a model of those not held out.
 
     (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)
     """
     spark = docs.sparkSession
-    blocks = make_blocks(docs, scratch(spark, "lm-texts"))
-
-    # A word or pair is listed with the blocks that hold it, in lists of PLACES blocks or so.
-    lists = -(-blocks.count() // PLACES)
-    part = F.pmod(F.xxhash64("block"), F.lit(max(lists, 1))).cast("int").alias("part")
-
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "x")).select(F.col("x.words").alias("text"), part, F.col("x.counts").alias("c"), F.struct("block", "local").alias("at"))
-    listed = words.groupBy("text", "part").agg(F.sum("c").alias("c"), F.collect_list("at").alias("at"))
-    if lists <= 1:
-        vocabulary = listed.select(F.monotonically_increasing_id().alias("word"), "c", "at")
-    else:
-        listed = stored(listed, "lm-words")
-        whole = stored(listed.groupBy("text").agg(F.sum("c").alias("c")).withColumn("word", F.monotonically_increasing_id()), "lm-word-counts")
-        vocabulary = listed.select("text", "at").join(whole, "text").select("word", "c", "at")
-    vocabulary = stored(vocabulary, "lm-vocabulary")
-    counts = vocabulary if lists <= 1 else whole
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    least = max(1, int(np.ceil(frequent * total)))
-
-    n = shuffle_partitions(spark)
-    by_block = vocabulary.select("word", "c", F.inline("at")).groupBy("block").agg(F.collect_list(F.struct("local", "c", "word")).alias("vocabulary"))
-    paths = blocks.select("block", "path")
-    known = stored(paths.join(by_block, "block"), "lm-block-vocabulary")
-
-    # Dealt before they are added up: few rows of a block have a key in common, and lists take more room than rows.
-    pairs = _pairs(known.repartition(n, "block"), least).repartition(n, "u", "v").groupBy("u", "v", part).agg(
-        F.sum("n").alias("n"), F.first("cv").alias("cv"), F.collect_list(F.struct("block", "at")).alias("at"))
-    if lists > 1:
-        pairs = stored(pairs, "lm-pairs")
-        pairs = pairs.drop("n").join(pairs.groupBy("u", "v").agg(F.sum("n").alias("n")), ["u", "v"])
-    arcs = stored(pairs.filter(F.col("n") >= least_bigram).select("u", "v", "n", "cv", F.col("at").alias("places")), "lm-arcs")
-    # A history's arcs and failures add up to one.
-    once = arcs.select("u", "v", "n", "cv") if lists <= 1 else arcs.select("u", "v", "n", "cv").distinct()
-    states = once.groupBy("u").agg(F.sum(F.col("n") - discount).alias("seen"), (F.sum(F.col("cv") + 1) / (total + distinct + 1)).alias("p1"))
-    fails = states.join(vocabulary.filter(F.col("c") >= least), F.col("u") == F.col("word")).select(F.log10((1 - F.col("seen") / F.col("c")) / (1 - F.col("p1"))).alias("weight"), F.inline("at"))
-    fails = fails.select("block", (-1 - F.col("local")).cast("bigint").alias("at"), "weight")
-    moves = arcs.select(F.col("n").cast("double").alias("weight"), F.inline("places")).select("block", "at", "weight")
-    of_block = moves.unionByName(fails).groupBy("block").agg(F.collect_list(F.struct("at", "weight")).alias("arcs"))
-    scored = _score(known.join(of_block, "block", "left"), total, distinct, discount)
+    folder, tasks = scratch(spark, "lm-texts"), shuffle_partitions(spark)
+    blocks = make_blocks(docs, folder)
+    n_blocks, n_words, n_tokens = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    # A block is work for a task, however few bytes its row has.
+    dealt = lambda t: t.repartition(max(tasks, -(-n_blocks // 8)), F.xxhash64("block"))
+
+    shards = shards_for(n_words, tasks)
+    known = [totals(_word_lists(dealt(blocks), shards), shards, numbered_words)]
+    total, distinct = known[0].agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    work, shards = blocks.select("block", "path"), shards_for(n_tokens, tasks)
+    for n in range(1, order + 1):
+        work = work.join(of_blocks(known[-1], f"totals_{n}"), "block", "left")
+        if n < order:
+            known.append(totals(_gram_lists(dealt(work), shards), shards, numbered_keys))
+    scored = stored(_score(dealt(work), total, distinct, order, strength), "lm-scores")
+    discard(blocks, *known)
+    remove(spark, folder)
     return scored.withColumn("train_tokens", F.lit(total).cast("bigint"))
