@@ -1,15 +1,17 @@
 """SimHash near-dedup by segment popcounts (operator 2).
 
-A 64-bit fingerprint is cut into 16 segments of 4 bits and mapped to its vector
+A 64-bit fingerprint is cut into 32 segments of 2 bits and mapped to its vector
 of segment popcounts. The Manhattan distance of two vectors never exceeds the
 Hamming distance of the fingerprints, so fingerprints within 2 bits have vectors
-within 2. The grid has a cell for each vector: a fingerprint enters its own cell
-and those one step away, and vectors within 2 of each other meet in some cell.
-Cells with one fingerprint end there. In the others fingerprints are verified
-exactly without making pairs: each goes, for that cell, to the bit strings at
-most one flip away that lie in the cell, and two fingerprints are within 2 bits
-if and only if they meet at one such string. A string is met by at most 65
-fingerprints, which link to the least of them. Components follow by star steps.
+within 2. The range-join runs on a grid whose 16 coordinates are sums of two
+segments: a fingerprint enters its own cell and those one step away, and
+fingerprints whose cells are within 2 steps meet in some cell, not by the same
+step unless it is their own. In a cell the Manhattan distances of its vectors
+are computed, and pairs within 2 are verified on the Hamming distance. Cells of
+over BLOCK fingerprints are cut into blocks, which meet pairwise in tasks of
+their own. What comes out of a block is not pairs, but each fingerprint with the
+least one that it is linked to there, directly or over others. Components follow
+by star steps.
 
 near_duplicates() serves a stricter notion: word shingles with a Jaccard
 similarity of at least 0.8. So similar texts differ in up to 14 of 64 bits,
@@ -17,16 +19,18 @@ where neither grid nor any other lower bound leaves few candidates. It therefore
 also takes SimHashes of small min-wise samples of the shingles, equal with high
 probability for similar texts, and verifies every candidate on whole shingle
 sets. Nodes with an equal sample form a group. Pairs in it are not all made: a
-node meets the least one and its neighbours in several orders. This is only a
-first pass that joins most of a family cheaply. What it leaves apart is found by
-a prefix-filter join, which misses nothing: with all shingles in one order,
-rarest first, two sets of a similarity of at least s have a shingle in common
-among the first n - ceil(s n) + 1 of each, n being the set's size. All nodes of
-different components that share such a shingle, and whose sizes and places of it
-allow the similarity, are verified on whole sets.
+node meets the first one of its task and its neighbours in several orders. This
+is only a first pass that joins most of a family cheaply. What it leaves apart
+is found by a prefix-filter join, which misses nothing: with all shingles in one
+order, rarest first, two sets of a similarity of at least s have a shingle in
+common among the first n - ceil(s n) + 1 of each, n being the set's size. Which
+of these shingles a node shares with any other is found out by packed lists
+(exchange.py). All nodes of different components that share one, and whose sizes
+and places of it allow the similarity, are verified on whole sets.
 
 Defined results: null or empty text, or one without words, has the fingerprint
-zero and is linked like any other; a null id is never chosen over another;
+zero and is linked like any other; texts of any length are taken whole; a null
+id is never chosen over another, and of equal ids and texts none is told apart;
 repeated rows get the same component; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -41,21 +45,28 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.components import components
-from orrery.llm.shared import LOWER, discard, encoded, slices, stored
+from orrery.llm.exchange import LISTS, numbered_keys, of_blocks, packed_lists, shards_for, totals, unpacked_totals
+from orrery.llm.shared import LOWER, discard, encoded, of_keys, shuffle_partitions, slices, stored
 
 SEED = 42
-SEGMENTS, SEGMENT_BITS = 16, 4
+#: SEGMENT_SUM segments make one coordinate of the grid.
+SEGMENTS, SEGMENT_BITS, SEGMENT_SUM = 32, 2, 2
+#: Fingerprints of at most so many different bits are linked.
+NEAR = 2
 SAMPLES, SAMPLE = 10, 3
 #: Neighbours before a node in each order.
 BACK = 2
 #: Counters for the shingles' frequencies, and the parts in which they are added up.
 COUNTERS, COUNTER_PARTS = 1 << 20, 16
-#: Nodes of one block where those that share a shingle are compared block by block.
+#: Rows of one block where those that meet in a cell or by a shingle are compared block by block.
 BLOCK = 512
+#: Shingles of one packed list of nodes.
+PACKED = 1 << 20
 #: The byte lanes of a 64-bit word that count the bits of each byte value.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -97,50 +108,113 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
 
 # -- the grid ---------------------------------------------------------------------
-def _popcount(i: int) -> Column:
-    return F.bit_count(F.shiftright("fp", SEGMENT_BITS * i).bitwiseAND(F.lit(2**SEGMENT_BITS - 1))).cast("bigint")
+POPCOUNTS = np.bitwise_count(np.arange(2**SEGMENT_BITS, dtype=np.uint8)).astype(np.int8)
+
+
+def vectors(fps: np.ndarray) -> np.ndarray:
+    """The segments' popcounts, lowest segment first: (n, SEGMENTS)."""
+    cut = fps.astype(np.int64).view(np.uint64)[:, None] >> (np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(SEGMENT_BITS))
+    return POPCOUNTS[(cut & np.uint64(2**SEGMENT_BITS - 1)).astype(np.int64)]
 
 
 def grid(fps: DataFrame) -> DataFrame:
-    """(fp, cell, segment, step): each fingerprint in its own cell (segment -1) and those a step away."""
-    base = SEGMENT_BITS + 1
-    own = sum((_popcount(i) * base**i for i in range(1, SEGMENTS)), _popcount(0))
-    near = [F.struct(F.col("own").alias("cell"), F.lit(-1).alias("segment"), F.lit(0).alias("step"))]
-    for i in range(SEGMENTS):
-        near += [F.when(_popcount(i) < SEGMENT_BITS, F.struct((F.col("own") + base**i).alias("cell"), F.lit(i).alias("segment"), F.lit(1).alias("step")))]
-        near += [F.when(_popcount(i) > 0, F.struct((F.col("own") - base**i).alias("cell"), F.lit(i).alias("segment"), F.lit(-1).alias("step")))]
-    return fps.withColumn("own", own).select("fp", F.explode(F.array(*near)).alias("at")).filter("at IS NOT NULL").select("fp", "at.*")
+    """(cell, fp, step): each fingerprint in its own cell (step -1) and those one step up (2 i) or down (2 i + 1) in a coordinate i."""
+    most = SEGMENT_BITS * SEGMENT_SUM
+    weights = (most + 1) ** np.arange(SEGMENTS // SEGMENT_SUM, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(0).to_numpy()
+            v = vectors(fp).reshape(len(fp), -1, SEGMENT_SUM).sum(axis=2, dtype=np.int64)
+            own = v @ weights
+            up, down = np.nonzero(v < most), np.nonzero(v > 0)
+            rows = np.concatenate([np.arange(len(fp)), up[0], down[0]])
+            cells = np.concatenate([own, own[up[0]] + weights[up[1]], own[down[0]] - weights[down[1]]])
+            steps = np.concatenate([np.full(len(fp), -1), 2 * up[1], 2 * down[1] + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(fp[rows]), pa.array(steps.astype(np.int32))], names=["cell", "fp", "step"])
+
+    return fps.select("fp").mapInArrow(run, "cell bigint, fp bigint, step int")
+
+
+def meeting_pairs(fp: np.ndarray, step: np.ndarray, block: np.ndarray, crossed: bool, near: int = NEAR) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of one cell, the pairs (i, j), i > j, whose vectors are within `near`, some rows at a time. crossed: only those of different blocks."""
+    v = vectors(fp)
+    for lo in range(1, len(fp), 256):
+        i = np.arange(lo, min(lo + 256, len(fp)))
+        j = np.arange(i[-1])
+        ok = (j[None] < i[:, None]) & ((step[i][:, None] != step[j][None]) | (step[i][:, None] == -1))
+        if crossed:
+            ok &= block[i][:, None] != block[j][None]
+        x, y = np.nonzero(ok)
+        within = np.abs(v[i[x]] - v[j[y]]).sum(axis=1) <= near
+        yield i[x[within]], j[y[within]]
+
+
+def least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of 0 to n - 1 the least number that it is linked to by pairs (a, b), directly or over others."""
+    least = np.arange(n)
+    while True:
+        new = least.copy()
+        np.minimum.at(new, a, least[b])
+        np.minimum.at(new, b, least[a])
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
+def blocks_of(met: DataFrame, key: str, item: str, fields: list[str], block: int) -> DataFrame:
+    """(key, lo, hi, all): rows that share a key, of which there are n, in blocks of about so many; each block meets each other and itself.
+
+    all: array of (fields, own), own being a row's block. A key of one block is one row.
+    """
+    met = met.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return met.groupBy(key, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(F.struct(*fields, "own")).alias("all"))
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(u, v): every fingerprint joined with the least one that it meets within 2 bits, for each place where it meets any.
+    """(u, v): fingerprints with the least one that they are linked to in a block of a cell, u > v.
 
     fps: distinct (fp). The links connect exactly what all pairs within 2 bits connect.
     """
-    cells = grid(fps)
-    shared = cells.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("cell")
-    met = cells.join(shared, "cell", "left_semi")
-    # The strings at most one flip away that lie in the cell: for a step up in a segment, flips of its zero bits, else of its ones.
-    bit = lambda j: F.col("segment") * SEGMENT_BITS + j
-    mask = lambda j: F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(j))
-    flips = [F.when((F.col("fp").bitwiseAND(mask(j)) == 0) == (F.col("step") == 1), F.col("fp").bitwiseXOR(mask(j))) for j in range(SEGMENT_BITS)]
-    strings = F.when(F.col("segment") < 0, F.array("fp")).otherwise(F.array(*flips))
-    at = met.select("fp", F.explode(strings).alias("z")).filter("z IS NOT NULL")
-    meet = at.groupBy("z").agg(F.collect_set("fp").alias("all")).filter("size(all) > 1")  # at most 65 each
-    out = meet.select(F.explode("all").alias("u"), F.array_min("all").alias("v")).filter("u <> v")
-    return out.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2).distinct()
+    cells = stored(grid(fps), "cells")
+    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("step").alias("least"), F.max("step").alias("most"))
+    # Those that all came by one step have one cell of their own, where they meet.
+    shared = stored(shared.filter("n > 1 AND (least <> most OR least = -1)").select("cell", "n"), "shared-cells")
+    met = blocks_of(of_keys(cells, shared, "cell", cells.count()), "cell", "fp", ["fp", "step"], BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for row, crossed in enumerate((b.column(1).to_numpy() != b.column(2).to_numpy()).tolist()):
+                fp, step, own = (x.to_numpy() for x in b.column(3)[row].values.flatten())
+                order = np.argsort(fp, kind="stable")
+                fp, step, own = fp[order], step[order], own[order]
+                a, c = (np.concatenate(x) for x in zip(*meeting_pairs(fp, step, own, crossed), strict=True)) if len(fp) > 1 else out[0]
+                close = np.bitwise_count((fp[a] ^ fp[c]).view(np.uint64)) <= NEAR
+                least = least_linked(len(fp), a[close], c[close])
+                linked = fp != fp[least]
+                out.append((fp[linked], fp[least][linked]))
+            u, v = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    out = stored(met.mapInArrow(run, "u bigint, v bigint").distinct(), "links")
+    discard(cells, shared)
+    return out
 
 
 def near_components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): the least doc_id reachable over fingerprints within 2 bits."""
     rows = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    groups = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-groups")
-    roots = components(links(groups.select("fp")))
-    rooted = groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    groups = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-groups")
+    linked = links(groups.select("fp"))
+    roots = components(linked)
+    rooted = groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = stored(rooted.join(whole, "root").select("fp", "component_id"), "fingerprint-components")
-    discard(groups)
-    return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = stored(rooted.join(whole, "root").select("fp", "n", "component_id"), "fingerprint-components")
+    discard(groups, linked)
+    return of_keys(rows, of_fp, "fp", rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # -- similarity of shingle sets ---------------------------------------------------
@@ -216,30 +290,38 @@ def _signatures(docs: DataFrame, shingle: int, similarity: float, id_col: str, t
 def _groups(nodes: DataFrame) -> DataFrame:
     """A written table of (node, k, key): the nodes that share a sampled fingerprint, or the whole one (k -1)."""
     keys = nodes.select("node", F.posexplode("samples").alias("k", "key")).unionByName(nodes.select("node", F.lit(-1).alias("k"), F.col("fp").alias("key")))
-    shared = keys.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", "key")
-    return stored(keys.join(shared, ["k", "key"], "left_semi"), "groups")
+    keys = keys.withColumn("k_key", F.struct("k", "key"))
+    shared = stored(keys.groupBy("k_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-samples")
+    out = stored(of_keys(keys, shared, "k_key", nodes.count()).select("node", "k", "key"), "groups")
+    discard(shared)
+    return out
 
 
 def _neighbours(met: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b) and the written table that it reads: each node with the BACK before it in its group, in each of its orders, where their roots differ.
+    """(a, b) and the written table that it reads: each node with the BACK before it in its group, in each of its orders, where their
 
-    met: (node, root, k, key, orders array<bigint>). Rows are sorted by range, so a large group is cut over tasks; the
-    first and last rows of each task then meet the rows across the cuts, 2 * BACK for a task.
+    roots differ, and with the first of its group in the task. met: (node, root, k, key, orders array<bigint>). Rows are
+    sorted by range, so a large group is cut over tasks; the last rows of each task then meet the first of the next.
     """
     order = ["k", "key", "j", "o", "node"]
     laid = met.select("k", "key", F.posexplode("orders").alias("j", "o"), "node", "root").repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = "k int, key bigint, j int, o bigint, node bigint, root bigint, b bigint, cut int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(rows: pa.Table) -> pa.RecordBatch:
-            return rows.select([*order, "root"]).append_column("b", pa.nulls(len(rows), pa.int64())).combine_chunks().to_batches()[0]
+        part = TaskContext.get().partitionId()
+
+        def edges(rows: pa.Table, b: np.ndarray | None = None, cut: int | None = None) -> pa.RecordBatch:
+            n = len(rows)
+            out = rows.select([*order, "root"]).append_column("b", pa.nulls(n, pa.int64()) if b is None else pa.array(b))
+            return out.append_column("cut", pa.nulls(n, pa.int32()) if cut is None else pa.array([cut] * n, pa.int32())).combine_chunks().to_batches()[0]
 
-        last = None
+        last, pivot = None, None  # the rows before, and the first of their first one's group
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = pa.Table.from_batches([batch])
             if last is None:
-                yield edges(new.slice(0, BACK))
+                yield edges(new.slice(0, BACK), cut=part - 1)
             rows, skip = (new, 0) if last is None else (pa.concat_tables([last, new]), len(last))
             group = np.stack([rows.column(c).to_numpy() for c in ("k", "key", "j")])
             node, root = rows.column("node").to_numpy(), rows.column("root").to_numpy()
@@ -247,16 +329,30 @@ def _neighbours(met: DataFrame) -> tuple[DataFrame, DataFrame]:
                 at = np.arange(max(skip, i), len(rows))
                 at = at[(group[:, at] == group[:, at - i]).all(axis=0) & (root[at] != root[at - i])]
                 if len(at):
-                    yield edges(rows.take(at)).set_column(6, "b", pa.array(node[at - i]))
+                    yield edges(rows.take(at), node[at - i])
+            # The first of each row's group: the one kept from before, or where the group begins here.
+            begins = np.ones(len(rows), dtype=bool)
+            begins[1:] = (group[:, 1:] != group[:, :-1]).any(axis=0)
+            first = np.maximum.accumulate(np.where(begins, np.arange(len(rows)), 0))
+            head_node, head_root = node[first], root[first]
+            if pivot is not None:  # of the group of the first row kept
+                head_node[first == 0], head_root[first == 0] = pivot
+            at = np.arange(skip, len(rows))
+            at = at[(group[2, at] == 0) & (head_node[at] != node[at]) & (head_root[at] != root[at])]
+            if len(at):
+                yield edges(rows.take(at), head_node[at])
             last = rows.slice(max(0, len(rows) - BACK))
+            pivot = head_node[len(rows) - len(last)], head_root[len(rows) - len(last)]
         if last is not None:
-            yield edges(last)
+            yield edges(last, cut=part)
 
-    out = stored(laid.mapInArrow(run, "k int, key bigint, j int, o bigint, node bigint, root bigint, b bigint"), "neighbours")
-    cut, w = out.filter("b IS NULL").drop("b").distinct(), Window.partitionBy("k", "key", "j").orderBy("o", "node")
-    across = [F.when(F.lag("root", i).over(w) != F.col("root"), F.lag("node", i).over(w)) for i in range(1, BACK + 1)]
-    met_again = cut.select("node", F.array(*across).alias("b")).select("node", F.explode("b").alias("b"))
-    return out.select("node", "b").union(met_again).filter("b IS NOT NULL").toDF("a", "b"), out
+    out = stored(laid.mapInArrow(run, schema), "neighbours")
+    # At most 2 * BACK rows for each place between two tasks.
+    w = Window.partitionBy("cut").orderBy(*order)
+    same = lambda i: F.lag("k", i).over(w).eqNullSafe(F.col("k")) & F.lag("key", i).over(w).eqNullSafe(F.col("key")) & F.lag("j", i).over(w).eqNullSafe(F.col("j"))
+    across = [F.when(same(i) & (F.lag("root", i).over(w) != F.col("root")), F.lag("node", i).over(w)) for i in range(1, BACK + 1)]
+    met_again = out.filter("cut IS NOT NULL").select("node", F.array(*across).alias("b")).select("node", F.explode("b").alias("b"))
+    return out.filter("b IS NOT NULL").select("node", "b").union(met_again.filter("b IS NOT NULL")).toDF("a", "b"), out
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -264,7 +360,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """A written table of (a, b), a > b: each node of a group with the least one and with its neighbours in the orders of the
+    """A written table of (a, b), a > b: each node of a group with one for all and with its neighbours in the orders of the
 
     whole fingerprint and of two other samples, where similar nodes lie together even among strangers; and the
     least nodes of fingerprints within 2 bits.
@@ -272,26 +368,79 @@ def _candidates(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     met = groups.join(nodes.select("node", "fp", "samples"), "node")
     orders = F.array("fp", *[F.get("samples", (F.col("k") + i) % SAMPLES) for i in (1, 2)])
     pairs, laid = _neighbours(met.select("node", F.col("node").alias("root"), "k", "key", orders.alias("orders")))
-    least = groups.groupBy("k", "key").agg(F.min("node").alias("b"))
-    pairs = pairs.union(groups.join(least, ["k", "key"]).select(F.col("node").alias("a"), "b"))
     first = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     grid_links = links(first.select("fp"))
     near = grid_links.join(first.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v").select("a", "b")
     pairs = stored(_ordered(pairs.union(near)), "pairs")
-    discard(laid)
+    discard(laid, grid_links)
     return pairs
 
 
-def _apart(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+PACKS = "block bigint, nodes array<bigint>, sizes array<int>, lengths array<int>, keys array<bigint>"
+
+
+def _shared_shingles(nodes: DataFrame) -> DataFrame:
+    """A written table of (key, node, size, at, n): the shingles of nodes' prefixes that n > 1 nodes have there.
+
+    Nodes go in packs of about PACKED shingles, whose distinct ones are counted over all packs by packed lists.
+    """
+    spark = nodes.sparkSession
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, n = TaskContext.get().partitionId(), 0, [], 0
+
+        def end() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            keys = rows.column(2).combine_chunks()
+            lists = [rows.column(0).to_numpy(), rows.column(1).to_numpy(), np.diff(keys.offsets.to_numpy()), keys.flatten().to_numpy()]
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([(part << 20) + number]), *(pa.array([x], pa.list_(t)) for x, t in zip(lists, types, strict=True))], names=["block", "nodes", "sizes", "lengths", "keys"])
+
+        for b in slices(batches):
+            held.append(b)
+            n += len(b.column(2).flatten())
+            if n >= PACKED:
+                yield end()
+                number, held, n = number + 1, [], 0
+        if n:
+            yield end()
+
+    packs = stored(nodes.select("node", "size", "prefix").mapInArrow(pack, PACKS), "packs")
+    tasks, (n_packs, n_keys) = shuffle_partitions(spark), packs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
+    shards = shards_for(n_keys, tasks)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            # A pack may have a shingle in several nodes; in one node it is once.
+            keys, counts = np.unique(b.column(1).flatten().to_numpy().view(np.uint64), return_counts=True)
+            yield packed_lists(b.column(0)[0].as_py(), keys, counts, shards)
+
+    known = totals(packs.select("block", "keys").mapInArrow(lists, LISTS), shards, numbered_keys)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            node, size, length, key = (b.column(i).flatten().to_numpy() for i in range(4))
+            total = unpacked_totals(b.column(4)[0])[0][np.unique(key.view(np.uint64), return_inverse=True)[1]]
+            at = np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)
+            keep = total > 1
+            row = np.repeat(np.arange(len(node)), length)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[keep], node[row], size[row], at[keep].astype(np.int32), total[keep])], names=["key", "node", "size", "at", "n"])
+
+    work = packs.join(of_blocks(known, "totals"), "block").repartition(max(tasks, n_packs), F.xxhash64("block")).select("nodes", "sizes", "lengths", "keys", "totals")
+    out = stored(work.mapInArrow(shared, "key bigint, node bigint, size int, at int, n bigint"), "shared-shingles")
+    discard(packs, known)
+    return out
+
+
+def _apart(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """A written table of (a, b), a > b: all nodes of different components that can be similar, by the prefix filter.
 
     Nodes that share a shingle are cut into blocks of about BLOCK, and each block meets each other and itself.
     """
-    own = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", F.posexplode("prefix").alias("at", "key"))
-    torn = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    met = own.join(torn.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
-    met = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    met = met.groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(F.struct("node", "root", "size", "at", "own")).alias("all"))
+    own = stored(shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "at", "n"), "rooted-shingles")
+    torn = own.groupBy("key").agg(F.first("n").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key", "n")
+    torn = stored(torn, "torn-shingles")
+    met = blocks_of(of_keys(own.drop("n"), torn, "key", own.count()), "key", "node", ["node", "root", "size", "at"], BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
@@ -306,7 +455,9 @@ def _apart(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
                     if keep.any():
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), node[i])), pa.array(node[keep])], names=["a", "b"])
 
-    return stored(met.mapInArrow(run, "a bigint, b bigint").distinct(), "apart")
+    out = stored(met.mapInArrow(run, "a bigint, b bigint").distinct(), "apart")
+    discard(own, torn)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,6 +469,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.first("prefix").alias("prefix"), F.first("size").alias("size"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     discard(rows)
+    shared = _shared_shingles(nodes)
+    nodes, whole = stored(nodes.drop("prefix", "size"), "nodes"), nodes
+    discard(whole)
     groups = _groups(nodes)
     pairs = _candidates(nodes, groups)
 
@@ -339,8 +493,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         # Whole shingle sets of the nodes in question, from one row each.
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         asked = asked.join(nodes.select("node", "digest", F.col("doc_id").alias("__id")), "node")
-        texts = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text")).withColumn("digest", F.unhex(F.sha2(F.coalesce("__text", F.lit("")), 256)))
-        texts = texts.join(asked, "digest").filter(F.col("__own").eqNullSafe(F.col("__id"))).select("node", "__text")
+        texts = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text")).withColumn("__digest", F.unhex(F.sha2(F.coalesce("__text", F.lit("")), 256)))
+        texts = texts.join(asked, (F.col("__digest") == F.col("digest")) & F.col("__own").eqNullSafe(F.col("__id"))).select("node", "__text")
         of = stored(texts.mapInArrow(sets, "node bigint, set binary").groupBy("node").agg(F.first("set").alias("set")), "shingle-sets")
         both = pairs.join(of.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
         out = stored(both.mapInArrow(verify, "a bigint, b bigint").select(F.col("a").alias("u"), F.col("b").alias("v")), "similar")
@@ -350,12 +504,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     found = similar(pairs)
     roots = components(found)
     discard(groups, pairs, found)
-    pairs = _apart(nodes, roots, similarity)
+    pairs = _apart(shared, roots, similarity)
     found = similar(pairs)
     if not found.isEmpty():
         # Old roots stand for their nodes, so the steps begin from stars.
         roots = components(found.union(roots.select("node", "root")))
-    discard(pairs, found)
+    discard(pairs, found, shared)
     rooted = nodes.select("node", "digest", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))).alias("first"))
     out = stored(rooted.join(chosen, "root").select("digest", (F.col("node") == F.col("first.node")).alias("stays"), "doc_id"), "near-duplicates")
