@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 
 from orrery.llm.shared import slices
 
-LEAF_CHARS = 1 << 14
+LEAF_CHARS = 256
+LEAF_TOKENS = 256
 WINDOW_CHARS = 64
 ASCII_SPACE = frozenset(" \t\n\r")
 
@@ -103,7 +104,7 @@ class Coder:
         return n
 
     # -- decoding -----------------------------------------------------------
-    def decode(self, ids: list[int], leaf: int = LEAF_CHARS) -> bytes:
+    def decode(self, ids: list[int], leaf: int = LEAF_TOKENS) -> bytes:
         parts = [b"".join(map(self.table.__getitem__, ids[i:i + leaf])) for i in range(0, len(ids), leaf)]
         while len(parts) > 1:
             parts = [b"".join(parts[i:i + 2]) for i in range(0, len(parts), 2)]
