@@ -6,14 +6,19 @@ be undone exactly. Keys at or over the threshold are frequent. Each shard of
 keys keeps a cuckoo filter of its frequent keys, which takes insertions and
 deletions as counts cross the threshold, and beside it the few infrequent keys
 of the table that the filter would wrongly claim; both together answer exactly
-for every key of the table. The filters are sent to all tasks if their measured
-size is within FILTER_BYTES; beyond that, lines are joined with the table.
+for every key of the table. Lines are always asked of the filters. If these are
+within FILTER_BYTES together (measured), they go to all tasks; beyond that the
+documents' keys go to the filter of their shard, a shard with many keys in
+several tasks with a copy of its filter each, and frequent ones come back.
 
 A line's key is the 128-bit BLAKE2b digest of the line without white space at
 both ends, A-Z lower-cased. Defined results: null or empty text is one empty
-line; empty keys are never frequent; repeated rows are documents of their own;
-an empty table gives an empty result; other columns pass through, but for
-n_lines and n_dropped, which are replaced.
+line; empty keys are never frequent; texts and lines of any length are taken
+whole; a key in just as many documents as the threshold is frequent; rows with a
+null id count; repeated rows are documents of their own; an empty table gives an
+empty result; deleting documents that were never inserted is an error when the
+index would hold a key fewer than zero times; other columns pass through, but
+for n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ MIN_DOCUMENTS = 10
 MIN_CHARS = 1
 SHARD_KEYS = 200_000
 FILTER_BYTES = 64 << 20
+#: Keys of documents that one task asks of a shard's filter.
+ASKED_KEYS = 500_000
 SLOTS, MAX_KICKS, LOAD = 4, 500, 0.85
 
 
@@ -116,6 +123,8 @@ def as_pairs(keys: list[bytes]) -> np.ndarray:
 
 def shard_of(keys: list[bytes], shards: int) -> np.ndarray:
     """By the key's first four bytes; shard_column() says the same in SQL."""
+    if not keys:
+        return np.zeros(0, dtype=np.int64)
     return np.frombuffer(b"".join(keys), dtype=">u4").reshape(-1, 4)[:, 0].astype(np.int64) % shards
 
 
@@ -158,7 +167,9 @@ class LineIndex:
 
     def _change(self, delta: DataFrame) -> LineIndex:
         both = self.counts.select("key", F.col("n").alias("old"), F.lit(0).cast("bigint").alias("change")).unionByName(delta.select("key", F.lit(0).cast("bigint").alias("old"), F.col("n").alias("change")))
-        merged = stored(both.groupBy("key").agg(F.sum("old").alias("old"), F.sum("change").alias("change")).withColumn("n", F.col("old") + F.col("change")), "line-counts")
+        summed = both.groupBy("key").agg(F.sum("old").alias("old"), F.sum("change").alias("change"))
+        n = F.col("old") + F.col("change")
+        merged = stored(summed.withColumn("n", F.when(n >= 0, n).otherwise(F.raise_error(F.lit("documents are deleted that were never inserted")))), "line-counts")
         keys = merged.count()
         shards = max(self.shards, -(-keys // SHARD_KEYS))
         least = self.min_documents
@@ -194,9 +205,9 @@ class LineIndex:
         """docs with the text's frequent lines dropped, and n_lines and n_dropped. docs must have been inserted."""
         docs = docs.drop("n_lines", "n_dropped")
         size = self.filters.agg(F.sum(F.length("filter") + F.length("wrong"))).first()[0] or 0
-        return self._by_filters(docs, text_col) if size <= filter_bytes else self._by_join(docs, text_col)
+        return self._by_sent_filters(docs, text_col) if size <= filter_bytes else self._by_shards(docs, text_col)
 
-    def _by_filters(self, docs: DataFrame, text_col: str) -> DataFrame:
+    def _by_sent_filters(self, docs: DataFrame, text_col: str) -> DataFrame:
         rows = self.filters.collect()  # at most FILTER_BYTES
         sent = self.spark.sparkContext.broadcast([(r.shard, bytes(r.filter), bytes(r.wrong)) for r in rows])
         shards = self.shards
@@ -220,10 +231,10 @@ class LineIndex:
 
         return self._cut(docs, text_col, opened, lambda filters, keys, _: gone(filters, keys))
 
-    def _cut(self, docs: DataFrame, text_col: str, prepare, gone, more: list[str] = ()) -> DataFrame:
-        """docs without the lines that gone() marks; more: columns that only gone() needs, at the end."""
-        at, min_chars, n_more = docs.columns.index(text_col), self.min_chars, len(more)
-        own = [f for f in docs.schema.fields if f.name not in more]
+    def _cut(self, docs: DataFrame, text_col: str, prepare, gone, more: int = 0) -> DataFrame:
+        """docs without the lines that gone() marks; more: how many columns at the end only gone() needs."""
+        at, min_chars = docs.columns.index(text_col), self.min_chars
+        own = docs.schema.fields[: len(docs.columns) - more]
         schema = T.StructType([*own, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,31 +243,58 @@ class LineIndex:
                 lines = [x.split(b"\n") for x in encoded(b.column(at))]
                 drop = gone(state, [line_keys(x, min_chars) for x in lines], b)
                 kept = [b"\n".join(x for x, d in zip(own, ds, strict=True) if not d) for own, ds in zip(lines, drop, strict=True)]
-                columns = list(b.columns)[: b.num_columns - n_more]
+                columns = list(b.columns)[: b.num_columns - more]
                 columns[at] = pa.array(kept, pa.binary()).cast(pa.string())
                 n, dropped = pa.array([len(x) for x in lines], pa.int64()), pa.array([int(x.sum()) for x in drop], pa.int64())
                 yield pa.RecordBatch.from_arrays([*columns, n, dropped], names=schema.names)
 
         return docs.mapInArrow(run, schema)
 
-    def _by_join(self, docs: DataFrame, text_col: str) -> DataFrame:
-        """The same for any number of frequent keys: lines meet the table by key, and row and position go back to the text."""
-        numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        min_chars = self.min_chars
+    def _by_shards(self, docs: DataFrame, text_col: str) -> DataFrame:
+        """The same for filters of any size: documents' keys meet their shard's filter, and what is frequent goes back by row."""
+        at = unused("row", docs.columns)
+        numbered = stored(docs.withColumn(at, F.monotonically_increasing_id()), "numbered")
+        min_chars, shards = self.min_chars, self.shards
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
                 keys = [line_keys(x.split(b"\n"), min_chars) for x in encoded(b.column(1))]
                 rows = [(r, k) for r, ks in zip(b.column(0).to_pylist(), keys, strict=True) for k in set(ks) - {b""}]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.binary())], names=["__row", "key"])
-
-        held = numbered.select("__row", text_col).mapInArrow(keyed, "__row bigint, key binary")
-        drop = held.join(self.frequent(), "key").groupBy("__row").agg(F.collect_set("key").alias("__drop"))
-        joined = numbered.join(drop, "__row", "left")
-        joined = joined.select(*docs.columns, "__drop")
+                own = [k for _, k in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array(own, pa.binary()), pa.array(shard_of(own, shards), pa.int32())], names=["row", "key", "shard"])
+
+        asked = stored(numbered.select(at, text_col).mapInArrow(keyed, "row bigint, key binary, shard int"), "asked-keys")
+        # A line that many documents have makes its shard large; its keys are dealt over several tasks. There are few such shards
+        # (at most one for ASKED_KEYS rows); Spark sends their list to all tasks if it is small enough.
+        large = stored(asked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / ASKED_KEYS).cast("int").alias("parts")).filter("parts > 1"), "large-shards")
+        parts = F.coalesce("parts", F.lit(1))
+        dealt = asked.join(large, "shard", "left").select("row", "key", "shard", F.pmod(F.xxhash64("row"), parts).cast("int").alias("part"))
+        copies = self.filters.join(large, "shard", "left").select("shard", "filter", "wrong", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+
+        def ask(key: tuple, rows: pa.Table, filters: pa.Table) -> pa.Table:
+            frequent = np.zeros(len(rows), dtype=bool)
+            if len(filters) and len(rows):
+                f, wrong = CuckooFilter.from_bytes(filters.column("filter")[0].as_py()), filters.column("wrong")[0].as_py()
+                wrong = {wrong[i:i + 16] for i in range(0, len(wrong), 16)}
+                keys = rows.column("key").to_pylist()
+                frequent = f.contains(as_pairs(keys))
+                frequent[frequent] = [keys[i] not in wrong for i in np.flatnonzero(frequent)]
+            return rows.select(["row", "key"]).filter(pa.array(frequent))
+
+        found = dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(ask, "row bigint, key binary")
+        held = unused("keys", docs.columns)
+        drop = found.groupBy("row").agg(F.collect_set("key").alias(held)).withColumnRenamed("row", at)
+        joined = numbered.join(drop, at, "left").select(*[F.col(f"`{c}`") for c in docs.columns], held)
 
         def gone(_, keys: list[list[bytes]], b: pa.RecordBatch) -> list[np.ndarray]:
             drops = [set(x or ()) for x in b.column(b.num_columns - 1).to_pylist()]
             return [np.array([k in d for k in ks], dtype=bool) for ks, d in zip(keys, drops, strict=True)]
 
-        return self._cut(joined, text_col, lambda: None, gone, ["__drop"])
+        return self._cut(joined, text_col, lambda: None, gone, 1)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, or name with underscores before it, so that no column has it."""
+    while name in columns:
+        name = f"_{name}"
+    return name
