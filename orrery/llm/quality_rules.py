@@ -1,14 +1,20 @@
 """Quality rules combined by weak supervision (operator 6).
 
-Each rule votes good (2) or bad (0) or abstains (1) on a whole text. The votes
-of all documents are counted by pattern (at most 3 ** number of rules), and
-expectation-maximisation over these counts estimates each rule's accuracy among
-good documents and each kind of bad ones, and the kinds' shares. A document's posterior probability of being good
-replaces the demand that every rule be met.
+Each rule votes good (2) or bad (0) or abstains (1) on a whole text. Several
+rules look at each kind of trouble from different sides, so that bad texts get
+several bad votes. The votes of all documents are counted by pattern (at most
+3 ** number of rules), and expectation-maximisation over these counts estimates
+how often each rule votes each way on good and on bad texts, and the share of
+good ones. No estimate is bounded; one imagined vote a rule keeps it inside
+(0, 1). A document's posterior probability of being good replaces the demand
+that every rule be met: a rule that is alone with its bad vote can be outvoted.
 
 Defined results: null or empty text has no words, fails the base rules and is
-not kept; repeated rows are judged each; an empty table gives an empty result;
-other columns are ignored.
+not kept, as does any text of under LEAST_WORDS words, on which all rules
+abstain; texts of any length are judged whole; rows with a null id and repeated
+rows are judged each; equal statistics give equal verdicts; a posterior of just
+the threshold is kept; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,27 +27,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import SPACE, slices, stored
+from orrery.llm.shared import SPACE, discard, slices, stored
 
 SYMBOLS = b"#*$%&|<>"
 UPPER, LETTERS, DIGITS = bytes(range(65, 91)), bytes(range(65, 91)) + bytes(range(97, 123)), bytes(range(48, 58))
-MARKS = b"!?"
+#: Bytes that are no part of a letter: ASCII but for letters, digits and white space.
+OTHERS = bytes(c for c in range(128) if c not in LETTERS + DIGITS + SPACE)
 WINDOW = 8
 BAD, ABSTAIN, GOOD = 0, 1, 2
 #: A ratio below the first bound votes good, above the second bad, between them not at all.
 RULES = (
-    ("symbols", 0.02, 0.1),
-    ("repeats", 0.05, 0.3),
-    ("duplicate_lines", 0.05, 0.5),
+    ("symbols", 0.02, 0.1),  # a word
+    ("symbol_words", 0.02, 0.1),  # words with a symbol
+    ("others", 0.15, 0.25),  # characters that are neither letters nor digits
+    ("repeats", 0.02, 0.2),  # words in windows that come again
+    ("same_words", 0.65, 0.78),  # words that came before, in the first SAME_WORDS
+    ("next_same", 0.02, 0.2),  # words equal to the one before
+    ("same_pairs", 0.3, 0.6),  # pairs of words that came before, in the first SAME_WORDS
+    ("duplicate_lines", 0.1, 0.4),
+    ("duplicate_chars", 0.1, 0.4),  # characters in lines that came before
     ("upper_case", 0.2, 0.5),
-    ("marks", 0.05, 0.2),
     ("digits", 0.1, 0.3),
     ("word_length", 9.0, 14.0),
-    ("same_words", 0.75, 0.9),
 )
 #: Below this number of words a text is too short for ratios, and rules abstain.
 LEAST_WORDS = 20
-PRIOR_GOOD, OWN, FALSE, ROUNDS = 0.8, 0.9, 0.01, 100
+#: What can be wrong with a text, and the rules that look at it: each kind of bad text is a class.
+KINDS = (
+    ("symbols", "symbol_words", "others"),
+    ("repeats", "same_words", "next_same", "same_pairs", "duplicate_lines", "duplicate_chars"),
+    ("upper_case", "digits", "word_length"),
+)
+#: Where EM begins: the share of good texts, and the chances of a bad vote and of an abstention, of any rule on good texts, and on bad ones of the kind's own rules and the others.
+PRIOR_GOOD, ON_GOOD, OWN_KIND, OTHER_KIND, ROUNDS = 0.8, (0.02, 0.08), (0.6, 0.2), (0.1, 0.1), 200
 
 
 def without(text: bytes, chars: bytes) -> int:
@@ -49,48 +67,77 @@ def without(text: bytes, chars: bytes) -> int:
     return len(text) - len(text.translate(None, chars))
 
 
-def repeated_words(words: list[list[bytes]], window: int = WINDOW) -> np.ndarray:
-    """For each text, how many of its words lie in a window of words that is found twice or more in it."""
-    sizes = np.array([len(w) for w in words])
-    doc = np.repeat(np.arange(len(words)), sizes)
-    n = len(doc)
-    if n < window:
-        return np.zeros(len(words), dtype=np.int64)
-    ids = pa.array([x for w in words for x in w], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
-    span = 1
-    while span < window:  # numbers for windows of 1, 2, 4, ... words: equal if and only if the words are
-        ids = pd.factorize(ids[:-span] * (int(ids.max()) + 1) + ids[span:])[0].astype(np.int64)
-        span *= 2
-    inside = np.flatnonzero(doc[: n - window + 1] == doc[window - 1:])
-    if not len(inside):
-        return np.zeros(len(words), dtype=np.int64)
-    key = pd.factorize(doc[inside] * (int(ids.max()) + 1) + ids[inside])[0]
-    twice = inside[np.bincount(key)[key] > 1]
-    edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, twice, 1)
-    np.add.at(edge, twice + window, -1)
-    return np.bincount(doc[np.cumsum(edge[:-1]) > 0], minlength=len(words))
+class Words:
+    """The words of many texts as numbers: equal if and only if the words are."""
+
+    def __init__(self, words: list[list[bytes]]):
+        self.sizes = np.array([len(w) for w in words], dtype=np.int64)
+        self.texts = len(words)
+        self.doc = np.repeat(np.arange(self.texts), self.sizes)
+        self.ids = pa.array([x for w in words for x in w], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+    def _windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows of a power of two of words begin, and a number for each: equal if the text and its words are."""
+        ids, span = self.ids, 1
+        if len(ids) < size:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        while span < size:
+            ids = pd.factorize(ids[:-span] * (int(ids.max()) + 1) + ids[span:])[0].astype(np.int64)
+            span *= 2
+        inside = np.flatnonzero(self.doc[: len(ids)] == self.doc[size - 1:])
+        if not len(inside):
+            return inside, inside
+        return inside, pd.factorize(self.doc[inside] * (int(ids.max()) + 1) + ids[inside])[0]
+
+    def distinct(self, size: int) -> np.ndarray:
+        """For each text, its distinct windows."""
+        at, key = self._windows(size)
+        first = np.unique(key, return_index=True)[1]
+        return np.bincount(self.doc[at[first]], minlength=self.texts)
+
+    def next_same(self) -> np.ndarray:
+        """For each text, words equal to the one before."""
+        at = np.flatnonzero((self.ids[1:] == self.ids[:-1]) & (self.doc[1:] == self.doc[:-1]))
+        return np.bincount(self.doc[at], minlength=self.texts)
+
+    def repeated(self, window: int = WINDOW) -> np.ndarray:
+        """For each text, how many of its words lie in a window of words that is found twice or more in it."""
+        at, key = self._windows(window)
+        twice = at[np.bincount(key)[key] > 1] if len(at) else at
+        edge = np.zeros(len(self.ids) + 1, dtype=np.int64)
+        np.add.at(edge, twice, 1)
+        np.add.at(edge, twice + window, -1)
+        return np.bincount(self.doc[np.cumsum(edge[:-1]) > 0], minlength=self.texts)
 
 
 def statistics(texts: list[str]) -> dict[str, np.ndarray]:
     raw = [x.encode() for x in texts]
-    words = [x.split() for x in raw]
+    split = [x.split() for x in raw]
     rows = []
-    for text, b, w in zip(texts, raw, words, strict=True):
+    for text, b, w in zip(texts, raw, split, strict=True):
         lines = [x for x in b.split(b"\n") if x.strip(SPACE)]
-        rows.append((len(w), len(text) - without(b, SPACE), without(b, SYMBOLS), len(lines) - len(set(lines)), len(lines), without(b, UPPER), without(b, LETTERS), without(b, MARKS), without(b, DIGITS), len(set(w))))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_upper", "n_letters", "n_marks", "n_digits", "n_distinct"]
+        seen, again = set(), 0
+        for x in lines:
+            if x in seen:
+                again += len(x)
+            seen.add(x)
+        symbols = without(b, SYMBOLS)
+        rows.append((len(w), len(text) - without(b, SPACE), symbols, sum(1 for x in w if without(x, SYMBOLS)) if symbols else 0, without(b, OTHERS), len(lines) - len(seen), len(lines), again,
+                     sum(map(len, lines)), without(b, UPPER), without(b, LETTERS), without(b, DIGITS)))
+    names = ["n_words", "word_chars", "n_symbols", "n_symbol_words", "n_others", "n_dup_lines", "n_lines", "n_dup_chars", "n_line_chars", "n_upper", "n_letters", "n_digits"]
     out = dict(zip(names, np.array(rows, dtype=np.int64).reshape(-1, len(names)).T, strict=True))
-    return out | {"n_repeat_words": repeated_words(words)}
+    words = Words(split)
+    return out | {"n_repeat_words": words.repeated(), "n_distinct": words.distinct(1), "n_distinct_pairs": words.distinct(2), "n_next_same": words.next_same()}
 
 
 def votes(s: dict[str, np.ndarray]) -> np.ndarray:
     """One number for each text: its votes as digits of base 3, the first rule's lowest."""
-    n = np.maximum(s["n_words"], 1)
+    n, lines, chars = np.maximum(s["n_words"], 1), np.maximum(s["n_lines"], 1), np.maximum(s["word_chars"], 1)
     ratio = {
-        "symbols": s["n_symbols"] / n, "repeats": s["n_repeat_words"] / n, "duplicate_lines": s["n_dup_lines"] / np.maximum(s["n_lines"], 1),
-        "upper_case": s["n_upper"] / np.maximum(s["n_letters"], 1), "marks": s["n_marks"] / n, "digits": s["n_digits"] / np.maximum(s["word_chars"], 1),
-        "word_length": s["word_chars"] / n, "same_words": 1 - s["n_distinct"] / n,
+        "symbols": s["n_symbols"] / n, "symbol_words": s["n_symbol_words"] / n, "others": s["n_others"] / chars, "repeats": s["n_repeat_words"] / n,
+        "same_words": 1 - s["n_distinct"] / n, "next_same": s["n_next_same"] / n, "same_pairs": 1 - s["n_distinct_pairs"] / np.maximum(n - 1, 1),
+        "duplicate_lines": s["n_dup_lines"] / lines, "duplicate_chars": s["n_dup_chars"] / np.maximum(s["n_line_chars"], 1),
+        "upper_case": s["n_upper"] / np.maximum(s["n_letters"], 1), "digits": s["n_digits"] / chars, "word_length": s["word_chars"] / n,
     }
     pattern = np.zeros(len(n), dtype=np.int64)
     for k, (name, good, bad) in enumerate(RULES):
@@ -99,55 +146,75 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
     return pattern
 
 
-def posterior(patterns: np.ndarray, counts: np.ndarray, n_rules: int = len(RULES), rounds: int = ROUNDS) -> np.ndarray:
-    """The probability of good for each vote pattern, by expectation-maximisation over all counts.
+def beginning() -> tuple[np.ndarray, np.ndarray]:
+    """The shares of the classes and chance[class, rule, vote] from which EM begins. Class 0 is good."""
+    chance = np.empty((1 + len(KINDS), len(RULES), 3))
+    chance[:] = (OTHER_KIND[0], OTHER_KIND[1], 1 - sum(OTHER_KIND))
+    chance[0] = (ON_GOOD[0], ON_GOOD[1], 1 - sum(ON_GOOD))
+    names = [name for name, *_ in RULES]
+    for k, own in enumerate(KINDS, start=1):
+        chance[k, [names.index(name) for name in own]] = (OWN_KIND[0], OWN_KIND[1], 1 - sum(OWN_KIND))
+    return np.array([PRIOR_GOOD, *[(1 - PRIOR_GOOD) / len(KINDS)] * len(KINDS)]), chance
+
 
-    Kinds of bad text differ: one latent class is good, and each rule has a
-    class of texts that are bad in its way. Within a class votes count as
-    independent. A rule's accuracy is free but for two bounds that keep classes
-    what they are: in its own class it votes bad with at least OWN, and among
-    good texts with at most FALSE.
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By expectation-maximisation over counted patterns: each pattern's posterior probability of good, the classes' shares, and
+
+    chance[class, rule, vote]. Within a class votes count as independent, an abstention being a vote like others.
     """
-    v = (patterns[:, None] // 3 ** np.arange(n_rules)) % 3
-    seen = np.stack([v == BAD, v == GOOD], axis=-1).astype(float)  # an abstention says nothing
-    own = np.arange(n_rules)
-    p_bad = np.full((n_rules + 1, n_rules), FALSE)  # class 0 is good
-    p_bad[own + 1, own] = OWN
-    share = np.array([PRIOR_GOOD, *[(1 - PRIOR_GOOD) / n_rules] * n_rules])
+    v = (patterns[:, None] // 3 ** np.arange(len(RULES))) % 3
+    seen = np.stack([v == k for k in (BAD, ABSTAIN, GOOD)], axis=-1).astype(float)
+    first_share, first = beginning()
+    share, chance = first_share, first
     for _ in range(rounds):
-        like = np.einsum("prv,crv->pc", seen, np.log(np.stack([p_bad, 1 - p_bad], axis=-1))) + np.log(share)
+        like = np.einsum("prv,crv->pc", seen, np.log(chance)) + np.log(share)
         like = np.exp(like - like.max(axis=1, keepdims=True))
         belongs = like / like.sum(axis=1, keepdims=True)
         weight = belongs * counts[:, None]
-        share = (weight.sum(axis=0) + 1e-6) / (counts.sum() + 1e-6 * (n_rules + 1))
-        count = np.einsum("pc,prv->crv", weight, seen)
-        # One imagined vote, nearly always good, keeps every estimate inside (0, 1).
-        p_bad = (count[..., 0] + FALSE) / (count.sum(axis=-1) + 1)
-        p_bad[0] = np.minimum(p_bad[0], FALSE)
-        p_bad[own + 1, own] = np.maximum(p_bad[own + 1, own], OWN)
-        p_bad = np.clip(p_bad, 1e-6, 1 - 1e-6)
-    return belongs[:, 0]
+        share = (weight.sum(axis=0) + first_share) / (counts.sum() + 1)
+        found = np.einsum("pc,prv->crv", weight, seen) + first  # one imagined text in each class
+        chance = found / found.sum(axis=-1, keepdims=True)
+    return belongs[:, 0], share, chance
 
 
 STATS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 
 
-def judge(docs: DataFrame, carry: list[str] | None = None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The carried columns, the base statistics, base_failed, posterior and kept, one row for each row of docs."""
-    carry = ["doc_id"] if carry is None else carry
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+def vote(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
+    """A written table of the carried columns, the base statistics and the vote pattern, one row for each row of docs."""
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             s = statistics([x or "" for x in b.column(0).to_pylist()])
-            arrays = [pa.array(s[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [pa.array(votes(s))]
-            yield pa.RecordBatch.from_arrays([*(b.column(1 + i) for i in range(len(carry))), *arrays], names=[*carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "pattern"])
-
-    judged = docs.select(F.col(text_col).alias("__text"), *carry)
-    judged = stored(judged.mapInArrow(run, f"{fields}, {STATS}, pattern bigint"), "votes")
-    found = judged.groupBy("pattern").count().toPandas()  # at most 3 ** len(RULES) rows
-    good = posterior(found["pattern"].to_numpy(), found["count"].to_numpy(dtype=float)) if len(found) else np.zeros(0)
-    table = docs.sparkSession.createDataFrame(list(zip(map(int, found["pattern"]), map(float, good), strict=True)), "pattern bigint, posterior double")
+            arrays = [pa.array(s[k]) for k in names] + [pa.array(votes(s))]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *arrays], names=[*carry, *names, "__pattern"])
+
+    return stored(docs.select(F.col(text_col).alias("__text"), *carry).mapInArrow(run, ", ".join([*fields, STATS, "__pattern bigint"])), "votes")
+
+
+def counted(voted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The patterns of a written table of votes, at most 3 ** len(RULES), and their numbers."""
+    found = voted.groupBy("__pattern").count().orderBy("__pattern").toPandas()
+    return found["__pattern"].to_numpy(dtype=np.int64), found["count"].to_numpy(dtype=float)
+
+
+def accuracies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(class, share, rule, bad, abstain, good): how often each rule votes each way in each class; class 0 is good, the others are KINDS."""
+    voted = vote(docs, [], text_col)
+    _, share, chance = estimate(*counted(voted))
+    discard(voted)
+    rows = [(c, float(share[c]), name, *map(float, chance[c, r])) for c in range(len(share)) for r, (name, *_) in enumerate(RULES)]
+    return docs.sparkSession.createDataFrame(rows, "class int, share double, rule string, bad double, abstain double, good double")
+
+
+def judge(docs: DataFrame, carry: list[str] | None = None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The carried columns, the base statistics, base_failed, posterior and kept, one row for each row of docs."""
+    voted = vote(docs, ["doc_id"] if carry is None else carry, text_col)
+    patterns, counts = counted(voted)
+    good = estimate(patterns, counts)[0]
+    table = docs.sparkSession.createDataFrame(list(zip(patterns.tolist(), good.tolist(), strict=True)), "__pattern bigint, posterior double")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return (judged.join(F.broadcast(table), "pattern", "left").drop("pattern")
+    return (voted.join(F.broadcast(table), "__pattern", "left").drop("__pattern")
             .withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= threshold)))
