@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from orrery.llm.shared import SPACE, encoded, slices, stored
 
 FIT_ROWS = 40_000
 FIT_PARTITIONS = 8
+#: How many partitions' matrices a task adds up.
+ADDED = 16
 N_FEATURES = 256
 RIDGE = 1e-3
 SEED = 20240229
@@ -124,17 +127,21 @@ def fit(taught: DataFrame) -> Model:
             if b.num_rows:
                 f = model.features(matrix(b.column(0)))
                 total += f.T @ np.hstack([f, b.column(1).to_numpy()[:, None]])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // ADDED]), pa.array([total.tobytes()], pa.binary())], names=["adder", "sums"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((N_FEATURES + 1, N_FEATURES + 2))
+        total = None
         for b in batches:
-            for x in b.column(0):
-                total += np.frombuffer(x.as_buffer()).reshape(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-
-    parts = taught.filter("NOT calibrate").select("x", "y").mapInArrow(sums, "sums binary")
-    row = parts.repartition(1).mapInArrow(added, "sums binary").first()  # one matrix, however many partitions
+            for x in b.column(1):
+                one = np.frombuffer(x.as_buffer()).reshape(N_FEATURES + 1, N_FEATURES + 2)
+                total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], names=["adder", "sums"])
+
+    parts = taught.filter("NOT calibrate").select("x", "y").mapInArrow(sums, "adder bigint, sums binary")
+    # In two levels, so that no task reads all matrices: one for ADDED partitions, and one for what they have added up.
+    parts = parts.repartition(F.col("adder")).mapInArrow(added, "adder bigint, sums binary")
+    row = parts.repartition(1).mapInArrow(added, "adder bigint, sums binary").first()
     total = np.frombuffer(row.sums).reshape(N_FEATURES + 1, N_FEATURES + 2)
     a = total[:, :-1]
     n = max(a[-1, -1], 1.0)
