@@ -11,7 +11,10 @@ control string is left and reading back takes exactly one away.
 
 Defined results: null text or role counts as empty; turns sort by (turn, role,
 escaped text), nulls first, and repeated rows stay as turns of their own; rows with a
-null conv_id form one conversation; an empty table gives an empty result.
+null conv_id form one conversation; a conversation of any number of turns is one
+row, whose list of spans is built by appending, in time that grows with the
+square of its assistant turns; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

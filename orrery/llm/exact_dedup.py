@@ -2,9 +2,10 @@
 
 The index is a Parquet table bucketed and sorted by the text's SHA-256. A batch
 is reduced to one row for each digest before anything else moves, compared with
-the index by a sort-merge anti-join (the index side is neither shuffled nor
-sorted again), and what is new is appended. Rows of a hot digest are answered
-without a shuffle.
+the index by a sort-merge anti-join, and what is new is appended. The index side
+is not shuffled; each bucket is sorted again while it is read, as Spark takes no
+order from files (several appends leave several files of a bucket). Rows of a hot
+digest are answered without a shuffle.
 
 Defined results: a null text counts as empty; rows that repeat a document id
 with the same text are one document and stay or go together; a null id never
@@ -78,7 +79,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     of_hot = F.broadcast(known.join(F.broadcast(hot), "digest"))
     of_rest = known.join(F.broadcast(hot), "digest", "left_anti")
     rest = digests.join(F.broadcast(hot), "digest", "left_anti")
-    joined = digests.join(of_hot, "digest").unionByName(rest.join(of_rest, "digest"))
+    joined = digests.join(of_hot, "digest").unionByName(rest.join(of_rest, "digest"))  # reads digests, groups and the index
     return joined.select(
         "doc_id", "keep_id", "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("doc_id").isNull() & F.col("keep_id").isNull()).alias("kept"),
