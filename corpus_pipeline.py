@@ -2,6 +2,13 @@
 
 Every stage but the last returns the columns of documents. ORACLE_SQL is None:
 fits and fingerprints have no SQL form; tests hold each stage against plain code.
+
+Defined results: a null text counts as empty, is scored like any other, has no
+words and so ends at the quality rules; rows with a null id pass like others, but
+for near-duplicates, where no null id stays before another; repeated rows (one id,
+one text) go or stay together; other columns than those of documents are left
+out, and null ones stay null; of documents that are equally near the least id
+stays; texts of any length are taken whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -43,7 +50,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ship(spark)
     stays = simhash.near_duplicates(docs).filter("stays").select(F.col("digest").alias("__digest"), F.col("doc_id").alias("__id"))
     own = docs.select(COLUMNS).withColumn("__digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    return own.join(stays, "__digest").filter(F.col("doc_id").eqNullSafe(F.col("__id"))).select(COLUMNS)
+    # By the id too, so that copies of one text don't meet in one task.
+    return own.join(stays, own["__digest"].eqNullSafe(stays["__digest"]) & F.col("doc_id").eqNullSafe(F.col("__id"))).select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
