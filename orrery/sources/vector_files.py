@@ -6,8 +6,13 @@
 
 Layouts: bin (two 32-bit counts, rows and dimension, then rows) and vecs (the
 dimension before every row). Elements: float, int8, uint8, int32. A row's number
-is its id. Reading is split into ranges of rows; writing makes one file for each
-task, whose rows are in order of id.
+is its id; files of a folder are read in order of their names, numbered on. Writing
+makes one file for each task, named by the first id, as rows come (sort them
+within partitions, after repartitionByRange, for a folder that reads back in
+order); mode overwrite takes away what the folder had when all tasks are done.
+
+Truth files (truth_rows, write_truth_rows) hold k ids and distances of each
+query; range truth files ragged lists. Ids are 32-bit in all of these formats.
 """
 
 from __future__ import annotations
@@ -19,7 +24,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+
+from orrery.storage import ARROW_SCHEMES
 
 DTYPES = {"float": "<f4", "int8": "i1", "uint8": "u1", "int32": "<i4"}
 ELEMENT = {"float": "float", "int8": "tinyint", "uint8": "smallint", "int32": "int"}
@@ -35,8 +44,10 @@ def checked(options: dict) -> tuple[str, str]:
 
 
 def opened(path: str):
-    fs, inner = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    return fs, inner
+    """Arrow's file system and the path in it. A path without a scheme is a local one; storage.for_arrow() gives that of a path as Spark
+    resolves it."""
+    scheme, _, rest = path.rpartition("://")
+    return pafs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme) or 'file'}://{rest}")
 
 
 def header(path: str, layout: str, dtype: str) -> tuple[int, int]:
@@ -58,20 +69,48 @@ def header(path: str, layout: str, dtype: str) -> tuple[int, int]:
 
 @dataclass
 class Rows(InputPartition):
+    path: str
     first: int
     end: int
+    number: int
+
+
+def files_of(path: str) -> list[str]:
+    """The file, or a folder's files in order of their names; hidden and unfinished ones don't count."""
+    fs, inner = opened(path)
+    if fs.get_file_info(inner).type != pafs.FileType.Directory:
+        return [path]
+    found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(inner)) if f.is_file and not f.base_name.startswith(("_", ".")) and f.extension != "part")
+    scheme = path.split("://", 1)[0] + "://" if "://" in path else ""
+    return [f"{scheme}{f}" for f in found]
 
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, (self.layout, self.dtype) = options["path"], checked(options)
-        self.n, self.dim = header(self.path, self.layout, self.dtype)
+        self.layout, self.dtype = checked(options)
+        self.files = [(f, *header(f, self.layout, self.dtype)) for f in files_of(options["path"])]
+        dims = {dim for _, n, dim in self.files if n}
+        if len(dims) > 1:
+            raise ValueError(f"{options['path']} has files of dimensions {sorted(dims)}")
+        self.dim = max(dims, default=0)
+        first, last = int(options.get("first", 0)), options.get("end")
+        self.first, self.end = first, None if last is None else int(last)
 
     def partitions(self) -> list[Rows]:
-        return [Rows(a, min(a + ROWS_A_SPLIT, self.n)) for a in range(0, self.n, ROWS_A_SPLIT)] or [Rows(0, 0)]
+        """Ranges of rows; options first and end choose rows by number."""
+        out, number = [], 0
+        for f, n, _ in self.files:
+            for a in range(0, n, ROWS_A_SPLIT):
+                lo, hi = max(a, self.first - number), min(a + ROWS_A_SPLIT, n, n if self.end is None else self.end - number)
+                if lo < hi:
+                    out.append(Rows(f, lo, hi, number))
+            number += n
+        return out or [Rows("", 0, 0, 0)]
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
-        fs, inner = opened(self.path)
+        if partition.first == partition.end:
+            return
+        fs, inner = opened(partition.path)
         kind = np.dtype(DTYPES[self.dtype])
         row, skip = self.dim * kind.itemsize + 4 * (self.layout == "vecs"), 8 * (self.layout == "bin")
         element = {"float": pa.float32(), "int8": pa.int8(), "uint8": pa.int16(), "int32": pa.int32()}[self.dtype]
@@ -82,7 +121,7 @@ class Reader(DataSourceReader):
                 x = np.frombuffer(f.read((b - a) * row), np.uint8).reshape(b - a, row)[:, row - self.dim * kind.itemsize:]
                 flat = pa.array(np.ascontiguousarray(x).view(kind).ravel()).cast(element)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * self.dim + 1, max(self.dim, 1))[: b - a + 1], pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b), pa.int64()), lists], names=["id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b) + partition.number, pa.int64()), lists], names=["id", "vec"])
 
 
 @dataclass
@@ -90,34 +129,52 @@ class Written(WriterCommitMessage):
     name: str
 
 
-class Writer(DataSourceWriter):
-    def __init__(self, options: dict):
-        self.folder, (self.layout, self.dtype) = options["path"], checked(options)
+class Writer(DataSourceArrowWriter):
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.folder, self.overwrite, (self.layout, self.dtype) = options["path"], overwrite, checked(options)
 
-    def write(self, rows) -> Written:
-        own = sorted(((r["id"], r["vec"]) for r in rows), key=lambda r: r[0])
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        """A batch at a time; the count of rows is written into the header at the end."""
         kind = np.dtype(DTYPES[self.dtype])
-        x = np.array([v for _, v in own]).astype(kind).reshape(len(own), -1)
         fs, inner = opened(self.folder)
         fs.create_dir(inner, recursive=True)
-        name = f"{inner}/{'%016d' % own[0][0] if own else 'empty'}-{uuid.uuid4().hex[:8]}.{self.layout}"
-        with fs.open_output_stream(f"{name}.part") as f:
-            if self.layout == "bin":
-                f.write(np.array([len(x), x.shape[1] if len(x) else 0], "<u4").tobytes() + x.tobytes())
-            else:
-                f.write(b"".join(np.array([len(r)], "<i4").tobytes() + r.tobytes() for r in x))
-        return Written(name)
+        own, rows, dim, first = f"{inner}/{uuid.uuid4().hex}.part", 0, 0, None
+        body = f"{own}.part"
+        with fs.open_output_stream(body) as f:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(b.num_rows, -1)
+                if dim not in (0, x.shape[1]):
+                    raise ValueError(f"vectors of {dim} and {x.shape[1]} elements")
+                first, dim, rows = b.column("id")[0].as_py() if first is None else first, x.shape[1], rows + len(x)
+                if self.layout == "vecs":
+                    x = np.hstack([np.full((len(x), 1), dim, "<i4").view(np.uint8).reshape(len(x), 4), np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)])
+                f.write(x.tobytes())
+        name = f"{inner}/{first or 0:016d}-{own.rpartition('/')[2][:8]}.{self.layout}"
+        if self.layout == "vecs":
+            fs.move(body, own)
+        else:  # the header, and then the rows in pieces
+            with fs.open_output_stream(own) as f, fs.open_input_stream(body) as g:
+                f.write(np.array([rows, dim], "<u4").tobytes())
+                while piece := g.read(8 << 20):
+                    f.write(piece)
+            fs.delete_file(body)
+        return Written(f"{own}>{name}")
 
     def commit(self, messages) -> None:
+        fs, inner = opened(self.folder)
+        old = [f.path for f in fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True)) if f.is_file and f.extension != "part"] if self.overwrite else []
+        for path in old:
+            fs.delete_file(path)
         for m in messages:
-            fs, inner = opened(self.folder)
-            fs.move(f"{m.name}.part", m.name)
+            fs.move(*m.name.split(">"))
 
     def abort(self, messages) -> None:
         for m in messages:
             if m is not None:
                 fs, _ = opened(self.folder)
-                fs.delete_file(f"{m.name}.part")
+                fs.delete_file(m.name.split(">")[0])
 
 
 class VectorFiles(DataSource):
@@ -132,7 +189,7 @@ class VectorFiles(DataSource):
         return Reader(self.options)
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options)
+        return Writer(self.options, overwrite)
 
 
 def read_truth(path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -151,3 +208,55 @@ def write_truth(path: str, ids: np.ndarray, dist: np.ndarray) -> None:
     fs, inner = opened(path)
     with fs.open_output_stream(inner) as f:
         f.write(np.array(ids.shape, "<i4").tobytes() + ids.astype("<u4").tobytes() + dist.astype("<f4").tobytes())
+
+
+def truth_rows(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
+    """(qid, id, dist, rank) of a truth file; queries are numbered from `first`."""
+    ids, dist = read_truth(path)
+    n, k = ids.shape
+    table = pa.table({"qid": pa.array(np.repeat(np.arange(first, first + n), k)), "id": pa.array(ids.astype(np.int64).ravel()), "dist": pa.array(dist.astype(np.float64).ravel()), "rank": pa.array(np.tile(np.arange(1, k + 1), n).astype(np.int32))})
+    return spark.createDataFrame(table)
+
+
+def write_truth_rows(truth: DataFrame, path: str) -> None:
+    """A truth file of (qid, id, dist, rank), queries in order of their ids, which must have as many ranks each. A query set is small by nature."""
+    rows = truth.select("qid", "id", "dist", "rank").orderBy("qid", "rank").toArrow()
+    n = len(rows.column("qid").unique())
+    if len(rows) % max(n, 1) or (n and set(np.bincount(rows.column("rank").to_numpy())[1:]) != {n}):
+        raise ValueError("a truth file needs as many ranks for each query")
+    shape = (n, len(rows) // max(n, 1))
+    write_truth(path, rows.column("id").to_numpy().reshape(shape), rows.column("dist").to_numpy().reshape(shape))
+
+
+def write_range_truth(truth: DataFrame, queries: DataFrame, path: str) -> None:
+    """Ragged lists of (qid, id, dist), nearest first, for every query (qid): the counts of queries and of all ids, each query's count, then ids."""
+    lists = queries.select("qid").distinct().join(truth, "qid", "left").groupBy("qid").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("dist", "id")))).alias("l"))
+    rows = [[x["id"] for x in r.l] for r in lists.orderBy("qid").collect()]  # of a stated query set
+    fs, inner = opened(path)
+    with fs.open_output_stream(inner) as f:
+        f.write(np.array([len(rows), sum(map(len, rows)), *map(len, rows)], "<u4").tobytes() + np.array([i for r in rows for i in r], "<u4").tobytes())
+
+
+def range_truth_rows(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
+    """(qid, ids) of a range truth file, its sizes checked."""
+    fs, inner = opened(path)
+    with fs.open_input_file(inner) as f:
+        data = np.frombuffer(f.read(), "<u4")
+    n, total = (int(x) for x in data[:2])
+    sizes = data[2:2 + n].astype(np.int64)
+    if len(data) != 2 + n + total or sizes.sum() != total:
+        raise ValueError(f"{path} is no range truth file of {n} queries and {total} ids")
+    lists = np.split(data[2 + n:].astype(np.int64), np.cumsum(sizes)[:-1]) if n else []
+    return spark.createDataFrame([(first + i, x.tolist()) for i, x in enumerate(lists)], "qid bigint, ids array<bigint>")
+
+
+def id_lines(lines: DataFrame) -> DataFrame:
+    """(id) of text lines (value) with one node each, # beginning a comment; anything else is an error."""
+    text = F.trim(F.regexp_replace("value", "#.*$", ""))
+    return lines.filter(text != "").select(F.when(text.rlike(r"^\d+$"), text.cast("bigint")).otherwise(F.raise_error(F.concat(F.lit("not a node: "), "value"))).alias("id"))
+
+
+def label_lines(lines: DataFrame) -> DataFrame:
+    """(pos, labels array<string>) of lines (pos, value) with a row's labels, separated by commas; white space around them doesn't count."""
+    parts = F.transform(F.split("value", ","), lambda x: F.trim(x))
+    return lines.select("pos", F.filter(parts, lambda x: x != "").alias("labels"))
