@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What a norm is at least, where a zero vector must not be divided by zero.
+EPSILON = 1e-30
 METRICS = ("l2", "inner_product", "cosine")
 
 
@@ -69,6 +71,16 @@ def normalise(a) -> Column:
     return F.when(n == 0, as_double(a)).otherwise(scale(a, n))
 
 
+def normalise_safely(a) -> Column:
+    """a over its norm, which counts as EPSILON at least."""
+    return scale(a, F.greatest(norm(a), F.lit(EPSILON)))
+
+
+def normalised_cosine(a, b) -> Column:
+    """Half the squared distance of the normalised vectors: one less the cosine, for vectors that aren't zero."""
+    return l2(normalise(a), normalise(b)) / 2
+
+
 def lift_base(a, max_norm: Column) -> Column:
     """One more dimension, so that nearest by l2 is largest by inner product: x / M and sqrt(max(0, 1 - |x|^2 / M^2))."""
     rest = F.sqrt(F.greatest(F.lit(0.0), 1.0 - norm2(a) / (max_norm * max_norm)))

@@ -67,19 +67,24 @@ def top_in_degree(edges: DataFrame, n: int) -> DataFrame:
     return in_degrees(edges).orderBy(F.desc("in_degree"), "dst").limit(n)
 
 
-def bfs_levels(edges: DataFrame, start: int, most: int = 32) -> DataFrame:
-    """(node, level) of all nodes within so many hops. Each hop is a join and a written table."""
+def bfs_levels(edges: DataFrame, start: int | list[int], most: int = 32) -> DataFrame:
+    """(node, level) of all nodes within so many hops of a start, or of the nearest of several. Each hop is a join and a written table."""
     spark = edges.sparkSession
-    edges = edges.select("src", "dst").distinct()
-    seen = spark.createDataFrame([(start, 0)], "node bigint, level int")
-    front = seen
+    starts = [start] if isinstance(start, int) else list(start)
+    edges = stored(edges.select("src", "dst").distinct(), "bfs-edges")
+    fronts = [spark.createDataFrame([(s, 0) for s in dict.fromkeys(starts)], "node bigint, level int")]
     for level in range(1, most + 1):
-        new = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        new = fronts[-1].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        for seen in fronts:  # each front is written once and read by the later hops
+            new = new.join(seen.select("node"), "node", "left_anti")
         front = stored(new.withColumn("level", F.lit(level)), "front")
         if front.isEmpty():
             break
-        seen = stored(seen.unionByName(front), "seen")
-    return seen
+        fronts.append(front)
+    out = fronts[0]
+    for front in fronts[1:]:
+        out = out.unionByName(front)
+    return out
 
 
 def hybrid_cache(edges: DataFrame, start: int, hops: int, n: int) -> DataFrame:
@@ -116,13 +121,43 @@ def occlusion_prune(candidates: DataFrame, vectors: DataFrame, degree: int, most
             rows = []
             for src, q, members in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 ids, v, q = np.array([m["dst"] for m in members]), np.array([m["vec"] for m in members], dtype=np.float64), np.array(q, dtype=np.float64)
-                for pos, (i, d) in enumerate(prune_by_occlusion(ids, ordered_l2(q, v), v, degree, most)):
+                for pos, (i, d) in enumerate(prune_by_occlusion(ids, ordered_l2(q, v), degree, most, lambda i, taken, v=v: ordered_l2(v[i], v[taken]))):
                     rows.append((src, pos, int(ids[i]), d))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["src", "pos", "dst", "dist"])
 
     return pool.mapInArrow(run, "src bigint, pos int, dst bigint, dist double")
 
 
+def occlusion_prune_codes(candidates: DataFrame, vectors: DataFrame, book, degree: int, most: int = 1, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """occlusion_prune() with symmetric distances of product-quantised codes in place of vectors: both ends of an edge have a code
+    of a few bytes, and all distances come from the book's table. dist is the code distance.
+
+    Distances are summed in millionths, so that they are the same in any order of addition.
+    """
+    from orrery.operators.quantise import encode
+
+    lut = np.rint(book.symmetric() * 1e6).astype(np.int64)  # chunks * centres^2 numbers, which goes with the function
+    codes = encode(vectors, book, id_col, vec_col)
+    own = codes.select(F.col("id").alias("dst"), "code")
+    pool = candidates.filter("src <> dst").select("src", "dst").join(own, "dst").groupBy("src").agg(F.collect_list(F.struct("dst", "code")).alias("pool"))
+    pool = pool.join(codes.select(F.col("id").alias("src"), F.col("code").alias("q")), "src").select("src", "q", "pool")
+    sent = vectors.sparkSession.sparkContext.broadcast(lut)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lut, rows = sent.value, []
+        chunk = np.arange(len(lut))
+        for b in batches:
+            rows = []
+            for src, q, members in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                ids, c, q = np.array([m["dst"] for m in members]), np.array([m["code"] for m in members], dtype=np.int64), np.array(q, dtype=np.int64)
+                between = lambda x, at, c=c: lut[chunk, x, c[at]].sum(axis=-1)
+                for pos, (i, d) in enumerate(prune_by_occlusion(ids, between(q, slice(None)), degree, most, lambda i, taken: between(c[i], taken))):
+                    rows.append((src, pos, int(ids[i]), d / 1e6))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["src", "pos", "dst", "dist"])
+
+    return pool.mapInArrow(run, "src bigint, pos int, dst bigint, dist double")
+
+
 def ordered_l2(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     out = np.zeros(len(v))
     for j in range(v.shape[1]):
@@ -130,13 +165,61 @@ def ordered_l2(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def prune_by_occlusion(ids: np.ndarray, dist: np.ndarray, v: np.ndarray, degree: int, most: int) -> list[tuple[int, float]]:
+def prune_by_occlusion(ids: np.ndarray, dist: np.ndarray, degree: int, most: int, between) -> list[tuple[int, float]]:
+    """between: distances of one candidate to others, by positions."""
     order = np.lexsort((ids, dist))
     taken: list[int] = []
     for i in order:
         if len(taken) == degree:
             break
-        if sum(ordered_l2(v[i], v[taken]) <= dist[i]) < most if taken else True:
+        if sum(between(i, taken) <= dist[i]) < most if taken else True:
             taken.append(int(i))
     rest = [int(i) for i in order if i not in set(taken)]
     return [(i, float(dist[i])) for i in (taken + rest)[:degree]]
+
+
+def keep_cross(edges: DataFrame, part) -> DataFrame:
+    """Edges between partitions; part: from a node's column name its partition."""
+    return edges.filter(part("src") != part("dst"))
+
+
+def checked_graph(graph: DataFrame, n: int, degree: int | None = None) -> dict:
+    """What a graph (src, nbrs) should be: n sources, edges to 0..n-1 without self loops, and lists of at most `degree`. Raises otherwise."""
+    edges = graph.select("src", F.explode_outer("nbrs").alias("dst"))
+    row = edges.agg(F.countDistinct("src").alias("sources"), F.count("dst").alias("edges"), F.count_if(F.col("dst") == F.col("src")).alias("loops"),
+                    F.count_if(~F.col("dst").between(0, n - 1) | ~F.col("src").between(0, n - 1)).alias("outside")).first().asDict()
+    row["largest"] = graph.agg(F.coalesce(F.max(F.size("nbrs")), F.lit(0))).first()[0]
+    if row["sources"] != n or row["loops"] or row["outside"] or (degree is not None and row["largest"] > degree):
+        raise ValueError(f"not a graph of {n} nodes and degree {degree}: {row}")
+    return row
+
+
+SECTOR = 4096
+
+
+def node_bytes(dim: int, degree: int, element_bytes: int = 4) -> int:
+    """A node's vector, its number of neighbours and room for all of them."""
+    return dim * element_bytes + 4 + 4 * degree
+
+
+def sectors(laid: DataFrame, dim: int, degree: int, element_bytes: int = 4, sector: int = SECTOR, reorder: bool = False) -> DataFrame:
+    """A layout() with the place of each node in a file of sectors: (sector, at), the first sector being the header's. A node over a
+    sector's size takes several. reorder: whole vectors lie once more behind the nodes, at (vector_sector, vector_at)."""
+    size = node_bytes(dim, degree, element_bytes)
+    per, each = sector // size, -(-size // sector)
+    if per:
+        out = laid.withColumn("sector", 1 + F.floor(F.col("id") / per)).withColumn("at", F.pmod("id", F.lit(per)) * size)
+    else:
+        out = laid.withColumn("sector", 1 + F.col("id") * each).withColumn("at", F.lit(0).cast("bigint"))
+    if reorder:
+        n, own = laid.count(), dim * 4
+        behind, fit = 1 + (-(-n // per) if per else n * each), max(1, sector // own)
+        out = out.withColumn("vector_sector", behind + F.floor(F.col("id") / fit) * max(1, -(-own // sector))).withColumn("vector_at", F.pmod("id", F.lit(fit)) * own)
+    return out
+
+
+def layout_metadata(laid: DataFrame) -> DataFrame:
+    """One row about a layout(): n, dim, medoid, largest list, and whether ids are 0..n-1, each once, with vectors of one dimension and one entry."""
+    return laid.agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).cast("bigint").alias("dim"), F.max(F.when(F.col("is_entry"), F.col("id"))).alias("medoid"), F.max(F.size("nbrs")).cast("bigint").alias("largest"),
+        ((F.min("id") == 0) & (F.max("id") == F.count(F.lit(1)) - 1) & (F.countDistinct("id") == F.count(F.lit(1))) & (F.min(F.size("vec")) == F.max(F.size("vec"))) & (F.count_if("is_entry") == 1)).alias("valid"))

@@ -57,10 +57,11 @@ def best_first(start: Iterable[int], dist: Callable[[np.ndarray], np.ndarray], n
     return {"pool": pool, "expanded": expanded, "known": known, "rounds": rounds, "comparisons": len(known)}
 
 
-def robust_prune(p: int, ids: np.ndarray, x: np.ndarray, degree: int, alpha: float = 1.2, metric: str = "l2", saturate: bool = False, labels: list[set] | None = None, most: int = 750) -> list[int]:
+def robust_prune(p: int, ids: np.ndarray, x: np.ndarray, degree: int, alpha: float = 1.2, metric: str = "l2", saturate: bool = False, labels: list[set] | None = None, most: int | None = None) -> list[int]:
     """Neighbours of p among ids: the nearest first, and those that no chosen one occludes at the present slack, which grows to alpha.
 
-    With labels, one node occludes another only if it has all the labels of p and the other have in common.
+    With labels, one node occludes another only if it has all the other's labels. saturate: free places are filled by
+    distance, if alpha is over 1. most: only so many nearest ids are looked at.
     """
     ids = np.array([i for i in dict.fromkeys(map(int, ids)) if i != p], dtype=np.int64)
     if not len(ids):
@@ -81,7 +82,7 @@ def robust_prune(p: int, ids: np.ndarray, x: np.ndarray, degree: int, alpha: flo
             rest = np.flatnonzero(~taken)
             rest = rest[rest > k]
             if labels is not None:
-                rest = np.array([r for r in rest if (labels[p] & labels[ids[r]]) <= labels[ids[k]]], dtype=np.int64)
+                rest = np.array([r for r in rest if labels[ids[r]] <= labels[ids[k]]], dtype=np.int64)
             if not len(rest):
                 continue
             between = distances(x[ids[k]], x[ids[rest]], metric)
@@ -91,7 +92,7 @@ def robust_prune(p: int, ids: np.ndarray, x: np.ndarray, degree: int, alpha: flo
                 with np.errstate(divide="ignore", invalid="ignore"):
                     factor[rest] = np.maximum(factor[rest], np.where(between == 0, np.inf, d[rest] / between))
         slack *= 1.2
-    if saturate and len(chosen) < degree:
+    if saturate and alpha > 1 and len(chosen) < degree:
         chosen += [int(i) for i in ids if int(i) not in set(chosen)][: degree - len(chosen)]
     return chosen
 
@@ -99,21 +100,66 @@ def robust_prune(p: int, ids: np.ndarray, x: np.ndarray, degree: int, alpha: flo
 class Vamana:
     """One graph over rows 0..n-1 of x."""
 
-    def __init__(self, x: np.ndarray, degree: int = 32, length: int = 64, alpha: float = 1.2, metric: str = "l2", saturate: bool = False, labels: list[set] | None = None, slack: float = 1.3):
+    def __init__(self, x: np.ndarray, degree: int = 32, length: int = 64, alpha: float = 1.2, metric: str = "l2", saturate: bool = False, labels: list[set] | None = None, slack: float = 1.3, book=None):
+        """book: searches while building rank by its codes; prunings are exact."""
         self.x, self.degree, self.length, self.alpha, self.metric, self.saturate, self.labels, self.slack = np.asarray(x, dtype=np.float64), degree, length, alpha, metric, saturate, labels, slack
         self.nbrs: list[list[int]] = [[] for _ in range(len(x))]
         self.deleted: set[int] = set()
+        self.entries: dict[int, int] = {}
         self.start = medoid(self.x) if len(x) else 0
+        self.book, self.codes = book, None if book is None or not len(x) else book.encode(self.x)
+
+    def choose_entries(self, tries: int = 25, seed: int = 1) -> None:
+        """For each label a row where filtered searches begin: of some random rows that have it, the one that fewest labels begin at."""
+        members: dict[int, list[int]] = {}
+        for i, own in enumerate(self.labels):
+            for label in own:
+                members.setdefault(label, []).append(i)
+        rng, used = np.random.default_rng(seed), {}
+        for label in sorted(members):
+            some = rng.choice(members[label], size=min(tries, len(members[label])), replace=False).tolist()
+            entry = min(some, key=lambda i: (used.get(i, 0), i))
+            used[entry], self.entries[label] = used.get(entry, 0) + 1, entry
 
     def build(self) -> Vamana:
+        if self.labels is not None:
+            self.choose_entries()
         for p in range(len(self.x)):
             if p != self.start:
                 self.link(p)
         for p, own in enumerate(self.nbrs):
             if len(own) > self.degree:
                 self.nbrs[p] = self.prune(p, own)
+        if self.labels is not None:
+            self.connect_labels()
         return self
 
+    def connect_labels(self) -> None:
+        """Every row of a label can be reached from the one nearest to their mean through rows of the label: where pruning has cut some
+        off, the nearest pair on both sides is linked, beyond the degree if need be."""
+        members: dict[int, list[int]] = {}
+        for i, own in enumerate(self.labels):
+            for label in own:
+                members.setdefault(label, []).append(i)
+        for label in sorted(members):
+            rows = members[label]
+            inside, first = set(rows), rows[medoid(self.x[rows])]
+            seen, front = {first}, [first]
+            while True:
+                while front:
+                    new = [v for v in self.nbrs[front.pop()] if v in inside and v not in seen]
+                    seen.update(new)
+                    front += new
+                apart = np.array([i for i in rows if i not in seen], dtype=np.int64)
+                if not len(apart):
+                    break
+                near = np.array(sorted(seen), dtype=np.int64)
+                d = (self.x[near] ** 2).sum(1)[:, None] + (self.x[apart] ** 2).sum(1)[None] - 2 * self.x[near] @ self.x[apart].T
+                a, b = np.unravel_index(int(d.argmin()), d.shape)
+                self.nbrs[int(near[a])].append(int(apart[b]))
+                seen.add(int(apart[b]))
+                front = [int(apart[b])]
+
     def prune(self, p: int, ids) -> list[int]:
         ids = [i for i in ids if i not in self.deleted]
         return robust_prune(p, np.array(ids, dtype=np.int64), self.x, self.degree, self.alpha, self.metric, self.saturate, self.labels)
@@ -122,11 +168,21 @@ class Vamana:
         """allowed: nodes that may be travelled at all, as in filtered graphs."""
         near = (lambda u: self.nbrs[u]) if allowed is None else (lambda u: [v for v in self.nbrs[u] if allowed(v)])
         alive = (lambda i: i not in self.deleted) if self.deleted else None
-        return best_first(start or [self.start], lambda ids: distances(q, self.x[ids], self.metric), near, length, beam, alive=alive)
+        if self.codes is not None:
+            table, chunk = self.book.table(q), np.arange(self.codes.shape[1])
+            dist = lambda ids: table[chunk, self.codes[ids]].sum(axis=1)
+        else:
+            dist = lambda ids: distances(q, self.x[ids], self.metric)
+        return best_first(start or [self.start], dist, near, length, beam, alive=alive)
 
     def link(self, p: int) -> None:
-        found = self.search(self.x[p], self.length)
-        pool = [*found["expanded"], *self.nbrs[p]]
+        pool = [*self.search(self.x[p], self.length)["expanded"], *self.nbrs[p]]
+        if self.labels is not None and self.labels[p]:  # a second search, through rows that share a label alone
+            begin = [self.entries.setdefault(label, p) for label in sorted(self.labels[p])]
+            begin = [i for i in dict.fromkeys(begin) if i != p]
+            if begin:
+                own = self.labels[p]
+                pool += self.search(self.x[p], self.length, start=begin, allowed=lambda v: bool(self.labels[v] & own))["expanded"]
         self.nbrs[p] = self.prune(p, pool)
         for v in self.nbrs[p]:
             if p not in self.nbrs[v]:
@@ -135,35 +191,66 @@ class Vamana:
                     self.nbrs[v] = self.prune(v, self.nbrs[v])
 
     # -- updates ---------------------------------------------------------------
-    def insert(self, vector: np.ndarray) -> int:
-        self.x = np.vstack([self.x, np.asarray(vector, dtype=np.float64)[None]])
-        self.nbrs.append([])
-        p = len(self.nbrs) - 1
-        if p:
-            self.link(p)
-        return p
+    def insert(self, vectors: np.ndarray, labels: list[set] | None = None) -> range:
+        """The new nodes' numbers. Each is searched for, pruned and linked back, in turn."""
+        first, vectors = len(self.nbrs), np.atleast_2d(np.asarray(vectors, dtype=np.float64))
+        self.x = np.vstack([self.x, vectors]) if first else vectors
+        if self.codes is not None:
+            self.codes = np.vstack([self.codes, self.book.encode(vectors)])
+        self.nbrs += [[] for _ in vectors]
+        if self.labels is not None:
+            self.labels = [*self.labels, *(labels or [set() for _ in vectors])]
+        for p in range(first, len(self.nbrs)):
+            if p != self.start:
+                self.link(p)
+        for p, own in enumerate(self.nbrs):
+            if len(own) > self.degree:
+                self.nbrs[p] = self.prune(p, own)
+        return range(first, len(self.nbrs))
 
     def delete(self, p: int) -> None:
         """Lazily: p is travelled through, but never a result, until consolidate()."""
         self.deleted.add(p)
 
-    def consolidate(self) -> None:
-        """Neighbours that are deleted give way to their own live neighbours."""
+    def consolidate(self) -> int:
+        """Neighbours that are deleted give way to their own live neighbours. The number of nodes whose lists changed."""
+        changed = 0
         for p, own in enumerate(self.nbrs):
             gone = [v for v in own if v in self.deleted]
             if p in self.deleted or not gone:
                 continue
             wider = dict.fromkeys([v for v in own if v not in self.deleted] + [w for v in gone for w in self.nbrs[v] if w not in self.deleted and w != p])
             self.nbrs[p] = list(wider) if len(wider) <= self.degree else self.prune(p, list(wider))
+            changed += 1
         for p in self.deleted:
             self.nbrs[p] = []
         if self.start in self.deleted:
             alive = np.array([i for i in range(len(self.x)) if i not in self.deleted])
             self.start = int(alive[medoid(self.x[alive])]) if len(alive) else 0
+        return changed
+
+    def compact(self) -> np.ndarray:
+        """Takes the deleted nodes away, after consolidate(), and numbers the others densely. Their former numbers."""
+        old = np.array([i for i in range(len(self.x)) if i not in self.deleted], dtype=np.int64)
+        new = {int(o): n for n, o in enumerate(old)}
+        self.x, self.nbrs = self.x[old], [[new[v] for v in self.nbrs[o]] for o in old]
+        if self.labels is not None:
+            self.labels = [self.labels[o] for o in old]
+        self.start, self.deleted = new.get(self.start, 0), set()
+        return old
+
+
+def sphere(n: int, dim: int, radius: float, seed: int = 1) -> np.ndarray:
+    """n points on a sphere, uniformly: where searches of a graph that begins empty may start."""
+    x = np.random.default_rng(seed).normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True) * radius
 
 
 def cross_prune(q: np.ndarray, ids: np.ndarray, x: np.ndarray, degree: int) -> list[int]:
-    """Of candidates in order of distance, those that no chosen one is as near to as q is. Positions in ids."""
+    """Of candidates in order of distance, those that no chosen one is as near to as q is. Positions in ids.
+
+    There is no slack: more of it would block more, and what one chosen node blocks stays blocked.
+    """
     d = distances(q, x)
     chosen: list[int] = []
     for k in np.lexsort((ids, d)):
@@ -175,23 +262,23 @@ def cross_prune(q: np.ndarray, ids: np.ndarray, x: np.ndarray, degree: int) -> l
 
 
 def refine(q: np.ndarray, pool: list[tuple[float, int]], vector: Callable[[np.ndarray], np.ndarray], k: int, mode: str = "full", batch: int = 50, streak: int = 2, count: int = 0, ratio: float = 1.0) -> tuple[list[tuple[float, int, bool]], int]:
-    """Exact distances for a pool in order of approximate ones: (dist, id, refined), refined rows first, and how many were.
+    """Exact distances for a pool in order of approximate ones: the best k as (dist, id, refined), and how many were refined.
 
-    mode: full; early_exit, when the best k ids stay the same for `streak`
-    batches; fixed_count; fixed_ratio (at least k either way).
+    mode: full; early_exit, when the k best ids of the whole pool, by exact distances as far as they are known and approximate
+    ones beyond, stay the same for `streak` batches; fixed_count; fixed_ratio (at least k).
     """
     ids = np.array([i for _, i in pool], dtype=np.int64)
-    n = {"full": len(ids), "early_exit": len(ids), "fixed_count": max(k, count), "fixed_ratio": max(k, int(np.ceil(ratio * len(ids))))}[mode]
-    exact: list[tuple[float, int]] = []
-    same, before = 0, None
-    for at in range(0, min(n, len(ids)), batch if mode == "early_exit" else max(n, 1)):
-        part = ids[at:min(at + batch, n)] if mode == "early_exit" else ids[:n]
-        exact += zip(map(float, distances(q, vector(part))), map(int, part), strict=True)
+    n = {"full": len(ids), "early_exit": len(ids), "fixed_count": min(count, len(ids)), "fixed_ratio": min(len(ids), max(k, int(np.ceil(ratio * len(ids)))))}[mode]
+    present = {i: (d, False) for d, i in pool}
+    best = lambda: sorted((d, i, r) for i, (d, r) in present.items())[:k]
+    same, before, done = 0, {i for _, i, _ in best()}, 0
+    while done < n:
+        part = ids[done:min(done + batch, n)] if mode == "early_exit" else ids[:n]
+        present.update((int(i), (float(d), True)) for d, i in zip(distances(q, vector(part)), part, strict=True))
+        done += len(part)
         if mode == "early_exit":
-            best = {i for _, i in sorted(exact)[:k]}
-            same, before = same + 1 if best == before else 0, best
+            now = {i for _, i, _ in best()}
+            same, before = same + 1 if now == before else 0, now
             if same >= streak:
                 break
-    done = {i for _, i in exact}
-    rest = [(d, i, False) for d, i in pool if i not in done]
-    return ([(d, i, True) for d, i in sorted(exact)] + rest)[:k], len(exact)
+    return best(), done

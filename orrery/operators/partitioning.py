@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from orrery.functions.vectors import l2
+from orrery.operators.knn import exact, matrix
+from orrery.storage import stored
 
 
 def index_bytes(n: int, dim: int, element_bytes: int = 4, degree: int = 32) -> float:
@@ -34,7 +41,22 @@ def least_partitions(n: int, dim: int, budget: float, degree: int = 32, element_
 
 def largest_shard(dim: int, budget: float, degree: int = 32, element_bytes: int = 4, fraction: float = 1.0) -> int:
     """The most rows of which a graph can be built within the budget."""
-    return int(budget * fraction / (index_bytes(1_000_000, dim, element_bytes, degree) / 1_000_000))
+    fits = lambda n: index_bytes(n, dim, element_bytes, degree) <= budget * fraction
+    high = 1
+    while fits(high):
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if fits(mid) else (low, mid)
+    return low
+
+
+def shards_needed(n: int, largest: int, copies: float) -> int:
+    """How many shards of at most `largest` rows take n rows, each up to `copies` times."""
+    if largest < 1:
+        raise ValueError("not even one row fits the budget")
+    return max(1, -(-int(copies * n) // largest))
 
 
 def contiguous(id_col, n: int, parts: int) -> Column:
@@ -75,9 +97,26 @@ def fixed_sample(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame
 
 
 def nearest_centres(df: DataFrame, centres: list[tuple[int, list[float]]], k: int = 1, vec_col: str = "embedding") -> DataFrame:
-    """df with nearest: array of (dist, centre), the k nearest of few centres; ties go to the lower centre. No row moves."""
-    each = F.array(*[F.struct(l2(vec_col, F.array(*map(F.lit, map(float, v)))).alias("dist"), F.lit(c).cast("bigint").alias("centre")) for c, v in centres])
-    return df.withColumn("nearest", F.slice(F.array_sort(each), 1, k))
+    """df with nearest: array of (dist, centre), the k nearest of few centres; ties go to the lower centre. No row moves; rows without a
+    vector go."""
+    ordered = sorted((int(c), v) for c, v in centres)
+    sent = df.sparkSession.sparkContext.broadcast((np.array([c for c, _ in ordered]), np.array([v for _, v in ordered], dtype=np.float64)))
+    at, names = df.columns.index(vec_col), [*df.columns, "nearest"]
+    kind = T.ArrayType(T.StructType([T.StructField("dist", T.DoubleType()), T.StructField("centre", T.LongType())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, c = sent.value
+        most = min(k, len(ids))
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b.column(at))
+                d = np.stack([exact("l2", one, x) for one in c], axis=1)
+                order = np.argsort(d, axis=1, kind="stable")[:, :most]
+                pairs = pa.StructArray.from_arrays([pa.array(d[np.arange(len(x))[:, None], order].ravel()), pa.array(ids[order.ravel()])], names=["dist", "centre"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * most + 1, most), pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([*b.columns, lists], names=names)
+
+    return df.filter(F.col(vec_col).isNotNull()).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("nearest", kind)]))
 
 
 def capped_assignment(near: DataFrame, cap: int, slack: float = 1.1, copies: int = 2) -> DataFrame:
@@ -112,6 +151,124 @@ def capped_assignment(near: DataFrame, cap: int, slack: float = 1.1, copies: int
     return near.select("id", "nearest").repartition(1).sortWithinPartitions("id").mapInPandas(run, "id bigint, centre bigint")
 
 
+def kmeans_shards(df: DataFrame, centres: np.ndarray, copies: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, shard, rank, dist): each row with its `copies` nearest centres, in order; ties go to the lower number. Centres are sent to the
+    tasks (a bounded number, by the budget); no row moves."""
+    if not 1 <= copies <= len(centres):
+        raise ValueError("copies must be between 1 and the number of centres")
+    sent = df.sparkSession.sparkContext.broadcast(np.asarray(centres, dtype=np.float64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b.column(1))
+            d = np.stack([exact("l2", one, x) for one in c], axis=1)
+            order = np.argsort(d, axis=1, kind="stable")[:, :copies]
+            n = len(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), copies), pa.int64()), pa.array(order.ravel()), pa.array(np.tile(np.arange(copies), n).astype(np.int32)), pa.array(d[np.arange(n)[:, None], order].ravel())],
+                                             names=["id", "shard", "rank", "dist"])
+
+    return df.filter(F.col(vec_col).isNotNull()).select(id_col, vec_col).mapInArrow(run, "id bigint, shard bigint, rank int, dist double")
+
+
+def lloyd_step(df: DataFrame, centres: np.ndarray, vec_col: str = "embedding") -> tuple[np.ndarray, float]:
+    """One round of k-means over all rows: new centres, and the residual under the old ones. A task returns one sum for each centre."""
+    sent, k, dim = df.sparkSession.sparkContext.broadcast(centres), len(centres), centres.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n, residual = np.zeros((k, dim)), np.zeros(k, dtype=np.int64), 0.0
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b.column(0))
+                d = np.stack([exact("l2", one, x) for one in sent.value], axis=1)
+                near = d.argmin(axis=1)
+                np.add.at(sums, near, x)
+                n += np.bincount(near, minlength=k)
+                residual += float(d[np.arange(len(x)), near].sum())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k * dim + 1, dim), pa.int32()), pa.array(sums.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), lists, pa.array(n), pa.array(np.full(k, residual / k))], names=["centre", "sums", "n", "residual"])
+
+    parts = df.filter(F.col(vec_col).isNotNull()).select(vec_col).mapInArrow(run, "centre bigint, sums array<double>, n bigint, residual double")
+    added = parts.select("centre", "n", "residual", F.posexplode("sums").alias("pos", "s")).groupBy("centre", "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("residual").alias("residual"))
+    rows = added.toPandas().sort_values(["centre", "pos"])  # k * dim rows
+    n = rows["n"].to_numpy().reshape(k, dim)[:, :1]
+    return np.where(n > 0, rows["s"].to_numpy().reshape(k, dim) / np.maximum(n, 1), 0.0), float(rows[rows["pos"] == 0]["residual"].sum())
+
+
+def kmeans(df: DataFrame, centres: np.ndarray, rounds: int = 12, vec_col: str = "embedding") -> tuple[np.ndarray, list[float]]:
+    """Lloyd's iteration over all rows, and the residuals. Stops when the residual falls by under 1e-5 of what it has become; a centre
+    without rows becomes zero."""
+    residuals: list[float] = []
+    for _ in range(rounds):
+        centres, residual = lloyd_step(df, centres, vec_col)
+        residuals.append(residual)
+        if residual < 2.2e-16 or len(residuals) > 1 and (residuals[-2] - residual) / residual < 1e-5:
+            break
+    return centres, residuals
+
+
+def random_pivots(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 0) -> np.ndarray:
+    """k rows as first centres, those with the least hashes of their ids, equal vectors once."""
+    rows = fixed_sample(df.filter(F.col(vec_col).isNotNull()).select(id_col, vec_col), id_col, 4 * k, seed).collect()
+    distinct = list(dict.fromkeys(tuple(r[1]) for r in sorted(rows, key=lambda r: hashlib.md5(f"{seed}:{r[0]}".encode()).hexdigest())))[:k]
+    if len(distinct) < k:
+        raise ValueError(f"{len(distinct)} different rows are too few for {k} centres")
+    return np.array(distinct, dtype=np.float64)
+
+
+def budget_shards(df: DataFrame, budget: float, copies: int = 2, degree: int = 32, id_col: str = "vec_id", vec_col: str = "embedding", first: int = 3, step: int = 2, retries: int = 32, fraction: float = 0.95, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """(the written shards of kmeans_shards(), their centres) such that a graph of any shard fits the budget: from `first` shards on, `step` more
+    until the actual largest one fits `fraction` of it."""
+    dim = df.agg(F.max(F.size(vec_col))).first()[0] or 1
+    most, k = largest_shard(dim, budget, degree, fraction=fraction), max(first, copies)
+    for _ in range(retries):
+        centres, _ = kmeans(df, random_pivots(df, k, id_col, vec_col, seed), 10, vec_col)
+        shards = stored(kmeans_shards(df, centres, copies, id_col, vec_col), "shards")
+        largest = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest <= most:
+            return shards, centres
+        k += step
+    raise ValueError(f"after {retries} attempts the largest of {k - step} shards has {largest} rows, and {most} fit")
+
+
+def materialised(shards: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(shard, local, id, vec): each shard's rows, numbered within it in order of id."""
+    from pyspark.sql import Window
+
+    own = shards.select("id", "shard").join(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")), "id")
+    return own.withColumn("local", F.row_number().over(Window.partitionBy("shard").orderBy("id")) - 1).select("shard", "local", "id", "vec")
+
+
+def to_global(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(src, dst) under global ids of shards' edges (shard, src, dst) under local ones; ids: (shard, local, id)."""
+    name = lambda c: ids.select("shard", F.col("local").alias(c), F.col("id").alias(f"global_{c}"))
+    return edges.join(name("src"), ["shard", "src"]).join(name("dst"), ["shard", "dst"]).select(F.col("global_src").alias("src"), F.col("global_dst").alias("dst"))
+
+
+def shard_labels(shards: DataFrame, labels: DataFrame) -> DataFrame:
+    """(shard, id, labels) of the rows of each shard; labels: (id, labels)."""
+    return shards.select("shard", "id").join(labels, "id").select("shard", "id", "labels")
+
+
 def centroids(assigned: DataFrame, by: str, vec_col: str = "embedding") -> DataFrame:
-    """(by, pos, mean): the mean of each group's vectors, a row for each dimension."""
-    return assigned.select(by, F.posexplode(F.col(vec_col).cast("array<double>")).alias("pos", "x")).groupBy(by, "pos").agg(F.avg("x").alias("mean"))
+    """(by, pos, mean): the mean of each group's vectors, a row for each dimension. Sums are made in each batch before anything moves."""
+    kind = assigned.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b.column(1))
+            groups = b.column(0).dictionary_encode()
+            at = groups.indices.fill_null(len(groups.dictionary)).to_numpy(zero_copy_only=False)
+            k, dim = len(groups.dictionary) + groups.indices.null_count.__bool__(), x.shape[1]
+            sums = np.zeros((k, dim))
+            np.add.at(sums, at, x)
+            n = np.bincount(at, minlength=k)
+            keys = pa.concat_arrays([groups.dictionary, pa.nulls(k - len(groups.dictionary), groups.dictionary.type)])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(np.arange(k), dim))), pa.array(np.tile(np.arange(dim), k).astype(np.int32)), pa.array(sums.ravel()), pa.array(np.repeat(n, dim).astype(np.int64))], names=["by", "pos", "s", "n"])
+
+    own = assigned.filter(F.col(vec_col).isNotNull()).select(by, vec_col).mapInArrow(run, f"by {kind}, pos int, s double, n bigint")
+    return own.groupBy(F.col("by").alias(by), "pos").agg((F.sum("s") / F.sum("n")).alias("mean"))

@@ -1,16 +1,23 @@
-"""Product quantisation: training on a bounded sample, encoding, and distances on codes."""
+"""Product quantisation: training on a bounded sample, encoding, and distances on codes.
+
+Quantiser is what a search needs of any quantisation: codes of vectors, and a
+query's distances to codes. Codebook and RotatedBits are two.
+"""
 
 from __future__ import annotations
 
+import json
+from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators.knn import matrix, query_blocks
+from orrery.operators.knn import matrix, merge_top_k, query_blocks
+from orrery.storage import stored
 
 SAMPLE = 256_000
 CENTRES = 256
@@ -24,8 +31,18 @@ def chunk_offsets(dim: int, chunks: int) -> list[int]:
     return [i * low + min(i, more) for i in range(chunks + 1)]
 
 
+class Quantiser(ABC):
+    @abstractmethod
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        """(rows, chunks) of vectors."""
+
+    @abstractmethod
+    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Of a query to codes."""
+
+
 @dataclass
-class Codebook:
+class Codebook(Quantiser):
     """pivots: (centres, dim); centroid is subtracted first, rotation applied after it."""
 
     pivots: np.ndarray
@@ -57,6 +74,35 @@ class Codebook:
         d = (self.turned(q[None]) - self.pivots) ** 2
         return np.stack([d[:, a:b].sum(axis=1) for a, b in zip(self.offsets, self.offsets[1:], strict=False)])
 
+    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return self.table(q)[np.arange(codes.shape[1]), codes].sum(axis=1)
+
+    def products(self, q: np.ndarray) -> np.ndarray:
+        """(chunks, centres): by which inner products of a query with coded vectors are summed, negative, so that smaller is nearer."""
+        if self.rotation is not None:
+            raise ValueError("a rotated codebook has no chunks of the query's own dimensions")
+        d = -(q * self.pivots)
+        return np.stack([d[:, a:b].sum(axis=1) for a, b in zip(self.offsets, self.offsets[1:], strict=False)])
+
+    def to_json(self) -> str:
+        as_list = lambda x: None if x is None else np.asarray(x).tolist()
+        return json.dumps({"pivots": as_list(self.pivots), "offsets": list(self.offsets), "centroid": as_list(self.centroid), "rotation": as_list(self.rotation)})
+
+    @classmethod
+    def from_json(cls, text: str) -> Codebook:
+        d = json.loads(text)
+        book = cls(np.array(d["pivots"]), d["offsets"], np.array(d["centroid"]), None if d["rotation"] is None else np.array(d["rotation"]))
+        if book.pivots.shape[1] != len(book.centroid) or book.offsets[-1] != len(book.centroid):
+            raise ValueError("the codebook's pivots, offsets and centroid don't go together")
+        return book
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(folder)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Codebook:
+        return cls.from_json(spark.read.text(folder).first()[0])
+
     def symmetric(self) -> np.ndarray:
         """(chunks, centres, centres): distances of codes to codes."""
         if self.lut is None:
@@ -77,7 +123,7 @@ def kmeans_pp(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def lloyd(x: np.ndarray, centres: np.ndarray, rounds: int) -> np.ndarray:
-    """Stops when the residual falls by under 1e-5 of itself; a centre without points becomes zero."""
+    """Stops when the residual falls by under 1e-5 of what it has become; a centre without points becomes zero."""
     before = None
     for _ in range(rounds):
         d = (x * x).sum(1)[:, None] + (centres * centres).sum(1)[None] - 2 * x @ centres.T
@@ -86,19 +132,61 @@ def lloyd(x: np.ndarray, centres: np.ndarray, rounds: int) -> np.ndarray:
         sums, n = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
         np.add.at(sums, near, x)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], 0.0)
-        if residual < np.finfo(float).eps or before is not None and (before - residual) / before < 1e-5:
+        if residual < np.finfo(float).eps or before is not None and (before - residual) / residual < 1e-5:
             break
         before = residual
     return centres
 
 
+def sampled(vectors: DataFrame, sample: int, seed: int, vec_col: str) -> DataFrame:
+    """About `sample` of the rows with a vector, as array<double>; all, if there are no more."""
+    own = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(vec_col).cast("array<double>").alias("vec"))
+    n = own.count()
+    return own if n <= sample else own.sample(fraction=sample / n, seed=seed)
+
+
 def train(vectors: DataFrame, chunks: int, centres: int = CENTRES, rounds: int = 12, centred: bool = True, rotate: int = 0, seed: int = 1, vec_col: str = "embedding", sample: int = SAMPLE) -> Codebook:
-    """A codebook from at most about `sample` rows. rotate: rounds of learning a rotation (0: none)."""
-    n = vectors.count()
-    part = vectors.select(vec_col) if n <= sample else vectors.select(vec_col).sample(fraction=sample / n, seed=seed)
-    x = np.array([r[0] for r in part.collect()], dtype=np.float64)  # bounded by `sample`
+    """A codebook from at most about `sample` rows. rotate: rounds of learning a rotation (0: none).
+
+    Without one, each chunk is trained in a task of its own, which holds the sample's numbers of that chunk; the driver gets the
+    centres alone. A rotation needs whole rows in one place: then the sample goes to the driver, as flat numbers.
+    """
+    if rotate:
+        return _train_rotated(vectors, chunks, centres, centred, rotate, seed, vec_col, sample)
+    rows = stored(sampled(vectors, sample, seed, vec_col), "pq-sample")
+    n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    if n < centres:
+        raise ValueError(f"{n} rows are too few for {centres} centres")
+    from orrery.operators.partitioning import centroids
+
+    mean = [r["mean"] for r in centroids(rows.withColumn("all", F.lit(0)), "all", "vec").orderBy("pos").collect()] if centred else [0.0] * dim
+    cuts, centroid = chunk_offsets(dim, chunks), np.array(mean)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b.column(0)) - centroid
+                yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([x[:, a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["chunk", "x"])
+
+    def fit(key: tuple, pdf):
+        import pandas as pd
+
+        m = int(key[0])
+        x = np.vstack([np.frombuffer(b).reshape(-1, cuts[m + 1] - cuts[m]) for b in pdf["x"]])
+        x = x[np.lexsort(x.T[::-1])]  # in an order of their own, however the rows came
+        pivots = lloyd(x, kmeans_pp(x, centres, np.random.default_rng([seed, m])), rounds)
+        return pd.DataFrame({"chunk": [m], "pivots": [pivots.tobytes()]})
+
+    found = rows.mapInArrow(cut, "chunk int, x binary").groupBy("chunk").applyInPandas(fit, "chunk int, pivots binary").orderBy("chunk").collect()
+    return Codebook(np.hstack([np.frombuffer(r.pivots).reshape(centres, -1) for r in found]), cuts, centroid)
+
+
+def _train_rotated(vectors: DataFrame, chunks: int, centres: int, centred: bool, rotate: int, seed: int, vec_col: str, sample: int) -> Codebook:
+    column = sampled(vectors, sample, seed, vec_col).toArrow().column(0).combine_chunks()  # at most about `sample` rows
+    x = matrix(column) if len(column) else np.zeros((0, 1))
     if len(x) < centres:
         raise ValueError(f"{len(x)} rows are too few for {centres} centres")
+    x = x[np.lexsort(x.T[::-1])]
     rng, centroid = np.random.default_rng(seed), x.mean(axis=0) if centred else np.zeros(x.shape[1])
     x, cuts = x - centroid, chunk_offsets(x.shape[1], chunks)
     spans = list(zip(cuts, cuts[1:], strict=False))
@@ -106,8 +194,6 @@ def train(vectors: DataFrame, chunks: int, centres: int = CENTRES, rounds: int =
     def pivots_of(x, old, rounds):
         return np.hstack([lloyd(x[:, a:b], kmeans_pp(x[:, a:b], centres, rng) if old is None else old[:, a:b], rounds) for a, b in spans])
 
-    if not rotate:
-        return Codebook(pivots_of(x, None, rounds), cuts, centroid)
     turn, pivots = np.eye(x.shape[1]), None
     for _ in range(rotate):
         y = x @ turn
@@ -129,8 +215,11 @@ def encode(vectors: DataFrame, book: Codebook, id_col: str = "vec_id", vec_col:
     return vectors.filter(F.col(vec_col).isNotNull()).select(id_col, vec_col).mapInArrow(run, "id bigint, code array<smallint>")
 
 
-def adc(queries: DataFrame, vectors: DataFrame, book: Codebook, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(qid, id, dist): distances of a stated query set to all codes, by one table for each query. Queries go out in blocks; rows don't move."""
+def adc(queries: DataFrame, vectors: DataFrame, book: Codebook, k: int = 0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(qid, id, dist): distances of a stated query set to codes, by one table for each query: the k nearest, or with k = 0 all.
+
+    Queries go out in blocks; rows don't move; a task returns at most k rows for a query.
+    """
     spark, out = vectors.sparkSession, None
     for ids, q, _ in query_blocks(queries, id_col, vec_col, []):
         sent = spark.sparkContext.broadcast((ids, np.stack([book.table(x) for x in q])))
@@ -138,11 +227,107 @@ def adc(queries: DataFrame, vectors: DataFrame, book: Codebook, id_col: str = "v
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, tables = sent.value
             chunk = np.arange(tables.shape[1])
+            best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+            as_batch = lambda i, own, d: pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i)), pa.array(own), pa.array(d)], names=["qid", "id", "dist"])
             for b in batches:
                 own, codes = b.column(0).to_numpy(), np.stack(b.column(1).to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros((0, len(chunk)), np.int16)
-                for i, t in zip(ids, tables, strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i)), pa.array(own), pa.array(t[chunk, codes].sum(axis=1))], names=["qid", "id", "dist"])
+                for n, (i, t) in enumerate(zip(ids, tables, strict=True)):
+                    d = t[chunk, codes].sum(axis=1)
+                    if not k:
+                        yield as_batch(i, own, d)
+                        continue
+                    held, near = np.concatenate([best[n][0], own]), np.concatenate([best[n][1], d])
+                    order = np.lexsort((held, near))[:k]
+                    best[n] = held[order], near[order]
+            for i, (own, d) in zip(ids, best, strict=True):
+                yield as_batch(i, own, d)
 
         part = encode(vectors, book, id_col, vec_col).mapInArrow(run, "qid bigint, id bigint, dist double")
         out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], "qid bigint, id bigint, dist double") if out is None else out
+    if out is None:
+        return spark.createDataFrame([], "qid bigint, id bigint, dist double")
+    return merge_top_k(out, k).drop("rank") if k else out
+
+
+def symmetric_distance(a: Column, b: Column, lut: Column, centres: int) -> Column:
+    """Code to code: the sum of lut[chunk][a's centre][b's centre]; lut is the book's flat table."""
+    at = F.zip_with(a, b, lambda x, y: x.cast("int") * centres + y.cast("int"))
+    return F.aggregate(F.transform(at, lambda x, m: F.get(lut, m * centres * centres + x)), F.lit(0.0), lambda s, x: s + x)
+
+
+def with_lut(df: DataFrame, book: Codebook) -> DataFrame:
+    """df with the book's flat table of code distances as column lut, sent once to each task: chunks * centres^2 numbers."""
+    table = df.sparkSession.createDataFrame([(book.symmetric().ravel().tolist(),)], "lut array<double>")
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(table.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
+@dataclass
+class RotatedBits(Quantiser):
+    """One bit a dimension after a random rotation about a centre, with each vector's norm and the bits' own error, from which an
+    unbiased estimate of the distance follows. Symmetric distances have no form here."""
+
+    centre: np.ndarray
+    rotation: np.ndarray
+
+    @classmethod
+    def train(cls, x: np.ndarray, seed: int = 1) -> RotatedBits:
+        return cls(x.mean(axis=0), random_rotation(x.shape[1], seed))
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        """(rows, dim + 2): the signs, the distance from the centre, and the product of the unit vector with its signs' unit vector."""
+        y = (x - self.centre) @ self.rotation
+        norm = np.linalg.norm(y, axis=1)
+        sign = np.where(y >= 0, 1.0, -1.0)
+        unit = y / np.maximum(norm, 1e-30)[:, None]
+        return np.hstack([sign, norm[:, None], ((unit * sign).sum(axis=1) / np.sqrt(y.shape[1]))[:, None]])
+
+    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        y = (q - self.centre) @ self.rotation
+        sign, norm, own = codes[:, :-2], codes[:, -2], codes[:, -1]
+        product = sign @ y / np.sqrt(len(y)) / np.maximum(own, 1e-30)
+        return norm ** 2 + y @ y - 2 * norm * product
+
+
+def random_rotation(dim: int, seed: int = 1) -> np.ndarray:
+    """An orthogonal matrix, uniform over all."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
+    return q * np.sign(np.diag(r))
+
+
+def rotated(vectors: DataFrame, rotation: np.ndarray, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, vec array<double>): vectors times a matrix; no row moves."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y = matrix(b.column(1)) @ rotation if b.num_rows else np.zeros((0, rotation.shape[1]))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1]), pa.int32()), pa.array(y.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), lists], names=["id", "vec"])
+
+    return vectors.filter(F.col(vec_col).isNotNull()).select(id_col, vec_col).mapInArrow(run, "id bigint, vec array<double>")
+
+
+def elkan(x: np.ndarray, centres: np.ndarray, rounds: int) -> np.ndarray:
+    """lloyd() by bounds: a point is compared with a centre only if the triangle inequality doesn't rule it out. The same centres."""
+    near = None
+    before = None
+    for _ in range(rounds):
+        between = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))
+        if near is None:
+            d = np.sqrt(((x[:, None] - centres[None]) ** 2).sum(axis=2))
+            near, lower = d.argmin(axis=1), d
+        upper = np.sqrt(((x - centres[near]) ** 2).sum(axis=1))
+        maybe = (lower <= upper[:, None]) & (between[near] <= 2 * upper[:, None])
+        rows, cols = np.nonzero(maybe)
+        lower[rows, cols] = np.sqrt(((x[rows] - centres[cols]) ** 2).sum(axis=1))
+        own = np.where(maybe, lower, np.inf)
+        own[np.arange(len(x)), near] = upper
+        near = own.argmin(axis=1)
+        residual = float((own[np.arange(len(x)), near] ** 2).sum())
+        sums, n = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
+        np.add.at(sums, near, x)
+        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], 0.0)
+        lower = np.maximum(lower - np.sqrt(((new - centres) ** 2).sum(axis=1))[None], 0.0)
+        centres = new
+        if residual < np.finfo(float).eps or before is not None and (before - residual) / residual < 1e-5:
+            break
+        before = residual
+    return centres

@@ -30,3 +30,32 @@ def window_truth(truth: DataFrame, starts: DataFrame, width: int, k: int) -> Dat
     inside = truth.join(F.broadcast(starts), (F.col("id") >= F.col("first")) & (F.col("id") < F.col("first") + width))
     rank = F.row_number().over(Window.partitionBy("step", "qid").orderBy("dist", "id"))
     return inside.withColumn("rank", rank).filter(F.col("rank") <= k).select("step", "qid", "rank", "id", "dist")
+
+
+def plain_recall(truth: DataFrame, result: DataFrame, k: int) -> DataFrame:
+    """(qid, hits, recall): hits among the first k of both, without regard to ties; a fraction of k."""
+    hits = truth.filter(F.col("rank") <= k).select("qid", "id").join(result.filter(F.col("rank") <= k).select("qid", "id").distinct(), ["qid", "id"]).groupBy("qid").agg(F.count(F.lit(1)).alias("hits"))
+    return truth.select("qid").distinct().join(hits, "qid", "left").select("qid", F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("hits", F.lit(0)) / k).alias("recall"))
+
+
+def live_recall(truth: DataFrame, result: DataFrame, live: DataFrame, k: int) -> DataFrame:
+    """plain_recall() against the k first of a long truth list that are live (live: id)."""
+    from pyspark.sql import Window as W
+
+    rank = F.row_number().over(W.partitionBy("qid").orderBy("dist", "id"))
+    return plain_recall(truth.join(live.select("id"), "id", "left_semi").withColumn("rank", rank).filter(F.col("rank") <= k), result, k)
+
+
+def simulated_recall(recalls: list[float], k: int, wanted: int, parts: int, rounds: int = 1000, seed: int = 1) -> float:
+    """The recall at `wanted` to expect of `parts` shards that return k each, if neighbours lie anywhere: recalls[j - 1] is a shard's at j.
+
+    Drawn with a seed. A shard in which more than k lie finds those that its recall at k leaves of k.
+    """
+    import numpy as np
+
+    if len(recalls) < k or k < 1 or parts < 1:
+        raise ValueError("recalls must go to k, and k and parts must be positive")
+    count = np.random.default_rng(seed).multinomial(wanted, [1 / parts] * parts, size=rounds)
+    most = np.minimum(count, k)
+    found = np.where(most > 0, np.array([0.0, *recalls])[most] * most, 0.0)
+    return float(found.sum(axis=1).mean() / wanted)

@@ -46,3 +46,47 @@ def consolidate_expand(edges: DataFrame, tombstones: DataFrame) -> DataFrame:
 def compact_ids(live: DataFrame, key: str) -> DataFrame:
     """(key, location): dense numbers in the order of the key."""
     return numbered(live.select(key), key, column="location")
+
+
+def delete_merge(edges: DataFrame, tombstones: DataFrame, sampled: int) -> DataFrame:
+    """(src, dst) of live sources: consolidate_expand(), in which a deleted neighbour gives at most its first `sampled` live ones.
+
+    edges: (src, pos, dst), positions in order of distance.
+    """
+    dead = tombstones.select("id").distinct()
+    unique = edges.groupBy("src", "dst").agg(F.min("pos").alias("pos"))
+    own = unique.join(dead, F.col("src") == F.col("id"), "left_anti")
+    kept = own.join(dead, F.col("dst") == F.col("id"), "left_anti").select("src", "dst")
+    through = own.join(dead, F.col("dst") == F.col("id"), "left_semi").select("src", F.col("dst").alias("via"))
+    live = unique.join(dead, F.col("src") == F.col("id"), "left_semi").join(dead, F.col("dst") == F.col("id"), "left_anti")
+    first = live.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("pos", "dst"))).filter(F.col("n") <= sampled).select(F.col("src").alias("via"), "dst")
+    return kept.unionByName(through.join(first, "via").select("src", "dst")).filter("src <> dst").distinct()
+
+
+def entry_after_deletes(edges: DataFrame, tombstones: DataFrame, entry: int) -> int:
+    """The entry, or if it is deleted its first live neighbour by position; of none, the least live source."""
+    dead = tombstones.select("id").distinct()
+    if not dead.filter(F.col("id") == entry).limit(1).count():
+        return entry
+    live = edges.join(dead, F.col("dst") == F.col("id"), "left_anti").filter(F.col("src") == entry).orderBy("pos", "dst").select("dst").first()
+    return live[0] if live else edges.join(dead, F.col("src") == F.col("id"), "left_anti").agg(F.min("src")).first()[0]
+
+
+def renumbered(edges: DataFrame, numbers: DataFrame, key: str) -> DataFrame:
+    """(src, dst) under the dense numbers of compact_ids(); edges at nodes without a number go."""
+    name = lambda c: numbers.select(F.col(key).alias(c), F.col("location").alias(f"new_{c}"))
+    return edges.select("src", "dst").join(name("src"), "src").join(name("dst"), "dst").select(F.col("new_src").alias("src"), F.col("new_dst").alias("dst"))
+
+
+def window_steps(total: int, width: int, interval: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """The steps of a sliding window over rows 0..total-1: ranges to insert and then to delete, `interval` rows at a time, so that at
+    most width rows are live after a step."""
+    if not 0 < interval <= width:
+        raise ValueError("the interval must be positive and at most the width")
+    steps, first = [], 0
+    for begin in range(0, total, interval):
+        end = min(begin + interval, total)
+        gone = max(0, end - width)
+        steps.append(((begin, end), (first, max(first, gone))))
+        first = max(first, gone)
+    return steps
