@@ -5,63 +5,126 @@ graphs of other partitions for neighbours there; both kinds of edges are the
 candidates of two prunings with the reverse edges added between them. A task
 holds two partitions at most, so a partition's size, and with it memory, is set
 by the budget (partitioning.least_partitions), whatever the number of rows.
-Each arrow is a written table.
+Beyond NEAR + 1 partitions each one meets the NEAR partitions of the nearest
+means, so the work grows with the partitions, not with their square. Each arrow
+is a written table, and a table that is there already is not built again.
 """
 
 from __future__ import annotations
 
-import pickle
-from dataclasses import dataclass
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators import graph as G
-from orrery.operators.kernels import Vamana, cross_prune
-from orrery.operators.partitioning import all_pairs, contiguous
+from orrery.operators.kernels import Vamana, cross_prune, medoid
+from orrery.operators.knn import knn
+from orrery.operators.partitioning import all_pairs, contiguous, least_partitions
+from orrery.operators.quantise import Codebook
 from orrery.storage import stored
 
+NEAR = 16
+
 
 @dataclass(frozen=True)
 class BuildParams:
-    partitions: int = 4
+    """partitions: how many; None: the fewest of which two fit `memory` bytes. near: how many others each meets, if there are more."""
+
+    partitions: int | None = None
     degree: int = 32
     length: int = 64
     alpha: float = 1.0
     occlusions: int = 1
+    memory: float = 1e9
+    near: int = NEAR
+    saturate: bool = False
 
     def __post_init__(self):
-        for name in ("partitions", "degree", "length", "occlusions"):
-            if getattr(self, name) < 1:
+        for name in ("partitions", "degree", "length", "occlusions", "memory", "near"):
+            value = getattr(self, name)
+            if value is None and name == "partitions":
+                continue
+            if isinstance(value, bool) or not isinstance(value, (int, float)) or value < 1:
                 raise ValueError(f"{name} must be positive")
         if self.alpha < 1:
             raise ValueError("alpha must be at least 1")
 
+    def count(self, n: int, dim: int) -> int:
+        """The number of partitions for n rows."""
+        return max(1, min(self.partitions or least_partitions(max(n, 1), dim, self.memory, self.degree), max(n, 1)))
+
+
+#: A partition's graph as a row: vectors and neighbours are flat, with offsets; neighbours and medoids are positions in ids.
+GRAPHS = ("part bigint, ids array<bigint>, dim int, vectors array<float>, offsets array<int>, nbrs array<int>, start int, "
+          "labels array<int>, label_offsets array<int>, label_ids array<int>, label_medoids array<int>, codes array<smallint>, mean array<double>")
+GRAPH_COLUMNS = [c.split()[0] for c in GRAPHS.split(", ")]
+
 
 def partitioned(vectors: DataFrame, params: BuildParams, id_col: str = "vec_id", vec_col: str = "embedding", labels: str | None = None) -> DataFrame:
     """(id, vec, part), and labels (array<int>) if the rows have them."""
-    n = vectors.count()
-    return vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), contiguous(id_col, n, params.partitions).alias("part"), *([F.col(labels).alias("labels")] if labels else []))
+    n, dim = vectors.agg(F.count(F.lit(1)), F.max(F.size(vec_col))).first()
+    return vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), contiguous(id_col, n, params.count(n, dim or 1)).alias("part"), *([F.col(labels).alias("labels")] if labels else []))
+
+
+def label_medoids(g: Vamana) -> dict[int, int]:
+    """For each label, the row that has it and is nearest to the mean of those that do."""
+    members: dict[int, list[int]] = {}
+    for i, own in enumerate(g.labels):
+        for label in own:
+            members.setdefault(label, []).append(i)
+    return {label: rows[medoid(g.x[rows])] for label, rows in members.items()}
+
+
+def as_row(part: int, ids: np.ndarray, g: Vamana, book: Codebook | None = None) -> pd.DataFrame:
+    """A graph as one row of GRAPHS."""
+    cut = lambda lists: np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    flat = lambda lists: np.array([i for x in lists for i in x], dtype=np.int32)
+    own = [sorted(x) for x in g.labels] if g.labels is not None else None
+    found = label_medoids(g) if own is not None else {}
+    row = {
+        "part": part, "ids": ids.astype(np.int64), "dim": g.x.shape[1], "vectors": g.x.astype(np.float32).ravel(), "offsets": cut(g.nbrs), "nbrs": flat(g.nbrs), "start": g.start,
+        "labels": None if own is None else flat(own), "label_offsets": None if own is None else cut(own),
+        "label_ids": None if own is None else np.array(list(found), dtype=np.int32), "label_medoids": None if own is None else np.array(list(found.values()), dtype=np.int32),
+        "codes": None if book is None else book.encode(g.x).ravel(), "mean": g.x.mean(axis=0) if len(g.x) else np.zeros(g.x.shape[1]),
+    }
+    return pd.DataFrame({k: pd.Series([v], dtype=object) if isinstance(v, np.ndarray) or v is None else [v] for k, v in row.items()})
+
+
+def opened(row, params: BuildParams | None = None) -> tuple[np.ndarray, Vamana]:
+    """The ids and the graph of a row of GRAPHS, checked for consistent sizes."""
+    params = params or BuildParams()
+    ids, offsets, n = np.asarray(row["ids"], dtype=np.int64), np.asarray(row["offsets"]), len(row["ids"])
+    if len(row["vectors"]) != n * row["dim"] or len(offsets) != n + 1 or offsets[-1] != len(row["nbrs"]) or (n and not 0 <= row["start"] < n):
+        raise ValueError(f"the graph of partition {row['part']} has {n} ids, {len(row['vectors'])} numbers, {len(offsets)} offsets and {len(row['nbrs'])} neighbours, which don't go together")
+    g = Vamana(np.zeros((0, row["dim"])), params.degree, params.length, params.alpha, saturate=params.saturate)
+    g.x = np.asarray(row["vectors"], dtype=np.float64).reshape(n, -1)
+    g.nbrs = [x.tolist() for x in np.split(np.asarray(row["nbrs"], dtype=np.int64), offsets[1:-1])] if n else []
+    g.start = int(row["start"])
+    if row["labels"] is not None:
+        g.labels = [set(x.tolist()) for x in np.split(np.asarray(row["labels"], dtype=np.int64), np.asarray(row["label_offsets"])[1:-1])] if n else []
+    return ids, g
+
+
+def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    for pdf in batches:
+        yield from pdf.to_dict("records")
 
 
-def local_graphs(parts: DataFrame, params: BuildParams) -> DataFrame:
-    """(part, blob): for each partition its ids, vectors and graph. With labels, no node hides another's label while pruning."""
+def local_graphs(parts: DataFrame, params: BuildParams, book: Codebook | None = None, by_codes: bool = False) -> DataFrame:
+    """GRAPHS of parts (id, vec, part, maybe labels). With labels, no node hides another's label while pruning. book: codes are stored with the graph;
+    by_codes: and searches while building rank by them."""
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         labels = [set(map(int, x)) for x in pdf["labels"]] if "labels" in pdf else None
-        g = Vamana(np.stack(pdf["vec"]), params.degree, params.length, params.alpha, labels=labels).build()
-        return pd.DataFrame({"part": [key[0]], "blob": [pickle.dumps((pdf["id"].to_numpy(), g.x.astype(np.float32), [np.array(x, dtype=np.int32) for x in g.nbrs], g.start, labels))]})
+        g = Vamana(np.stack(pdf["vec"]), params.degree, params.length, params.alpha, saturate=params.saturate, labels=labels, book=book if by_codes else None).build()
+        return as_row(key[0], pdf["id"].to_numpy(), g, book)
 
-    return stored(parts.groupBy("part").applyInPandas(build, "part bigint, blob binary"), "local-graphs")
-
-
-def opened(blob: bytes, params: BuildParams) -> tuple[np.ndarray, Vamana]:
-    ids, x, nbrs, start, labels = pickle.loads(blob)
-    g = Vamana.__new__(Vamana)
-    g.x, g.nbrs, g.start, g.metric, g.deleted, g.labels, g.degree = x.astype(np.float64), [list(n) for n in nbrs], start, "l2", set(), labels, params.degree
-    return ids, g
+    return stored(parts.groupBy("part").applyInPandas(build, GRAPHS), "local-graphs")
 
 
 EDGES = "src bigint, dst bigint"
@@ -70,52 +133,119 @@ EDGES = "src bigint, dst bigint"
 def own_edges(local: DataFrame, params: BuildParams) -> DataFrame:
     """The edges within partitions, under global ids."""
     def dump(batches):
-        for pdf in batches:
-            for blob in pdf["blob"]:
-                ids, g = opened(blob, params)
-                yield pd.DataFrame([(int(ids[p]), int(ids[v])) for p, own in enumerate(g.nbrs) for v in own if v != p], columns=["src", "dst"])
+        for row in rows_of(batches):
+            ids, g = opened(row, params)
+            yield pd.DataFrame([(int(ids[p]), int(ids[v])) for p, own in enumerate(g.nbrs) for v in own if v != p], columns=["src", "dst"])
 
     return local.mapInPandas(dump, EDGES)
 
 
+def near_pairs(local: DataFrame, near: int) -> DataFrame:
+    """(i, j), i < j: each partition with the `near` others of the nearest means."""
+    means = local.select(F.col("part").alias("vec_id"), F.col("mean").alias("embedding"))
+    met = knn(means, means, near, without_self=True)
+    return met.select(F.least("qid", "id").alias("i"), F.greatest("qid", "id").alias("j")).distinct()
+
+
 def cross_edges(local: DataFrame, pairs: DataFrame, params: BuildParams) -> DataFrame:
     """Edges between the partitions of each pair (i, j): rows of one search the other's graph, both ways."""
-    a, b = local.select(F.col("part").alias("i"), F.col("blob").alias("x")), local.select(F.col("part").alias("j"), F.col("blob").alias("y"))
-    both = pairs.join(a, "i").join(b, "j").select("i", "j", "x", "y").repartition(F.col("i"), F.col("j"))
+    side = lambda at, name: local.select(F.col("part").alias(at), *[F.col(c).alias(f"{name}_{c}") for c in GRAPH_COLUMNS])
+    both = pairs.join(side("i", "x"), "i").join(side("j", "y"), "j").repartition(F.col("i"), F.col("j"))
 
     def probe(batches):
-        for pdf in batches:
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                one, two, rows = opened(x, params), opened(y, params), []
-                for (ids, g), (others, h) in ((one, two), (two, one)):
-                    for p in range(len(ids)):
-                        seen = h.search(g.x[p], params.length)["expanded"]
-                        own = np.array(g.nbrs[p], dtype=np.int64)
-                        pool, at = np.concatenate([others[seen], ids[own]]), np.concatenate([h.x[seen], g.x[own]])
-                        rows += [(int(ids[p]), int(pool[k])) for k in cross_prune(g.x[p], pool, at, params.degree) if k < len(seen)]
-                yield pd.DataFrame(rows, columns=["src", "dst"])
+        for row in rows_of(batches):
+            one, two = (opened({c: row[f"{name}_{c}"] for c in GRAPH_COLUMNS}, params) for name in ("x", "y"))
+            rows = []
+            for (ids, g), (others, h) in ((one, two), (two, one)):
+                for p in range(len(ids)):
+                    seen = h.search(g.x[p], params.length)["expanded"]
+                    own = np.array(g.nbrs[p], dtype=np.int64)
+                    pool, at = np.concatenate([others[seen], ids[own]]), np.concatenate([h.x[seen], g.x[own]])
+                    rows += [(int(ids[p]), int(pool[k])) for k in cross_prune(g.x[p], pool, at, params.degree) if k < len(seen)]
+            yield pd.DataFrame(rows, columns=["src", "dst"])
 
     return both.mapInPandas(probe, EDGES)
 
 
-def build_graph(vectors: DataFrame, params: BuildParams = BuildParams(), pairs: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(src, pos, dst, dist): the final graph. pairs: an allow-list of partitions to probe; all if not given."""
-    local = local_graphs(partitioned(vectors, params, id_col, vec_col), params)
-    pairs = all_pairs(vectors.sparkSession, params.partitions) if pairs is None else pairs
-    candidates = stored(own_edges(local, params).unionByName(cross_edges(local, pairs, params)), "candidates")
-    prune = lambda edges: G.occlusion_prune(edges, vectors, params.degree, params.occlusions, id_col, vec_col)
-    first = stored(prune(candidates), "pruned")
-    return stored(prune(G.with_reverse(first.select("src", "dst"))), "graph")
+def meeting(local: DataFrame, params: BuildParams) -> DataFrame:
+    """The pairs of partitions to probe: all of few, else each with the nearest."""
+    n = local.count()
+    return all_pairs(local.sparkSession, n) if n <= params.near + 1 else near_pairs(local, params.near)
+
+
+class Stages:
+    """Named tables under one folder: a stage that is complete there is read, not run again. run: only these stages are run."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, run: list[str] | None = None):
+        self.spark, self.folder, self.run = spark, folder, run
+
+    def table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if self.folder is None:
+            return stored(make(), name)
+        path = f"{self.folder}/{name}"
+        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            if self.run is not None and name not in self.run:
+                raise ValueError(f"stage {name!r} is not complete in {self.folder}, and not among {self.run}")
+            make().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+
+STAGES = ["local-graphs", "candidates", "pruned", "graph"]
+
+
+def build_graph(vectors: DataFrame, params: BuildParams = BuildParams(), pairs: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding", book: Codebook | None = None, stages: Stages | None = None) -> DataFrame:
+    """(src, pos, dst, dist): the final graph. pairs: an allow-list of partitions to probe; book: prune on its codes, which are
+    compared in place of vectors; stages: where and which."""
+    stages = stages or Stages(vectors.sparkSession)
+    local = stages.table("local-graphs", lambda: local_graphs(partitioned(vectors, params, id_col, vec_col), params))
+    candidates = stages.table("candidates", lambda: own_edges(local, params).unionByName(cross_edges(local, meeting(local, params) if pairs is None else pairs, params)))
+    if book is None:
+        prune = lambda edges: G.occlusion_prune(edges, vectors, params.degree, params.occlusions, id_col, vec_col)
+    else:
+        prune = lambda edges: G.occlusion_prune_codes(edges, vectors, book, params.degree, params.occlusions, id_col, vec_col)
+    first = stages.table("pruned", lambda: prune(candidates))
+    return stages.table("graph", lambda: prune(G.with_reverse(first.select("src", "dst"))))
+
+
+def merged_graph(vectors: DataFrame, shards: DataFrame, params: BuildParams, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(src, pos, dst) from graphs of overlapping shards (shards: id, shard), each of two thirds of the degree, merged by node."""
+    from dataclasses import replace
+
+    rows = shards.join(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")), "id").select("id", "vec", F.col("shard").cast("bigint").alias("part"))
+    own = replace(params, degree=max(1, 2 * params.degree // 3))
+    return stored(G.merge_shards(own_edges(local_graphs(rows, own), own), params.degree), "merged")
 
 
 def stitched_graph(vectors: DataFrame, labels: DataFrame, params: BuildParams, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """A graph for each label over the rows that carry it (labels: id, label), united and pruned."""
+    """A graph for each label over the rows that carry it (labels: id, label), united and pruned.
+
+    A label of more rows than a partition may have is built in several graphs, which the pruning joins by the other labels' edges.
+    """
     own = labels.join(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")), "id").select("id", "vec", "label")
+    sizes = own.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).collect()  # a row for each label
+    parts = {r.label: params.count(r.n, r.dim) if params.partitions is None else 1 for r in sizes}
+    cut = F.coalesce(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("label")], F.lit(1)) if parts else F.lit(1)
+    own = own.withColumn("cut", F.pmod(F.xxhash64("id"), cut))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         g, ids = Vamana(np.stack(pdf["vec"]), params.degree, params.length, params.alpha).build(), pdf["id"].to_numpy()
         return pd.DataFrame([(int(ids[p]), int(ids[v])) for p, n in enumerate(g.nbrs) for v in n], columns=["src", "dst"])
 
-    edges = own.groupBy("label").applyInPandas(build, EDGES).distinct()
+    edges = own.groupBy("label", "cut").applyInPandas(build, EDGES).distinct()
     return stored(G.occlusion_prune(edges, vectors, params.degree, params.occlusions, id_col, vec_col), "stitched")
+
+
+def label_entries(vectors: DataFrame, labels: DataFrame, id_col: str = "vec_id", seed: int = 0) -> DataFrame:
+    """(label, id): a row of each label at which a search for it may begin, chosen by hash. labels: (id, label)."""
+    own = labels.join(vectors.select(F.col(id_col).alias("id")), "id", "left_semi")
+    return own.groupBy("label").agg(F.min_by("id", F.struct(F.md5(F.concat_ws(":", F.lit(seed), "label", "id")), "id")).alias("id"))
+
+
+def check_fields(params: BuildParams, text: str) -> BuildParams:
+    """The parameters that a JSON text has, which must be known ones."""
+    given, known = json.loads(text), {f.name for f in fields(params)}
+    if set(given) - known:
+        raise ValueError(f"unknown parameters {sorted(set(given) - known)}")
+    return BuildParams(**given)

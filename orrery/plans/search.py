@@ -11,19 +11,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.operators.kernels import best_first, medoid, refine
+from orrery.operators.kernels import best_first, refine
 from orrery.operators.knn import merge_top_k, query_blocks
 from orrery.operators.quantise import Codebook
-from orrery.plans.build import BuildParams, opened
+from orrery.operators.recall import recall_with_ties
+from orrery.plans.build import opened, rows_of
 
-MODES = ("full", "early_exit", "fixed_count", "fixed_ratio")
+MODES = ("full", "early_exit", "fixed_count", "fixed_ratio", "expanded")
 
 
 @dataclass(frozen=True)
 class SearchParams:
+    """mode: which candidates get exact distances; expanded: every node that the search expanded. entries: how many random starting points besides the medoid."""
+
     k: int = 10
     length: int = 100
     beam: int = 8
@@ -33,6 +36,7 @@ class SearchParams:
     streak: int = 2
     count: int = 0
     ratio: float = 1.0
+    entries: int = 0
 
     def __post_init__(self):
         if self.mode not in MODES:
@@ -41,61 +45,105 @@ class SearchParams:
             raise ValueError("k must be positive and at most length")
         if self.beam < 1:
             raise ValueError("beam must be positive")
+        if self.entries < 0 or self.count < 0 or not 0 <= self.ratio <= 1:
+            raise ValueError("entries and count can't be negative, and ratio is from 0 to 1")
+
+
+RESULT = "qid bigint, id bigint, dist double, refined boolean, expanded bigint, rounds bigint, comparisons bigint, n_refined bigint, reached bigint"
 
 
-def label_medoids(g) -> dict[int, int]:
-    """For each label, the row that has it and is nearest to the mean of those that do."""
-    members: dict[int, list[int]] = {}
-    for i, own in enumerate(g.labels):
-        for label in own:
-            members.setdefault(label, []).append(i)
-    return {label: rows[medoid(g.x[rows])] for label, rows in members.items()}
+def with_ids(local: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """local with an array column of those of the ids (id) that each partition has; null if it has none."""
+    own = local.select("part", F.explode("ids").alias("id")).join(ids.select("id"), "id", "left_semi").groupBy("part").agg(F.collect_list("id").alias(name))
+    return local.join(own, "part", "left")
 
 
-RESULT = "qid bigint, id bigint, dist double, refined boolean, expanded bigint, rounds bigint, comparisons bigint, n_refined bigint"
+def known_labels(local: DataFrame, asked: DataFrame, label: str, universal: int | None) -> None:
+    """Raises if a query asks for a label that no partition has."""
+    missing = asked.select(F.col(label).cast("int").alias("label")).distinct().join(local.select(F.explode("label_ids").alias("label")).distinct(), "label", "left_anti")
+    if universal is not None and local.filter(F.array_contains("label_ids", universal)).limit(1).count():
+        return  # rows of the universal label answer any query
+    found = [r.label for r in missing.limit(5).collect()]
+    if found:
+        raise ValueError(f"no row has the labels {found}")
 
 
-def search_partitions(queries: DataFrame, local: DataFrame, params: SearchParams, book: Codebook | None = None, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = None) -> DataFrame:
-    """(qid, id, dist, rank, ...) with each partition's work. local: plans.build.local_graphs(). book: rank by its codes; None: exactly.
+def search_partitions(queries: DataFrame, local: DataFrame, params: SearchParams, book: Codebook | None = None, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = None, universal: int | None = None) -> DataFrame:
+    """(qid, id, dist, rank, ...) with each partition's work. local: plans.build.local_graphs(). book: rank by its codes, those stored
+    with the graphs if they are; None: exactly.
 
-    label_col: only rows with the query's label, in graphs built with labels; the
-    search starts at the label's own medoid and visits no other rows.
-    local may have a column dead (array<bigint>, or null): ids that are travelled through but not found.
+    label_col: only rows with the query's label, or the universal one, in graphs built with labels; the
+    search starts at the label's own medoid and visits no other rows. A label of no row is an error.
+    local may have columns dead and allowed (array<bigint>, or null; see with_ids()): ids that are travelled through but not found,
+    and the only ones that are found.
     """
-    spark, out, tombs = queries.sparkSession, None, "dead" in local.columns
+    spark, out = queries.sparkSession, None
+    tombs, chosen = "dead" in local.columns, "allowed" in local.columns
+    if label_col:
+        known_labels(local, queries, label_col, universal)
     for ids, vectors, more in query_blocks(queries, id_col, vec_col, [label_col] if label_col else []):
         sent = spark.sparkContext.broadcast((ids, vectors, [m[0] for m in more] if label_col else [None] * len(ids)))
 
         def run(batches, sent=sent):
             ids, qs, wanted = sent.value
-            for pdf in batches:
-                for blob, dead in zip(pdf["blob"], pdf["dead"] if tombs else [None] * len(pdf), strict=True):
-                    own, g = opened(blob, BuildParams())
-                    live = None if dead is None else (~np.isin(own, dead)).__getitem__
-                    codes = book.encode(g.x) if book else None
-                    rows = []
-                    starts = label_medoids(g) if label_col else {}
-                    for qid, q, label in zip(ids, qs, wanted, strict=True):
-                        if label_col and label not in starts:
-                            continue
-                        if book:
-                            table, chunk = book.table(q), np.arange(codes.shape[1])
-                            dist = lambda at, table=table, chunk=chunk: table[chunk, codes[at]].sum(axis=1)
-                        else:
-                            dist = lambda at, q=q: ((g.x[at] - q) ** 2).sum(axis=1)
-                        near = (lambda u, label=label: [v for v in g.nbrs[u] if label in g.labels[v]]) if label_col else (lambda u: g.nbrs[u])
-                        found = best_first([starts.get(label, g.start)], dist, near, params.length, params.beam, params.limit, live)
-                        best, n = refine(q, found["pool"], lambda at: g.x[at], params.k, params.mode, params.batch, params.streak, params.count, params.ratio)
-                        rows += [(int(qid), int(own[i]), d, r, len(found["expanded"]), found["rounds"], found["comparisons"], n) for d, i, r in best]
-                    yield pd.DataFrame(rows, columns=["qid", "id", "dist", "refined", "expanded", "rounds", "comparisons", "n_refined"])
+            for row in rows_of(batches):
+                own, g = opened(row)
+                live = np.ones(len(own), dtype=bool)
+                if tombs and row["dead"] is not None:
+                    live &= ~np.isin(own, row["dead"])
+                if chosen:
+                    live &= np.isin(own, row["allowed"] if row["allowed"] is not None else [])
+                alive = None if live.all() else live.__getitem__
+                codes = None if book is None else np.asarray(row["codes"]).reshape(len(own), -1) if row["codes"] is not None else book.encode(g.x)
+                rows = []
+                starts = dict(zip(row["label_ids"], row["label_medoids"], strict=True)) if label_col else {}
+                more_starts = np.random.default_rng(row["part"]).integers(len(own), size=params.entries).tolist() if len(own) else []
+                for qid, q, label in zip(ids, qs, wanted, strict=True):
+                    begin = [int(starts[x]) for x in (label, universal) if x in starts] if label_col else [g.start, *more_starts]
+                    if not begin or not len(own):
+                        continue
+                    if book:
+                        table, chunk = book.table(q), np.arange(codes.shape[1])
+                        dist = lambda at, table=table, chunk=chunk: table[chunk, codes[at]].sum(axis=1)
+                    else:
+                        dist = lambda at, q=q: ((g.x[at] - q) ** 2).sum(axis=1)
+                    near = (lambda u, own={label, universal}: [v for v in g.nbrs[u] if g.labels[v] & own]) if label_col else (lambda u: g.nbrs[u])
+                    found = best_first(begin, dist, near, params.length, params.beam, params.limit, alive)
+                    pool, mode = found["pool"], params.mode
+                    if mode == "expanded":
+                        pool, mode = sorted((found["known"][i], i) for i in found["expanded"] if live[i]), "full"
+                    best, n = refine(q, pool, lambda at: g.x[at], params.k, mode, params.batch, params.streak, params.count, params.ratio)
+                    rows += [(int(qid), int(own[i]), d, r, len(found["expanded"]), found["rounds"], found["comparisons"], n, len(found["pool"])) for d, i, r in best]
+                yield pd.DataFrame(rows, columns=["qid", "id", "dist", "refined", "expanded", "rounds", "comparisons", "n_refined", "reached"])
 
         part = local.mapInPandas(run, RESULT)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], RESULT)
-    # Refined distances come before those that are only approximate.
-    ordered = out.withColumn("exact_first", (~F.col("refined")).cast("int"))
-    return merge_top_k(ordered, params.k).drop("exact_first")
+    return merge_top_k(out, params.k)
+
+
+def nearest_entry(local: DataFrame, queries: DataFrame, nearest: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(qid, part): for each query the partitions with the nearest means, where a search may begin or end."""
+    from orrery.operators.knn import knn
+
+    means = local.select(F.col("part").alias(id_col), F.col("mean").alias(vec_col))
+    return knn(queries, means, nearest, id_col=id_col, vec_col=vec_col).select("qid", F.col("id").alias("part"), "rank")
+
+
+def post_filtered(queries: DataFrame, local: DataFrame, rows: DataFrame, predicate: Column, params: SearchParams, row_id: str = "vec_id", **search) -> DataFrame:
+    """(qid, id, dist, rank): of the `length` best of each query those whose rows meet the predicate, k at most. Fewer, if fewer of them do."""
+    from dataclasses import replace
+
+    wide = search_partitions(queries, local, replace(params, k=params.length), **search).drop("rank")
+    kept = wide.join(rows.filter(predicate).select(F.col(row_id).alias("id")), "id", "left_semi")
+    return merge_top_k(kept.select("qid", "id", "dist"), params.k)
+
+
+def filtered_search(queries: DataFrame, local: DataFrame, rows: DataFrame, predicate: Column, params: SearchParams, row_id: str = "vec_id", **search) -> DataFrame:
+    """(qid, id, dist, rank): the best rows that meet the predicate; the search goes on until `length` of them are found."""
+    allowed = rows.filter(predicate).select(F.col(row_id).alias("id"))
+    return search_partitions(queries, with_ids(local, allowed, "allowed"), params, **search).select("qid", "id", "dist", "rank")
 
 
 def visit_counts(queries: DataFrame, local: DataFrame, params: SearchParams, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -105,14 +153,13 @@ def visit_counts(queries: DataFrame, local: DataFrame, params: SearchParams, id_
         sent = spark.sparkContext.broadcast(vectors)
 
         def run(batches, sent=sent):
-            for pdf in batches:
-                for blob in pdf["blob"]:
-                    own, g = opened(blob, BuildParams())
-                    visits = np.zeros(len(own), dtype=np.int64)
-                    for q in sent.value:
-                        visits[g.search(q, params.length, params.beam)["expanded"]] += 1
-                    at = np.flatnonzero(visits)
-                    yield pd.DataFrame({"id": own[at], "visits": visits[at]})
+            for row in rows_of(batches):
+                own, g = opened(row)
+                visits = np.zeros(len(own), dtype=np.int64)
+                for q in sent.value:
+                    visits[g.search(q, params.length, params.beam)["expanded"]] += 1
+                at = np.flatnonzero(visits)
+                yield pd.DataFrame({"id": own[at], "visits": visits[at]})
 
         part = local.mapInPandas(run, "id bigint, visits bigint")
         out = part if out is None else out.unionByName(part)
@@ -120,39 +167,50 @@ def visit_counts(queries: DataFrame, local: DataFrame, params: SearchParams, id_
     return out.groupBy("id").agg(F.sum("visits").alias("visits"))
 
 
-def range_search(queries: DataFrame, local: DataFrame, radius: float, least: int = 16, most: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(qid, id, dist) within a radius, from the graphs: a pool grows twofold until under half of it lies within."""
+def range_search(queries: DataFrame, local: DataFrame, radius: float, least: int = 16, most: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(qid, id, dist) within a radius, from the graphs: a pool grows twofold until under half of it lies within.
+
+    It grows to the partition's size if need be; most: no further than that.
+    """
     spark, out = queries.sparkSession, None
     for ids, vectors, _ in query_blocks(queries, id_col, vec_col, []):
         sent = spark.sparkContext.broadcast((ids, vectors))
 
         def run(batches, sent=sent):
-            for pdf in batches:
-                for blob in pdf["blob"]:
-                    (own, g), rows = opened(blob, BuildParams()), []
-                    for qid, q in zip(*sent.value, strict=True):
-                        length = least
-                        while True:
-                            pool = g.search(q, length, max(1, min(100, length // 5)))["pool"]
-                            near = [(d, i) for d, i in pool if d <= radius]
-                            if 2 * len(near) < length or length >= min(most, len(own)):
-                                break
-                            length *= 2
-                        rows += [(int(qid), int(own[i]), d) for d, i in near]
-                    yield pd.DataFrame(rows, columns=["qid", "id", "dist"])
+            for row in rows_of(batches):
+                (own, g), rows = opened(row), []
+                for qid, q in zip(*sent.value, strict=True):
+                    length = least
+                    while True:
+                        pool = g.search(q, length, max(1, min(100, length // 5)))["pool"]
+                        near = [(d, i) for d, i in pool if d <= radius]
+                        if 2 * len(near) < length or length >= min(most or len(own), len(own)):
+                            break
+                        length *= 2
+                    rows += [(int(qid), int(own[i]), d) for d, i in near]
+                yield pd.DataFrame(rows, columns=["qid", "id", "dist"])
 
         part = local.mapInPandas(run, "qid bigint, id bigint, dist double")
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], "qid bigint, id bigint, dist double") if out is None else out
 
 
-def sweep(queries: DataFrame, local: DataFrame, truth: DataFrame, lengths: list[int], k: int, book: Codebook | None = None, beam: int = 8) -> DataFrame:
-    """A row for each pool length: recall at k and the mean work of a query."""
+def query_stats(queries: DataFrame, local: DataFrame, truth: DataFrame, lengths: list[int], k: int, book: Codebook | None = None, beam: int = 8) -> DataFrame:
+    """A row for each pool length and query: its work over all partitions, how many it found and its recall (without and with ties)."""
     out = None
     for length in lengths:
         got = search_partitions(queries, local, SearchParams(k=k, length=length, beam=beam), book)
-        hits = got.join(truth.filter(F.col("rank") <= k).select("qid", F.col("id").alias("id")), ["qid", "id"], "left_semi").groupBy("qid").agg(F.count(F.lit(1)).alias("hits"))
-        per = got.groupBy("qid").agg(F.avg("expanded").alias("expanded"), F.avg("comparisons").alias("comparisons"), F.avg("rounds").alias("rounds")).join(hits, "qid", "left")
-        row = per.agg(F.avg(F.coalesce("hits", F.lit(0)) / k).alias("recall"), F.avg("expanded").alias("mean_expanded"), F.avg("comparisons").alias("mean_comparisons"), F.avg("rounds").alias("mean_rounds")).withColumn("length", F.lit(length))
+        hits = got.join(truth.filter(F.col("rank") <= k).select("qid", "id"), ["qid", "id"], "left_semi").groupBy("qid").agg(F.count(F.lit(1)).alias("hits"))
+        ties = recall_with_ties(truth, got, k).select("qid", F.col("recall").alias("recall_with_ties"))
+        per = got.groupBy("qid").agg(F.count(F.lit(1)).alias("found"), F.min("dist").alias("best"), F.max("dist").alias("worst"), *[F.sum(c).alias(c) for c in ("expanded", "comparisons", "rounds", "n_refined")])
+        row = per.join(hits, "qid", "left").join(ties, "qid", "left").withColumn("hits", F.coalesce("hits", F.lit(0))).withColumn("recall", F.col("hits") / k).withColumn("length", F.lit(length))
         out = row if out is None else out.unionByName(row)
-    return out.select("length", "recall", "mean_expanded", "mean_comparisons", "mean_rounds")
+    return out.select("length", "qid", "found", "hits", "recall", "recall_with_ties", "best", "worst", "expanded", "comparisons", "rounds", "n_refined")
+
+
+def sweep(queries: DataFrame, local: DataFrame, truth: DataFrame, lengths: list[int], k: int, book: Codebook | None = None, beam: int = 8) -> DataFrame:
+    """A row for each pool length: queries, recall at k, and the work of a query: mean, median, 99 and 99.9 % (no interpolation)."""
+    per = query_stats(queries, local, truth, lengths, k, book, beam)
+    at = lambda c, p: F.element_at(F.array_sort(F.collect_list(c)), (F.floor(F.count(F.lit(1)) * p) + 1).cast("int"))
+    work = [f for c in ("expanded", "comparisons", "rounds", "n_refined") for f in (F.avg(c).alias(f"mean_{c}"), at(c, 0.5).alias(f"median_{c}"), at(c, 0.99).alias(f"p99_{c}"), at(c, 0.999).alias(f"p999_{c}"))]
+    return per.groupBy("length").agg(F.count(F.lit(1)).alias("queries"), F.avg("recall").alias("recall"), F.avg("recall_with_ties").alias("recall_with_ties"), F.avg("found").alias("mean_found"), *work)
