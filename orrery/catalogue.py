@@ -20,10 +20,13 @@ from orrery.operators import ranking as R
 from orrery.operators import recall as C
 from orrery.operators import updates as U
 from orrery.operators.knn import knn, merge_top_k
+from orrery.index import TieredIndex, VectorIndex, vector_search
 from orrery.plans import build as B
+from orrery.plans import frontier as J
 from orrery.plans import search as S
 from orrery.session import ship
-from orrery.storage import scratch
+from orrery.sources.vector_files import VectorFiles, files_of, header, range_truth_rows, truth_rows, write_range_truth, write_truth_rows
+from orrery.storage import for_arrow, scratch, stored
 from orrery.streaming import maintain as M
 
 K, EVERY, CANDIDATES, PARTS, CENTRES, CHUNKS = 10, 50, 12, 4, 8, 8
@@ -398,13 +401,10 @@ def pq_sym_distance(spark, d):
     """Code to code, for each row and one other."""
     df = base(spark, d)
     own = book(df)
-    flat = F.array(*[F.lit(float(x)) for x in own.symmetric().ravel()])
     enc = Q.encode(df, own)
     other = enc.select(F.col("id").alias("other"), F.col("code").alias("y"))
-    both = enc.withColumn("other", F.pmod(F.col("id") * 7 + 3, F.lit(df.count()))).join(other, "other").withColumn("lut", flat)
-    at = F.zip_with("code", "y", lambda a, b: a.cast("int") * PIVOTS + b.cast("int"))
-    sums = F.aggregate(F.transform(at, lambda x, m: F.get("lut", m * PIVOTS * PIVOTS + x)), F.lit(0.0), lambda a, x: a + x)
-    return both.select(F.col("id").alias("vec_id"), F.round(sums, 6).alias("dist"))
+    both = Q.with_lut(enc.withColumn("other", F.pmod(F.col("id") * 7 + 3, F.lit(df.count()))).join(other, "other"), own)
+    return both.select(F.col("id").alias("vec_id"), F.round(Q.symmetric_distance(F.col("code"), F.col("y"), F.col("lut"), PIVOTS), 6).alias("dist"))
 
 
 @query(f"WITH {CODE_SQL} SELECT code.vec_id, c * 8 + i - 1 AS pos, round(p.v[c * 8 + i], 6) AS x FROM code JOIN b p ON p.vec_id = code, range(1, 9) r(i)")
@@ -425,8 +425,8 @@ def valid_edges(spark, d):
 @query(f"WITH {E_SQL}, {PART_SQL} SELECT src, pos, dst FROM e JOIN p a ON a.vec_id = src JOIN p b ON b.vec_id = dst WHERE a.part <> b.part")
 def keep_only_cross(spark, d):
     df = base(spark, d)
-    part = lambda c: P.contiguous(c, df.count(), PARTS + 3)
-    return edges(df).filter(part("src") != part("dst"))
+    n = df.count()
+    return G.keep_cross(edges(df), lambda c: P.contiguous(c, n, PARTS + 3))
 
 
 @query(f"WITH {E_SQL}, u AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) SELECT src, dst, count(*) AS n FROM u GROUP BY src, dst")
@@ -587,8 +587,8 @@ def upsert_tags(spark, d):
 PARAMS = B.BuildParams(partitions=PARTS, degree=24, length=64)
 
 
-def local(df: DataFrame) -> DataFrame:
-    return B.local_graphs(B.partitioned(df, PARAMS), PARAMS)
+def local(df: DataFrame, labels: str | None = None) -> DataFrame:
+    return B.local_graphs(B.partitioned(df, PARAMS, labels=labels), PARAMS)
 
 
 @query()
@@ -616,12 +616,19 @@ def beam_search(spark, d):
 def filtered_vamana(spark, d):
     """The nearest rows with the query's own label, found in traversal."""
     df = label_sets(base(spark, d))
-    graphs = B.local_graphs(B.partitioned(df, PARAMS, labels="labels"), PARAMS)
-    return S.search_partitions(asked(df), graphs, S.SearchParams(k=K, length=64), label_col="label")
+    return S.search_partitions(asked(df), local(df, "labels"), S.SearchParams(k=K, length=64), label_col="label")
 
 
-@query()
+@query(f"""WITH RECURSIVE {B_SQL}, {NEAR_SQL}, o AS (SELECT vec_id, list(struct_pack(c := centre, d := dist) ORDER BY rank) AS near FROM n GROUP BY vec_id), k AS (SELECT CAST(ceil(2.0 * count(*) / {CENTRES}) AS BIGINT) AS cap FROM b),
+    -- a state: the row, the place in its list, how many it took, the running mean (-1: infinite), the rooms taken, and the centre taken just now
+    w(vec_id, place, took, mean, used, centre) AS (SELECT 0::BIGINT, 1::BIGINT, 0::BIGINT, -1.0::DOUBLE, list_transform(range({CENTRES}), lambda x: 0::BIGINT), -1::BIGINT
+      UNION ALL SELECT CASE WHEN stop THEN vec_id + 1 ELSE vec_id END, CASE WHEN stop THEN 1 ELSE place + 1 END, CASE WHEN stop THEN 0 WHEN no_room THEN took ELSE took + 1 END,
+        CASE WHEN stop OR no_room THEN -1.0 WHEN took = 0 OR mean < 0 THEN d ELSE (mean * took + d) / (took + 1) END,
+        CASE WHEN stop OR no_room THEN used ELSE list_transform(used, lambda x, i: CASE WHEN i = c + 1 THEN x + 1 ELSE x END) END, CASE WHEN stop OR no_room THEN -1 ELSE c END
+      FROM (SELECT w.*, o.near[w.place].c AS c, o.near[w.place].d AS d, (w.place > {CENTRES} OR w.took = 2 OR (w.mean >= 0 AND o.near[w.place].d > 1.1 * w.mean)) AS stop, coalesce(w.used[o.near[w.place].c + 1] >= k.cap, false) AS no_room FROM w JOIN o ON o.vec_id = w.vec_id, k) y)
+    SELECT vec_id AS id, centre FROM w WHERE centre >= 0""")
 def capped_assignment(spark, d):
+    """Each row with up to two of its centres, in turn, while a centre has room for its share of twice the rows."""
     df = base(spark, d)
     near = P.nearest_centres(df, centres(df), CENTRES).select(F.col("vec_id").alias("id"), "nearest")
     return P.capped_assignment(near, cap=-(-2 * df.count() // CENTRES))
@@ -680,11 +687,698 @@ def stitched_vamana(spark, d):
     return B.stitched_graph(df, own, PARAMS)
 
 
-@query()
+DRAW_SQL = "('0x' || substr(md5('0:' || vec_id || ':' || {}), 1, 8))::BIGINT / 4294967296.0"
+
+
+@query(f"""WITH l AS (SELECT vec_id, i, {DRAW_SQL.format("i")} AS u FROM embeddings, range(0, 13) r(i)),
+    x AS (SELECT vec_id, 'random' AS kind, i AS own FROM l WHERE i > 0 AND u < 0.5 UNION ALL SELECT vec_id, 'zipf', i FROM l WHERE i > 0 AND u < 0.7 / i UNION ALL SELECT vec_id, 'one_per_point', CAST(floor(u * 13) AS BIGINT) FROM l WHERE i = 0)
+    SELECT vec_id, kind, coalesce(array_to_string(list(own ORDER BY own) FILTER (own IS NOT NULL), ','), '0') AS labels FROM embeddings CROSS JOIN (VALUES ('random'), ('zipf'), ('one_per_point')) k(kind) LEFT JOIN x USING (vec_id, kind) GROUP BY vec_id, kind""")
 def synthetic_labels(spark, d):
     df = base(spark, d)
     kinds = [L.synthetic(df, "vec_id", k, 12).withColumn("kind", F.lit(k)) for k in ("random", "zipf", "one_per_point")]
-    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).withColumn("labels", F.array_join("labels", ","))
+
+
+# -- more functions -------------------------------------------------------------------------
+INT_SQL = "i AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(-128, least(127, CAST(floor(CAST(x AS DOUBLE) * 127) AS BIGINT)))) AS s, list_transform(embedding, lambda x: greatest(0, least(255, CAST(floor(CAST(x AS DOUBLE) * 255) AS BIGINT)))) AS u FROM embeddings)"
+
+
+@query(f"""WITH {INT_SQL} SELECT a.vec_id, {l2('a.s', 'c.s')}::DOUBLE AS l2_int8, {l2('a.u', 'c.u')}::DOUBLE AS l2_uint8, round(1 - {dot('a.s', 'c.s')} / (sqrt({n2('a.s')}) * sqrt({n2('c.s')})), 6) AS cosine_int8
+    FROM i a JOIN i c ON c.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM i)""")
+def integer_distances(spark, d):
+    both = paired(spark, d)
+    s, u = (lambda c: X.to_integers(c, "int8", 127.0)), (lambda c: X.to_integers(c, "uint8", 255.0))
+    return both.select("vec_id", V.l2(s("a"), s("b")).alias("l2_int8"), V.l2(u("a"), u("b")).alias("l2_uint8"), F.round(V.cosine(s("a"), s("b")), 6).alias("cosine_int8"))
+
+
+@query(f"WITH {INT_SQL} SELECT vec_id, j - 1 AS pos, round(s[j] / 127.0, 6) AS from_int8, round(u[j] / 255.0, 6) AS from_uint8 FROM i, range(1, 65) r(j)")
+def integers_to_floats(spark, d):
+    back = lambda kind, scale: X.to_floats(X.to_integers("embedding", kind, scale), 1 / scale)
+    both = F.arrays_zip(back("int8", 127.0).alias("s"), back("uint8", 255.0).alias("u"))
+    return base(spark, d).select("vec_id", F.posexplode(both).alias("pos", "x")).select("vec_id", "pos", F.round(F.col("x.s").cast("double"), 6).alias("from_int8"), F.round(F.col("x.u").cast("double"), 6).alias("from_uint8"))
+
+
+@query(PAIRED.format(f"round(1 - {dot('a.v', 'c.v')} / (sqrt({n2('a.v')}) * sqrt({n2('c.v')})), 6) AS cosine, round(sqrt({n2('a.v')}), 6) AS norm, 0.0 AS of_zero"))
+def normalised_distances(spark, d):
+    zero = V.normalise_safely(F.transform("a", lambda x: x * 0))
+    return paired(spark, d).select("vec_id", F.round(V.normalised_cosine("a", "b"), 6).alias("cosine"), F.round(V.norm("a"), 6).alias("norm"), F.round(V.norm2(zero), 6).alias("of_zero"))
+
+
+NORMAL = "sqrt(-2 * ln((('0x' || substr(md5('{seed}:' || vec_id || ':' || j), 1, 8))::BIGINT + 0.5) / 4294967296.0)) * cos(2 * pi() * (('0x' || substr(md5('{seed}:' || vec_id || ':' || j), 9, 8))::BIGINT + 0.5) / 4294967296.0)"
+
+
+@query(f"""WITH x AS (SELECT vec_id, j AS pos, {NORMAL.format(seed=7)} AS x FROM embeddings, range(0, 8) r(j)), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM x GROUP BY vec_id)
+    SELECT vec_id, pos, round(x / n * 2.5, 6) AS x FROM x JOIN n USING (vec_id)""")
+def random_points_on_sphere(spark, d):
+    return X.hashed_vectors(base(spark, d).select("vec_id"), 8, 2.5, seed=7).select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"WITH {B_SQL} SELECT a.vec_id, round(sqrt({n2('a.v')}), 5) AS norm, round({l2('a.v', 'c.v')}, 5) AS dist FROM b a JOIN b c ON c.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM b)")
+def random_rotation(spark, d):
+    """Norms and distances, which a rotation leaves as they are."""
+    df = base(spark, d)
+    own = Q.rotated(df, Q.random_rotation(64, 3))
+    other = own.select(F.col("id").alias("other"), F.col("vec").alias("b"))
+    both = own.withColumn("other", F.pmod(F.col("id") * 7 + 3, F.lit(df.count()))).join(other, "other")
+    return both.select(F.col("id").alias("vec_id"), F.round(V.norm("vec"), 5).alias("norm"), F.round(V.l2("vec", "b"), 5).alias("dist"))
+
+
+# -- more of labels ---------------------------------------------------------------------------
+@query(f"""WITH {LS_SQL}, x AS (SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM s) GROUP BY label)
+    SELECT (SELECT count(*) FROM s) AS n_rows, count(*) AS n_labels, (SELECT avg(CASE WHEN len(labels) >= 3 THEN 1.0 ELSE 0.0 END) FROM s) AS dense_share, (SELECT avg(len(labels)) FROM s) AS labels_per_row, avg(n) AS rows_per_label FROM x""")
+def label_summary(spark, d):
+    return L.label_summary(label_sets(base(spark, d)), 3)
+
+
+@query(f"""WITH {LS_SQL}, x AS (SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM s) GROUP BY label), r AS (SELECT label, n, row_number() OVER (ORDER BY n, label) - 1 AS place, count(*) OVER () AS m FROM x)
+    SELECT CAST(p AS DOUBLE) AS share, label, n AS n_rows FROM r JOIN (SELECT unnest({SHARES}::DOUBLE[]) AS p) ON place = CAST(floor(p * m) AS BIGINT)""")
+def label_percentiles(spark, d):
+    return L.label_percentiles(label_sets(base(spark, d)), SHARES)
+
+
+@query(f"WITH {LS_SQL} SELECT label, count(*) AS n_rows FROM (SELECT unnest(labels) AS label FROM s) GROUP BY label ORDER BY 2 DESC, 1 LIMIT 3")
+def common_labels(spark, d):
+    return L.common_labels(label_sets(base(spark, d)))
+
+
+@query(f"""WITH {B_SQL}, {LS_SQL}, x AS (SELECT vec_id, unnest(labels) AS own FROM s), c AS (SELECT own, list(m ORDER BY i) AS c FROM (SELECT own, i, avg(v[i]) AS m FROM x JOIN b USING (vec_id), range(1, 65) r(i) GROUP BY own, i) GROUP BY own)
+    SELECT own AS label, min_by(vec_id, (round({l2('v', 'c')}, 9), vec_id)) AS id FROM x JOIN b USING (vec_id) JOIN c USING (own) GROUP BY own""")
+def label_entry_points(spark, d):
+    return L.label_medoids(label_sets(base(spark, d)))
+
+
+@query("SELECT CAST(label AS BIGINT) AS label, min_by(vec_id, (md5('0:' || label || ':' || vec_id), vec_id)) AS id FROM embeddings GROUP BY label")
+def random_label_entries(spark, d):
+    df = base(spark, d)
+    return B.label_entries(df, df.select(F.col("vec_id").alias("id"), "label")).select(F.col("label").cast("bigint").alias("label"), "id")
+
+
+@query(f"""WITH {LS_SQL}, c AS (SELECT vec_id, i, (SELECT count(*) FROM embeddings) * i + vec_id AS copy_id FROM s, range(2) r(i) WHERE i * 2 < len(labels))
+    SELECT copy_id AS found, vec_id AS id FROM c""")
+def copies_to_real_rows(spark, d):
+    """Rows broken up by their labels get numbers of their own; a search result that names a copy names its row instead."""
+    df = base(spark, d)
+    n = df.count()
+    copies = L.break_dense(label_sets(df), "vec_id", 2).select((F.col("copy") * n + F.col("vec_id")).alias("copy_id"), F.col("vec_id").alias("real_id"))
+    found = copies.select(F.col("copy_id").alias("found"), F.col("copy_id").alias("id"))
+    return L.real_rows(found, copies.filter("copy_id <> real_id")).select("found", "id")
+
+
+# -- more of partitioning ---------------------------------------------------------------------
+@query("""SELECT b AS budget_mb, (SELECT max(n) FROM range(1, 3000001) r(n) WHERE 1.1 * (n * 64 * 4 + n * 32 * 4 * 1.3 + 48 * n) <= b * 1e6 * 0.9) AS largest,
+    CAST(ceil(2 * 1000000.0 / (SELECT max(n) FROM range(1, 3000001) r(n) WHERE 1.1 * (n * 64 * 4 + n * 32 * 4 * 1.3 + 48 * n) <= b * 1e6 * 0.9)) AS BIGINT) AS shards FROM (VALUES (50), (100), (500)) t(b)""")
+def shards_for_budget(spark, d):
+    rows = [(b, P.largest_shard(64, b * 1e6, fraction=0.9)) for b in (50, 100, 500)]
+    return spark.createDataFrame([(b, n, P.shards_needed(1_000_000, n, 2)) for b, n in rows], "budget_mb int, largest bigint, shards bigint")
+
+
+def shards(df: DataFrame) -> DataFrame:
+    import numpy as np
+
+    return P.kmeans_shards(df, np.array([v for _, v in centres(df)]), 2)
+
+
+@query(f"WITH {B_SQL}, {NEAR_SQL}, m AS (SELECT centre AS shard, vec_id AS id, row_number() OVER (PARTITION BY centre ORDER BY vec_id) - 1 AS local FROM n WHERE rank <= 2) SELECT shard, local, id, round(list_sum(v), 5) AS total FROM m JOIN b ON vec_id = id")
+def shard_materialisation(spark, d):
+    """Each shard's rows with their numbers in it, when every row goes to its two nearest centres."""
+    df = base(spark, d)
+    return P.materialised(shards(df), df).select("shard", "local", "id", F.round(V.total(V.as_double("vec")), 5).alias("total"))
+
+
+@query(f"""WITH {B_SQL}, {NEAR_SQL}, m AS (SELECT centre AS shard, vec_id AS id, row_number() OVER (PARTITION BY centre ORDER BY vec_id) - 1 AS local, count(*) OVER (PARTITION BY centre) AS size FROM n WHERE rank <= 2)
+    SELECT a.id AS src, b.id AS dst FROM m a JOIN m b ON a.shard = b.shard AND b.local = (a.local * 5 + 1) % a.size""")
+def shard_edges_renamed(spark, d):
+    """Edges under a shard's own numbers, under global ids."""
+    df = base(spark, d)
+    own = stored(P.materialised(shards(df), df).select("shard", "local", "id"), "shard-ids")
+    sizes = own.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
+    e = own.join(sizes, "shard").select("shard", F.col("local").alias("src"), ((F.col("local") * 5 + 1) % F.col("size")).cast("int").alias("dst"))
+    return P.to_global(e, own)
+
+
+@query(f"WITH {B_SQL}, {LS_SQL}, {NEAR_SQL} SELECT centre AS shard, n.vec_id AS id, array_to_string(labels, ',') AS labels FROM n JOIN s ON s.vec_id = n.vec_id WHERE rank <= 2")
+def shard_labels(spark, d):
+    df = base(spark, d)
+    return P.shard_labels(shards(df), label_sets(df).select(F.col("vec_id").alias("id"), "labels")).withColumn("labels", F.array_join("labels", ","))
+
+
+# -- more of quantisation ---------------------------------------------------------------------
+@query(f"""WITH {CODE_SQL}, a AS (SELECT q.vec_id AS qid, code.vec_id AS id, round(sum({l2('q.v[c * 8 + 1:c * 8 + 8]', 'p.v[c * 8 + 1:c * 8 + 8]')}), 6) AS dist FROM b q JOIN code ON q.vec_id % {EVERY} = 0 JOIN b p ON p.vec_id = code GROUP BY q.vec_id, code.vec_id),
+    r AS (SELECT qid, dist, row_number() OVER (PARTITION BY qid ORDER BY dist) AS rank FROM a) SELECT qid, rank, dist FROM r WHERE rank <= 10""")
+def pq_adc_top_k(spark, d):
+    """The ten least code distances of each query; which of equal codes they are is open."""
+    df = base(spark, d)
+    found = Q.adc(asked(df), df, book(df), K)
+    return rounded(merge_top_k(found, K)).select("qid", F.col("rank").cast("bigint").alias("rank"), "dist")
+
+
+@query(f"WITH {CODE_SQL} SELECT q.vec_id AS qid, code.vec_id AS id, round(-sum({dot('q.v[c * 8 + 1:c * 8 + 8]', 'p.v[c * 8 + 1:c * 8 + 8]')}), 6) AS dist FROM b q JOIN code ON q.vec_id % {EVERY} = 0 JOIN b p ON p.vec_id = code GROUP BY q.vec_id, code.vec_id")
+def pq_inner_product(spark, d):
+    df = base(spark, d)
+    own = book(df)
+    products = Q.Codebook(own.pivots, own.offsets, own.centroid)
+    products.table = own.products  # the tables of inner products in place of distances
+    return Q.adc(asked(df), df, products).withColumn("dist", F.round("dist", 6))
+
+
+LUT_SQL = f"lut AS (SELECT c, x.vec_id AS a, y.vec_id AS b, CAST(round({l2('x.v[c * 8 + 1:c * 8 + 8]', 'y.v[c * 8 + 1:c * 8 + 8]')} * 1e6) AS BIGINT) AS d FROM b x JOIN b y ON x.vec_id < {PIVOTS} AND y.vec_id < {PIVOTS}, range({CHUNKS}) r(c))"
+
+
+@query(f"""WITH RECURSIVE {E_SQL}, {CODE_SQL}, {LUT_SQL}, c AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst),
+    z AS (SELECT DISTINCT x.dst AS p, y.dst AS q FROM c x JOIN c y ON x.src = y.src UNION SELECT src, dst FROM c),
+    dist AS (SELECT z.p, z.q, sum(lut.d)::BIGINT AS d FROM z JOIN code m ON m.vec_id = z.p JOIN code n ON n.vec_id = z.q AND n.c = m.c JOIN lut ON lut.c = m.c AND lut.a = m.code AND lut.b = n.code GROUP BY z.p, z.q),
+    k AS (SELECT c.src, c.dst, dist.d, row_number() OVER (PARTITION BY c.src ORDER BY dist.d, c.dst) AS r FROM c JOIN dist ON p = c.src AND q = c.dst),
+    o AS (SELECT x.src, x.dst AS s, y.dst AS v FROM k x JOIN k y ON x.src = y.src AND x.r < y.r JOIN dist ON p = x.dst AND q = y.dst WHERE dist.d <= y.d),
+    occ AS (SELECT src, v, list(s) AS by FROM o GROUP BY src, v),
+    step(src, r, sel) AS (SELECT src, 0::BIGINT, []::BIGINT[] FROM k WHERE r = 1
+      UNION ALL SELECT step.src, k.r, CASE WHEN len(sel) < {PRUNED} AND NOT list_has_any(sel, coalesce(occ.by, []::BIGINT[])) THEN list_append(sel, k.dst) ELSE sel END
+      FROM step JOIN k ON k.src = step.src AND k.r = step.r + 1 LEFT JOIN occ ON occ.src = k.src AND occ.v = k.dst),
+    last AS (SELECT src, arg_max(sel, r) AS sel FROM step GROUP BY src),
+    f AS (SELECT k.src, k.dst, k.d, row_number() OVER (PARTITION BY k.src ORDER BY CASE WHEN list_contains(sel, k.dst) THEN 0 ELSE 1 END, k.r) - 1 AS pos FROM k JOIN last ON last.src = k.src)
+    SELECT src, pos, dst, round(d / 1e6, 6) AS dist FROM f WHERE pos < {PRUNED}""")
+def t_occlusion_prune_on_codes(spark, d):
+    df = base(spark, d)
+    return rounded(G.occlusion_prune_codes(edges(df).select("src", "dst").distinct(), df, book(df), PRUNED))
+
+
+@query(f"""WITH {B_SQL}, n1 AS (SELECT a.vec_id, min_by(c.vec_id, ({l2('a.v', 'c.v')}, c.vec_id)) AS centre FROM b a JOIN b c ON c.vec_id < {CENTRES} GROUP BY a.vec_id),
+    c1 AS (SELECT centre, list(m ORDER BY i) AS c FROM (SELECT centre, i, avg(v[i]) AS m FROM n1 JOIN b USING (vec_id), range(1, 65) r(i) GROUP BY centre, i) GROUP BY centre),
+    n2 AS (SELECT a.vec_id, min_by(c1.centre, ({l2('a.v', 'c1.c')}, c1.centre)) AS centre FROM b a, c1 GROUP BY a.vec_id)
+    SELECT centre, i - 1 AS pos, round(avg(v[i]), 5) AS mean FROM n2 JOIN b USING (vec_id), range(1, 65) r(i) GROUP BY centre, i""")
+def kmeans_two_rounds(spark, d):
+    """Two rounds of k-means over all rows; a task returns one sum for each centre."""
+    import numpy as np
+
+    df = base(spark, d)
+    found, _ = P.kmeans(df, np.array([v for _, v in centres(df)]), 2)
+    rows = [(c, j, float(x)) for c, row in enumerate(found) for j, x in enumerate(row)]
+    return spark.createDataFrame(rows, "centre bigint, pos int, mean double").withColumn("mean", F.round("mean", 5))
+
+
+# -- more of graphs -----------------------------------------------------------------------------
+@query(f"WITH {E_SQL}, g AS (SELECT src, count(*) AS n FROM e GROUP BY src) SELECT count(*) AS n, 64::BIGINT AS dim, 7::BIGINT AS medoid, (SELECT max(n) FROM g) AS largest, true AS valid FROM embeddings")
+def layout_metadata(spark, d):
+    df = base(spark, d)
+    return G.layout_metadata(G.layout(df, G.adjacency(edges(df)), 7))
+
+
+@query(f"""WITH RECURSIVE {E_SQL}, f AS (SELECT DISTINCT src, dst FROM e), l(node, level) AS (SELECT unnest([0, 100, 333]::BIGINT[]), 0 UNION SELECT f.dst, l.level + 1 FROM l JOIN f ON f.src = l.node WHERE l.level < 3)
+    SELECT node, min(level) AS level FROM l GROUP BY node""")
+def bfs_from_several(spark, d):
+    return G.bfs_levels(edges(base(spark, d)), [0, 100, 333], 3)
+
+
+# -- more of recall -------------------------------------------------------------------------------
+@query(f"{FOUND_SQL} SELECT r.qid, count(a.id) AS hits, count(a.id) / 10 AS recall FROM r LEFT JOIN a ON a.qid = r.qid AND a.id = r.id WHERE rank <= 10 GROUP BY r.qid")
+def per_query_recall(spark, d):
+    df = base(spark, d)
+    return C.plain_recall(truth(df), found(df), K)
+
+
+@query(f"""{FOUND_SQL}, w AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM r WHERE id % 7 <> 0) SELECT w.qid, count(a.id) AS hits, count(a.id) / 10 AS recall FROM w LEFT JOIN a ON a.qid = w.qid AND a.id = w.id WHERE w.rank <= 10 GROUP BY w.qid""")
+def live_tag_recall(spark, d):
+    """Against the ten nearest of the rows that are live."""
+    df = base(spark, d)
+    live = df.filter(F.col("vec_id") % 7 != 0).select(F.col("vec_id").alias("id"))
+    return C.live_recall(truth(df, 100), found(df), live, K)
+
+
+# -- more of updates --------------------------------------------------------------------------------
+@query(f"""WITH {E_SQL}, f AS (SELECT src, dst, min(pos) AS pos FROM e GROUP BY src, dst), k AS (SELECT src, dst FROM f WHERE src % 7 <> 0),
+    o AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY pos, dst) AS n FROM f WHERE src % 7 = 0 AND dst % 7 <> 0),
+    x AS (SELECT src, dst FROM k WHERE dst % 7 <> 0 UNION SELECT k.src, o.dst FROM k JOIN o ON o.src = k.dst WHERE o.n <= 3) SELECT src, dst FROM x WHERE src <> dst""")
+def delete_merge(spark, d):
+    """A deleted neighbour gives its first three live ones."""
+    df = base(spark, d)
+    return U.delete_merge(edges(df), df.filter(F.col("vec_id") % 7 == 0).select(F.col("vec_id").alias("id")), 3)
+
+
+@query(f"""WITH {E_SQL}, m AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS location FROM embeddings WHERE vec_id % 7 <> 0)
+    SELECT DISTINCT a.location AS src, b.location AS dst FROM e JOIN m a ON a.vec_id = src JOIN m b ON b.vec_id = dst""")
+def renumbered_edges(spark, d):
+    df = base(spark, d)
+    return U.renumbered(edges(df).select("src", "dst").distinct(), U.compact_ids(df.filter(F.col("vec_id") % 7 != 0), "vec_id"), "vec_id")
+
+
+@query(f"WITH {E_SQL}, n AS (SELECT dst FROM e WHERE src = 7 AND dst % 7 <> 0 ORDER BY pos, dst LIMIT 1) SELECT 7::BIGINT AS entry, dst AS moved FROM n")
+def entry_after_deletes(spark, d):
+    df = base(spark, d)
+    return spark.createDataFrame([(7, U.entry_after_deletes(edges(df), df.filter(F.col("vec_id") % 7 == 0).select(F.col("vec_id").alias("id")), 7))], "entry bigint, moved bigint")
+
+
+# -- properties of what has no SQL form: whole results, checked and counted ---------------------------
+def checked(spark, what: str, **facts) -> DataFrame:
+    """One row: what, and facts as they are."""
+    kinds = {bool: "boolean", int: "bigint", str: "string"}
+    return spark.createDataFrame([(what, *facts.values())], ", ".join(["what string", *[f"{k} {kinds[type(v)]}" for k, v in facts.items()]]))
+
+
+def share_found(result: DataFrame, wanted: DataFrame) -> float:
+    """Of the wanted (qid, id) how many are in a result."""
+    return wanted.join(result.select("qid", "id"), ["qid", "id"], "left_semi").count() / max(1, wanted.count())
+
+
+N_SQL = "(SELECT count(*) FROM embeddings)"
+ASKED_SQL = f"(SELECT count(*) FROM embeddings WHERE vec_id % {EVERY} = 0)"
+
+
+def graph_facts(edges_: DataFrame, n: int, degree: int) -> dict:
+    """Of a graph over 0..n-1: its sources, and whether its lists are short enough, valid, and lead from 0 to every node."""
+    lists = edges_.groupBy("src").agg(F.collect_list("dst").alias("nbrs"))
+    found = G.checked_graph(lists, n, degree)
+    return {"n_sources": found["sources"], "loops": found["loops"], "degrees_fit": found["largest"] <= degree, "reached": G.bfs_levels(edges_, 0).count()}
+
+
+GRAPH_SQL = f"SELECT '{{}}' AS what, {N_SQL} AS n_sources, 0::BIGINT AS loops, true AS degrees_fit, {N_SQL} AS reached"
+
+
+@query(GRAPH_SQL.format("pipeline_graph"))
+def pipeline_graph_facts(spark, d):
+    df = base(spark, d)
+    return checked(spark, "pipeline_graph", **graph_facts(stored(pipeline_graph(spark, d), "facts").select("src", "dst"), df.count(), PARAMS.degree))
+
+
+@query(GRAPH_SQL.format("stitched_vamana"))
+def stitched_vamana_facts(spark, d):
+    df = base(spark, d)
+    return checked(spark, "stitched_vamana", **graph_facts(stitched_vamana(spark, d).select("src", "dst"), df.count(), PARAMS.degree))
+
+
+@query(GRAPH_SQL.format("graph_on_codes"))
+def graph_on_codes_facts(spark, d):
+    """The whole build with both prunings on code distances."""
+    df = base(spark, d)
+    graph = B.build_graph(df, PARAMS, book=Q.train(df, 16, centres=64))
+    return checked(spark, "graph_on_codes", **graph_facts(graph.select("src", "dst"), df.count(), PARAMS.degree))
+
+
+@query(f"SELECT 'vamana_build' AS what, {N_SQL} AS n_sources, 0::BIGINT AS loops, true AS degrees_fit, 0::BIGINT AS across, true AS all_reached")
+def vamana_build_facts(spark, d):
+    """Each partition's own graph: degrees, edges that stay inside, and all nodes reached from the partition's start."""
+    df = base(spark, d)
+    graphs = local(df)
+    e = stored(B.own_edges(graphs, PARAMS), "facts")
+    found = G.checked_graph(e.groupBy("src").agg(F.collect_list("dst").alias("nbrs")), df.count(), PARAMS.degree)
+    n = df.count()
+    part = lambda c: P.contiguous(c, n, PARTS)
+    starts = [r[0] for r in graphs.select(F.expr("ids[start]")).collect()]
+    return checked(spark, "vamana_build", n_sources=found["sources"], loops=found["loops"], degrees_fit=found["largest"] <= PARAMS.degree, across=G.keep_cross(e, part).count(), all_reached=G.bfs_levels(e, starts).count() == n)
+
+
+@query(f"SELECT 'cross_probe' AS what, true AS all_across, {PARTS * (PARTS - 1)}::BIGINT AS pairs, {N_SQL} AS n_sources, true AS near")
+def cross_probe_facts(spark, d):
+    """Edges between partitions, both ways for each pair; a row's nearest edge is its nearest row elsewhere for nearly all."""
+    df = base(spark, d)
+    n = df.count()
+    part = lambda c: P.contiguous(c, n, PARTS)
+    e = stored(cross_probe(spark, d), "facts")
+    pairs = e.select(part("src").alias("i"), part("dst").alias("j")).distinct()
+    numbered_ = df.withColumn("part", part("vec_id"))
+    q = asked(numbered_)
+    wanted = merge_top_k(knn(q, numbered_, 60).join(q.select(F.col("vec_id").alias("qid"), "part"), "qid").filter(part("id") != F.col("part")).select("qid", "id", "dist"), 1)
+    near = share_found(e.select(F.col("src").alias("qid"), F.col("dst").alias("id")), wanted) >= 0.9
+    return checked(spark, "cross_probe", all_across=pairs.filter("i = j").count() == 0, pairs=pairs.count(), n_sources=e.select("src").distinct().count(), near=near)
+
+
+def search_facts(spark, what: str, result: DataFrame, wanted: DataFrame, least: float) -> DataFrame:
+    result = stored(result, "facts")
+    per = result.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+    row = per.agg(F.count(F.lit(1)).alias("queries"), F.min("n").alias("least"), F.count_if(F.col("n") != F.col("ids")).alias("twice")).first()
+    return checked(spark, what, queries=row.queries, fewest=row.least, repeated=row.twice, recall_holds=share_found(result, wanted) >= least)
+
+
+SEARCH_SQL = f"SELECT '{{}}' AS what, {ASKED_SQL} AS queries, 10::BIGINT AS fewest, 0::BIGINT AS repeated, true AS recall_holds"
+
+
+@query(SEARCH_SQL.format("beam_search"))
+def beam_search_facts(spark, d):
+    df = base(spark, d)
+    return search_facts(spark, "beam_search", beam_search(spark, d), truth(df), 0.98)
+
+
+@query(SEARCH_SQL.format("beam_search_pq_early_exit"))
+def beam_search_pq_facts(spark, d):
+    return search_facts(spark, "beam_search_pq_early_exit", beam_search_pq_early_exit(spark, d), truth(base(spark, d)), 0.9)
+
+
+@query(SEARCH_SQL.format("filtered_vamana"))
+def filtered_vamana_facts(spark, d):
+    df = label_sets(base(spark, d))
+    wanted = knn(asked(df), df.select("vec_id", "embedding", F.explode("labels").alias("one")), K, match=("label", "one"))
+    return search_facts(spark, "filtered_vamana", filtered_vamana(spark, d), wanted, 0.9)
+
+
+@query(SEARCH_SQL.format("universal_label"))
+def universal_label_facts(spark, d):
+    """Rows of the query's label or of the universal one."""
+    df = label_sets(base(spark, d))
+    found = S.search_partitions(asked(df), local(df, "labels"), S.SearchParams(k=K, length=64), label_col="label", universal=20)
+    own = knn(asked(df).withColumn("one", F.lit(True)), df, 200)
+    may = df.select(F.col("vec_id").alias("id"), "labels").join(own, "id").join(asked(df).select(F.col("vec_id").alias("qid"), F.col("label").alias("ask")), "qid")
+    wanted = merge_top_k(may.filter(F.array_contains("labels", F.col("ask")) | F.array_contains("labels", F.lit(20))).select("qid", "id", "dist"), K)
+    return search_facts(spark, "universal_label", found, wanted, 0.9)
+
+
+@query(SEARCH_SQL.format("predicate_search"))
+def predicate_search_facts(spark, d):
+    """The nearest rows that meet a predicate on labels and a range, found in traversal."""
+    df = label_sets(base(spark, d))
+    meets = L.any_common(F.col("labels"), F.array(F.lit(10), F.lit(11))) & L.within(F.col("vec_id") % 100, 20, 80)
+    return search_facts(spark, "predicate_search", S.filtered_search(asked(df), local(df), df, meets, S.SearchParams(k=K, length=64)), knn(asked(df), df.filter(meets), K), 0.95)
+
+
+@query(f"{knn_sql(L2_SQL, 'b.vec_id % 3 = 0')}, o AS (SELECT q.vec_id AS qid, b.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {L2_SQL}, b.vec_id) AS rank FROM b q JOIN b ON true WHERE q.vec_id % {EVERY} = 0), w AS (SELECT qid, id FROM o WHERE rank <= {N_SQL} AND id % 3 = 0) SELECT r.qid, r.id, round(r.dist, 6) AS dist, r.rank FROM r JOIN w USING (qid, id) WHERE r.rank <= 10")
+def post_filtered_search(spark, d):
+    """A search whose pool holds every row, filtered afterwards: exact."""
+    df = base(spark, d)
+    return rounded(S.post_filtered(asked(df), local(df), df, F.col("vec_id") % 3 == 0, S.SearchParams(k=K, length=df.count(), mode="expanded")))
+
+
+@query(f"{knn_sql(L2_SQL)} SELECT qid, id, round(dist, 6) AS dist, rank FROM r WHERE rank <= 10")
+def graph_search_with_full_pool(spark, d):
+    """Partitioned graphs searched until every node is in the pool give the exact answer, merged over partitions."""
+    df = base(spark, d)
+    found = S.search_partitions(asked(df), local(df), S.SearchParams(k=K, length=df.count(), entries=4))
+    return rounded(found.select("qid", "id", "dist", "rank"))
+
+
+@query(f"SELECT 'graph_range_search' AS what, 0::BIGINT AS outside, 0::BIGINT AS wrong, true AS recall_holds")
+def graph_range_facts(spark, d):
+    df = base(spark, d)
+    found, wanted = stored(graph_range_search(spark, d), "facts"), knn(asked(df), df, 0, radius=1.5)
+    return checked(spark, "graph_range_search", outside=found.filter("dist > 1.5").count(), wrong=found.join(wanted, ["qid", "id"], "left_anti").count(), recall_holds=share_found(found, wanted) >= 0.95)
+
+
+@query(f"SELECT l AS length, {ASKED_SQL} AS queries, l >= 20 AS recall_holds, 10.0 AS mean_found, true AS rises FROM (VALUES (10), (20), (50), (100)) t(l)")
+def multi_l_facts(spark, d):
+    """The sweep over pool lengths: recall holds from 20 on, and does not fall as work grows."""
+    from pyspark.sql import Window
+
+    rows = multi_l_metrics(spark, d)
+    before = Window.orderBy("length")  # one row for each length
+    return rows.select("length", "queries", ((F.col("length") >= 20) & (F.col("recall") >= 0.95)).alias("recall_holds"), "mean_found",
+                       F.coalesce((F.col("recall") >= F.lag("recall").over(before) - 0.02) & (F.col("mean_comparisons") >= F.lag("mean_comparisons").over(before)), F.lit(True)).alias("rises"))
+
+
+@query(f"SELECT l AS length, vec_id AS qid, 10::BIGINT AS found, true AS consistent FROM embeddings, (VALUES (10), (50)) t(l) WHERE vec_id % {EVERY} = 0")
+def query_stats(spark, d):
+    """A row for each pool length and query; consistent: hits, recalls, distances and work agree with each other."""
+    df = base(spark, d)
+    rows = S.query_stats(asked(df), local(df), truth(df, K + 5), [10, 50], K)
+    fits = (F.col("recall") == F.col("hits") / K) & (F.col("recall_with_ties") >= F.col("recall")) & (F.col("best") <= F.col("worst")) & (F.col("comparisons") >= F.col("expanded")) & (F.col("hits") <= F.col("found"))
+    return rows.select("length", "qid", "found", fits.alias("consistent"))
+
+
+@query(f"SELECT 'visit_frequency_cache' AS what, 60::BIGINT AS n_rows, true AS in_order, true AS known")
+def visit_frequency_facts(spark, d):
+    rows = visit_frequency_cache(spark, d).collect()
+    ids = base(spark, d).filter(F.col("vec_id").isin([r.id for r in rows])).count()
+    return checked(spark, "visit_frequency_cache", n_rows=len(rows), in_order=[(-r.visits, r.id) for r in rows] == sorted((-r.visits, r.id) for r in rows), known=ids == len(rows))
+
+
+@query(f"SELECT 'opq_encode' AS what, {N_SQL} AS n_rows, 8::BIGINT AS chunks, true AS within, true AS better")
+def opq_encode_facts(spark, d):
+    """Codes of a learned rotation describe the rows at least as well, by and large, as those without."""
+    import numpy as np
+
+    df = base(spark, d)
+    row = opq_encode(spark, d).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("code")).alias("chunks"), F.min(F.array_min("code")).alias("low"), F.max(F.array_max("code")).alias("high")).first()
+    x = np.array([r[0] for r in df.select("embedding").collect()], dtype=np.float64)
+    error = lambda b: float(((b.inflate(b.encode(x)) - x) ** 2).sum())
+    plain, turned = Q.train(df, 8, centres=16), Q.train(df, 8, centres=16, rotate=5)
+    return checked(spark, "opq_encode", n_rows=row.n, chunks=row.chunks, within=row.low >= 0 and row.high < 16, better=error(turned) <= 1.02 * error(plain))
+
+
+@query("SELECT 'clustered_data' AS what, 2048::BIGINT AS n_rows, 32::BIGINT AS dim, 2047::BIGINT AS last, true AS clustered, 100::BIGINT AS queries, true AS near_their_rows")
+def clustered_data_facts(spark, d):
+    """Generated points lie about their 16 centres, and queries about the rows that they are made of."""
+    df = stored(clustered_data(spark, d), "facts")
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"), F.max("vec_id").alias("last")).first()
+    q = stored(X.perturbed(df, 100, 0.015), "facts")
+    near = knn(df.filter("vec_id < 16"), df, 100).filter(F.col("id") % 16 != F.col("qid") % 16).count() == 0
+    own = knn(q, df, 1).filter(F.col("id") % 16 != F.pmod(F.col("qid") * 37, F.lit(2048)) % 16).count() == 0
+    return checked(spark, "clustered_data", n_rows=row.n, dim=row.dim, last=row["last"], clustered=near, queries=q.count(), near_their_rows=own)
+
+
+# -- an index that changes --------------------------------------------------------------------------
+def changed_index(df: DataFrame) -> VectorIndex:
+    """Built of two thirds of the rows; the others are inserted, a seventh deleted, and that consolidated. Tags are 1 more than ids: 0 is reserved."""
+    own = df.withColumn("vec_id", F.col("vec_id") + 1)
+    index = VectorIndex.build(own.filter(F.col("vec_id") % 3 != 0), PARAMS)
+    index, _ = index.insert(own.filter(F.col("vec_id") % 3 == 0))
+    index, _ = index.delete(own.filter(F.col("vec_id") % 7 == 0).select(F.col("vec_id").alias("tag")))
+    return index.consolidate()[0]
+
+
+@query("SELECT vec_id + 1 AS tag FROM embeddings WHERE (vec_id + 1) % 7 <> 0")
+def index_live_tags(spark, d):
+    return changed_index(base(spark, d)).tags()
+
+
+@query(f"SELECT 'changed_index' AS what, (SELECT count(*) FROM embeddings WHERE (vec_id + 1) % 7 <> 0) AS n_sources, true AS degrees_fit, 0::BIGINT AS to_deleted, (SELECT count(*) FROM embeddings WHERE (vec_id + 1) % {EVERY} = 0) AS queries, 10::BIGINT AS fewest, true AS recall_holds")
+def index_after_changes(spark, d):
+    """Inserted rows are in the graphs, deleted ones in none; degrees hold, and searches find the live neighbours."""
+    df = base(spark, d).withColumn("vec_id", F.col("vec_id") + 1)
+    index = changed_index(base(spark, d))
+    e = stored(B.own_edges(index.graphs, PARAMS), "facts")
+    degrees = e.groupBy("src").count().agg(F.max("count")).first()[0]
+    found = stored(index.search(asked(df), S.SearchParams(k=K, length=60)), "facts")
+    wanted = knn(asked(df), df.filter(F.col("vec_id") % 7 != 0), K)
+    return checked(spark, "changed_index", n_sources=index.graphs.select(F.explode("ids").alias("id")).distinct().count(), degrees_fit=degrees <= PARAMS.degree, to_deleted=e.filter("dst % 7 = 0 OR src % 7 = 0").count(),
+                   queries=found.select("qid").distinct().count(), fewest=found.groupBy("qid").count().agg(F.min("count")).first()[0], recall_holds=share_found(found, wanted) >= 0.95)
+
+
+@query(f"""WITH {PART_SQL.replace(str(PARTS + 3), str(PARTS))}, t AS (SELECT part, count(*) AS rows, count(*) FILTER ((vec_id + 1) % 7 = 0) AS released FROM p GROUP BY part) SELECT part, rows, released, rows - released AS active FROM t""")
+def consolidate_report(spark, d):
+    """What consolidating an index of all rows says of each partition, a seventh being deleted."""
+    own = base(spark, d).withColumn("vec_id", F.col("vec_id") + 1)
+    index, _ = VectorIndex.build(own, PARAMS).delete(own.filter(F.col("vec_id") % 7 == 0).select(F.col("vec_id").alias("tag")))
+    return index.consolidate()[1].select("part", "rows", "released", "active")
+
+
+@query("SELECT vec_id AS tag FROM embeddings WHERE vec_id % 2 = 0 OR vec_id = 0")
+def index_refused_tags(spark, d):
+    """Tags that an index of the even rows refuses when all rows are inserted: its own, and 0."""
+    df = base(spark, d)
+    index = VectorIndex.build(df.filter(F.col("vec_id") % 2 == 0), PARAMS)
+    return index.insert(df)[1]
+
+
+@query(f"SELECT s AS step, greatest(0, s * 100 + 100 - 200) AS first, least(s * 100 + 100, {N_SQL}) - 1 AS last, least(s * 100 + 100, {N_SQL}) - greatest(0, least(s * 100 + 100, {N_SQL}) - 200) AS n_rows FROM range(1, 5) t(s)")
+def streaming_window(spark, d):
+    """A window of 200 rows moving on by 100: what is live after each step."""
+    df, out = base(spark, d), None
+    for step, now in enumerate(M.sliding_window(VectorIndex.build(df.filter(F.col("vec_id") < 100), PARAMS), df, 200, 100, 100, 500)):
+        if step:
+            row = now.tags().agg(F.min("tag").alias("first"), F.max("tag").alias("last"), F.count(F.lit(1)).alias("n_rows")).withColumn("step", F.lit(step))
+            out = row if out is None else out.unionByName(row)
+    return out.select("step", "first", "last", "n_rows")
+
+
+@query(f"SELECT vec_id AS qid, 1 AS rank, vec_id AS id FROM embeddings WHERE vec_id % {EVERY} = 0")
+def vector_search_function(spark, d):
+    """The table function in a lateral join: each query's nearest row is itself."""
+    df = base(spark, d)
+    vector_search(VectorIndex.build(df, PARAMS))
+    asked(df).createOrReplaceTempView("asked_vectors")
+    return spark.sql("SELECT q.vec_id AS qid, r.rank, r.id FROM asked_vectors q, LATERAL vector_search(q.embedding, 1, 40) r")
+
+
+@query(f"SELECT 'budget_shards' AS what, {N_SQL} * 2 AS placed, {N_SQL} AS n_rows, true AS fits, true AS all_used")
+def shards_under_a_budget(spark, d):
+    """More k-means shards until a graph of the largest fits the budget; every row is in two."""
+    df = base(spark, d)
+    budget = P.index_bytes(df.count(), 64) * 0.45
+    found, centres_ = P.budget_shards(df, budget)
+    sizes = [r.n for r in found.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()]
+    return checked(spark, "budget_shards", placed=sum(sizes), n_rows=found.select("id").distinct().count(), fits=P.index_bytes(max(sizes), 64) <= budget, all_used=len(sizes) == len(centres_))
+
+
+@query(GRAPH_SQL.format("merged_graph"))
+def merged_build_facts(spark, d):
+    """Graphs of overlapping shards, of two thirds of the degree, merged by node."""
+    df = base(spark, d)
+    graph = B.merged_graph(df, shards(df), PARAMS)
+    return checked(spark, "merged_graph", **graph_facts(graph.select("src", "dst"), df.count(), PARAMS.degree))
+
+
+@query("SELECT round(3 * 0.9, 2) AS at_most, true AS plausible, 0.9 AS of_one")
+def simulated_aggregate_recall(spark, d):
+    """Recall to expect of shards' recalls: below the shards' own if more neighbours lie in one than it returns, and their own for one."""
+    found = C.simulated_recall([0.9] * 10, 10, 100, 8)
+    return spark.createDataFrame([(2.7, 0.6 < found < 0.8, round(C.simulated_recall([0.9] * 10, 10, 10, 1), 6))], "at_most double, plausible boolean, of_one double")
+
+
+# -- one graph, searched and changed by joins -----------------------------------------------------------
+def one_entry(spark, node: int = 0) -> DataFrame:
+    return spark.createDataFrame([(node,)], "id bigint")
+
+
+def final_graph(df: DataFrame) -> DataFrame:
+    return stored(B.build_graph(df, PARAMS).select("src", "dst"), "final-graph")
+
+
+@query(SEARCH_SQL.format("final_graph"))
+def final_graph_search_facts(spark, d):
+    """The built graph, searched from one entry."""
+    df = base(spark, d)
+    return search_facts(spark, "final_graph", J.graph_search(asked(df), final_graph(df), df, one_entry(spark), K, 60), truth(df), 0.95)
+
+
+@query(SEARCH_SQL.format("graph_from_sampled_entries"))
+def sampled_entries_facts(spark, d):
+    """The same from entry points of its own for each query, the nearest of a twentieth of the rows."""
+    df = base(spark, d)
+    return search_facts(spark, "graph_from_sampled_entries", J.graph_search(asked(df), final_graph(df), df, J.sampled_entries(asked(df), df, 0.05), K, 60), truth(df), 0.95)
+
+
+@query(f"{knn_sql(L2_SQL)} {TOP}")
+def graph_search_by_joins(spark, d):
+    """A search over the graph that follows from ids, and its reverse edges, with a pool for every row: exact."""
+    df = base(spark, d)
+    found = J.graph_search(asked(df), G.with_reverse(edges(df).select("src", "dst")), df, one_entry(spark), K, df.count(), 100)
+    return rounded(found.select("qid", "id", "dist", "rank"))
+
+
+@query(f"{knn_sql(L2_SQL, 'b.vec_id IN (3, 77, 205, 431)')} SELECT qid, id FROM r WHERE rank = 1")
+def nearest_start(spark, d):
+    """For each query the nearest of several entries."""
+    df = base(spark, d)
+    return J.nearest_entries(asked(df), df, spark.createDataFrame([(3,), (77,), (205,), (431,)], "id bigint"))
+
+
+@query(f"SELECT l AS length, {ASKED_SQL} AS queries, l >= 30 AS recall_holds, true AS rises, true AS hops_fit FROM (VALUES (10), (30)) t(l)")
+def graph_quality(spark, d):
+    """Recall, hops and comparisons of the built graph by pool length, a node at a time from a common entry."""
+    from pyspark.sql import Window
+
+    df = base(spark, d)
+    rows = J.quality(asked(df), final_graph(df), df, truth(df), 0, [10, 30], K)
+    before = Window.orderBy("length")  # one row for each length
+    return rows.select("length", "queries", ((F.col("length") >= 30) & (F.col("recall") >= 0.95)).alias("recall_holds"),
+                       F.coalesce((F.col("recall") >= F.lag("recall").over(before)) & (F.col("mean_hops") > F.lag("mean_hops").over(before)), F.lit(True)).alias("rises"), (F.col("mean_hops") >= F.col("length") * 0.9).alias("hops_fit"))
+
+
+@query(f"SELECT 'inserted_graph' AS what, {N_SQL} AS n_sources, 0::BIGINT AS loops, true AS degrees_fit, {N_SQL} AS reached, true AS found")
+def graph_insert_facts(spark, d):
+    """A fifth of the rows inserted into a graph of the others: all are reached, degrees hold, and each finds itself."""
+    df = base(spark, d)
+    new, old = df.filter("vec_id % 5 = 4"), df.filter("vec_id % 5 <> 4")
+    dense = U.compact_ids(old, "vec_id").join(old, "vec_id")
+    graph = B.build_graph(dense.select(F.col("location").alias("id"), "embedding"), PARAMS, id_col="id")
+    numbers = dense.select(F.col("location"), "vec_id")
+    name = lambda c: numbers.select(F.col("location").alias(c), F.col("vec_id").alias(f"own_{c}"))
+    own = graph.select("src", "dst").join(name("src"), "src").join(name("dst"), "dst").select(F.col("own_src").alias("src"), F.col("own_dst").alias("dst"))
+    after = J.insert(stored(own, "facts"), old, new, one_entry(spark), PARAMS.degree)
+    found = J.graph_search(new, after, df, one_entry(spark), 1, 40).filter("qid = id").count()
+    return checked(spark, "inserted_graph", **graph_facts(after, df.count(), PARAMS.degree), found=found >= 0.98 * new.count())
+
+
+@query(f"SELECT vec_id AS id, 1 + vec_id // 11 AS sector, vec_id % 11 * 356 AS at, 1 + CAST(ceil({N_SQL} / 11.0) AS BIGINT) + vec_id // 16 AS vector_sector, vec_id % 16 * 256 AS vector_at FROM embeddings")
+def layout_sectors(spark, d):
+    """Places of nodes of 64 numbers and 24 neighbours in sectors of 4096 bytes, and of the whole vectors behind them."""
+    df = base(spark, d)
+    laid = G.layout(df, G.adjacency(edges(df)), 7)
+    return G.sectors(laid, 64, 24, reorder=True).select("id", "sector", "at", "vector_sector", "vector_at")
+
+
+# -- files, and what is saved ----------------------------------------------------------------------------
+def vector_folder(spark, rows: DataFrame, **options) -> str:
+    """Rows (id, vec) written as a folder of three vector files."""
+    spark.dataSource.register(VectorFiles)
+    folder = for_arrow(spark, scratch(spark, "vectors"))
+    rows.repartitionByRange(3, "id").sortWithinPartitions("id").write.format("vectors").options(**options).mode("append").save(folder)
+    return folder
+
+
+@query("SELECT vec_id AS id, i - 1 AS pos, round(CAST(embedding[i] AS DOUBLE), 6) AS x FROM embeddings, range(1, 65) r(i)")
+def vector_files_round_trip(spark, d):
+    folder = vector_folder(spark, base(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), layout="bin")
+    rows = spark.read.format("vectors").option("layout", "bin").load(folder)
+    return rows.select("id", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
+
+
+@query("SELECT vec_id AS id, i - 1 AS pos, CAST(floor(CAST(embedding[i] AS DOUBLE) * 127) AS INTEGER) AS x FROM embeddings, range(1, 65) r(i) WHERE vec_id BETWEEN 100 AND 349")
+def vector_files_of_int8_by_range(spark, d):
+    """The other layout, of 8-bit integers, written over an older folder, of which a range of rows is read."""
+    own = base(spark, d).select(F.col("vec_id").alias("id"), X.to_integers("embedding", "int8", 127.0).alias("vec"))
+    folder = vector_folder(spark, own.filter("id < 10"), layout="vecs", dtype="int8")
+    own.repartitionByRange(2, "id").sortWithinPartitions("id").write.format("vectors").options(layout="vecs", dtype="int8").mode("overwrite").save(folder)
+    rows = spark.read.format("vectors").options(layout="vecs", dtype="int8", first=100, end=350).load(folder)
+    return rows.select("id", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.col("x").cast("int"))
+
+
+@query("SELECT count(*) AS n_rows, 64::BIGINT AS dim, 3::BIGINT AS files FROM embeddings")
+def vector_file_headers(spark, d):
+    folder = vector_folder(spark, base(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), layout="bin")
+    found = [header(f, "bin", "float") for f in files_of(folder)]
+    return spark.createDataFrame([(sum(n for n, _ in found), max(dim for _, dim in found), len(found))], "n_rows bigint, dim bigint, files bigint")
+
+
+@query(f"{knn_sql(L2_SQL)} SELECT qid // {EVERY} AS query, id, round(dist, 4) AS dist, rank FROM r WHERE rank <= 10")
+def truth_file_round_trip(spark, d):
+    """A truth file numbers its queries."""
+    path = f"{for_arrow(spark, scratch(spark, 'truth'))}"
+    write_truth_rows(truth(base(spark, d)), path)
+    return truth_rows(spark, path).select(F.col("qid").alias("query"), "id", F.round("dist", 4).alias("dist"), "rank")
+
+
+@query(f"{knn_sql(L2_SQL)} SELECT q.vec_id // {EVERY} AS query, coalesce(array_to_string(list(id ORDER BY dist, id) FILTER (id IS NOT NULL), ','), '') AS ids FROM (SELECT vec_id FROM b WHERE vec_id % {EVERY} = 0) q LEFT JOIN (SELECT * FROM r WHERE dist <= 1.5) t ON t.qid = q.vec_id GROUP BY q.vec_id")
+def range_truth_round_trip(spark, d):
+    df, path = base(spark, d), f"{for_arrow(spark, scratch(spark, 'range-truth'))}"
+    write_range_truth(knn(asked(df), df, 0, radius=1.5), asked(df).select(F.col("vec_id").alias("qid")), path)
+    return range_truth_rows(spark, path).select(F.col("qid").alias("query"), F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"{knn_sql(L2_SQL, 'b.vec_id % 7 <> 0')} {TOP}")
+def saved_index_search(spark, d):
+    """An index with deletions, saved, loaded with its checks, and searched with a pool for every row: exact."""
+    df = base(spark, d)
+    index, _ = VectorIndex.build(df, PARAMS).delete(df.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("tag")))
+    folder = scratch(spark, "index")
+    index.save(folder)
+    return rounded(VectorIndex.load(spark, folder).search(asked(df), S.SearchParams(k=K, length=df.count())))
+
+
+@query(f"WITH {CODE_SQL} SELECT vec_id, c AS chunk, code FROM code")
+def saved_codebook_encode(spark, d):
+    df, folder = base(spark, d), scratch(spark, "codebook")
+    book(df).save(spark, folder)
+    return Q.encode(df, Q.Codebook.load(spark, folder)).select(F.col("id").alias("vec_id"), F.posexplode("code").alias("chunk", "code"))
+
+
+@query(f"WITH {E_SQL}, {CODE_SQL}, g AS (SELECT src, array_to_string(list(dst ORDER BY pos), ',') AS nbrs FROM e GROUP BY src), k AS (SELECT vec_id, array_to_string(list(code ORDER BY c), ',') AS codes FROM code GROUP BY vec_id) SELECT k.vec_id AS id, coalesce(nbrs, '') AS nbrs, codes FROM k LEFT JOIN g ON src = vec_id")
+def disk_layout_of_codes(spark, d):
+    """A layout whose nodes have codes in place of vectors."""
+    df = base(spark, d)
+    coded = Q.encode(df, book(df)).select(F.col("id").alias("vec_id"), F.col("code").alias("embedding"))
+    return G.layout(coded, G.adjacency(edges(df)), 7).select("id", F.array_join("nbrs", ",").alias("nbrs"), F.array_join(F.col("vec").cast("array<string>"), ",").alias("codes"))
+
+
+@query(SEARCH_SQL.format("built_by_codes"))
+def built_by_codes_facts(spark, d):
+    """Graphs built by searches on codes and exact prunings, with the codes stored, searched by them."""
+    df = base(spark, d)
+    own = Q.train(df, 16, centres=64)
+    graphs = B.local_graphs(B.partitioned(df, PARAMS), PARAMS, own, by_codes=True)
+    return search_facts(spark, "built_by_codes", S.search_partitions(asked(df), graphs, S.SearchParams(k=K, length=100), own), truth(df), 0.95)
+
+
+@query(SEARCH_SQL.format("tiered_index"))
+def tiered_index_facts(spark, d):
+    """A main index of four fifths of the rows and a small one of the others, searched together."""
+    df = base(spark, d).withColumn("vec_id", F.col("vec_id") + EVERY)
+    tiers, _ = TieredIndex(VectorIndex.build(df.filter("vec_id % 5 <> 1"), PARAMS)).insert(df.filter("vec_id % 5 = 1"))
+    return search_facts(spark, "tiered_index", tiers.search(asked(df), S.SearchParams(k=K, length=60)), knn(asked(df), df, K), 0.97)
+
+
+@query(f"SELECT l AS length, qid, rank, id, round(dist, 6) AS dist FROM ({knn_sql(L2_SQL)} SELECT * FROM r WHERE rank <= 10), (SELECT unnest([{N_SQL}, {N_SQL} + 1]) AS l)")
+def results_by_length(spark, d):
+    """Results kept for each pool length; here pools that hold every row, which are exact."""
+    df = base(spark, d)
+    n, graphs = df.count(), local(df)
+    found = [S.search_partitions(asked(df), graphs, S.SearchParams(k=K, length=n + i)).select(F.lit(n + i).cast("bigint").alias("length"), "qid", "rank", "id", F.round("dist", 6).alias("dist")) for i in (0, 1)]
+    return found[0].unionByName(found[1])
 
 
 def queries() -> dict:
