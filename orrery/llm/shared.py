@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.storage import discard, remove, scratch, stored
+from orrery.storage import discard, for_arrow, remove, scratch, stored
 
 __all__ = ["LOWER", "SPACE", "Out", "discard", "encoded", "for_arrow", "of_keys", "remove", "scratch", "shuffle_partitions", "slices", "stored"]
 
@@ -19,6 +20,23 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: The white space of the contracts: [\x20\x09-\x0D], which is also what bytes.split() splits at.
 SPACE = b" \t\n\x0b\x0c\r"
 
+#: Arrays from this size on are mapped by themselves, so that workers give them back to the system when they are freed.
+MAPPED_BYTES = 1 << 22
+
+
+def _map_large_arrays() -> None:
+    """Fixes the C library's threshold, which would else rise to 32 MB with use (where it has none, nothing is done), and lets Arrow
+
+    take its memory from there too, as its own pools keep what is freed.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    set_option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if set_option is not None:
+        set_option(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD
+
+
+_map_large_arrays()
+
 #: A key with over 1 / HOT of all rows is hot.
 HOT = 1000
 
@@ -59,18 +77,6 @@ class Out:
         self.fs.move(self.own, self.path)
 
 
-#: Spark's names of object stores that Arrow knows under another one.
-ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
-
-
-def for_arrow(spark: SparkSession, folder: str) -> str:
-    """The URI under which Arrow opens a folder that Spark names, on Spark's default file system if it has no scheme."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
-    scheme = uri.getScheme()
-    return f"{ARROW_SCHEMES.get(scheme, scheme)}://{uri.getAuthority() or ''}{uri.getPath()}"
-
-
 def of_keys(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
     """rows with the columns of keys, of whose keys they have one. keys: (key, n, ...), n being the key's rows among the total.
 

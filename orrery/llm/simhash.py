@@ -66,7 +66,7 @@ COUNTERS, COUNTER_PARTS = 1 << 20, 16
 #: Rows of one block where those that meet in a cell or by a shingle are compared block by block.
 BLOCK = 512
 #: Shingles of one packed list of nodes.
-PACKED = 1 << 20
+PACKED = 1 << 18
 #: The byte lanes of a 64-bit word that count the bits of each byte value.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
