@@ -19,7 +19,9 @@ def _with_least(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u bigint, v bigint); root is the least node that can be reached.
 
-    Nothing is collected but two sums a round. Each round ends in a written table.
+    Nothing is collected but two sums a round. Each round ends in a written table. Edges with a null end or two equal ones count
+    for nothing, repeated ones once; no edges give no rows. Rounds grow with the logarithm of a component's length; MAX_ROUNDS
+    (2^60 nodes in a chain) raise.
     """
     edges = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     said = None

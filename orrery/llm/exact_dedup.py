@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import scratch, shuffle_partitions, stored
+from orrery.llm.shared import discard, remove, scratch, shuffle_partitions, stored
 
 #: A digest with over 1 / HOT of a batch's rows is hot.
 HOT = 1000
@@ -49,6 +49,11 @@ class DigestIndex:
         """The same rows without the bucketing, for joins that must be free to split a hot digest."""
         return self.spark.read.schema(INDEX_SCHEMA).parquet(self.location)
 
+    def drop(self) -> None:
+        """Delete the index, its files included."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        remove(self.spark, self.location)
+
     def append_new(self, groups: DataFrame) -> None:
         """Add the digests that the index lacks. groups: (digest, keep_id, group_size), one row each."""
         fresh = groups.hint("merge").join(self.frame().select("digest"), "digest", "left_anti")
@@ -67,8 +72,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
     With an index of earlier batches, a text that it holds keeps the document
     that was stored first, and rows of this batch with that text are dropped.
-    group_size is the size of the group in the batch that stored it.
+    group_size is the size of the group in the batch that stored it. Without an
+    index the batch has one of its own, which is deleted when it has answered.
     """
+    own = index is None
     index = index or DigestIndex(docs.sparkSession)
     digests = stored(with_digest(docs, id_col, text_col), "digests")
     groups = stored(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "digest-groups")
@@ -80,8 +87,13 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     of_rest = known.join(F.broadcast(hot), "digest", "left_anti")
     rest = digests.join(F.broadcast(hot), "digest", "left_anti")
     joined = digests.join(of_hot, "digest").unionByName(rest.join(of_rest, "digest"))  # reads digests, groups and the index
-    return joined.select(
+    out = joined.select(
         "doc_id", "keep_id", "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("doc_id").isNull() & F.col("keep_id").isNull()).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+    if own:  # an index for this batch alone is not kept
+        out = stored(out, "exact-dedup")
+        index.drop()
+        discard(digests, groups)
+    return out

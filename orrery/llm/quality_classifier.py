@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.quality_rules import DIGITS, LETTERS, SYMBOLS, UPPER, without
-from orrery.llm.shared import SPACE, encoded, slices, stored
+from orrery.llm.shared import SPACE, discard, encoded, slices, stored
 
 FIT_ROWS = 40_000
 FIT_PARTITIONS = 8
@@ -176,7 +176,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([as_lists(table(b.column(0))), *b.columns[1:]], names=["x", "y", "calibrate", "deal"])
 
     rows = docs.select(id_col, text_col).join(known, id_col).select(text_col, "__y", "__calibrate", F.xxhash64(id_col))
-    return fit(stored(rows.mapInArrow(run, "x array<double>, y double, calibrate boolean, deal bigint"), "taught"))
+    taught = stored(rows.mapInArrow(run, "x array<double>, y double, calibrate boolean, deal bigint"), "taught")
+    model = fit(taught)
+    discard(taught)
+    return model
 
 
 def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text", out: str = "score") -> DataFrame:
