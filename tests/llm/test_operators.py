@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from orrery.llm import bpe, chat, exact_dedup, language_model, line_dedup, packing, quality_classifier, quality_rules, simhash, warc
+from orrery.llm import bpe, chat, exact_dedup, exchange, language_model, line_dedup, packing, quality_classifier, quality_rules, simhash, warc
 from orrery.llm.components import components
 from orrery.llm.queries import vocabulary_path
 
@@ -123,10 +123,36 @@ def test_links_connect_what_all_pairs_connect(spark):
             for _ in range(rng.randrange(1, 4)):
                 f ^= 1 << rng.randrange(64)
             fps.add(f)
+    center = rng.getrandbits(64)  # a full cell: all that differ from one in two bits, and others of the same popcounts
+    fps |= {center ^ (1 << i) ^ (1 << j) for i in range(8) for j in range(8, 16)} | {center ^ (3 << 2 * i) ^ (3 << 2 * j) for i in range(32) for j in range(i)}
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    found = components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"))).collect()
-    root = {r.node: r.root for r in found}
-    assert [root.get(x, x) for x in signed] == brute_components(signed, [x & (2**64 - 1) for x in signed])
+    want = brute_components(signed, [x & (2**64 - 1) for x in signed])
+    for block in (simhash.BLOCK, 7):
+        own, simhash.BLOCK = simhash.BLOCK, block
+        found = components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"))).collect()
+        simhash.BLOCK = own
+        root = {r.node: r.root for r in found}
+        assert [root.get(x, x) for x in signed] == want
+
+
+def test_lower_bound_and_verification_both_reject(spark):
+    fps = np.array([0b0000, 0b0011, 0b1100, 0b1111, 0b0101, 0b1010], dtype=np.int64) | 1 << 40
+    v = simhash.vectors(fps)
+    assert v.shape == (6, 32) and v[:, :2].tolist() == [[0, 0], [2, 0], [0, 2], [2, 2], [1, 1], [1, 1]]
+    cells = {}
+    for r in simhash.grid(spark.createDataFrame([(int(x),) for x in fps], "fp bigint")).collect():
+        cells.setdefault(r.cell, []).append((fps.tolist().index(r.fp), r.step))
+    met, near, same = set(), set(), lambda a, b: a == b and a != -1
+    for rows in cells.values():
+        met |= {(max(i, j), min(i, j)) for i, a in rows for j, b in rows if i != j and not same(a, b)}
+        at, steps = (np.array(x) for x in zip(*rows))
+        near |= {(max(at[i], at[j]), min(at[i], at[j])) for x, y in simhash.meeting_pairs(fps[at], steps, np.zeros(len(at)), False) for i, j in zip(x, y)}
+    hamming = {(i, j): int(np.bitwise_count(np.uint64(fps[i] ^ fps[j]))) for i in range(6) for j in range(i)}
+    manhattan = {(i, j): int(np.abs(v[i] - v[j]).sum()) for i in range(6) for j in range(i)}
+    assert all(manhattan[p] <= hamming[p] for p in hamming)
+    assert near == {p for p in hamming if manhattan[p] <= 2}
+    assert (2, 1) in met - near  # one coordinate of the grid, and too far by Manhattan distance
+    assert (5, 4) in near and manhattan[5, 4] == 0 and hamming[5, 4] == 4  # left to the verification
 
 
 def test_components_of_chain_and_star(spark):
@@ -150,7 +176,11 @@ def test_neighbours_across_tasks(spark):
         for j in (0, 1):
             group = sorted((r[4][j], r[0], r[1]) for r in rows if r[2:4] == (k, key))
             want |= {(a[1], b[1]) for i in (1, 2) for b, a in zip(group, group[i:]) if a[2] != b[2]}
-    assert want <= got and len(got - want) <= 2 * 4 * 4  # rows at both ends of one task may meet besides
+    # Besides, rows meet the first of their group in the task, in the first order.
+    assert want <= got
+    roots = {(r[0], r[2], r[3]): r[1] for r in rows}
+    assert all(any(roots.get((a, k, key), -1) != roots.get((b, k, key), -1) for k in (0, 1) for key in (5, 6, 7) if (a, k, key) in roots and (b, k, key) in roots) for a, b in got)
+    assert len(got - want) <= len(rows)
 
 
 def test_near_duplicates_by_similarity(spark, sf):
@@ -187,9 +217,9 @@ def test_near_duplicates_by_similarity(spark, sf):
 def test_near_duplicates_of_dense_families(spark):
     rng = random.Random(5)
     words, texts = [f"w{i}" for i in range(3000)], ["", " ", "\n", "w1 w2"]
-    for _ in range(3):  # in a family few pairs are linked, all others nearly
+    for size in (1500, 150, 150):  # in a family few pairs are linked, all others nearly
         base = [rng.choice(words) for _ in range(100)]
-        for _ in range(150):
+        for _ in range(size):
             c = list(base)
             for i in rng.sample(range(100), 2):
                 c[i] = rng.choice(words)
@@ -240,32 +270,69 @@ def test_bpe_rows(docs, nothing):
 
 
 # -- 4 ---------------------------------------------------------------------------
-def test_packing_places_each_id_once(docs, nothing):
+def test_packing_places_each_id_once(spark, docs, nothing):
     from tokenizers import Tokenizer
 
     path = vocabulary_path("word_bpe_49k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    want = Counter(tuple([*own.encode(r.text or "", add_special_tokens=False).ids, 1]) for r in docs.select("text").collect())
+    hostile = ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>y ~ <|endoftext|>", "first line\nthen ~ more <|endoftext|>\n" * 400, "~ ~~ ~", "one\n" + "loss " * 5000]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(hostile)], "doc_id bigint, text string"))
+    want = Counter(tuple([*own.encode(r.text or "", add_special_tokens=False).ids, 1]) for r in docs.collect())
+    assert own.encode(hostile[0], add_special_tokens=False).ids == [320, 49407, 321]
     got = packing.pack_documents(docs, path, with_ids=True).collect()
     sequences, pieces = {}, {}
     for r in got:
         assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, dtype="<u4").tobytes())
-        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length, r.loss_tokens))
     for s in sequences.values():
         at = 0
-        for offset, length in sorted(s):
+        for offset, length, _ in sorted(s):
             assert offset == at
             at += length
-        assert at <= 2048 and (at == 2048 or at & (at - 1) == 0)
+        assert at <= 2048 and (2048 - at <= 64 or at & (at - 1) == 0)
+        assert len(s) <= packing.MAX_SEGMENTS and sum(x for *_, x in s) <= packing.MAX_LOSS
     # Pieces of one document follow each other; documents with one id are told apart by their length.
     for r in sorted(got, key=lambda r: r.start):
         open_ = pieces.setdefault((r.doc_id, r.doc_tokens), [])
         next(p for p in [*open_, open_.append([]) or open_[-1]] if len(p) == r.start).extend(r.ids)
     assert Counter(tuple(p) for ps in pieces.values() for p in ps if p) == want
+    # What bears no loss is the first of several lines.
+    free = sum(len(own.encode((r.text or "").partition("\n")[0], add_special_tokens=False).ids) for r in docs.collect() if "\n" in (r.text or ""))
+    assert sum(r.length - r.loss_tokens for r in got) == free > 0
     assert packing.pack_documents(nothing, path).count() == 0
 
 
+def test_limits_bind_in_the_query(spark, sf):
+    from pyspark.sql import functions as F
+
+    got = packing.pack_documents(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"), vocabulary_path("word_bpe_49k.json"))
+    by = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sum("loss_tokens").alias("loss"), F.count(F.lit(1)).alias("segments")).toPandas()
+    assert by.n.max() == 2048 and by.loss.max() == packing.MAX_LOSS and by.segments.max() == packing.MAX_SEGMENTS
+    assert (by.loss == packing.MAX_LOSS).mean() > 0.1 and (by.segments == packing.MAX_SEGMENTS).sum() > 0
+    short = by[(by.n < 2048) & (by.n & (by.n - 1) != 0)]
+    assert (2048 - short.n).sum() < 0.001 * by.n.sum()  # padding
+
+
+def test_words_equal_the_library():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    alphabet = ["a", "B", "é", "İ", "ß", "ǅ", "ﬁ", "'s", "'t", "'", "!", "1", "日", "́", "ŉ", "o\u0308", "~", "<|endoftext|>", "x.", "…", "µ", "ª", "×", "÷", "ɐ", "ȿ"]
+    texts = [" ".join("".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 6))) for _ in range(40)) for _ in range(300)]
+    texts += [None, "", "  lead x ", "\n", "\x0b\x0c a\x1cb\x85c\u2003d", "word word. word, (word) end"]
+    own = packing.WordTokenizer(vocabulary_path("word_bpe_49k.json"))
+    for _ in range(2):  # the second time from what is known
+        for x, (ids, free) in zip(texts, own.encode_batch(pa.array(texts), np.zeros(len(texts), dtype=np.int64))):
+            assert ids.tolist() == own.own.encode(x or "", add_special_tokens=False).ids and free == 0
+    assert packing.pieces([b"abc", "é".encode(), b"end.", b"a.b", b"1", b"'s", "a×".encode(), "İx".encode(), b"x*!"]).tolist() == [1, 1, 2, 0, 0, 0, 0, 0, 2]
+    assert own.encode_batch(pa.array([], pa.string()), np.zeros(0, dtype=np.int64)) == []
+
+
+def test_whole_words():
+    text = "ab cd\nef"
+    assert [packing.whole_words(text, n) for n in range(len(text) + 1)] == [0, 0, 1, 1, 1, 2, 2, 2, 3]
+
+
 def test_packer_keeps_all_limits():
     rng = np.random.default_rng(2)
     for cut in (True, False):
@@ -294,16 +361,26 @@ def brute_lines(texts, least=10):
     return [(len(ls), sum(n[key(x)] >= least for x in ls), "\n".join(x for x in ls if n[key(x)] < least)) for t in texts for ls in [(t or "").split("\n")]]
 
 
-@pytest.mark.parametrize("limit", [1 << 20, -1])
-def test_line_dedup(spark, docs, nothing, limit):
+@pytest.mark.parametrize(("limit", "asked"), [(1 << 20, 500_000), (-1, 500_000), (-1, 7)])
+def test_line_dedup(spark, docs, nothing, limit, asked, monkeypatch):
+    monkeypatch.setattr(line_dedup, "ASKED_KEYS", asked)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 20)
+    for name in ("row", "keys", "shard", "part"):  # columns of the input that the operator has names for too
+        docs, nothing = docs.withColumnRenamed({"row": "lang", "keys": "source", "shard": "score", "part": "fp"}[name], name), nothing.withColumnRenamed({"row": "lang", "keys": "source", "shard": "score", "part": "fp"}[name], name)
     texts = [r.text for r in docs.select("text").collect()]
     index = line_dedup.LineIndex(spark).insert(docs)
+    assert index.shards > 1
     got = index.clean(docs, filter_bytes=limit)
     assert rows_of(got, "n_lines", "n_dropped", "text") == sorted(brute_lines(texts), key=repr)
-    assert set(got.columns) == set(docs.columns) | {"n_lines", "n_dropped"}
+    assert set(got.columns) == set(docs.columns) | {"n_lines", "n_dropped"} and {r.source for r in got.withColumnRenamed("keys", "source").collect()} == {"s", None}
     assert line_dedup.LineIndex(spark).insert(nothing).clean(nothing, filter_bytes=limit).count() == 0
 
 
+def test_deleting_what_was_not_inserted_is_an_error(spark, docs):
+    with pytest.raises(Exception, match="never inserted"):
+        line_dedup.LineIndex(spark).insert(docs).delete(spark.createDataFrame([("a line of nobody",)], "text string"))
+
+
 def test_line_dedup_is_reversible(spark, docs):
     more = docs.limit(20).select("text")
     one = line_dedup.LineIndex(spark).insert(docs)
@@ -339,63 +416,125 @@ def test_rule_statistics(docs, nothing):
     assert not got.filter("kept AND base_failed").count() and quality_rules.judge(nothing).count() == 0
 
 
-def test_rules_agree_with_labels(spark, sf):
-    big = sf.replace("0.001", "0.01")
+def brute_estimate(votes, rounds):
+    """The same expectation-maximisation, a text at a time."""
+    share, chance = quality_rules.beginning()
+    first_share, first = share.copy(), chance.copy()
+    for _ in range(rounds):
+        belongs = []
+        for v in votes:
+            like = [share[c] * np.prod([chance[c, r, k] for r, k in enumerate(v)]) for c in range(len(share))]
+            belongs.append(np.array(like) / sum(like))
+        share = (sum(belongs) + first_share) / (len(votes) + 1)
+        chance = first.copy()
+        for w, v in zip(belongs, votes):
+            for r, k in enumerate(v):
+                chance[:, r, k] += w
+        chance /= chance.sum(axis=2, keepdims=True)
+    return np.array(belongs)[:, 0], share, chance
+
+
+def test_estimate_equals_plain_em():
+    rng = np.random.default_rng(4)
+    n = len(quality_rules.RULES)
+    votes = np.where(rng.random((120, n)) < 0.85, 2, rng.integers(0, 2, (120, n)))
+    votes[:15, :3] = 0
+    patterns, inverse, counts = np.unique(votes @ 3 ** np.arange(n), return_inverse=True, return_counts=True)
+    good, share, chance = quality_rules.estimate(patterns, counts.astype(float), rounds=25)
+    want = brute_estimate(votes, 25)
+    assert np.allclose(good[inverse], want[0]) and np.allclose(share, want[1]) and np.allclose(chance, want[2])
+
+
+def test_verdicts_equal_plain_em(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    own = d.select("doc_id", "text").collect()
+    s = quality_rules.statistics([r.text or "" for r in own])
+    votes = (quality_rules.votes(s)[:, None] // 3 ** np.arange(len(quality_rules.RULES))) % 3
+    good = brute_estimate(votes, quality_rules.ROUNDS)[0]
+    failed = (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"])
+    got = {r.doc_id: r for r in quality_rules.judge(d).collect()}
+    assert len(got) == len(own)
+    for r, g, f in zip(own, good, failed):
+        assert got[r.doc_id].posterior == pytest.approx(g, abs=1e-9) and got[r.doc_id].kept == (not f and g >= 0.5)
+
+
+def test_rules_outvote_each_other(spark, sf):
+    big = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
+    own = big.select("doc_id", "text").toPandas()
+    votes = np.concatenate([quality_rules.votes(quality_rules.statistics([x or "" for x in own.text[i:i + 500]])) for i in range(0, len(own), 500)])
+    bad = dict(zip(own.doc_id, ((votes[:, None] // 3 ** np.arange(len(quality_rules.RULES))) % 3 == 0).sum(axis=1)))
+    kept = [r.doc_id for r in quality_rules.judge(big).filter("kept").collect()]
+    assert sum(bad[i] > 0 for i in kept) >= 10  # kept with a bad vote
+    of = quality_rules.accuracies(big).toPandas()
+    assert set(of["class"]) == {0, 1, 2, 3} and np.allclose(of.bad + of.abstain + of.good, 1)
+    repeats = of[(of.rule == "repeats") & (of["class"] == 0)].iloc[0]
+    assert 0.001 < repeats.bad < 0.1  # an estimate, not a bound
+
+
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_rules_agree_with_labels(spark, sf, size):
+    big = sf.replace("0.001", size)
     labels = spark.read.parquet(f"{big}/labels.parquet")
     got = quality_rules.judge(spark.read.parquet(f"{big}/documents.parquet")).filter("NOT base_failed").join(labels, "doc_id").toPandas()
-    assert got[got.quality == 1].kept.mean() > 0.97 and got[got.quality == 0].kept.mean() < 0.2
+    assert got[got.quality == 1].kept.mean() > 0.98 and got[got.quality == 0].kept.mean() < 0.05
 
 
 # -- 7 ---------------------------------------------------------------------------
-@pytest.mark.parametrize("places", [4096, 2])
-def test_language_model(spark, sf, docs, nothing, places, monkeypatch):
+@pytest.mark.parametrize(("order", "block"), [(3, 1 << 20), (3, 20_000), (2, 20_000), (4, 300)])
+def test_language_model(spark, sf, docs, nothing, order, block, monkeypatch):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(language_model, "PLACES", places)
-    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 20_000 if places == 2 else 1 << 21)
-
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", block)
+    strength = (0.0, 50.0, 5.0, 2.0)
     real = spark.read.parquet(f"{sf}/documents.parquet")
-    for d in (real, docs):
+    for d in (real, docs) if block > 300 else (docs,):
         d = d.select("doc_id", "text").withColumn("held_out", language_model.held_out(F.col("doc_id")))
         own = d.collect()
         tokens = [[*WORD.findall(lower(r.text or "")), ""] for r in own]
         held = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in own]
-        c = Counter(w for t, h in zip(tokens, held) if not h for w in t)
-        n, v = sum(c.values()), len(c)
-        p1 = lambda w: (c[w] + 1) / (n + v + 1)
-        least = max(1, int(np.ceil(language_model.FREQUENT * n)))
-        pairs = Counter(p for t, h in zip(tokens, held) if not h for p in zip(t, t[1:]) if c[p[0]] >= least and c[p[1]] >= least)
-        arcs = {}
-        for (a, b), k in pairs.items():
-            if k >= language_model.LEAST_BIGRAM:
-                arcs.setdefault(a, {})[b] = (k - language_model.DISCOUNT) / c[a]
-        fail = {a: (1 - sum(x.values())) / (1 - sum(map(p1, x))) for a, x in arcs.items()}
-        want = []
-        for r, t, h in zip(own, tokens, held):
-            score, before = 0.0, None
-            for w in t:
-                score += log10(arcs[before][w] if before in arcs and w in arcs[before] else fail.get(before, 1) * p1(w))
-                before = w
-            want.append((r.doc_id, h, len(t), sum(c[w] > 0 for w in t), n, sum(log10(p1(w)) for w in t), score))
-        got = rows_of(language_model.score_texts(d), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        c = Counter(tuple(t[i:i + n]) for t, h in zip(tokens, held) if not h for n in range(1, order + 1) for i in range(len(t) - n + 1))
+        n, v = sum(k for g, k in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+
+        def p(g):
+            """Of a last word after the others."""
+            if len(g) == 1:
+                return (c[g] + 1) / (n + v + 1)
+            m, before = strength[len(g) - 1], c[g[:-1]]
+            return (c[g] + m * p(g[1:])) / (before + m) if before else p(g[1:])
+
+        want = [(r.doc_id, h, len(t), sum(c[w,] > 0 for w in t), n, sum(log10(p((w,))) for w in t), sum(log10(p(tuple(t[max(0, i - order + 1):i + 1]))) for i in range(len(t)))) for r, t, h in zip(own, tokens, held)]
+        got = rows_of(language_model.score_texts(d, order, strength), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
         for a, b in zip(got, sorted(want, key=repr), strict=True):
             assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
         if d.count() > 100:
             assert sum(x[6] for x in got if x[1]) > sum(x[5] for x in got if x[1])  # better than the base on held-out texts
-        # The arcs of a history and its failures add up to one over all words and the unknown one.
-        for a, x in arcs.items():
-            assert sum(x.values()) + fail[a] * (1 - sum(map(p1, x))) == pytest.approx(1)
+        # The chances of all words and the unknown one add up to one after any history.
+        unknown = (1 / (n + v + 1),)
+        for h in list(c)[:3] + [g for g in c if len(g) == order - 1 and "" not in g][:3]:
+            if "" not in h and len(h) < order:
+                assert sum(p((*h, *g)) for g in c if len(g) == 1) + p((*h, *unknown)) == pytest.approx(1)
     assert language_model.score_texts(nothing.selectExpr("doc_id", "text", "false AS held_out")).count() == 0
 
 
-def test_language_model_knows_rare_pairs(spark):
-    texts = ["a " * 30_000] + ["rare word"] * 3 + ["odd pair", "rare word odd pair"]
-    docs = spark.createDataFrame([(i, i == 5, t) for i, t in enumerate(texts)], "doc_id bigint, held_out boolean, text string")
-    got = {r.doc_id: r for r in language_model.score_texts(docs).collect()}[5]
-    p1 = lambda c: (c + 1) / (30_013 + 6 + 1)
-    after_word = (3 - 3 + 0.75) / 3 / (1 - p1(5))  # the end alone has been seen after it
-    want = p1(3) * (2.25 / 3) * after_word * p1(1) * 0.25 * 0.25
-    assert got.score == pytest.approx(log10(want))
+def test_longer_histories_predict_better(spark, sf):
+    from pyspark.sql import functions as F
+
+    d = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").withColumn("held_out", language_model.held_out(F.col("doc_id")))
+    two, three = (language_model.score_texts(d, n).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first() for n in (2, 3))
+    assert three[0] > two[0] > two[1]
+
+
+def test_packed_lists():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    assert np.array_equal(exchange.unpack_keys(exchange.pack_keys(keys)), keys)
+    for counts in (np.zeros(0, np.int64), rng.integers(0, 600, 5000), np.array([254, 255, 256, 2**40])):
+        assert np.array_equal(exchange.unpack_counts(exchange.pack_counts(counts)), counts)
+    for shards in (1, 2, 64):
+        cuts = exchange.spans(keys, shards)
+        assert cuts[0] == 0 and cuts[-1] == len(keys) and len(cuts) == shards + 1
+        assert all((keys[lo:hi] >> np.uint64(64 - shards.bit_length() + 1) == s).all() for s, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if shards > 1)
+    assert [exchange.shards_for(n, 5) for n in (0, 1, 40 << 20)] == [8, 8, 32]
 
 
 # -- 8 ---------------------------------------------------------------------------
@@ -409,6 +548,20 @@ def test_exact_dedup(spark, docs, nothing):
     assert exact_dedup.exact_dedup(nothing).count() == 0
 
 
+def test_exact_dedup_of_digests_that_are_not_hot(spark, nothing):
+    texts = [f"text {i % 2500}" for i in range(4000)] + ["hot"] * 60
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(d).collect()}
+    last, n = {t: i for i, t in enumerate(texts)}, Counter(texts)
+    assert got == {i: (last[t], n[t], last[t] == i) for i, t in enumerate(texts)}
+
+
+def test_an_index_of_its_own_is_not_kept(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.exact_dedup(docs).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_digest_index_lasts(spark, docs, tmp_path):
     where = str(tmp_path / "index")
     exact_dedup.exact_dedup(docs, exact_dedup.DigestIndex(spark, where, 4)).count()
@@ -441,6 +594,13 @@ def test_chat_reads_back(spark):
     assert chat.digests(chat.read_back(chat.format_chats(df.limit(0)))).count() == 0
 
 
+def test_chat_of_odd_turns(spark):
+    long = [(3, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(3000)]
+    rows = [(None, 1, "user", "a"), (None, 0, "user", "b"), (1, None, "user", "late?"), (1, 0, "user", "x"), (2, 0, "user", "same"), (2, 0, "user", "same"), *long]
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string"))).collect()}
+    assert got == {None: [("user", "b"), ("user", "a")], 1: [("user", "late?"), ("user", "x")], 2: [("user", "same")] * 2, 3: [t[2:] for t in long]}
+
+
 # -- 10 --------------------------------------------------------------------------
 def test_classifier_on_held_out_labels(spark, sf):
     big = sf.replace("0.001", "0.01")
@@ -454,6 +614,34 @@ def test_classifier_on_held_out_labels(spark, sf):
     assert rows_of(again, "doc_id", "score") == rows_of(quality_classifier.classify(documents, labels), "doc_id", "score")
 
 
+def test_classifier_equals_plain_numpy(spark, sf):
+    big = sf.replace("0.001", "0.01")
+    documents, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in documents.collect()}
+    y = {r.doc_id: float(r.quality) for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in texts}
+    held = {r.doc_id for r in documents.selectExpr("doc_id", "pmod(xxhash64(doc_id), 4) = 0 AS c").filter("c").collect()}
+    x = {i: np.array(quality_classifier.statistics(t)) for i, t in texts.items()}
+    taught = np.array([x[i] for i in y])
+    model = quality_classifier.Model(taught.mean(axis=0), np.maximum(taught.std(axis=0), 1e-9))
+    rng = np.random.default_rng(quality_classifier.SEED)
+    w, b = rng.normal(size=(x[0].size, 256)) / np.sqrt(x[0].size), rng.uniform(0, 2 * np.pi, 256)
+
+    def features(rows):
+        z = np.clip((rows - model.mean) / model.scale, -8, 8)
+        return np.array([[*(np.cos(r @ w[:, j] + b[j]) * np.sqrt(2 / 256) for j in range(256)), 1.0] for r in z])
+
+    fit = [i for i in y if i not in held]
+    f, target = features(np.array([x[i] for i in fit])), np.array([y[i] for i in fit])
+    penalty = np.diag([quality_classifier.RIDGE * len(fit) / 257 * 257 / 256] * 256 + [1e-9 / 256])
+    beta = np.linalg.solve(f.T @ f + penalty, f.T @ target)
+    calibrate = [i for i in y if i in held]
+    knots = quality_classifier.isotonic(features(np.array([x[i] for i in calibrate])) @ beta, np.array([y[i] for i in calibrate]))
+    ids = sorted(texts)
+    want = dict(zip(ids, np.interp(features(np.array([x[i] for i in ids])) @ beta, *knots)))
+    got = {r.doc_id: r.score for r in quality_classifier.classify(documents, labels).collect()}
+    assert np.mean([abs(got[i] - want[i]) < 1e-3 for i in ids]) > 0.99  # a pool of the isotonic fit can hang on the last bits
+
+
 def test_classifier_on_odd_inputs(spark, docs, nothing):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = quality_classifier.classify(docs, none).collect()
