@@ -7,8 +7,8 @@ Defined results: a null text counts as empty, is scored like any other, has no
 words and so ends at the quality rules; rows with a null id pass like others, but
 for near-duplicates, where no null id stays before another; repeated rows (one id,
 one text) go or stay together; other columns than those of documents are left
-out, and null ones stay null; of documents that are equally near the least id
-stays; texts of any length are taken whole; an empty table gives an empty one.
+out; line dedup makes a null text empty and counts n_chars anew, else values stay
+as they are; of documents that are alike the least id stays; texts of any length are taken whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
