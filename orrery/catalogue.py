@@ -718,7 +718,7 @@ def integers_to_floats(spark, d):
     return base(spark, d).select("vec_id", F.posexplode(both).alias("pos", "x")).select("vec_id", "pos", F.round(F.col("x.s").cast("double"), 6).alias("from_int8"), F.round(F.col("x.u").cast("double"), 6).alias("from_uint8"))
 
 
-@query(PAIRED.format(f"round(1 - {dot('a.v', 'c.v')} / (sqrt({n2('a.v')}) * sqrt({n2('c.v')})), 6) AS cosine, round(sqrt({n2('a.v')}), 6) AS norm, 0.0 AS of_zero"))
+@query(PAIRED.format(f"round(1 - {dot('a.v', 'c.v')} / (sqrt({n2('a.v')}) * sqrt({n2('c.v')})), 6) AS cosine, round(sqrt({n2('a.v')}), 6) AS norm, 0.0::DOUBLE AS of_zero"))
 def normalised_distances(spark, d):
     zero = V.normalise_safely(F.transform("a", lambda x: x * 0))
     return paired(spark, d).select("vec_id", F.round(V.normalised_cosine("a", "b"), 6).alias("cosine"), F.round(V.norm("a"), 6).alias("norm"), F.round(V.norm2(zero), 6).alias("of_zero"))
@@ -1069,7 +1069,7 @@ def graph_range_facts(spark, d):
     return checked(spark, "graph_range_search", outside=found.filter("dist > 1.5").count(), wrong=found.join(wanted, ["qid", "id"], "left_anti").count(), recall_holds=share_found(found, wanted) >= 0.95)
 
 
-@query(f"SELECT l AS length, {ASKED_SQL} AS queries, l >= 20 AS recall_holds, 10.0 AS mean_found, true AS rises FROM (VALUES (10), (20), (50), (100)) t(l)")
+@query(f"SELECT l AS length, {ASKED_SQL} AS queries, l >= 20 AS recall_holds, 10.0::DOUBLE AS mean_found, true AS rises FROM (VALUES (10), (20), (50), (100)) t(l)")
 def multi_l_facts(spark, d):
     """The sweep over pool lengths: recall holds from 20 on, and does not fall as work grows."""
     from pyspark.sql import Window
@@ -1202,7 +1202,7 @@ def merged_build_facts(spark, d):
     return checked(spark, "merged_graph", **graph_facts(graph.select("src", "dst"), df.count(), PARAMS.degree))
 
 
-@query("SELECT round(3 * 0.9, 2) AS at_most, true AS plausible, 0.9 AS of_one")
+@query("SELECT 2.7::DOUBLE AS at_most, true AS plausible, 0.9::DOUBLE AS of_one")
 def simulated_aggregate_recall(spark, d):
     """Recall to expect of shards' recalls: below the shards' own if more neighbours lie in one than it returns, and their own for one."""
     found = C.simulated_recall([0.9] * 10, 10, 100, 8)

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,9 +169,7 @@ def train(vectors: DataFrame, chunks: int, centres: int = CENTRES, rounds: int =
                 x = matrix(b.column(0)) - centroid
                 yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([x[:, a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["chunk", "x"])
 
-    def fit(key: tuple, pdf):
-        import pandas as pd
-
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         m = int(key[0])
         x = np.vstack([np.frombuffer(b).reshape(-1, cuts[m + 1] - cuts[m]) for b in pdf["x"]])
         x = x[np.lexsort(x.T[::-1])]  # in an order of their own, however the rows came
