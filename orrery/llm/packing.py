@@ -41,7 +41,7 @@ MAX_SEGMENTS, MAX_LOSS = 8, 2016
 POOL = 512
 SLACK = 32
 #: Words whose ids are kept for reuse in a task.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 #: What the last token of a piece ends with.
 WORD_END = "</w>"
 #: Kinds of bytes of a word: ASCII letters and the bytes of U+00C0 to U+023F, but for NOT_LETTERS (the signs of multiplication and
@@ -277,7 +277,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, m
                 names.append("ids")
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        for b in slices(batches):
+        for b in slices(batches, 1024):
             rows: list[tuple] = []
             heads = [whole_words(x, n) if n else 0 for x, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             for key, (ids, free) in zip(b.column(0).to_pylist(), tokens.encode_batch(b.column(1), np.array(heads, dtype=np.int64)), strict=True):

@@ -13,39 +13,31 @@ from pyspark.sql import functions as F
 
 from orrery.storage import discard, for_arrow, remove, scratch, stored
 
-__all__ = ["LOWER", "SPACE", "Out", "discard", "encoded", "for_arrow", "of_keys", "remove", "scratch", "shuffle_partitions", "slices", "stored"]
+__all__ = ["LOWER", "SPACE", "Out", "discard", "encoded", "for_arrow", "give_back", "of_keys", "remove", "scratch", "shuffle_partitions", "slices", "stored"]
 
 #: Lower-cases A-Z alone, on UTF-8 bytes.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: The white space of the contracts: [\x20\x09-\x0D], which is also what bytes.split() splits at.
 SPACE = b" \t\n\x0b\x0c\r"
 
-#: Arrays from this size on are mapped by themselves, so that workers give them back to the system when they are freed.
-MAPPED_BYTES = 1 << 22
-
-
-def _map_large_arrays() -> None:
-    """Fixes the C library's threshold, which would else rise to 32 MB with use (where it has none, nothing is done), and lets Arrow
-
-    take its memory from there too, as its own pools keep what is freed.
-    """
-    pa.set_memory_pool(pa.system_memory_pool())
-    set_option = getattr(ctypes.CDLL(None), "mallopt", None)
-    if set_option is not None:
-        set_option(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD
-
-
-_map_large_arrays()
-
 #: A key with over 1 / HOT of all rows is hot.
 HOT = 1000
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that Python objects exist for few rows at a time."""
+    """Arrow batches cut so that Python objects exist for few rows at a time. At their end a worker gives memory back."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what is freed to the system, so that a worker that waits between tasks is small. A C library without malloc_trim keeps it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def encoded(column: pa.Array) -> list[bytes]:
