@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -75,16 +76,12 @@ def bfs_levels(edges: DataFrame, start: int | list[int], most: int = 32) -> Data
     fronts = [spark.createDataFrame([(s, 0) for s in dict.fromkeys(starts)], "node bigint, level int")]
     for level in range(1, most + 1):
         new = fronts[-1].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        for seen in fronts:  # each front is written once and read by the later hops
-            new = new.join(seen.select("node"), "node", "left_anti")
-        front = stored(new.withColumn("level", F.lit(level)), "front")
+        seen = reduce(DataFrame.unionByName, fronts)  # each front is written once and read by the later hops
+        front = stored(new.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level)), "front")
         if front.isEmpty():
             break
         fronts.append(front)
-    out = fronts[0]
-    for front in fronts[1:]:
-        out = out.unionByName(front)
-    return out
+    return reduce(DataFrame.unionByName, fronts)
 
 
 def hybrid_cache(edges: DataFrame, start: int, hops: int, n: int) -> DataFrame:
