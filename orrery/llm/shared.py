@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from orrery.storage import discard, for_arrow, remove, scratch, stored
 
-__all__ = ["LOWER", "SPACE", "Out", "discard", "encoded", "for_arrow", "give_back", "of_keys", "remove", "scratch", "shuffle_partitions", "slices", "stored"]
+__all__ = ["LOWER", "SPACE", "Out", "discard", "encoded", "for_arrow", "free_shuffles", "give_back", "of_keys", "remove", "scratch", "shuffle_partitions", "slices", "stored"]
 
 #: Lower-cases A-Z alone, on UTF-8 bytes.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -45,6 +45,14 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the driver's JVM collect garbage: Spark removes the shuffle files of finished steps only when their plans are collected,
+
+    and between large steps that may come late. For use after a step, not in a loop.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

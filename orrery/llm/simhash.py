@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.components import components
 from orrery.llm.exchange import LISTS, numbered_keys, of_blocks, packed_lists, shards_for, totals, unpacked_totals
-from orrery.llm.shared import LOWER, discard, encoded, of_keys, shuffle_partitions, slices, stored
+from orrery.llm.shared import LOWER, discard, encoded, free_shuffles, of_keys, shuffle_partitions, slices, stored
 
 SEED = 42
 #: SEGMENT_SUM segments make one coordinate of the grid.
@@ -469,11 +469,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.first("prefix").alias("prefix"), F.first("size").alias("size"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     discard(rows)
+    spark = docs.sparkSession
+    free_shuffles(spark)
     shared = _shared_shingles(nodes)
+    free_shuffles(spark)
     nodes, whole = stored(nodes.drop("prefix", "size"), "nodes"), nodes
     discard(whole)
     groups = _groups(nodes)
     pairs = _candidates(nodes, groups)
+    free_shuffles(spark)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -496,15 +500,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         texts = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text")).withColumn("__digest", F.unhex(F.sha2(F.coalesce("__text", F.lit("")), 256)))
         texts = texts.join(asked, (F.col("__digest") == F.col("digest")) & F.col("__own").eqNullSafe(F.col("__id"))).select("node", "__text")
         of = stored(texts.mapInArrow(sets, "node bigint, set binary").groupBy("node").agg(F.first("set").alias("set")), "shingle-sets")
+        free_shuffles(spark)
         both = pairs.join(of.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
         out = stored(both.mapInArrow(verify, "a bigint, b bigint").select(F.col("a").alias("u"), F.col("b").alias("v")), "similar")
         discard(of)
+        free_shuffles(spark)
         return out
 
     found = similar(pairs)
     roots = components(found)
     discard(groups, pairs, found)
+    free_shuffles(spark)
     pairs = _apart(shared, roots, similarity)
+    free_shuffles(spark)
     found = similar(pairs)
     if not found.isEmpty():
         # Old roots stand for their nodes, so the steps begin from stars.
