@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from orrery.storage import stored
 
 
-def numbered(df: DataFrame, *order: str, column: str = "number") -> DataFrame:
-    """df with its row numbers, from 0, in the order of the given columns, which should order rows fully.
+def numbered(df: DataFrame, *order: str, column: str = "number", within: list[str] | None = None) -> DataFrame:
+    """df with its row numbers, from 0, in the order of the given columns, which should order rows fully with those of within.
 
-    Rows are dealt by ranges and sorted within them; the sizes of the ranges,
+    Rows are dealt by ranges (of order alone, for columns that are too long for it) and sorted within them; the sizes of the ranges,
     one row for each, give the numbers at which they begin.
     """
-    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order, *(within or []))
     place = stored(sorted_.withColumn("__at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftrightunsigned("__at", 33)
     sizes = [(r.part, r.n) for r in place.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()]
