@@ -131,27 +131,27 @@ ORACLE_SQL = {
         b AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
                      CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
                      unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM m WHERE kind <> 0),
-        n AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS at,
+        n AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
                      rtrim(text, {WHITE}) AS ended FROM b),
-        f AS (SELECT *, CASE WHEN ended = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY at) > 1 THEN 2 WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
-                     coalesce(left(lag(role) OVER w, 1) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal FROM n WINDOW w AS (PARTITION BY conv ORDER BY at)),
-        report AS (SELECT conv, any_value(conv_id) AS conv_id, max(at) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+        f AS (SELECT *, CASE WHEN ended = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 THEN 2 WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+                     coalesce(left(lag(role) OVER w, 1) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal FROM n WINDOW w AS (PARTITION BY conv ORDER BY pos)),
+        report AS (SELECT conv, any_value(conv_id) AS conv_id, max(pos) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
                           count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY conv),
         -- States 0 to 3: nothing yet, after s, after u, after a. role: what may follow, and how a row can get there.
         step AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) AS v(state, initial, next)),
         more AS (SELECT * FROM (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 5, 'I', 'user:'), (0, 3, 10, 'II', 'user:' || chr(10) || 'assistant:'),
                          (1, 2, 5, 'I', 'user:'), (1, 3, 10, 'II', 'user:' || chr(10) || 'assistant:'), (2, 3, 5, 'I', 'assistant:'), (3, 2, 5, 'I', 'user:')) AS v(state, next, cost, audit, said)),
-        edit AS (SELECT conv, at, s.state, s.state AS next, 2 AS cost, 'D' AS audit, '' AS said FROM f, (SELECT DISTINCT state FROM step) s
-                 UNION ALL SELECT conv, at, state, next, CASE WHEN fault = 3 THEN 5 ELSE 0 END, 'K', role || ':' || text FROM f JOIN step ON left(role, 1) = initial WHERE fault IN (0, 3)
-                 UNION ALL SELECT conv, at, state, next, CASE WHEN fault = 3 THEN 6 ELSE 1 END, 'R', CASE initial WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text FROM f, step WHERE initial <> 's' AND fault IN (0, 3)),
-        p AS (SELECT conv, 0 AS at, next AS state, cost::BIGINT AS cost, audit, said FROM report, more WHERE state = 0
+        edit AS (SELECT conv, pos, s.state, s.state AS next, 2 AS cost, 'D' AS audit, '' AS said FROM f, (SELECT DISTINCT state FROM step) s
+                 UNION ALL SELECT conv, pos, state, next, CASE WHEN fault = 3 THEN 5 ELSE 0 END, 'K', role || ':' || text FROM f JOIN step ON left(role, 1) = initial WHERE fault IN (0, 3)
+                 UNION ALL SELECT conv, pos, state, next, CASE WHEN fault = 3 THEN 6 ELSE 1 END, 'R', CASE initial WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text FROM f, step WHERE initial <> 's' AND fault IN (0, 3)),
+        p AS (SELECT conv, 0 AS pos, next AS state, cost::BIGINT AS cost, audit, said FROM report, more WHERE state = 0
               UNION ALL
-              SELECT conv, at, state, best.cost, best.audit, best.said FROM (
-                  SELECT e.conv, e.at, i.next AS state,
+              SELECT conv, pos, state, best.cost, best.audit, best.said FROM (
+                  SELECT e.conv, e.pos, i.next AS state,
                          min({{'cost': p.cost + e.cost + i.cost, 'audit': p.audit || e.audit || i.audit,
                                'said': p.said || CASE WHEN p.said <> '' AND e.said <> '' THEN chr(10) ELSE '' END || e.said || CASE WHEN i.said <> '' AND p.said || e.said <> '' THEN chr(10) ELSE '' END || i.said}}) AS best
-                  FROM p JOIN edit e ON e.conv = p.conv AND e.at = p.at + 1 AND e.state = p.state JOIN more i ON i.state = e.next GROUP BY e.conv, e.at, i.next)),
-        best AS (SELECT p.conv, min({{'cost': cost, 'audit': audit, 'said': said}}) AS best FROM p JOIN report r ON r.conv = p.conv AND r.rows = p.at WHERE p.state IN (0, 3) GROUP BY p.conv),
+                  FROM p JOIN edit e ON e.conv = p.conv AND e.pos = p.pos + 1 AND e.state = p.state JOIN more i ON i.state = e.next GROUP BY e.conv, e.pos, i.next)),
+        best AS (SELECT p.conv, min({{'cost': cost, 'audit': audit, 'said': said}}) AS best FROM p JOIN report r ON r.conv = p.conv AND r.rows = p.pos WHERE p.state IN (0, 3) GROUP BY p.conv),
         done AS (SELECT conv_id, gaps, blank, duplicate, truncated, illegal, best.cost AS cost, best.audit AS audit, sha256(best.said) AS repaired_sha256 FROM report JOIN best USING (conv))
         SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
                coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
