@@ -107,6 +107,7 @@ class Vamana:
         self.deleted: set[int] = set()
         self.entries: dict[int, int] = {}
         self.start = medoid(self.x) if len(x) else 0
+        self.raw = self.x  # the vectors as they came, where x has them in another shape
         self.book, self.codes = book, None if book is None or not len(x) else book.encode(self.x)
 
     def choose_entries(self, tries: int = 25, seed: int = 1) -> None:
@@ -169,8 +170,8 @@ class Vamana:
         near = (lambda u: self.nbrs[u]) if allowed is None else (lambda u: [v for v in self.nbrs[u] if allowed(v)])
         alive = (lambda i: i not in self.deleted) if self.deleted else None
         if self.codes is not None:
-            table, chunk = self.book.table(q), np.arange(self.codes.shape[1])
-            dist = lambda ids: table[chunk, self.codes[ids]].sum(axis=1)
+            asked = self.book.prepare(q[None])
+            dist = lambda ids: self.book.pairs(asked, np.zeros(len(ids), dtype=np.int64), self.codes[ids])
         else:
             dist = lambda ids: distances(q, self.x[ids], self.metric)
         return best_first(start or [self.start], dist, near, length, beam, alive=alive)
@@ -194,6 +195,7 @@ class Vamana:
     def insert(self, vectors: np.ndarray, labels: list[set] | None = None) -> range:
         """The new nodes' numbers. Each is searched for, pruned and linked back, in turn."""
         first, vectors = len(self.nbrs), np.atleast_2d(np.asarray(vectors, dtype=np.float64))
+        self.raw = np.vstack([self.raw, vectors]) if len(self.raw) == first and first else vectors
         self.x = np.vstack([self.x, vectors]) if first else vectors
         if self.codes is not None:
             self.codes = np.vstack([self.codes, self.book.encode(vectors)])
@@ -233,6 +235,7 @@ class Vamana:
         """Takes the deleted nodes away, after consolidate(), and numbers the others densely. Their former numbers."""
         old = np.array([i for i in range(len(self.x)) if i not in self.deleted], dtype=np.int64)
         new = {int(o): n for n, o in enumerate(old)}
+        self.raw = self.raw[old] if len(self.raw) == len(self.x) else self.x[old]
         self.x, self.nbrs = self.x[old], [[new[v] for v in self.nbrs[o]] for o in old]
         if self.labels is not None:
             self.labels = [self.labels[o] for o in old]
@@ -261,7 +264,7 @@ def cross_prune(q: np.ndarray, ids: np.ndarray, x: np.ndarray, degree: int) -> l
     return chosen
 
 
-def refine(q: np.ndarray, pool: list[tuple[float, int]], vector: Callable[[np.ndarray], np.ndarray], k: int, mode: str = "full", batch: int = 50, streak: int = 2, count: int = 0, ratio: float = 1.0) -> tuple[list[tuple[float, int, bool]], int]:
+def refine(q: np.ndarray, pool: list[tuple[float, int]], vector: Callable[[np.ndarray], np.ndarray], k: int, mode: str = "full", batch: int = 50, streak: int = 2, count: int = 0, ratio: float = 1.0, exact: Callable = distances) -> tuple[list[tuple[float, int, bool]], int]:
     """Exact distances for a pool in order of approximate ones: the best k as (dist, id, refined), and how many were refined.
 
     mode: full; early_exit, when the k best ids of the whole pool, by exact distances as far as they are known and approximate
@@ -274,7 +277,7 @@ def refine(q: np.ndarray, pool: list[tuple[float, int]], vector: Callable[[np.nd
     same, before, done = 0, {i for _, i, _ in best()}, 0
     while done < n:
         part = ids[done:min(done + batch, n)] if mode == "early_exit" else ids[:n]
-        present.update((int(i), (float(d), True)) for d, i in zip(distances(q, vector(part)), part, strict=True))
+        present.update((int(i), (float(d), True)) for d, i in zip(exact(q, vector(part)), part, strict=True))
         done += len(part)
         if mode == "early_exit":
             now = {i for _, i, _ in best()}

@@ -1,7 +1,8 @@
 """Product quantisation: training on a bounded sample, encoding, and distances on codes.
 
 Quantiser is what a search needs of any quantisation: codes of vectors, and a
-query's distances to codes. Codebook and RotatedBits are two.
+queries' distances to codes, pair by pair. Codebook and RotatedBits are two, and
+graphs hold the codes of either.
 """
 
 from __future__ import annotations
@@ -33,13 +34,36 @@ def chunk_offsets(dim: int, chunks: int) -> list[int]:
 
 
 class Quantiser(ABC):
+    #: Of the numbers that codes are made of, as they are stored.
+    dtype: np.dtype
+
     @abstractmethod
     def encode(self, x: np.ndarray) -> np.ndarray:
-        """(rows, chunks) of vectors."""
+        """(rows, width) of vectors, of dtype."""
+
+    @abstractmethod
+    def prepare(self, queries: np.ndarray) -> object:
+        """What pairs() needs of queries."""
 
     @abstractmethod
+    def pairs(self, prepared, rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Distances of prepared queries (by number) to codes, pair by pair."""
+
+    @abstractmethod
+    def to_json(self) -> str:
+        """As of_json() reads it."""
+
     def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Of a query to codes."""
+        return self.pairs(self.prepare(q[None]), np.zeros(len(codes), dtype=np.int64), codes)
+
+    def stored(self, codes: bytes, rows: int) -> np.ndarray:
+        """Codes from the bytes of a table."""
+        return np.frombuffer(codes, dtype=self.dtype).reshape(rows, -1)
+
+    @staticmethod
+    def of_json(text: str) -> Quantiser:
+        return (RotatedBits if json.loads(text).get("kind") == "bits" else Codebook).from_json(text)
 
 
 @dataclass
@@ -51,6 +75,7 @@ class Codebook(Quantiser):
     centroid: np.ndarray
     rotation: np.ndarray | None = None
     lut: np.ndarray | None = field(default=None, repr=False)
+    dtype = np.dtype("<i2")
 
     def turned(self, x: np.ndarray) -> np.ndarray:
         x = x - self.centroid
@@ -75,8 +100,11 @@ class Codebook(Quantiser):
         d = (self.turned(q[None]) - self.pivots) ** 2
         return np.stack([d[:, a:b].sum(axis=1) for a, b in zip(self.offsets, self.offsets[1:], strict=False)])
 
-    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        return self.table(q)[np.arange(codes.shape[1]), codes].sum(axis=1)
+    def prepare(self, queries: np.ndarray) -> np.ndarray:
+        return np.stack([self.table(q) for q in queries]) if len(queries) else np.zeros((0, len(self.offsets) - 1, len(self.pivots)))
+
+    def pairs(self, prepared: np.ndarray, rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return prepared[rows[:, None], np.arange(codes.shape[1]), codes].sum(axis=1)
 
     def products(self, q: np.ndarray) -> np.ndarray:
         """(chunks, centres): by which inner products of a query with coded vectors are summed, negative, so that smaller is nearer."""
@@ -260,31 +288,119 @@ def with_lut(df: DataFrame, book: Codebook) -> DataFrame:
     return df.withColumn("__one", F.lit(1)).join(F.broadcast(table.withColumn("__one", F.lit(1))), "__one").drop("__one")
 
 
+def hadamard(x: np.ndarray) -> np.ndarray:
+    """Rows times the orthogonal Hadamard matrix; their length is a power of two."""
+    n, y, half = x.shape[1], np.array(x, dtype=np.float64), 1
+    while half < n:
+        y = y.reshape(len(x), -1, 2, half)
+        y = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), n)
+        half *= 2
+    return y / np.sqrt(n)
+
+
 @dataclass
 class RotatedBits(Quantiser):
-    """One bit a dimension after a random rotation about a centre, with each vector's norm and the bits' own error, from which an
-    unbiased estimate of the distance follows. Symmetric distances have no form here."""
+    """Codes of 1 to 8 bits a dimension, of residuals from the nearest of a few centres after a random rotation, which is made of two
 
-    centre: np.ndarray
-    rotation: np.ndarray
+    rounds of sign flips and a Hadamard transform. With each code go four numbers and its centre; they make the estimate of a
+    distance unbiased over rotations. Queries are cut to QUERY_BITS bits, and products of codes are bits counted. Symmetric
+    distances have no form here.
+    """
+
+    centroid: np.ndarray
+    centres: np.ndarray  # from the centroid
+    bits: int = 1
+    seed: int = 1
+    dtype = np.dtype("u1")
+    QUERY_BITS = 4
+    #: Of the scales by which a residual meets the grid of codes, those that are tried, as shares of the one that uses all of it.
+    SCALES = (0.35, 0.5, 0.65, 0.8, 0.9, 1.0)
+
+    def __post_init__(self):
+        if not 1 <= self.bits <= 8:
+            raise ValueError("bits must be from 1 to 8")
+        dim = len(self.centroid)
+        self.size = max(64, 1 << (dim - 1).bit_length())
+        self.signs = np.random.default_rng(self.seed).choice([-1.0, 1.0], size=(2, self.size))
+        self.plane = self.size // 8
+        self.turned_centres = self.turn(self.centres)
+
+    @property
+    def width(self) -> int:
+        """Bytes of a code."""
+        return self.bits * self.plane + 17
 
     @classmethod
-    def train(cls, x: np.ndarray, seed: int = 1) -> RotatedBits:
-        return cls(x.mean(axis=0), random_rotation(x.shape[1], seed))
+    def of(cls, x: np.ndarray, bits: int = 1, clusters: int = 16, seed: int = 1) -> RotatedBits:
+        """From vectors in memory."""
+        centroid = x.mean(axis=0)
+        own = x - centroid
+        return cls(centroid, lloyd(own, kmeans_pp(own, min(clusters, len(x)), np.random.default_rng(seed)), 10), bits, seed)
+
+    @classmethod
+    def train(cls, vectors: DataFrame, bits: int = 1, clusters: int = 16, seed: int = 1, id_col: str = "vec_id", vec_col: str = "embedding", rounds: int = 10) -> RotatedBits:
+        """The centres are those of k-means over all rows."""
+        from orrery.operators.partitioning import kmeans, random_pivots
+
+        centres, _ = kmeans(vectors, random_pivots(vectors, clusters, id_col, vec_col, seed), rounds, vec_col)
+        centroid = centres.mean(axis=0)
+        return cls(centroid, centres - centroid, bits, seed)
+
+    def turn(self, x: np.ndarray) -> np.ndarray:
+        y = np.zeros((len(x), self.size))
+        y[:, : x.shape[1]] = x
+        for flips in self.signs:
+            y = hadamard(y * flips)
+        return y
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        """(rows, dim + 2): the signs, the distance from the centre, and the product of the unit vector with its signs' unit vector."""
-        y = (x - self.centre) @ self.rotation
-        norm = np.linalg.norm(y, axis=1)
-        sign = np.where(y >= 0, 1.0, -1.0)
-        unit = y / np.maximum(norm, 1e-30)[:, None]
-        return np.hstack([sign, norm[:, None], ((unit * sign).sum(axis=1) / np.sqrt(y.shape[1]))[:, None]])
+        """(rows, width): a plane for each bit, the residual's squared norm, the scale, the code's product with the centre and sum, the centre's number."""
+        own = np.asarray(x, dtype=np.float64) - self.centroid
+        near = ((own * own).sum(1)[:, None] + (self.centres ** 2).sum(1)[None] - 2 * own @ self.centres.T).argmin(axis=1)
+        y = self.turn(own - self.centres[near])
+        levels, middle = 1 << self.bits, (1 << self.bits) / 2 - 0.5
+        best, code = np.full(len(y), -np.inf), np.zeros(y.shape, dtype=np.uint8)
+        most = np.maximum(np.abs(y).max(axis=1), 1e-30)[:, None] if len(y) else np.ones((0, 1))
+        for scale in self.SCALES if self.bits > 1 else (1.0,):
+            u = np.clip(np.floor(y / most * (levels / 2) / scale + levels / 2), 0, levels - 1)
+            c = u - middle
+            fit = (c * y).sum(axis=1) / np.sqrt((c * c).sum(axis=1))
+            better = fit > best
+            best[better], code[better] = fit[better], u[better].astype(np.uint8)
+        c = code - middle
+        norm, product = (y * y).sum(axis=1), (c * y).sum(axis=1)
+        numbers = np.stack([norm, np.where(product > 0, norm / np.where(product > 0, product, 1), 0.0), (c * self.turned_centres[near]).sum(axis=1), code.sum(axis=1, dtype=np.int64)], axis=1).astype("<f4")
+        planes = [np.packbits((code >> i) & 1, axis=1, bitorder="little") for i in range(self.bits)]
+        return np.ascontiguousarray(np.hstack([*planes, numbers.view(np.uint8).reshape(len(y), 16), near[:, None].astype(np.uint8)]))
+
+    def prepare(self, queries: np.ndarray) -> tuple:
+        own = np.asarray(queries, dtype=np.float64) - self.centroid
+        y, top = self.turn(own), (1 << self.QUERY_BITS) - 1
+        low = y.min(axis=1, initial=0)[:, None]
+        step = np.maximum((y.max(axis=1, initial=0)[:, None] - low) / top, 1e-30)
+        u = np.rint((y - low) / step).astype(np.uint8)
+        planes = np.stack([np.packbits((u >> j) & 1, axis=1, bitorder="little") for j in range(self.QUERY_BITS)], axis=1)
+        apart = (own * own).sum(1)[:, None] + (self.centres ** 2).sum(1)[None] - 2 * own @ self.centres.T
+        return np.ascontiguousarray(planes).view("<u8"), low[:, 0], step[:, 0], y.sum(axis=1), apart
+
+    def pairs(self, prepared: tuple, rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        planes, low, step, total, apart = prepared
+        own = np.ascontiguousarray(codes[:, : self.bits * self.plane]).view("<u8").reshape(len(codes), self.bits, -1)
+        norm, scale, centre, ones = np.ascontiguousarray(codes[:, -17:-1]).view("<f4").astype(np.float64).T
+        asked, product = planes[rows], np.zeros(len(codes))
+        for i in range(self.bits):
+            for j in range(self.QUERY_BITS):
+                product += float(1 << (i + j)) * np.bitwise_count(own[:, i] & asked[:, j]).sum(axis=1, dtype=np.int64)
+        product = step[rows] * product + low[rows] * ones - ((1 << self.bits) / 2 - 0.5) * total[rows]
+        return norm + apart[rows, codes[:, -1]] - 2 * scale * (product - centre)
 
-    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        y = (q - self.centre) @ self.rotation
-        sign, norm, own = codes[:, :-2], codes[:, -2], codes[:, -1]
-        product = sign @ y / np.sqrt(len(y)) / np.maximum(own, 1e-30)
-        return norm ** 2 + y @ y - 2 * norm * product
+    def to_json(self) -> str:
+        return json.dumps({"kind": "bits", "centroid": self.centroid.tolist(), "centres": self.centres.tolist(), "bits": self.bits, "seed": self.seed})
+
+    @classmethod
+    def from_json(cls, text: str) -> RotatedBits:
+        d = json.loads(text)
+        return cls(np.array(d["centroid"]), np.array(d["centres"]), d["bits"], d["seed"])
 
 
 def random_rotation(dim: int, seed: int = 1) -> np.ndarray:

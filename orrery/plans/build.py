@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators import graph as G
+from orrery.operators.batch import METRICS, blocks, by_norms, padded, search_block, shaped
 from orrery.operators.kernels import Vamana, cross_prune, medoid
 from orrery.operators.knn import knn
 from orrery.operators.partitioning import all_pairs, contiguous, least_partitions
-from orrery.operators.quantise import Codebook
+from orrery.operators.quantise import Quantiser
 from orrery.storage import stored
 
 NEAR = 16
@@ -33,7 +34,11 @@ NEAR = 16
 
 @dataclass(frozen=True)
 class BuildParams:
-    """partitions: how many; None: the fewest of which two fit `memory` bytes. near: how many others each meets, if there are more."""
+    """partitions: how many; None: the fewest of which two fit `memory` bytes. near: how many others each meets, if there are more.
+
+    metric: other than l2, graphs are built on unit vectors (cosine) or on vectors lifted to one norm (inner_product), each
+    partition's own; what they hold are the vectors as they came.
+    """
 
     partitions: int | None = None
     degree: int = 32
@@ -43,6 +48,7 @@ class BuildParams:
     memory: float = 1e9
     near: int = NEAR
     saturate: bool = False
+    metric: str = "l2"
 
     def __post_init__(self):
         for name in ("partitions", "degree", "length", "occlusions", "memory", "near"):
@@ -53,6 +59,8 @@ class BuildParams:
                 raise ValueError(f"{name} must be positive")
         if self.alpha < 1:
             raise ValueError("alpha must be at least 1")
+        if self.metric not in METRICS:
+            raise ValueError(f"metric must be one of {METRICS}, not {self.metric!r}")
 
     def count(self, n: int, dim: int) -> int:
         """The number of partitions for n rows."""
@@ -61,7 +69,7 @@ class BuildParams:
 
 #: A partition's graph as a row: vectors and neighbours are flat, with offsets; neighbours and medoids are positions in ids.
 GRAPHS = ("part bigint, ids array<bigint>, dim int, vectors array<float>, offsets array<int>, nbrs array<int>, start int, "
-          "labels array<int>, label_offsets array<int>, label_ids array<int>, label_medoids array<int>, codes array<smallint>, mean array<double>")
+          "labels array<int>, label_offsets array<int>, label_ids array<int>, label_medoids array<int>, codes binary, norms array<float>, mean array<double>")
 GRAPH_COLUMNS = [c.split()[0] for c in GRAPHS.split(", ")]
 
 
@@ -80,17 +88,18 @@ def label_medoids(g: Vamana) -> dict[int, int]:
     return {label: rows[medoid(g.x[rows])] for label, rows in members.items()}
 
 
-def as_row(part: int, ids: np.ndarray, g: Vamana, book: Codebook | None = None) -> pd.DataFrame:
-    """A graph as one row of GRAPHS."""
+def as_row(part: int, ids: np.ndarray, g: Vamana, book: Quantiser | None = None) -> pd.DataFrame:
+    """A graph as one row of GRAPHS. norms: squared, of the vectors."""
+    x = np.asarray(g.raw, dtype=np.float32)
     cut = lambda lists: np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
     flat = lambda lists: np.array([i for x in lists for i in x], dtype=np.int32)
     own = [sorted(x) for x in g.labels] if g.labels is not None else None
     found = label_medoids(g) if own is not None else {}
     row = {
-        "part": part, "ids": ids.astype(np.int64), "dim": g.x.shape[1], "vectors": g.x.astype(np.float32).ravel(), "offsets": cut(g.nbrs), "nbrs": flat(g.nbrs), "start": g.start,
+        "part": part, "ids": ids.astype(np.int64), "dim": x.shape[1], "vectors": x.ravel(), "offsets": cut(g.nbrs), "nbrs": flat(g.nbrs), "start": g.start,
         "labels": None if own is None else flat(own), "label_offsets": None if own is None else cut(own),
         "label_ids": None if own is None else np.array(list(found), dtype=np.int32), "label_medoids": None if own is None else np.array(list(found.values()), dtype=np.int32),
-        "codes": None if book is None else book.encode(g.x).ravel(), "mean": g.x.mean(axis=0) if len(g.x) else np.zeros(g.x.shape[1]),
+        "codes": None if book is None else book.encode(g.raw).tobytes(), "norms": (x * x).sum(axis=1), "mean": g.raw.mean(axis=0) if len(x) else np.zeros(x.shape[1]),
     }
     return pd.DataFrame({k: pd.Series([v], dtype=object) if isinstance(v, np.ndarray) or v is None else [v] for k, v in row.items()})
 
@@ -102,7 +111,8 @@ def opened(row, params: BuildParams | None = None) -> tuple[np.ndarray, Vamana]:
     if len(row["vectors"]) != n * row["dim"] or len(offsets) != n + 1 or offsets[-1] != len(row["nbrs"]) or (n and not 0 <= row["start"] < n):
         raise ValueError(f"the graph of partition {row['part']} has {n} ids, {len(row['vectors'])} numbers, {len(offsets)} offsets and {len(row['nbrs'])} neighbours, which don't go together")
     g = Vamana(np.zeros((0, row["dim"])), params.degree, params.length, params.alpha, saturate=params.saturate)
-    g.x = np.asarray(row["vectors"], dtype=np.float64).reshape(n, -1)
+    g.raw = np.asarray(row["vectors"], dtype=np.float64).reshape(n, -1) if n else g.x
+    g.x = shaped(g.raw, params.metric)
     g.nbrs = [x.tolist() for x in np.split(np.asarray(row["nbrs"], dtype=np.int64), offsets[1:-1])] if n else []
     g.start = int(row["start"])
     if row["labels"] is not None:
@@ -115,13 +125,15 @@ def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         yield from pdf.to_dict("records")
 
 
-def local_graphs(parts: DataFrame, params: BuildParams, book: Codebook | None = None, by_codes: bool = False) -> DataFrame:
+def local_graphs(parts: DataFrame, params: BuildParams, book: Quantiser | None = None, by_codes: bool = False) -> DataFrame:
     """GRAPHS of parts (id, vec, part, maybe labels). With labels, no node hides another's label while pruning. book: codes are stored with the graph;
     by_codes: and searches while building rank by them."""
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         labels = [set(map(int, x)) for x in pdf["labels"]] if "labels" in pdf else None
-        g = Vamana(np.stack(pdf["vec"]), params.degree, params.length, params.alpha, saturate=params.saturate, labels=labels, book=book if by_codes else None).build()
+        x = np.stack(pdf["vec"]).astype(np.float64)
+        g = Vamana(shaped(x, params.metric), params.degree, params.length, params.alpha, saturate=params.saturate, labels=labels, book=book if by_codes else None).build()
+        g.raw = x
         return as_row(key[0], pdf["id"].to_numpy(), g, book)
 
     return stored(parts.groupBy("part").applyInPandas(build, GRAPHS), "local-graphs")
@@ -147,8 +159,19 @@ def near_pairs(local: DataFrame, near: int) -> DataFrame:
     return met.select(F.least("qid", "id").alias("i"), F.greatest("qid", "id").alias("j")).distinct()
 
 
+def expansions(g: Vamana, queries: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    """The nodes that each query's search of g expands, one at a time; all queries go forward together."""
+    near, norms = padded(np.cumsum([0, *map(len, g.nbrs)]), np.array([v for own in g.nbrs for v in own], dtype=np.int32)), (g.x * g.x).sum(axis=1)
+    for at in blocks(len(queries), len(g.x)):
+        own = queries[at]
+        for nodes, _ in search_block(near, by_norms("l2", own, g.x, norms), [[g.start]] * len(own), length, 1).expanded_of(len(own)):
+            yield nodes
+
+
 def cross_edges(local: DataFrame, pairs: DataFrame, params: BuildParams) -> DataFrame:
     """Edges between the partitions of each pair (i, j): rows of one search the other's graph, both ways."""
+    if params.metric == "inner_product":
+        raise ValueError("partitions are lifted each by its own; lift the vectors before they are dealt (functions.vectors)")
     side = lambda at, name: local.select(F.col("part").alias(at), *[F.col(c).alias(f"{name}_{c}") for c in GRAPH_COLUMNS])
     both = pairs.join(side("i", "x"), "i").join(side("j", "y"), "j").repartition(F.col("i"), F.col("j"))
 
@@ -157,8 +180,7 @@ def cross_edges(local: DataFrame, pairs: DataFrame, params: BuildParams) -> Data
             one, two = (opened({c: row[f"{name}_{c}"] for c in GRAPH_COLUMNS}, params) for name in ("x", "y"))
             rows = []
             for (ids, g), (others, h) in ((one, two), (two, one)):
-                for p in range(len(ids)):
-                    seen = h.search(g.x[p], params.length)["expanded"]
+                for p, seen in enumerate(expansions(h, g.x, params.length)):
                     own = np.array(g.nbrs[p], dtype=np.int64)
                     pool, at = np.concatenate([others[seen], ids[own]]), np.concatenate([h.x[seen], g.x[own]])
                     rows += [(int(ids[p]), int(pool[k])) for k in cross_prune(g.x[p], pool, at, params.degree) if k < len(seen)]
@@ -194,7 +216,7 @@ class Stages:
 STAGES = ["local-graphs", "candidates", "pruned", "graph"]
 
 
-def build_graph(vectors: DataFrame, params: BuildParams = BuildParams(), pairs: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding", book: Codebook | None = None, stages: Stages | None = None) -> DataFrame:
+def build_graph(vectors: DataFrame, params: BuildParams = BuildParams(), pairs: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding", book: Quantiser | None = None, stages: Stages | None = None) -> DataFrame:
     """(src, pos, dst, dist): the final graph. pairs: an allow-list of partitions to probe; book: prune on its codes, which are
     compared in place of vectors; stages: where and which."""
     stages = stages or Stages(vectors.sparkSession)

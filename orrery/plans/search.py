@@ -1,7 +1,8 @@
 """Searching a graph that is too large for one machine: partitions answer, and their best are merged.
 
-Each partition's graph is searched for all queries where it lies, and the k best
-of all partitions are taken. search_partitions() ranks by product-quantised
+Each partition's graph is searched where it lies, for all queries or for those
+that are sent to it (plans.routing), many at once, and the k best of all
+partitions are taken. search_partitions() ranks by quantised
 distances and refines with exact ones; sweep() measures it over pool lengths.
 """
 
@@ -14,9 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.operators.kernels import best_first, refine
+from orrery.operators.batch import Found, blocks, by_norms, exact, padded, refine_all, search_block
+from orrery.operators.kernels import refine
 from orrery.operators.knn import merge_top_k, query_blocks
-from orrery.operators.quantise import Codebook
+from orrery.operators.quantise import Quantiser
 from orrery.operators.recall import recall_with_ties
 from orrery.plans.build import opened, rows_of
 
@@ -25,7 +27,11 @@ MODES = ("full", "early_exit", "fixed_count", "fixed_ratio", "expanded")
 
 @dataclass(frozen=True)
 class SearchParams:
-    """mode: which candidates get exact distances; expanded: every node that the search expanded. entries: how many random starting points besides the medoid."""
+    """mode: which candidates get exact distances; expanded: every node that the search expanded. entries: how many random starting points besides the medoid.
+
+    widen: the beam begins narrow, and grows to `beam` while at most a tenth of what it expands falls out of the pool. patience: a
+    query ends so many expansions after its first five were expanded, not when all its pool is (0).
+    """
 
     k: int = 10
     length: int = 100
@@ -37,6 +43,8 @@ class SearchParams:
     count: int = 0
     ratio: float = 1.0
     entries: int = 0
+    widen: bool = False
+    patience: int = 0
 
     def __post_init__(self):
         if self.mode not in MODES:
@@ -45,8 +53,8 @@ class SearchParams:
             raise ValueError("k must be positive and at most length")
         if self.beam < 1:
             raise ValueError("beam must be positive")
-        if self.entries < 0 or self.count < 0 or not 0 <= self.ratio <= 1:
-            raise ValueError("entries and count can't be negative, and ratio is from 0 to 1")
+        if self.entries < 0 or self.count < 0 or self.patience < 0 or not 0 <= self.ratio <= 1:
+            raise ValueError("entries, count and patience can't be negative, and ratio is from 0 to 1")
 
 
 RESULT = "qid bigint, id bigint, dist double, refined boolean, expanded bigint, rounds bigint, comparisons bigint, n_refined bigint, reached bigint"
@@ -68,53 +76,113 @@ def known_labels(local: DataFrame, asked: DataFrame, label: str, universal: int
         raise ValueError(f"no row has the labels {found}")
 
 
-def search_partitions(queries: DataFrame, local: DataFrame, params: SearchParams, book: Codebook | None = None, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = None, universal: int | None = None) -> DataFrame:
+class Searchable:
+    """A row of GRAPHS, opened for many queries."""
+
+    def __init__(self, row: dict):
+        self.part, self.ids, self.n = row["part"], np.asarray(row["ids"], dtype=np.int64), len(row["ids"])
+        offsets, nbrs = np.asarray(row["offsets"]), np.asarray(row["nbrs"], dtype=np.int32)
+        if len(row["vectors"]) != self.n * row["dim"] or len(offsets) != self.n + 1 or offsets[-1] != len(nbrs) or (self.n and not 0 <= row["start"] < self.n):
+            raise ValueError(f"the graph of partition {row['part']} has {self.n} ids, {len(row['vectors'])} numbers, {len(offsets)} offsets and {len(nbrs)} neighbours, which don't go together")
+        self.x, self.norms = np.asarray(row["vectors"], dtype=np.float32).reshape(self.n, row["dim"]), np.asarray(row["norms"], dtype=np.float32)
+        self.near, self.start, self.codes = padded(offsets, nbrs), int(row["start"]), row["codes"]
+        self.medoids = {} if row["labels"] is None else dict(zip(map(int, row["label_ids"]), map(int, row["label_medoids"]), strict=True))
+        self.labels, self.label_offsets = (None, None) if row["labels"] is None else (np.asarray(row["labels"]), np.asarray(row["label_offsets"]))
+        self.live = np.ones(self.n, dtype=bool)
+        if row.get("dead") is not None:
+            self.live &= ~np.isin(self.ids, row["dead"])
+        if "allowed" in row:
+            self.live &= np.isin(self.ids, row["allowed"] if row["allowed"] is not None else [])
+
+    def having(self, labels: set) -> np.ndarray:
+        """Which nodes have one of the labels."""
+        hits = np.isin(self.labels, [x for x in labels if x is not None])
+        return np.bincount(np.repeat(np.arange(self.n), np.diff(self.label_offsets))[hits], minlength=self.n) > 0
+
+    def positions(self, ids: list) -> list[int]:
+        """Where those of the ids are that the partition has."""
+        by = np.argsort(self.ids)
+        at = np.searchsorted(self.ids[by], ids)
+        return [int(by[i]) for i, x in zip(at.tolist(), ids, strict=True) if i < self.n and self.ids[by[i]] == x]
+
+    def search(self, queries: np.ndarray, starts: list[list[int]], params: SearchParams, metric: str, book: Quantiser | None, allowed: np.ndarray | None = None) -> Found:
+        if book is None:
+            score = by_norms(metric, queries.astype(np.float32), self.x, self.norms)
+        else:
+            codes, asked = book.stored(self.codes, self.n) if self.codes is not None else book.encode(self.x), book.prepare(queries)
+            score = lambda rows, at: book.pairs(asked, rows, codes[at])
+        return search_block(self.near, score, starts, params.length, params.beam, params.limit, None if self.live.all() else self.live, allowed, params.widen, params.patience)
+
+    def refined(self, queries: np.ndarray, found: Found, params: SearchParams, metric: str) -> tuple[np.ndarray, ...]:
+        """(query, node, distance, refined, number refined) of each query's k best."""
+        nodes, m = found.nodes, len(queries)
+        if params.mode == "expanded":
+            own = [at[self.live[at]] for at, _ in found.expanded_of(m)]
+            nodes = np.full((m, max(map(len, own), default=0)), -1, dtype=np.int64)
+            for r, at in enumerate(own):
+                nodes[r, : len(at)] = at
+        if params.mode in ("full", "expanded"):
+            n = (nodes >= 0).sum(axis=1)
+            best, d = refine_all(metric, queries, self.x.astype(np.float64) if self.n * self.x.shape[1] < WIDE else self.x, nodes, params.k)
+            rows, cols = np.nonzero(best >= 0)
+            return rows, best[rows, cols], d[rows, cols], np.ones(len(rows), dtype=bool), n[rows]
+        out = []
+        for r in range(m):
+            there = nodes[r] >= 0
+            pool = list(zip(found.dists[r][there].tolist(), nodes[r][there].tolist(), strict=True))
+            best, n = refine(queries[r], pool, lambda at: self.x[at].astype(np.float64), params.k, params.mode, params.batch, params.streak, params.count, params.ratio, lambda q, x: exact(metric, q[None], x))
+            out += [(r, i, d, fine, n) for d, i, fine in best]
+        return tuple(np.array(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, float, bool, np.int64))
+
+
+#: Numbers of a partition up to which its vectors are held in double precision as well, for exact distances.
+WIDE = 1 << 24
+
+
+def search_partitions(queries: DataFrame, local: DataFrame, params: SearchParams, book: Quantiser | None = None, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = None, universal: int | None = None,
+                      metric: str = "l2", routes: str | None = None) -> DataFrame:
     """(qid, id, dist, rank, ...) with each partition's work. local: plans.build.local_graphs(). book: rank by its codes, those stored
-    with the graphs if they are; None: exactly.
+    with the graphs if they are; None: exactly. metric: the one that the graphs were built for; codes need l2.
 
     label_col: only rows with the query's label, or the universal one, in graphs built with labels; the
     search starts at the label's own medoid and visits no other rows. A label of no row is an error.
     local may have columns dead and allowed (array<bigint>, or null; see with_ids()): ids that are travelled through but not found,
     and the only ones that are found.
+    routes: a column of the queries, array<struct<part, ids>>: the partitions to ask, and rows to start at there (see plans.routing).
     """
+    if book is not None and metric != "l2":
+        raise ValueError(f"codes rank by l2, not by {metric}")
     spark, out = queries.sparkSession, None
-    tombs, chosen = "dead" in local.columns, "allowed" in local.columns
     if label_col:
         known_labels(local, queries, label_col, universal)
-    for ids, vectors, more in query_blocks(queries, id_col, vec_col, [label_col] if label_col else []):
-        sent = spark.sparkContext.broadcast((ids, vectors, [m[0] for m in more] if label_col else [None] * len(ids)))
+    carried = [c for c in (label_col, routes) if c]
+    for ids, vectors, more in query_blocks(queries, id_col, vec_col, carried):
+        wanted = [m[0] for m in more] if label_col else [None] * len(ids)
+        begin = [{r["part"]: r["ids"] for r in m[-1]} for m in more] if routes else None
+        sent = spark.sparkContext.broadcast((ids, vectors, wanted, begin))
 
         def run(batches, sent=sent):
-            ids, qs, wanted = sent.value
+            ids, qs, wanted, begin = sent.value
             for row in rows_of(batches):
-                own, g = opened(row)
-                live = np.ones(len(own), dtype=bool)
-                if tombs and row["dead"] is not None:
-                    live &= ~np.isin(own, row["dead"])
-                if chosen:
-                    live &= np.isin(own, row["allowed"] if row["allowed"] is not None else [])
-                alive = None if live.all() else live.__getitem__
-                codes = None if book is None else np.asarray(row["codes"]).reshape(len(own), -1) if row["codes"] is not None else book.encode(g.x)
-                rows = []
-                starts = dict(zip(row["label_ids"], row["label_medoids"], strict=True)) if label_col else {}
-                more_starts = np.random.default_rng(row["part"]).integers(len(own), size=params.entries).tolist() if len(own) else []
-                for qid, q, label in zip(ids, qs, wanted, strict=True):
-                    begin = [int(starts[x]) for x in (label, universal) if x in starts] if label_col else [g.start, *more_starts]
-                    if not begin or not len(own):
+                g = Searchable(row)
+                entries = [g.start, *np.random.default_rng(g.part).integers(g.n, size=params.entries).tolist()] if g.n else []
+                groups: dict = {}  # queries of one label go together, with the nodes that they may travel
+                for i, label in enumerate(wanted):
+                    if begin is None or g.part in begin[i]:
+                        groups.setdefault(label if label_col else None, []).append(i)
+                for label, at in groups.items():
+                    starts = [g.medoids[x] for x in (label, universal) if x in g.medoids] if label_col else entries
+                    if not starts or not g.n:
                         continue
-                    if book:
-                        table, chunk = book.table(q), np.arange(codes.shape[1])
-                        dist = lambda at, table=table, chunk=chunk: table[chunk, codes[at]].sum(axis=1)
-                    else:
-                        dist = lambda at, q=q: ((g.x[at] - q) ** 2).sum(axis=1)
-                    near = (lambda u, own={label, universal}: [v for v in g.nbrs[u] if g.labels[v] & own]) if label_col else (lambda u: g.nbrs[u])
-                    found = best_first(begin, dist, near, params.length, params.beam, params.limit, alive)
-                    pool, mode = found["pool"], params.mode
-                    if mode == "expanded":
-                        pool, mode = sorted((found["known"][i], i) for i in found["expanded"] if live[i]), "full"
-                    best, n = refine(q, pool, lambda at: g.x[at], params.k, mode, params.batch, params.streak, params.count, params.ratio)
-                    rows += [(int(qid), int(own[i]), d, r, len(found["expanded"]), found["rounds"], found["comparisons"], n, len(found["pool"])) for d, i, r in best]
-                yield pd.DataFrame(rows, columns=["qid", "id", "dist", "refined", "expanded", "rounds", "comparisons", "n_refined", "reached"])
+                    allowed = g.having({label, universal}) if label_col else None
+                    at = np.array(at)
+                    for part in blocks(len(at), g.n):
+                        own = at[part]
+                        first = [starts if begin is None else g.positions(begin[i][g.part]) or starts for i in own]
+                        found = g.search(qs[own], first, params, metric, book, allowed)
+                        rows, nodes, d, fine, n = g.refined(qs[own], found, params, metric)
+                        reached = (found.nodes >= 0).sum(axis=1)
+                        yield pd.DataFrame({"qid": ids[own][rows], "id": g.ids[nodes], "dist": d, "refined": fine, "expanded": found.expanded[rows], "rounds": found.rounds[rows], "comparisons": found.comparisons[rows], "n_refined": n, "reached": reached[rows]})
 
         part = local.mapInPandas(run, RESULT)
         out = part if out is None else out.unionByName(part)
@@ -154,12 +222,13 @@ def visit_counts(queries: DataFrame, local: DataFrame, params: SearchParams, id_
 
         def run(batches, sent=sent):
             for row in rows_of(batches):
-                own, g = opened(row)
-                visits = np.zeros(len(own), dtype=np.int64)
-                for q in sent.value:
-                    visits[g.search(q, params.length, params.beam)["expanded"]] += 1
+                g, visits = Searchable(row), np.zeros(len(row["ids"]), dtype=np.int64)
+                for at in blocks(len(sent.value), g.n) if g.n else ():
+                    own = sent.value[at]
+                    for _, nodes, _ in g.search(own, [[g.start]] * len(own), params, "l2", None).trail:
+                        np.add.at(visits, nodes, 1)
                 at = np.flatnonzero(visits)
-                yield pd.DataFrame({"id": own[at], "visits": visits[at]})
+                yield pd.DataFrame({"id": g.ids[at], "visits": visits[at]})
 
         part = local.mapInPandas(run, "id bigint, visits bigint")
         out = part if out is None else out.unionByName(part)
@@ -195,7 +264,7 @@ def range_search(queries: DataFrame, local: DataFrame, radius: float, least: int
     return spark.createDataFrame([], "qid bigint, id bigint, dist double") if out is None else out
 
 
-def query_stats(queries: DataFrame, local: DataFrame, truth: DataFrame, lengths: list[int], k: int, book: Codebook | None = None, beam: int = 8) -> DataFrame:
+def query_stats(queries: DataFrame, local: DataFrame, truth: DataFrame, lengths: list[int], k: int, book: Quantiser | None = None, beam: int = 8) -> DataFrame:
     """A row for each pool length and query: its work over all partitions, how many it found and its recall (without and with ties)."""
     out = None
     for length in lengths:
@@ -208,7 +277,7 @@ def query_stats(queries: DataFrame, local: DataFrame, truth: DataFrame, lengths:
     return out.select("length", "qid", "found", "hits", "recall", "recall_with_ties", "best", "worst", "expanded", "comparisons", "rounds", "n_refined")
 
 
-def sweep(queries: DataFrame, local: DataFrame, truth: DataFrame, lengths: list[int], k: int, book: Codebook | None = None, beam: int = 8) -> DataFrame:
+def sweep(queries: DataFrame, local: DataFrame, truth: DataFrame, lengths: list[int], k: int, book: Quantiser | None = None, beam: int = 8) -> DataFrame:
     """A row for each pool length: queries, recall at k, and the work of a query: mean, median, 99 and 99.9 % (no interpolation)."""
     per = query_stats(queries, local, truth, lengths, k, book, beam)
     at = lambda c, p: F.element_at(F.array_sort(F.collect_list(c)), (F.floor(F.count(F.lit(1)) * p) + 1).cast("int"))

@@ -40,15 +40,33 @@ def test_codebooks_are_saved(spark, table, x, tmp_path):
         Q.Codebook.from_json('{"pivots": [[1, 2]], "offsets": [0, 3], "centroid": [0, 0, 0], "rotation": null}')
 
 
-def test_rotated_bits(x):
+@pytest.mark.parametrize("bits", [1, 4, 8])
+def test_rotated_bits(x, bits):
     own = x.astype(np.float64)
-    q = Q.RotatedBits.train(own)
+    q = Q.RotatedBits.of(own, bits, 4)
     codes = q.encode(own)
-    assert codes.shape == (400, 14) and np.allclose(q.rotation @ q.rotation.T, np.eye(12))
+    assert codes.dtype == np.uint8 and codes.shape == (400, q.width) and q.width == bits * 8 + 17
+    assert np.allclose(np.linalg.norm(q.turn(own), axis=1), np.linalg.norm(own, axis=1))
+    again = Q.Quantiser.of_json(q.to_json())
+    assert np.array_equal(again.encode(own), codes) and np.array_equal(again.stored(codes.tobytes(), 400), codes)
     for at in (3, 77):
         exact, guess = ((own - own[at]) ** 2).sum(1), q.distances(own[at], codes)
-        assert np.corrcoef(exact, guess)[0, 1] > 0.8  # one bit for each of 12 dimensions
-        assert len(set(np.argsort(guess)[:40].tolist()) & set(brute(x, x[at], 10))) >= 7
+        assert np.corrcoef(exact, guess)[0, 1] > {1: 0.97, 4: 0.995, 8: 0.999}[bits]
+        assert len(set(np.argsort(guess)[:40].tolist()) & set(brute(x, x[at], 10))) >= 9
+    # Pairs are what single queries give, and products of bits what products of the codes' numbers give.
+    asked, rows = q.prepare(own[:3]), np.repeat(np.arange(3), 400)
+    assert np.allclose(q.pairs(asked, rows, np.vstack([codes] * 3)).reshape(3, 400), [q.distances(v, codes) for v in own[:3]])
+
+
+def test_rotated_bits_are_unbiased(x):
+    own = x.astype(np.float64)
+    exact = ((own[:50, None] - own[None, 50:60]) ** 2).sum(2)
+    guesses = []
+    for seed in range(60):
+        q = Q.RotatedBits.of(own, 1, 4, seed)
+        asked = q.prepare(own[50:60])
+        guesses.append(np.stack([q.pairs(asked, np.full(50, j), q.encode(own[:50])) for j in range(10)], axis=1))
+    assert abs((np.mean(guesses, axis=0) - exact).mean()) < 0.02 * exact.mean()
 
 
 def test_elkan_equals_lloyd(x):
@@ -168,7 +186,7 @@ def test_index_lives(spark, table, tmp_path):
 def test_index_checks_its_arguments(table):
     one = table.limit(1).withColumn("vec_id", F.lit(999).cast("bigint")).withColumn("embedding", F.slice("embedding", 1, 3))
     for bad in (lambda: VectorIndex.build(table.drop("embedding")), lambda: VectorIndex.build(table.withColumn("embedding", F.lit("x"))), lambda: VectorIndex.build(table, metric="hamming"),
-                lambda: VectorIndex.build(table, metric="cosine"), lambda: VectorIndex.build(table.unionByName(one), PARAMS), lambda: B.BuildParams(alpha=0.5), lambda: B.BuildParams(near=0),
+                lambda: VectorIndex.build(table, metric="cosine", chunks=4), lambda: VectorIndex.build(table.unionByName(one), PARAMS), lambda: B.BuildParams(alpha=0.5), lambda: B.BuildParams(near=0),
                 lambda: B.BuildParams(degree=True), lambda: B.check_fields(B.BuildParams(), '{"colour": 1}'), lambda: S.SearchParams(entries=-1), lambda: S.SearchParams(ratio=2)):
         with pytest.raises(ValueError):
             bad()
