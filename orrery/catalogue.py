@@ -549,13 +549,6 @@ def latency_mean_p999(spark, d):
     return R.percentiles(x, "x", [0.5, 0.99, 0.999]).withColumn("mean", F.lit(x.agg(F.avg("x")).first()[0]))
 
 
-@query(f"{knn_sql(L2_SQL)}, w AS (SELECT s.step, qid, id, dist, row_number() OVER (PARTITION BY s.step, qid ORDER BY dist, id) AS rank FROM r JOIN (SELECT range AS step FROM range(6)) s ON id >= s.step * 50 AND id < s.step * 50 + 200 WHERE r.rank <= 1000) SELECT step, qid, rank, id, round(dist, 6) AS dist FROM w WHERE rank <= 10")
-def sliding_window_gt(spark, d):
-    df = base(spark, d)
-    starts = spark.range(6).select(F.col("id").alias("step"), (F.col("id") * 50).alias("first"))
-    return rounded(C.window_truth(truth(df, 1000), starts, 200, K))
-
-
 # -- updates ----------------------------------------------------------------------------
 @query("SELECT vec_id * 3 AS tag FROM embeddings WHERE vec_id * 3 NOT IN (SELECT vec_id FROM embeddings)")
 def lazy_delete_failed_tags(spark, d):
@@ -711,11 +704,11 @@ def integer_distances(spark, d):
     return both.select("vec_id", V.l2(s("a"), s("b")).alias("l2_int8"), V.l2(u("a"), u("b")).alias("l2_uint8"), F.round(V.cosine(s("a"), s("b")), 6).alias("cosine_int8"))
 
 
-@query(f"WITH {INT_SQL} SELECT vec_id, j - 1 AS pos, round(s[j] / 127.0, 6) AS from_int8, round(u[j] / 255.0, 6) AS from_uint8 FROM i, range(1, 65) r(j)")
+@query(f"WITH {INT_SQL} SELECT vec_id, j - 1 AS pos, CAST(s[j] * (1 / 127.0::DOUBLE) AS FLOAT)::DOUBLE AS from_int8, CAST(u[j] * (1 / 255.0::DOUBLE) AS FLOAT)::DOUBLE AS from_uint8 FROM i, range(1, 65) r(j)")
 def integers_to_floats(spark, d):
     back = lambda kind, scale: X.to_floats(X.to_integers("embedding", kind, scale), 1 / scale)
     both = F.arrays_zip(back("int8", 127.0).alias("s"), back("uint8", 255.0).alias("u"))
-    return base(spark, d).select("vec_id", F.posexplode(both).alias("pos", "x")).select("vec_id", "pos", F.round(F.col("x.s").cast("double"), 6).alias("from_int8"), F.round(F.col("x.u").cast("double"), 6).alias("from_uint8"))
+    return base(spark, d).select("vec_id", F.posexplode(both).alias("pos", "x")).select("vec_id", "pos", F.col("x.s").cast("double").alias("from_int8"), F.col("x.u").cast("double").alias("from_uint8"))
 
 
 @query(PAIRED.format(f"round(1 - {dot('a.v', 'c.v')} / (sqrt({n2('a.v')}) * sqrt({n2('c.v')})), 6) AS cosine, round(sqrt({n2('a.v')}), 6) AS norm, 0.0::DOUBLE AS of_zero"))
@@ -1164,11 +1157,14 @@ def index_refused_tags(spark, d):
     return index.insert(df)[1]
 
 
-@query(f"SELECT s AS step, greatest(0, s * 100 + 100 - 200) AS first, least(s * 100 + 100, {N_SQL}) - 1 AS last, least(s * 100 + 100, {N_SQL}) - greatest(0, least(s * 100 + 100, {N_SQL}) - 200) AS n_rows FROM range(1, 5) t(s)")
+@query(f"""SELECT s AS step, greatest(0, least((s + 1) * w, n) - 2 * w) AS first, least((s + 1) * w, n) - 1 AS last, least((s + 1) * w, n) - greatest(0, least((s + 1) * w, n) - 2 * w) AS n_rows
+    FROM (SELECT {N_SQL} AS n, ({N_SQL} + 4) // 5 AS w), range(1, 5) t(s)""")
 def streaming_window(spark, d):
-    """A window of 200 rows moving on by 100: what is live after each step."""
+    """A window of two fifths of all rows moving on by a fifth, over the whole table: what is live after each step."""
     df, out = base(spark, d), None
-    for step, now in enumerate(M.sliding_window(VectorIndex.build(df.filter(F.col("vec_id") < 100), PARAMS), df, 200, 100, 100, 500)):
+    n = df.count()
+    w = (n + 4) // 5
+    for step, now in enumerate(M.sliding_window(VectorIndex.build(df.filter(F.col("vec_id") < w), PARAMS), df, 2 * w, w, w, n)):
         if step:
             row = now.tags().agg(F.min("tag").alias("first"), F.max("tag").alias("last"), F.count(F.lit(1)).alias("n_rows")).withColumn("step", F.lit(step))
             out = row if out is None else out.unionByName(row)
@@ -1387,3 +1383,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from orrery import catalogue_search  # noqa: E402,F401  its queries register themselves

@@ -32,6 +32,18 @@ def window_truth(truth: DataFrame, starts: DataFrame, width: int, k: int) -> Dat
     return inside.withColumn("rank", rank).filter(F.col("rank") <= k).select("step", "qid", "rank", "id", "dist")
 
 
+def truth_of_windows(queries: DataFrame, base: DataFrame, starts: list[tuple[int, int]], width: int, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(step, qid, rank, id, dist): the k nearest of all rows of each window (step, first), those with ids in [first, first + width). A scan for each window, of its rows."""
+    from orrery.operators.knn import knn
+
+    out = None
+    for step, first in starts:
+        own = knn(queries, base.filter((F.col(id_col) >= first) & (F.col(id_col) < first + width)), k, id_col=id_col, vec_col=vec_col)
+        row = own.select(F.lit(step).cast("bigint").alias("step"), "qid", "rank", "id", "dist")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def plain_recall(truth: DataFrame, result: DataFrame, k: int) -> DataFrame:
     """(qid, hits, recall): hits among the first k of both, without regard to ties; a fraction of k."""
     hits = truth.filter(F.col("rank") <= k).select("qid", "id").join(result.filter(F.col("rank") <= k).select("qid", "id").distinct(), ["qid", "id"]).groupBy("qid").agg(F.count(F.lit(1)).alias("hits"))
