@@ -9,8 +9,8 @@ Inverse document frequencies are counted over all documents.
 The examples' vectors are indexed by term. Example numbers are cut into blocks
 of BLOCK, the same for all terms, and for each term and block the largest weight
 is kept. A query's bound for a block is the sum of its own weights times these;
-blocks are opened from the highest bound down, and exact cosines computed, until
-the K-th best cosine exceeds what is left. No example that could be among the K
+blocks are opened from the highest bound down, and exact cosines computed from
+their entries' own terms, until the K-th best cosine exceeds what is left. No example that could be among the K
 nearest is left out. Examples with equal vectors are one entry that counts as
 often as there are. The nearest K examples vote, a vote's weight falling with
 the distance, and isotonic regression on labelled rows that aren't in the index
@@ -43,14 +43,16 @@ from pyspark.sql import functions as F
 from orrery.llm.quality_classifier import isotonic
 from orrery.llm.shared import discard, slices, stored
 
-FIT_ROWS = 40_000
+FIT_ROWS = 20_000
 #: A term belongs to the vocabulary if its share among toxic and other examples differs by so many standard errors, and if so many examples have it.
 FEATURE_Z, LEAST_EXAMPLES = 6.0, 5
 #: The vocabulary's size at most; the terms that differ most.
 VOCABULARY = 8192
 #: Beginnings of words that are terms, by length.
 BEGINNINGS = range(3, 9)
-K, BLOCK = 24, 64
+K, BLOCK = 24, 32
+#: Blocks that a query opens at first.
+OPENED = 4
 #: What is added to a distance before it divides a vote.
 NEAR = 0.02
 THRESHOLD = 0.5
@@ -102,59 +104,67 @@ def unit(numbers: list[int], counts: list[int], idf: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Entries (vector, examples, toxic examples) by term, with each block's largest weight. Entries are told apart and ordered by vector."""
+    """Entries (vector, examples, toxic examples): by term the blocks that have it, with the term's largest weight in each; and by block the
+
+    entries' own terms and weights. Entries are told apart and ordered by vector, so that alike ones share blocks.
+    """
 
     def __init__(self, size: int, entries: list[tuple[list[int], np.ndarray, int, int]], k: int = K, block: int = BLOCK):
-        self.k, self.block, self.n = k, block, len(entries)
+        self.k, self.block, self.n, self.size = k, block, len(entries), size
         self.examples = np.array([e[2] for e in entries], dtype=np.int64)
         self.toxic = np.array([e[3] for e in entries], dtype=np.int64)
         self.rate = float(self.toxic.sum() / self.examples.sum()) if self.n else 0.5
-        at = np.repeat(np.arange(self.n), [len(e[0]) for e in entries]) if self.n else np.zeros(0, dtype=np.int64)
-        term = np.array([t for e in entries for t in e[0]], dtype=np.int64)
-        weight = np.concatenate([np.zeros(0), *(e[1] for e in entries)])
-        by = np.lexsort((at, term))
-        self.entry, self.weight = at[by].astype(np.int32), weight[by]
-        self.starts = np.searchsorted(term[by], np.arange(size + 1))
+        lengths = [len(e[0]) for e in entries]
+        self.ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        self.term = np.array([t for e in entries for t in e[0]], dtype=np.int64)
+        self.weight = np.concatenate([np.zeros(0), *(e[1] for e in entries)])
         self.blocks = -(-self.n // block)
-        # By term, the blocks that have it, where their entries begin in its list, and their largest weights.
-        self.of_term = []
-        for t in range(size):
-            lo, hi = self.starts[t], self.starts[t + 1]
-            own, first = np.unique(self.entry[lo:hi] // block, return_index=True)
-            most = np.maximum.reduceat(self.weight[lo:hi], first) if len(first) else np.zeros(0)
-            self.of_term.append((own, np.append(first, hi - lo) + lo, most))
+        at = np.repeat(np.arange(self.n), lengths) // block if self.n else np.zeros(0, dtype=np.int64)
+        by = np.lexsort((at, self.term))
+        term, at, weight = self.term[by], at[by], self.weight[by]
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (at[1:] != at[:-1])])) if len(term) else np.zeros(0, dtype=np.int64)
+        self.most = np.maximum.reduceat(weight, first) if len(first) else weight
+        self.most_block, starts = at[first], np.searchsorted(term[first], np.arange(size + 1))
+        self.of_term = list(zip(starts.tolist(), starts[1:].tolist(), strict=False))
+
+    def cosines(self, blocks: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of some blocks, and their cosines with a dense query."""
+        entries = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
+        entries = entries[entries < self.n]
+        starts, ends = self.ends[entries], self.ends[entries + 1]
+        sizes = ends - starts
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(cuts[-1]) - np.repeat(cuts[:-1] - starts, sizes)
+        return entries, np.round(np.add.reduceat(query[self.term[at]] * self.weight[at], cuts[:-1]), 12)
 
     def nearest(self, numbers: list[int], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Entries with the k nearest examples among them, and all that tie with the last, and their cosines, the nearest first; and how many
 
-        blocks were opened. Entries that share no term with the query come last, at 0, only if the others are too few.
+        blocks were opened: those of the highest bounds, OPENED and then twice as many a time, until the k-th cosine exceeds all other bounds.
         """
-        bound = np.zeros(self.blocks)
+        bound, query = np.zeros(self.blocks), np.zeros(self.size)
+        query[numbers] = weights
         for t, w in zip(numbers, weights.tolist(), strict=True):
-            own, _, most = self.of_term[t]
-            bound[own] += w * most
-        order = np.lexsort((np.arange(self.blocks), -bound))
-        best, cosines, opened = np.zeros(0, dtype=np.int64), np.zeros(0), 0
-        for b in order.tolist():
-            enough = np.cumsum(self.examples[best]) if len(best) else np.zeros(0)
-            if len(enough) and enough[-1] >= self.k and bound[b] + 1e-9 < cosines[np.searchsorted(enough, self.k)]:
+            lo, hi = self.of_term[t]
+            bound[self.most_block[lo:hi]] += w * self.most[lo:hi]
+        order = np.argsort(-bound, kind="stable")
+        best, cosines, opened, step, least = np.zeros(0, dtype=np.int64), np.zeros(0), 0, OPENED, -1.0
+        while opened < self.blocks:
+            some = order[opened:opened + step]
+            some = some[bound[some] + 1e-9 >= least]
+            if not len(some):
                 break
-            opened += 1
-            first = b * self.block
-            score = np.zeros(min(self.block, self.n - first))
-            for t, w in zip(numbers, weights.tolist(), strict=True):
-                own, cuts, _ = self.of_term[t]
-                i = np.searchsorted(own, b)
-                if i < len(own) and own[i] == b:
-                    score[self.entry[cuts[i]:cuts[i + 1]] - first] += w * self.weight[cuts[i]:cuts[i + 1]]
-            best = np.concatenate([best, first + np.arange(len(score))])
-            cosines = np.concatenate([cosines, np.round(score, 12)])
+            entries, own = self.cosines(some, query)
+            keep = own >= least
+            best, cosines = np.concatenate([best, entries[keep]]), np.concatenate([cosines, own[keep]])
             by = np.lexsort((best, -cosines))
             best, cosines = best[by], cosines[by]
             enough = np.cumsum(self.examples[best])
             if enough[-1] >= self.k:  # what ties with the last place stays
-                stay = cosines >= cosines[np.searchsorted(enough, self.k)]
-                best, cosines = best[stay], cosines[stay]
+                least = cosines[np.searchsorted(enough, self.k)]
+                stay = int(np.searchsorted(-cosines, -least, side="right"))
+                best, cosines = best[:stay], cosines[:stay]
+            opened, step = opened + len(some), 2 * step
         return best, cosines, opened
 
     def vote(self, numbers: list[int], weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -171,10 +181,10 @@ class BlockMaxIndex:
 
 
 class Model:
-    """The vocabulary, its idf, the index, the calibration's knots, and an example's id for each entry."""
+    """The terms' idf, the index, the calibration's knots, and an example's id for each entry."""
 
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, index: BlockMaxIndex, ids: list):
-        self.vocabulary, self.idf, self.index, self.ids = vocabulary, idf, index, ids
+    def __init__(self, idf: np.ndarray, index: BlockMaxIndex, ids: list):
+        self.idf, self.index, self.ids = idf, index, ids
         self.knots = (np.array([0.0]), np.array([0.5]))
 
     def score(self, vote: float) -> float:
@@ -248,39 +258,31 @@ def train(vectors_: DataFrame, taught: DataFrame, vocabulary: Vocabulary) -> Mod
     """vectors_: of all documents, written; they give the idf."""
     df, n = frequencies(vectors_, vocabulary.size)
     idf = np.log((1 + n) / (1 + df)) + 1
-    rows = vectors(taught, vocabulary, ["id", "y", "calibrate"]).collect()  # about FIT_ROWS rows at most, without texts
+    known = stored(vectors(taught, vocabulary, ["id", "y", "calibrate"]), "example-vectors")
     entries: dict[tuple, list] = {}
-    for r in rows:
-        if not r.calibrate and len(r.numbers):
+    for r in known.filter("NOT calibrate").collect():  # about FIT_ROWS rows at most, without texts
+        if len(r.numbers):
             w = unit(r.numbers, r.counts, idf)
             e = entries.setdefault((tuple(r.numbers), tuple(np.round(w, 9).tolist())), [r.numbers, w, 0, 0, r.id])
             e[2], e[3], e[4] = e[2] + 1, e[3] + (r.y != 0), min(e[4], r.id)
     ordered = [entries[k] for k in sorted(entries)]
-    model = Model(vocabulary, idf, BlockMaxIndex(vocabulary.size, [tuple(e[:4]) for e in ordered]), [e[4] for e in ordered])
-    held = [(model.index.vote(r.numbers, unit(r.numbers, r.counts, idf) if len(r.numbers) else np.zeros(0))[0], float(r.y != 0)) for r in rows if r.calibrate]
-    if held:
-        model.knots = isotonic(*map(np.array, zip(*held, strict=True)))
+    model = Model(idf, BlockMaxIndex(vocabulary.size, [tuple(e[:4]) for e in ordered]), [e[4] for e in ordered])
+    # Their votes come from tasks, as those of all documents; a pair of numbers for each of a bounded number of rows is collected.
+    held = voted(known.filter("calibrate").select("y", "numbers", "counts"), model, "y").select("id", "vote").toPandas()
+    if len(held):
+        model.knots = isotonic(held["vote"].to_numpy(), (held["id"] != 0).to_numpy().astype(float))
+    discard(known)
     return model
 
 
-RESULT = "score double, vote double, evidence array<struct<id:{0},cosine:double,examples:bigint,toxic:bigint>>"
-
-
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence), one row for each row of docs. evidence: up to five of the nearest entries, by an
-
-    example's id, its cosine, and how many examples have its vector and how many of them are toxic.
-    """
-    spark = docs.sparkSession
-    taught = examples(docs, labels, id_col, text_col, fit_rows)
-    vocabulary = Vocabulary(choose(taught))
-    own = stored(vectors(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), vocabulary, ["id"]), "vectors")
-    model = train(own, taught, vocabulary)
-    model.vocabulary = None  # the vectors are numbered
-    sent, kind = spark.sparkContext.broadcast(model), own.schema["id"].dataType.simpleString()
+def voted(rows: DataFrame, model: Model, id_col: str) -> DataFrame:
+    """(id, score, vote, evidence) of rows (id_col, numbers, counts). The model, of bounded size, goes to all tasks; no row moves."""
+    spark, kind = rows.sparkSession, rows.schema[id_col].dataType.simpleString()
+    sent, ids = spark.sparkContext.broadcast(model), "bigint" if not model.ids or isinstance(model.ids[0], int) else "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = sent.value, {}
+        item = pa.struct([("id", pa.int64() if ids == "bigint" else pa.string()), ("cosine", pa.float64()), ("examples", pa.int64()), ("toxic", pa.int64())])
         for b in slices(batches):
             out = []
             for numbers, counts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -293,10 +295,21 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                     seen[key] = (model.score(vote), vote, evidence)
                 out.append(seen[key])
             score, vote, evidence = zip(*out, strict=True) if out else ((), (), ())
-            item = pa.struct([("id", b.column(0).type), ("cosine", pa.float64()), ("examples", pa.int64()), ("toxic", pa.int64())])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(vote, pa.float64()), pa.array(evidence, pa.list_(item))], names=["id", "score", "vote", "evidence"])
 
-    scored = own.mapInArrow(run, f"id {kind}, {RESULT.format(kind)}")
+    return rows.mapInArrow(run, f"id {kind}, score double, vote double, evidence array<struct<id:{ids},cosine:double,examples:bigint,toxic:bigint>>")
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence), one row for each row of docs. evidence: up to five of the nearest entries, by an
+
+    example's id, its cosine, and how many examples have its vector and how many of them are toxic.
+    """
+    taught = examples(docs, labels, id_col, text_col, fit_rows)
+    vocabulary = Vocabulary(choose(taught))
+    own = stored(vectors(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), vocabulary, ["id"]), "vectors")
+    model = train(own, taught, vocabulary)
+    scored = voted(own, model, "id")
     discard(taught)
     return scored.select(
         F.col("id").alias("doc_id"), (~may_teach(F.col("id")) & F.col("id").isNotNull()).alias("held_out"), "score",
