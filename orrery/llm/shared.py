@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -13,13 +14,14 @@ from pyspark.sql import functions as F
 
 from orrery.storage import discard, for_arrow, remove, scratch, stored
 
-__all__ = ["LOWER", "SPACE", "Out", "discard", "encoded", "for_arrow", "free_shuffles", "give_back", "of_keys", "remove", "scratch", "shuffle_partitions", "slices", "stored"]
+__all__ = ["LOWER", "SPACE", "Out", "discard", "encoded", "for_arrow", "give_back", "of_keys", "remove", "scratch", "shuffle_partitions", "slices", "stored", "tidied_shuffles"]
 
 #: Lower-cases A-Z alone, on UTF-8 bytes.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: The white space of the contracts: [\x20\x09-\x0D], which is also what bytes.split() splits at.
 SPACE = b" \t\n\x0b\x0c\r"
 
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A key with over 1 / HOT of all rows is hot.
 HOT = 1000
 
@@ -45,12 +47,18 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Has the driver's JVM collect garbage: Spark removes the shuffle files of finished steps only when their plans are collected,
-
-    and between large steps that may come late. For use after a step, not in a loop.
-    """
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def tidied_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark removes a query's shuffle files when the query ends; without it they stay until the driver collects its plan."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -13,20 +13,23 @@ their own. What comes out of a block is not pairs, but each fingerprint with the
 least one that it is linked to there, directly or over others. Components follow
 by star steps.
 
-near_duplicates() serves a stricter notion: word shingles with a Jaccard
-similarity of at least 0.8. So similar texts differ in up to 14 of 64 bits,
-where neither grid nor any other lower bound leaves few candidates. It therefore
-also takes SimHashes of small min-wise samples of the shingles, equal with high
-probability for similar texts, and verifies every candidate on whole shingle
-sets. Nodes with an equal sample form a group. Pairs in it are not all made: a
-node meets the first one of its task and its neighbours in several orders. This
-is only a first pass that joins most of a family cheaply. What it leaves apart
-is found by a prefix-filter join, which misses nothing: with all shingles in one
-order, rarest first, two sets of a similarity of at least s have a shingle in
-common among the first n - ceil(s n) + 1 of each, n being the set's size. Which
-of these shingles a node shares with any other is found out by packed lists
-(exchange.py). All nodes of different components that share one, and whose sizes
-and places of it allow the similarity, are verified on whole sets.
+near_duplicates() serves another notion: word shingles with a Jaccard similarity of
+at least 0.8. So similar texts differ in up to 14 of 64 bits, where neither grid
+nor any other lower bound leaves few candidates. The grid's links are taken as
+probable edges; the others are found by a prefix-filter join, which misses
+nothing: with all shingles in one order, rarest first, two sets of a similarity
+of at least s have a shingle in common among the first n - ceil(s n) + 1 of each,
+n being the set's size. Which of these shingles a node shares with any other is
+found out by packed lists (exchange.py). Nodes that share one meet in blocks,
+where pairs of different components are rejected by their sizes, by the shared
+shingle's places, and by parity bitmaps: of the hashes' low bits one bit each says
+whether an odd number of the set's shingles has them, so that the bits in which
+two bitmaps differ are at most the shingles in which the sets do. What is left is
+nearly always a link. A block sends not these pairs, but a forest of them: edges
+that join components, fewer than it has nodes. All edges are verified on whole
+texts. Where one is refuted, its component may hold pairs that no block sent, as
+the edge seemed to join them; for the nodes of these components alone all pairs
+that pass the bitmaps are verified in a second round.
 
 Defined results: null or empty text, or one without words, has the fingerprint
 zero and is linked like any other; texts of any length are taken whole; a null
@@ -46,23 +49,22 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.components import components
 from orrery.llm.exchange import LISTS, numbered_keys, of_blocks, packed_lists, shards_for, totals, unpacked_totals
-from orrery.llm.shared import LOWER, discard, encoded, free_shuffles, of_keys, shuffle_partitions, slices, stored
+from orrery.llm.shared import LOWER, discard, encoded, of_keys, shuffle_partitions, slices, stored, tidied_shuffles
 
 SEED = 42
 #: SEGMENT_SUM segments make one coordinate of the grid.
 SEGMENTS, SEGMENT_BITS, SEGMENT_SUM = 32, 2, 2
 #: Fingerprints of at most so many different bits are linked.
 NEAR = 2
-SAMPLES, SAMPLE = 10, 3
-#: Neighbours before a node in each order.
-BACK = 2
-#: Counters for the shingles' frequencies, and the parts in which they are added up.
-COUNTERS, COUNTER_PARTS = 1 << 20, 16
+#: Counters for the shingles' frequencies, the parts in which they are added up, and of how many tasks at a time.
+COUNTERS, COUNTER_PARTS, ADDED = 1 << 20, 16, 64
+#: The most bits of a parity bitmap; a set has twice the power of two from its size up.
+BITMAP = 4096
 #: Rows of one block where those that meet in a cell or by a shingle are compared block by block.
 BLOCK = 512
 #: Shingles of one packed list of nodes.
@@ -218,43 +220,76 @@ def near_components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
 
 
 # -- similarity of shingle sets ---------------------------------------------------
-MULTIPLIERS = np.random.default_rng(11).integers(0, 2**63, SAMPLES * SAMPLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def bitmap(h: np.ndarray) -> bytes:
+    """Of a set of distinct hashes, whether an odd number of them has given low bits, bit by bit."""
+    bits = min(BITMAP, max(64, 2 << max(0, len(h) - 1).bit_length()))
+    odd = np.bincount(((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of several lengths: the bits in which one differs from others, at the shorter's length."""
+
+    def __init__(self, bitmaps: list[bytes]):
+        self.words = np.array([len(b) // 8 for b in bitmaps])
+        self.whole = [np.frombuffer(b, dtype=np.uint64) for b in bitmaps]
+        self.folded: dict[int, np.ndarray] = {}
+
+    def at(self, words: int) -> np.ndarray:
+        """All bitmaps that are so long, folded to that length (others: zero)."""
+        if words not in self.folded:
+            out = np.zeros((len(self.whole), words), dtype=np.uint64)
+            for i, b in enumerate(self.whole):
+                if len(b) >= words:
+                    out[i] = np.bitwise_xor.reduce(b.reshape(-1, words), axis=0)
+            self.folded[words] = out
+        return self.folded[words]
+
+    def differ(self, i: int, others: np.ndarray) -> np.ndarray:
+        out, words = np.empty(len(others), dtype=np.int64), np.minimum(self.words[others], self.words[i])
+        for w in np.unique(words).tolist():
+            own, these = self.at(w), words == w
+            out[these] = np.bitwise_count(own[others[these]] ^ own[i]).sum(axis=1, dtype=np.int64)
+        return out
 
 
-def sampled(h: np.ndarray) -> list[int]:
-    """SAMPLES SimHashes of min-wise samples of the shingles, each of SAMPLE (three) shingles: the majority of their bits."""
-    if not len(h):
-        return [0] * SAMPLES
-    h = h.astype(np.uint64)
-    picked = np.array([h[(h * m).argmin()] for m in MULTIPLIERS]).reshape(SAMPLES, SAMPLE)
-    a, b, c = picked.T
-    return ((a & b) | (b & c) | (a & c)).astype(np.int64).tolist()
+def most_apart(size: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """In how many shingles similar sets of these sizes can differ."""
+    return (size + other) * (1 - similarity) / (1 + similarity) + 1e-6
 
 
 def _ranks(docs: DataFrame, shingle: int, text_col: str) -> np.ndarray:
     """By counter (the low bits of a shingle's hash) a byte that grows with the number of its shingles.
 
-    It only makes the order of shingles cheap; any order gives the same links.
+    It only makes the order of shingles cheap; any order gives the same links. Tasks' counts are added up ADDED at a time, in three levels.
     """
     each = COUNTERS // COUNTER_PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, dtype=np.uint32)
+        counts = np.zeros(COUNTERS, dtype=np.uint64)
         for b in slices(batches):
             h = [hashes(x, shingle) for x in encoded(b.column(0))]
-            counts += np.bincount((np.concatenate(h).astype(np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-        parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(COUNTER_PARTS, each)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+            counts += np.bincount((np.concatenate(h).astype(np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint64)
+        parts, task = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(COUNTER_PARTS, each)], TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([task // ADDED] * COUNTER_PARTS, pa.int64()), pa.array(range(COUNTER_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["adder", "part", "counts"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+    def added(pdf: pd.DataFrame) -> np.ndarray:
         total = np.zeros(each, dtype=np.uint64)
         for x in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(x), dtype=np.uint32)
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "ranks": [(4 * np.log2(total + 1.0)).astype(np.uint8).tobytes()]})
+            total += np.frombuffer(zlib.decompress(x), dtype=np.uint64)
+        return total
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"adder": pdf["adder"].iloc[:1] // ADDED, "part": pdf["part"].iloc[:1], "counts": [zlib.compress(added(pdf).tobytes(), 1)]})
+
+    def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "ranks": [(4 * np.log2(added(pdf) + 1.0)).astype(np.uint8).tobytes()]})
 
-    parts = docs.select(text_col).mapInArrow(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, ranks binary").collect()
+    counts = docs.select(text_col).mapInArrow(run, "adder bigint, part int, counts binary")
+    for _ in range(2):
+        counts = counts.groupBy("adder", "part").applyInPandas(add, "adder bigint, part int, counts binary")
     ranks = np.zeros(COUNTERS, dtype=np.uint8)
-    for r in parts:
+    for r in counts.groupBy("part").applyInPandas(ranked, "part int, ranks binary").collect():
         ranks[r.part * each:(r.part + 1) * each] = np.frombuffer(r.ranks, dtype=np.uint8)
     return ranks
 
@@ -271,142 +306,88 @@ def prefix(h: np.ndarray, ranks: np.ndarray, similarity: float) -> tuple[np.ndar
     return h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]].astype(np.int64), len(h)
 
 
-def _signatures(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+#: A pack has at most 2 ** NODE_BITS nodes; a node's number is its pack's and its place in it.
+NODE_BITS = 20
+PACKS = "block bigint, digests array<binary>, ids array<{0}>, fps array<bigint>, bitmaps array<binary>, sizes array<int>, lengths array<int>, keys array<bigint>"
+
+
+def _packs(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """A written table of the distinct texts (nodes), in packs of about PACKED prefix shingles."""
+    kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(_ranks(docs, shingle, text_col))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = encoded(b.column(1))
             h = [hashes(x, shingle) for x in texts]
             first = [prefix(x, sent.value, similarity) for x in h]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([hashlib.sha256(x).digest() for x in texts]), pa.array([fingerprint(x) for x in h], pa.int64()), pa.array([sampled(x) for x in h], pa.list_(pa.int64())),
+                [b.column(0), pa.array([hashlib.sha256(x).digest() for x in texts]), pa.array([fingerprint(x) for x in h], pa.int64()), pa.array([bitmap(np.unique(x.astype(np.uint64))) for x in h], pa.binary()),
                  pa.array([x for x, _ in first], pa.list_(pa.int64())), pa.array([n for _, n in first], pa.int32())],
-                names=["doc_id", "digest", "fp", "samples", "prefix", "size"])
+                names=["id", "digest", "fp", "bitmap", "prefix", "size"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, digest binary, fp bigint, samples array<bigint>, prefix array<bigint>, size int")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, n = TaskContext.get().partitionId(), 0, [], 0
 
+        def end() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            prefixes = rows.column("prefix").combine_chunks()
+            lists = [rows.column(c).combine_chunks() for c in ("digest", "id", "fp", "bitmap", "size")] + [pa.array(np.diff(prefixes.offsets.to_numpy()), pa.int32()), prefixes.flatten()]
+            own = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+            return pa.RecordBatch.from_arrays([pa.array([(part << NODE_BITS) + number]), *own], names=["block", "digests", "ids", "fps", "bitmaps", "sizes", "lengths", "keys"])
 
-def _groups(nodes: DataFrame) -> DataFrame:
-    """A written table of (node, k, key): the nodes that share a sampled fingerprint, or the whole one (k -1)."""
-    keys = nodes.select("node", F.posexplode("samples").alias("k", "key")).unionByName(nodes.select("node", F.lit(-1).alias("k"), F.col("fp").alias("key")))
-    keys = keys.withColumn("k_key", F.struct("k", "key"))
-    shared = stored(keys.groupBy("k_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-samples")
-    out = stored(of_keys(keys, shared, "k_key", nodes.count()).select("node", "k", "key"), "groups")
-    discard(shared)
-    return out
+        for b in slices(batches):
+            held.append(b)
+            n += len(b.column(2).flatten())
+            if n >= PACKED or sum(x.num_rows for x in held) >= 1 << (NODE_BITS - 1):
+                yield end()
+                number, held, n = number + 1, [], 0
+        if held:
+            yield end()
 
+    rows = docs.select(id_col, text_col).mapInArrow(sign, f"id {kind}, digest binary, fp bigint, bitmap binary, prefix array<bigint>, size int")
+    nodes = rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in ("fp", "bitmap", "size")])
+    return stored(nodes.select("digest", "id", "prefix", "fp", "bitmap", "size").mapInArrow(pack, PACKS.format(kind)), "packs")
 
-def _neighbours(met: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b) and the written table that it reads: each node with the BACK before it in its group, in each of its orders, where their
 
-    roots differ, and with the first of its group in the task. met: (node, root, k, key, orders array<bigint>). Rows are
-    sorted by range, so a large group is cut over tasks; the last rows of each task then meet the first of the next.
-    """
-    order = ["k", "key", "j", "o", "node"]
-    laid = met.select("k", "key", F.posexplode("orders").alias("j", "o"), "node", "root").repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = "k int, key bigint, j int, o bigint, node bigint, root bigint, b bigint, cut int"
+def _nodes(packs: DataFrame, *names: str) -> DataFrame:
+    """(node, *names) of the packs; names: among digests, ids, fps, bitmaps, sizes, without the s."""
+    zipped = F.arrays_zip(*[F.col(f"{n}s") for n in names])
+    return packs.select("block", F.posexplode(zipped).alias("at", "x")).select(F.expr(f"shiftleft(block, {NODE_BITS}) + at").alias("node"), *[F.col(f"x.{n}s").alias(n) for n in names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
 
-        def edges(rows: pa.Table, b: np.ndarray | None = None, cut: int | None = None) -> pa.RecordBatch:
-            n = len(rows)
-            out = rows.select([*order, "root"]).append_column("b", pa.nulls(n, pa.int64()) if b is None else pa.array(b))
-            return out.append_column("cut", pa.nulls(n, pa.int32()) if cut is None else pa.array([cut] * n, pa.int32())).combine_chunks().to_batches()[0]
+def _near(packs: DataFrame, similarity: float) -> DataFrame:
+    """A written table of probable edges (a, b), a > b: nodes of one fingerprint with the least one that has it, and the grid's links
 
-        last, pivot = None, None  # the rows before, and the first of their first one's group
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = pa.Table.from_batches([batch])
-            if last is None:
-                yield edges(new.slice(0, BACK), cut=part - 1)
-            rows, skip = (new, 0) if last is None else (pa.concat_tables([last, new]), len(last))
-            group = np.stack([rows.column(c).to_numpy() for c in ("k", "key", "j")])
-            node, root = rows.column("node").to_numpy(), rows.column("root").to_numpy()
-            for i in range(1, BACK + 1):
-                at = np.arange(max(skip, i), len(rows))
-                at = at[(group[:, at] == group[:, at - i]).all(axis=0) & (root[at] != root[at - i])]
-                if len(at):
-                    yield edges(rows.take(at), node[at - i])
-            # The first of each row's group: the one kept from before, or where the group begins here.
-            begins = np.ones(len(rows), dtype=bool)
-            begins[1:] = (group[:, 1:] != group[:, :-1]).any(axis=0)
-            first = np.maximum.accumulate(np.where(begins, np.arange(len(rows)), 0))
-            head_node, head_root = node[first], root[first]
-            if pivot is not None:  # of the group of the first row kept
-                head_node[first == 0], head_root[first == 0] = pivot
-            at = np.arange(skip, len(rows))
-            at = at[(group[2, at] == 0) & (head_node[at] != node[at]) & (head_root[at] != root[at])]
-            if len(at):
-                yield edges(rows.take(at), head_node[at])
-            last = rows.slice(max(0, len(rows) - BACK))
-            pivot = head_node[len(rows) - len(last)], head_root[len(rows) - len(last)]
-        if last is not None:
-            yield edges(last, cut=part)
-
-    out = stored(laid.mapInArrow(run, schema), "neighbours")
-    # At most 2 * BACK rows for each place between two tasks.
-    w = Window.partitionBy("cut").orderBy(*order)
-    same = lambda i: F.lag("k", i).over(w).eqNullSafe(F.col("k")) & F.lag("key", i).over(w).eqNullSafe(F.col("key")) & F.lag("j", i).over(w).eqNullSafe(F.col("j"))
-    across = [F.when(same(i) & (F.lag("root", i).over(w) != F.col("root")), F.lag("node", i).over(w)) for i in range(1, BACK + 1)]
-    met_again = out.filter("cut IS NOT NULL").select("node", F.array(*across).alias("b")).select("node", F.explode("b").alias("b"))
-    return out.filter("b IS NOT NULL").select("node", "b").union(met_again.filter("b IS NOT NULL")).toDF("a", "b"), out
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def _candidates(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """A written table of (a, b), a > b: each node of a group with one for all and with its neighbours in the orders of the
-
-    whole fingerprint and of two other samples, where similar nodes lie together even among strangers; and the
-    least nodes of fingerprints within 2 bits.
+    between these, as far as bitmaps allow the similarity.
     """
-    met = groups.join(nodes.select("node", "fp", "samples"), "node")
-    orders = F.array("fp", *[F.get("samples", (F.col("k") + i) % SAMPLES) for i in (1, 2)])
-    pairs, laid = _neighbours(met.select("node", F.col("node").alias("root"), "k", "key", orders.alias("orders")))
-    first = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    fps = _nodes(packs, "fp")
+    first = stored(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("b")), "first-of-fingerprint")
+    same = of_keys(fps, first.filter("n > 1"), "fp", fps.count()).select(F.col("node").alias("a"), "b").filter("a <> b")
     grid_links = links(first.select("fp"))
-    near = grid_links.join(first.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v").select("a", "b")
-    pairs = stored(_ordered(pairs.union(near)), "pairs")
-    discard(laid, grid_links)
-    return pairs
-
-
-PACKS = "block bigint, nodes array<bigint>, sizes array<int>, lengths array<int>, keys array<bigint>"
+    least = lambda c, name: first.select(F.col("fp").alias(c), F.col("b").alias(name))
+    far = grid_links.join(least("u", "x"), "u").join(least("v", "y"), "v").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    own = lambda name: _nodes(packs, "size", "bitmap").select(F.col("node").alias(name), F.struct("size", "bitmap").alias(f"of_{name}"))
+    both = same.unionByName(far).distinct().join(own("a"), "a").join(own("b"), "b").select("a", "b", "of_a", "of_b")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                keep.append(Bitmaps([x["bitmap"], y["bitmap"]]).differ(0, np.array([1]))[0] <= most_apart(x["size"], y["size"], similarity))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _shared_shingles(nodes: DataFrame) -> DataFrame:
-    """A written table of (key, node, size, at, n): the shingles of nodes' prefixes that n > 1 nodes have there.
-
-    Nodes go in packs of about PACKED shingles, whose distinct ones are counted over all packs by packed lists.
-    """
-    spark = nodes.sparkSession
+    out = stored(both.mapInArrow(run, "a bigint, b bigint"), "near")
+    discard(first, grid_links)
+    return out
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, held, n = TaskContext.get().partitionId(), 0, [], 0
 
-        def end() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held)
-            keys = rows.column(2).combine_chunks()
-            lists = [rows.column(0).to_numpy(), rows.column(1).to_numpy(), np.diff(keys.offsets.to_numpy()), keys.flatten().to_numpy()]
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([(part << 20) + number]), *(pa.array([x], pa.list_(t)) for x, t in zip(lists, types, strict=True))], names=["block", "nodes", "sizes", "lengths", "keys"])
+SHARED = "key bigint, node bigint, root bigint, size int, at int, n bigint, bitmap binary"
 
-        for b in slices(batches):
-            held.append(b)
-            n += len(b.column(2).flatten())
-            if n >= PACKED:
-                yield end()
-                number, held, n = number + 1, [], 0
-        if n:
-            yield end()
 
-    packs = stored(nodes.select("node", "size", "prefix").mapInArrow(pack, PACKS), "packs")
-    tasks, (n_packs, n_keys) = shuffle_partitions(spark), packs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
+def _shared_shingles(packs: DataFrame, roots: DataFrame) -> DataFrame:
+    """A written table SHARED: the shingles of nodes' prefixes that n > 1 nodes have there. roots: (node, root) of those that have one."""
+    tasks, (n_packs, n_keys) = shuffle_partitions(packs.sparkSession), packs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
     shards = shards_for(n_keys, tasks)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,44 +400,73 @@ def _shared_shingles(nodes: DataFrame) -> DataFrame:
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            node, size, length, key = (b.column(i).flatten().to_numpy() for i in range(4))
-            total = unpacked_totals(b.column(4)[0])[0][np.unique(key.view(np.uint64), return_inverse=True)[1]]
+            bitmaps = b.column(1).flatten()
+            size, length, key = (b.column(i).flatten().to_numpy() for i in (2, 3, 4))
+            node = (b.column(0)[0].as_py() << NODE_BITS) + np.arange(len(size))
+            root = node.copy()
+            for r in b.column(6)[0].as_py() or ():
+                root[r["node"] - node[0]] = r["root"]
+            total = unpacked_totals(b.column(5)[0])[0][np.unique(key.view(np.uint64), return_inverse=True)[1]]
             at = np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)
             keep = total > 1
             row = np.repeat(np.arange(len(node)), length)[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[keep], node[row], size[row], at[keep].astype(np.int32), total[keep])], names=["key", "node", "size", "at", "n"])
-
-    work = packs.join(of_blocks(known, "totals"), "block").repartition(max(tasks, n_packs), F.xxhash64("block")).select("nodes", "sizes", "lengths", "keys", "totals")
-    out = stored(work.mapInArrow(shared, "key bigint, node bigint, size int, at int, n bigint"), "shared-shingles")
-    discard(packs, known)
+            for lo in range(0, len(row), SENT):
+                i, k = row[lo:lo + SENT], np.flatnonzero(keep)[lo:lo + SENT]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[k], node[i], root[i], size[i], at[k].astype(np.int32), total[k])] + [bitmaps.take(pa.array(i))], names=["key", "node", "root", "size", "at", "n", "bitmap"])
+
+    rooted = roots.filter("node <> root").groupBy(F.shiftright("node", NODE_BITS).alias("block")).agg(F.collect_list(F.struct("node", "root")).alias("roots"))
+    work = packs.select("block", "bitmaps", "sizes", "lengths", "keys").repartition(max(tasks, n_packs), "block").join(of_blocks(known, "totals"), "block").join(rooted, "block", "left")
+    out = stored(work.select("block", "bitmaps", "sizes", "lengths", "keys", "totals", "roots").mapInArrow(shared, SHARED), "shared-shingles")
+    discard(known)
     return out
 
 
-def _apart(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """A written table of (a, b), a > b: all nodes of different components that can be similar, by the prefix filter.
+#: Rows of a batch that a task sends.
+SENT = 1 << 14
 
-    Nodes that share a shingle are cut into blocks of about BLOCK, and each block meets each other and itself.
+
+def _probable(shared: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """A written table of probable edges (a, b), a > b, between nodes of different roots in rows of SHARED: from each block a forest, or all of them (every).
+
+    Nodes that share a shingle are cut into blocks of about BLOCK, and each block meets each other and itself. Shingles all of whose nodes have one root are left out.
     """
-    own = stored(shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size", "at", "n"), "rooted-shingles")
-    torn = own.groupBy("key").agg(F.first("n").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key", "n")
+    torn = shared.groupBy("key").agg(F.first("n").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key", "n")
     torn = stored(torn, "torn-shingles")
-    met = blocks_of(of_keys(own.drop("n"), torn, "key", own.count()), "key", "node", ["node", "root", "size", "at"], BLOCK)
+    met = blocks_of(of_keys(shared.drop("n"), torn, "key", shared.count()), "key", "node", ["node", "root", "size", "at", "bitmap"], BLOCK)
+
+    def edges(node, root, size, at, bitmaps: Bitmaps, block, crossed: bool) -> Iterator[tuple[int, int]]:
+        label = np.unique(root, return_inverse=True)[1]
+        rest = size - at  # what can still be common, this shingle included
+        for i in range(1, len(node)):
+            least = similarity / (1 + similarity) * (size[i] + size[:i]) - 1e-6
+            keep = (label[:i] != label[i]) & (np.minimum(rest[:i], rest[i]) >= least)
+            if crossed:
+                keep &= block[:i] != block[i]
+            others = np.flatnonzero(keep)
+            if not len(others):
+                continue
+            apart = bitmaps.differ(i, others)
+            near = apart <= most_apart(size[i], size[others], similarity)
+            for j in others[near][np.argsort(apart[near], kind="stable")].tolist():
+                if every:
+                    yield node[i], node[j]
+                elif label[i] != label[j]:
+                    label[label == label[j]] = label[i]
+                    yield node[i], node[j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
             for row, crossed in enumerate((b.column(1).to_numpy() != b.column(2).to_numpy()).tolist()):
-                node, root, size, at, block = (x.to_numpy() for x in b.column(3)[row].values.flatten())
-                rest = size - at  # what can still be common, this shingle included
-                for i in range(len(node)):
-                    least = similarity / (1 + similarity) * (size[i] + size) - 1e-6
-                    keep = (node < node[i]) & (root != root[i]) & (np.minimum(rest, rest[i]) >= least)
-                    if crossed:
-                        keep &= block != block[i]
-                    if keep.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), node[i])), pa.array(node[keep])], names=["a", "b"])
-
-    out = stored(met.mapInArrow(run, "a bigint, b bigint").distinct(), "apart")
-    discard(own, torn)
+                node, root, size, at, maps, block = b.column(3)[row].values.flatten()
+                by = np.argsort(node.to_numpy(), kind="stable")  # so that blocks of the same nodes send the same edges
+                node, root, size, at, block = (x.to_numpy()[by] for x in (node, root, size, at, block))
+                found = list(edges(node, root, size, at, Bitmaps(maps.take(pa.array(by)).to_pylist()), block, crossed))
+                if found:
+                    u, v = np.array(found).T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["a", "b"])
+
+    out = stored(met.mapInArrow(run, "a bigint, b bigint").distinct(), "probable")
+    discard(torn)
     return out
 
 
@@ -465,61 +475,58 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     that document stays for its group: the group's least id.
     """
-    rows = stored(_signatures(docs, shingle, similarity, id_col, text_col), "signatures")
-    nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.first("prefix").alias("prefix"), F.first("size").alias("size"))
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    discard(rows)
-    spark = docs.sparkSession
-    free_shuffles(spark)
-    shared = _shared_shingles(nodes)
-    free_shuffles(spark)
-    nodes, whole = stored(nodes.drop("prefix", "size"), "nodes"), nodes
-    discard(whole)
-    groups = _groups(nodes)
-    pairs = _candidates(nodes, groups)
-    free_shuffles(spark)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            h = [np.unique(hashes(x, shingle)).astype("<u8").tobytes() for x in encoded(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary())], names=["node", "set"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        # Whole shingle sets of the nodes in question, from one row each.
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        asked = asked.join(nodes.select("node", "digest", F.col("doc_id").alias("__id")), "node")
-        texts = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text")).withColumn("__digest", F.unhex(F.sha2(F.coalesce("__text", F.lit("")), 256)))
-        texts = texts.join(asked, (F.col("__digest") == F.col("digest")) & F.col("__own").eqNullSafe(F.col("__id"))).select("node", "__text")
-        of = stored(texts.mapInArrow(sets, "node bigint, set binary").groupBy("node").agg(F.first("set").alias("set")), "shingle-sets")
-        free_shuffles(spark)
-        both = pairs.join(of.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-        out = stored(both.mapInArrow(verify, "a bigint, b bigint").select(F.col("a").alias("u"), F.col("b").alias("v")), "similar")
-        discard(of)
-        free_shuffles(spark)
+    with tidied_shuffles(docs.sparkSession):
+        packs = _packs(docs, shingle, similarity, id_col, text_col)
+
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[bytes, np.ndarray] = {}
+
+            def of(text: bytes) -> np.ndarray:
+                if text not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    known[text] = np.unique(hashes(text, shingle).astype(np.uint64))
+                return known[text]
+
+            for b in slices(batches):
+                holds = []
+                for x, y in zip(encoded(b.column(2)), encoded(b.column(3)), strict=True):
+                    x, y = of(x), of(y)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    holds.append(common >= similarity * (len(x) + len(y) - common))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(holds, pa.bool_())], names=["u", "v", "holds"])
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            """(u, v, holds) of edges (a, b), on the whole texts of the nodes in question, from one row each."""
+            asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(_nodes(packs, "digest", "id"), "node")
+            texts = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text")).withColumn("__digest", F.unhex(F.sha2(F.coalesce("__text", F.lit("")), 256)))
+            texts = texts.join(asked, (F.col("__digest") == F.col("digest")) & F.col("__own").eqNullSafe(F.col("id")))
+            of = stored(texts.select("node", "__text").dropDuplicates(["node"]), "texts")
+            side = lambda name, text: of.select(F.col("node").alias(name), F.col("__text").alias(text))
+            out = stored(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(verify, "u bigint, v bigint, holds boolean"), "verified")
+            discard(of)
+            return out
+
+        near = _near(packs, similarity)
+        as_edges = lambda t: t.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        shared = _shared_shingles(packs, components(as_edges(near)))
+        edges = stored(near.union(_probable(shared, similarity, every=False)), "edges")
+        checked = verified(edges)
+        true = checked.filter("holds").select("u", "v")
+        roots = components(true)
+        if not checked.filter("NOT holds").isEmpty():
+            # Components that only a refuted edge held together: all their pairs are looked at.
+            seemed = components(as_edges(edges)).withColumnRenamed("root", "seemed").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            seemed = stored(seemed, "seemed")
+            broken = seemed.groupBy("seemed").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("seemed")
+            again = shared.drop("root").join(seemed.join(broken, "seemed", "left_semi").select("node", "root"), "node")
+            more = _probable(stored(again, "shared-again"), similarity, every=True)
+            more = verified(more.join(checked.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti"))
+            # Roots stand for their nodes, so the steps begin from stars.
+            roots = components(more.filter("holds").select("u", "v").union(roots.select("node", "root")))
+        discard(near, edges, shared)
+        rooted = _nodes(packs, "digest", "id").withColumnRenamed("id", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))).alias("first"))
+        out = stored(rooted.join(chosen, "root").select("digest", (F.col("node") == F.col("first.node")).alias("stays"), "doc_id"), "near-duplicates")
+        discard(packs)
         return out
-
-    found = similar(pairs)
-    roots = components(found)
-    discard(groups, pairs, found)
-    free_shuffles(spark)
-    pairs = _apart(shared, roots, similarity)
-    free_shuffles(spark)
-    found = similar(pairs)
-    if not found.isEmpty():
-        # Old roots stand for their nodes, so the steps begin from stars.
-        roots = components(found.union(roots.select("node", "root")))
-    discard(pairs, found, shared)
-    rooted = nodes.select("node", "digest", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))).alias("first"))
-    out = stored(rooted.join(chosen, "root").select("digest", (F.col("node") == F.col("first.node")).alias("stays"), "doc_id"), "near-duplicates")
-    discard(nodes)
-    return out

@@ -270,7 +270,9 @@ def train(vectors_: DataFrame, taught: DataFrame, vocabulary: Vocabulary) -> Mod
     # Their votes come from tasks, as those of all documents; a pair of numbers for each of a bounded number of rows is collected.
     held = voted(known.filter("calibrate").select("y", "numbers", "counts"), model, "y").select("id", "vote").toPandas()
     if len(held):
-        model.knots = isotonic(held["vote"].to_numpy(), (held["id"] != 0).to_numpy().astype(float))
+        vote, toxic = np.round(held["vote"].to_numpy(), 12), (held["id"] != 0).to_numpy().astype(float)
+        by = np.lexsort((-toxic, vote))  # falling among equal votes, so that these become one block, however the rows came
+        model.knots = isotonic(vote[by], toxic[by])
     discard(known)
     return model
 

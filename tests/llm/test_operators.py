@@ -167,20 +167,45 @@ def test_simhash_empty(nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
-def test_neighbours_across_tasks(spark):
-    rng = random.Random(8)
-    rows = [(n, n % 3 if k == 1 else n, k, key, [rng.randrange(9), rng.randrange(9)]) for k in (0, 1) for key, size in ((5, 1), (6, 2), (7, 90)) for n in rng.sample(range(200), size)]
-    pairs, _ = simhash._neighbours(spark.createDataFrame(rows, "node bigint, root bigint, k int, key bigint, orders array<bigint>").repartition(3))
-    got, want = {(r.a, r.b) for r in pairs.collect()}, set()
-    for k, key in {r[2:4] for r in rows}:
-        for j in (0, 1):
-            group = sorted((r[4][j], r[0], r[1]) for r in rows if r[2:4] == (k, key))
-            want |= {(a[1], b[1]) for i in (1, 2) for b, a in zip(group, group[i:]) if a[2] != b[2]}
-    # Besides, rows meet the first of their group in the task, in the first order.
-    assert want <= got
-    roots = {(r[0], r[2], r[3]): r[1] for r in rows}
-    assert all(any(roots.get((a, k, key), -1) != roots.get((b, k, key), -1) for k in (0, 1) for key in (5, 6, 7) if (a, k, key) in roots and (b, k, key) in roots) for a, b in got)
-    assert len(got - want) <= len(rows)
+def test_bitmaps_are_a_lower_bound():
+    rng = np.random.default_rng(8)
+    for size in (0, 1, 60, 64, 65, 400, 3000):
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        for other in (size, max(1, size // 3), size + 70):
+            b = np.unique(np.concatenate([a[: other // 2], rng.integers(0, 2**63, other - other // 2, dtype=np.uint64)]))
+            apart = len(np.setxor1d(a, b))
+            maps = simhash.Bitmaps([simhash.bitmap(a), simhash.bitmap(b), simhash.bitmap(a)])
+            assert maps.differ(0, np.array([1, 2])).tolist()[1] == 0
+            assert maps.differ(0, np.array([1]))[0] == maps.differ(1, np.array([0]))[0] <= apart
+            similar = len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+            assert similar == (apart <= simhash.most_apart(len(a), len(b), 0.8))
+
+
+@pytest.mark.parametrize("kind", ["changed words", "stock sentences"])
+def test_dense_families_send_few_pairs(spark, kind, monkeypatch):
+    """What blocks send grows with the texts, not with their square."""
+    rng, sent = random.Random(2), {}
+    words = [f"w{i}" for i in range(3000)]
+    stock = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(60)]
+    base = [rng.choice(words) for _ in range(100)]
+
+    def text():
+        if kind == "stock sentences":
+            return " ".join(rng.sample(stock, 8))
+        c = list(base)
+        for i in rng.sample(range(100), 2):
+            c[i] = rng.choice(words)
+        return " ".join(c)
+
+    texts = [text() for _ in range(1000)]
+    probable = simhash._probable
+    for n in (500, 1000):
+        made = []
+        monkeypatch.setattr(simhash, "_probable", lambda *a, **b: made.append(probable(*a, **b)) or made[-1])
+        monkeypatch.setattr(simhash, "discard", lambda *_: None)
+        simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts[:n])), "doc_id bigint, text string")).count()
+        sent[n] = sum(p.count() for p in made)
+    assert sent[500] <= 4 * 500 and sent[1000] <= 4 * 1000
 
 
 def test_near_duplicates_by_similarity(spark, sf):
