@@ -205,7 +205,8 @@ def test_dense_families_send_few_pairs(spark, kind, monkeypatch):
         monkeypatch.setattr(simhash, "discard", lambda *_: None)
         simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts[:n])), "doc_id bigint, text string")).count()
         sent[n] = sum(p.count() for p in made)
-    assert sent[500] <= 4 * 500 and sent[1000] <= 4 * 1000
+    # Of a thousand texts there are half a million pairs.
+    assert sent == {500: 0, 1000: 0} if kind == "stock sentences" else sent[1000] <= 10 * 1000
 
 
 def test_near_duplicates_by_similarity(spark, sf):
