@@ -1,13 +1,14 @@
 """Quality rules combined by weak supervision (operator 6).
 
-Each rule votes good (2) or bad (0) or abstains (1) on a whole text. Several
-rules look at each kind of trouble from different sides, so that bad texts get
-several bad votes. The votes of all documents are counted by pattern (at most
+Each rule votes good (2) or bad (0) or abstains (1) on a whole text. The rules
+look at different things - symbols, ends of lines, lengths, variety, punctuation -
+and several are noisy: they say bad of some texts that are fine. The votes of the
+documents that pass the base rules are counted by pattern (at most
 3 ** number of rules), and expectation-maximisation over these counts estimates
 how often each rule votes each way on good and on bad texts, and the share of
-good ones. No estimate is bounded; one imagined vote a rule keeps it inside
+good ones. No estimate is bounded; one imagined text of each class keeps it inside
 (0, 1). A document's posterior probability of being good replaces the demand
-that every rule be met: a rule that is alone with its bad vote can be outvoted.
+that every rule be met: rules whose bad votes say little are outvoted.
 
 Defined results: null or empty text has no words, fails the base rules and is
 not kept, as does any text of under LEAST_WORDS words, on which all rules
@@ -24,42 +25,34 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.shared import SPACE, discard, slices, stored
 
 SYMBOLS = b"#*$%&|<>"
 UPPER, LETTERS, DIGITS = bytes(range(65, 91)), bytes(range(65, 91)) + bytes(range(97, 123)), bytes(range(48, 58))
-#: Bytes that are no part of a letter: ASCII but for letters, digits and white space.
-OTHERS = bytes(c for c in range(128) if c not in LETTERS + DIGITS + SPACE)
 WINDOW = 8
 BAD, ABSTAIN, GOOD = 0, 1, 2
-#: A ratio below the first bound votes good, above the second bad, between them not at all.
+INF = float("inf")
+#: Within the first two bounds a rule votes good, outside the last two bad, else not at all.
 RULES = (
-    ("symbols", 0.02, 0.1),  # a word
-    ("symbol_words", 0.02, 0.1),  # words with a symbol
-    ("others", 0.15, 0.25),  # characters that are neither letters nor digits
-    ("repeats", 0.02, 0.2),  # words in windows that come again
-    ("same_words", 0.65, 0.78),  # words that came before, in the first SAME_WORDS
-    ("next_same", 0.02, 0.2),  # words equal to the one before
-    ("same_pairs", 0.3, 0.6),  # pairs of words that came before, in the first SAME_WORDS
-    ("duplicate_lines", 0.1, 0.4),
-    ("duplicate_chars", 0.1, 0.4),  # characters in lines that came before
-    ("upper_case", 0.2, 0.5),
-    ("digits", 0.1, 0.3),
-    ("word_length", 9.0, 14.0),
+    ("symbols", 0, 0.02, 0, 0.1),  # a word
+    ("ended", 0.97, 1, 0.9, 1),  # lines that end in . ! or ?, of those with a word
+    ("word_length", 4.4, 6.0, 0, 6.6),  # in characters, on average
+    ("variety", 0.8, 1, 0.68, 1),  # different words among the first VARIETY
+    ("commas", 0.035, INF, 0.02, INF),  # a word, with colons and semicolons
+    ("stops", 0.05, 0.13, 0.035, 0.18),  # a word
+    ("longest", 0, 20, 0, 28),  # word, in bytes
+    ("digits", 0, 0.002, 0, 0.012),  # of the characters in words
+    ("repeats", 0, 0.005, 0, 0.04),  # words in windows that come again
+    ("words", 90, INF, 45, INF),  # in all
 )
+VARIETY = 100
 #: Below this number of words a text is too short for ratios, and rules abstain.
 LEAST_WORDS = 20
-#: What can be wrong with a text, and the rules that look at it: each kind of bad text is a class.
-KINDS = (
-    ("symbols", "symbol_words", "others"),
-    ("repeats", "same_words", "next_same", "same_pairs", "duplicate_lines", "duplicate_chars"),
-    ("upper_case", "digits", "word_length"),
-)
-#: Where EM begins: the share of good texts, and the chances of a bad vote and of an abstention, of any rule on good texts, and on bad ones of the kind's own rules and the others.
-PRIOR_GOOD, ON_GOOD, OWN_KIND, OTHER_KIND, ROUNDS = 0.8, (0.02, 0.08), (0.6, 0.2), (0.1, 0.1), 200
+#: Where EM begins: the shares of good and bad texts, and the chances of a bad vote, an abstention and a good vote, of any rule on good texts and on bad ones.
+SHARES, CHANCES, ROUNDS = (0.9, 0.1), ((0.02, 0.08, 0.9), (0.5, 0.2, 0.3)), 200
 
 
 def without(text: bytes, chars: bytes) -> int:
@@ -89,17 +82,6 @@ class Words:
             return inside, inside
         return inside, pd.factorize(self.doc[inside] * (int(ids.max()) + 1) + ids[inside])[0]
 
-    def distinct(self, size: int) -> np.ndarray:
-        """For each text, its distinct windows."""
-        at, key = self._windows(size)
-        first = np.unique(key, return_index=True)[1]
-        return np.bincount(self.doc[at[first]], minlength=self.texts)
-
-    def next_same(self) -> np.ndarray:
-        """For each text, words equal to the one before."""
-        at = np.flatnonzero((self.ids[1:] == self.ids[:-1]) & (self.doc[1:] == self.doc[:-1]))
-        return np.bincount(self.doc[at], minlength=self.texts)
-
     def repeated(self, window: int = WINDOW) -> np.ndarray:
         """For each text, how many of its words lie in a window of words that is found twice or more in it."""
         at, key = self._windows(window)
@@ -116,49 +98,36 @@ def statistics(texts: list[str]) -> dict[str, np.ndarray]:
     rows = []
     for text, b, w in zip(texts, raw, split, strict=True):
         lines = [x for x in b.split(b"\n") if x.strip(SPACE)]
-        seen, again = set(), 0
-        for x in lines:
-            if x in seen:
-                again += len(x)
-            seen.add(x)
-        symbols = without(b, SYMBOLS)
-        rows.append((len(w), len(text) - without(b, SPACE), symbols, sum(1 for x in w if without(x, SYMBOLS)) if symbols else 0, without(b, OTHERS), len(lines) - len(seen), len(lines), again,
-                     sum(map(len, lines)), without(b, UPPER), without(b, LETTERS), without(b, DIGITS)))
-    names = ["n_words", "word_chars", "n_symbols", "n_symbol_words", "n_others", "n_dup_lines", "n_lines", "n_dup_chars", "n_line_chars", "n_upper", "n_letters", "n_digits"]
+        ended = sum(x.rstrip(SPACE)[-1:] in b".!?" for x in lines)
+        first = w[:VARIETY]
+        rows.append((len(w), len(text) - without(b, SPACE), without(b, SYMBOLS), len(lines) - len(set(lines)), len(lines), ended, len(first), len(set(first)), without(b, b",;:"), without(b, b"."), max(map(len, w), default=0), without(b, DIGITS)))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_ended", "n_first", "n_different", "n_commas", "n_stops", "longest", "n_digits"]
     out = dict(zip(names, np.array(rows, dtype=np.int64).reshape(-1, len(names)).T, strict=True))
-    words = Words(split)
-    return out | {"n_repeat_words": words.repeated(), "n_distinct": words.distinct(1), "n_distinct_pairs": words.distinct(2), "n_next_same": words.next_same()}
+    return out | {"n_repeat_words": Words(split).repeated()}
 
 
 def votes(s: dict[str, np.ndarray]) -> np.ndarray:
     """One number for each text: its votes as digits of base 3, the first rule's lowest."""
-    n, lines, chars = np.maximum(s["n_words"], 1), np.maximum(s["n_lines"], 1), np.maximum(s["word_chars"], 1)
-    ratio = {
-        "symbols": s["n_symbols"] / n, "symbol_words": s["n_symbol_words"] / n, "others": s["n_others"] / chars, "repeats": s["n_repeat_words"] / n,
-        "same_words": 1 - s["n_distinct"] / n, "next_same": s["n_next_same"] / n, "same_pairs": 1 - s["n_distinct_pairs"] / np.maximum(n - 1, 1),
-        "duplicate_lines": s["n_dup_lines"] / lines, "duplicate_chars": s["n_dup_chars"] / np.maximum(s["n_line_chars"], 1),
-        "upper_case": s["n_upper"] / np.maximum(s["n_letters"], 1), "digits": s["n_digits"] / chars, "word_length": s["word_chars"] / n,
+    n, chars = np.maximum(s["n_words"], 1), np.maximum(s["word_chars"], 1)
+    value = {
+        "symbols": s["n_symbols"] / n, "ended": s["n_ended"] / np.maximum(s["n_lines"], 1), "word_length": s["word_chars"] / n, "variety": s["n_different"] / np.maximum(s["n_first"], 1),
+        "commas": s["n_commas"] / n, "stops": s["n_stops"] / n, "longest": s["longest"], "digits": s["n_digits"] / chars, "repeats": s["n_repeat_words"] / n, "words": s["n_words"],
     }
     pattern = np.zeros(len(n), dtype=np.int64)
-    for k, (name, good, bad) in enumerate(RULES):
-        vote = np.where(ratio[name] < good, GOOD, np.where(ratio[name] > bad, BAD, ABSTAIN))
+    for k, (name, good_from, good_to, bad_below, bad_above) in enumerate(RULES):
+        v = value[name]
+        vote = np.where((v >= good_from) & (v <= good_to), GOOD, np.where((v < bad_below) | (v > bad_above), BAD, ABSTAIN))
         pattern += 3 ** k * np.where(s["n_words"] < LEAST_WORDS, ABSTAIN, vote)
     return pattern
 
 
-def beginning() -> tuple[np.ndarray, np.ndarray]:
+def beginning(rules: int = len(RULES)) -> tuple[np.ndarray, np.ndarray]:
     """The shares of the classes and chance[class, rule, vote] from which EM begins. Class 0 is good."""
-    chance = np.empty((1 + len(KINDS), len(RULES), 3))
-    chance[:] = (OTHER_KIND[0], OTHER_KIND[1], 1 - sum(OTHER_KIND))
-    chance[0] = (ON_GOOD[0], ON_GOOD[1], 1 - sum(ON_GOOD))
-    names = [name for name, *_ in RULES]
-    for k, own in enumerate(KINDS, start=1):
-        chance[k, [names.index(name) for name in own]] = (OWN_KIND[0], OWN_KIND[1], 1 - sum(OWN_KIND))
-    return np.array([PRIOR_GOOD, *[(1 - PRIOR_GOOD) / len(KINDS)] * len(KINDS)]), chance
+    return np.array(SHARES), np.repeat(np.array(CHANCES)[:, None], rules, axis=1)
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By expectation-maximisation over counted patterns: each pattern's posterior probability of good, the classes' shares, and
+    """By expectation-maximisation over counted patterns (of number 0 they count for nothing): each pattern's posterior probability of good, the classes' shares, and
 
     chance[class, rule, vote]. Within a class votes count as independent, an abstention being a vote like others.
     """
@@ -194,14 +163,19 @@ def vote(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame
     return stored(docs.select(F.col(text_col).alias("__text"), *carry).mapInArrow(run, ", ".join([*fields, STATS, "__pattern bigint"])), "votes")
 
 
+def failed() -> Column:
+    """The base rules' verdict, on a table of vote()."""
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def counted(voted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The patterns of a written table of votes, at most 3 ** len(RULES), and their numbers."""
-    found = voted.groupBy("__pattern").count().orderBy("__pattern").toPandas()
-    return found["__pattern"].to_numpy(dtype=np.int64), found["count"].to_numpy(dtype=float)
+    """The patterns of a written table of votes, at most 3 ** len(RULES), and the numbers of documents with each that pass the base rules."""
+    found = voted.groupBy("__pattern").agg(F.count_if(~failed()).alias("n")).orderBy("__pattern").toPandas()
+    return found["__pattern"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=float)
 
 
 def accuracies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(class, share, rule, bad, abstain, good): how often each rule votes each way in each class; class 0 is good, the others are KINDS."""
+    """(class, share, rule, bad, abstain, good): how often each rule votes each way in each class; class 0 is good, 1 bad."""
     voted = vote(docs, [], text_col)
     _, share, chance = estimate(*counted(voted))
     discard(voted)
@@ -215,6 +189,5 @@ def judge(docs: DataFrame, carry: list[str] | None = None, text_col: str = "text
     patterns, counts = counted(voted)
     good = estimate(patterns, counts)[0]
     table = docs.sparkSession.createDataFrame(list(zip(patterns.tolist(), good.tolist(), strict=True)), "__pattern bigint, posterior double")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (voted.join(F.broadcast(table), "__pattern", "left").drop("__pattern")
-            .withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= threshold)))
+            .withColumn("base_failed", failed()).withColumn("kept", ~failed() & (F.col("posterior") >= threshold)))

@@ -442,8 +442,8 @@ def test_rule_statistics(docs, nothing):
     assert not got.filter("kept AND base_failed").count() and quality_rules.judge(nothing).count() == 0
 
 
-def brute_estimate(votes, rounds):
-    """The same expectation-maximisation, a text at a time."""
+def brute_estimate(votes, counted, rounds):
+    """The same expectation-maximisation, a text at a time. counted: the texts that it learns from."""
     share, chance = quality_rules.beginning()
     first_share, first = share.copy(), chance.copy()
     for _ in range(rounds):
@@ -451,11 +451,11 @@ def brute_estimate(votes, rounds):
         for v in votes:
             like = [share[c] * np.prod([chance[c, r, k] for r, k in enumerate(v)]) for c in range(len(share))]
             belongs.append(np.array(like) / sum(like))
-        share = (sum(belongs) + first_share) / (len(votes) + 1)
+        share = (sum(b for b, own in zip(belongs, counted) if own) + first_share) / (sum(counted) + 1)
         chance = first.copy()
-        for w, v in zip(belongs, votes):
+        for w, v, own in zip(belongs, votes, counted):
             for r, k in enumerate(v):
-                chance[:, r, k] += w
+                chance[:, r, k] += w * own
         chance /= chance.sum(axis=2, keepdims=True)
     return np.array(belongs)[:, 0], share, chance
 
@@ -465,9 +465,10 @@ def test_estimate_equals_plain_em():
     n = len(quality_rules.RULES)
     votes = np.where(rng.random((120, n)) < 0.85, 2, rng.integers(0, 2, (120, n)))
     votes[:15, :3] = 0
-    patterns, inverse, counts = np.unique(votes @ 3 ** np.arange(n), return_inverse=True, return_counts=True)
-    good, share, chance = quality_rules.estimate(patterns, counts.astype(float), rounds=25)
-    want = brute_estimate(votes, 25)
+    counted = rng.random(120) < 0.8
+    patterns, inverse = np.unique(votes @ 3 ** np.arange(n), return_inverse=True)
+    good, share, chance = quality_rules.estimate(patterns, np.bincount(inverse, counted, len(patterns)), rounds=25)
+    want = brute_estimate(votes, counted, 25)
     assert np.allclose(good[inverse], want[0]) and np.allclose(share, want[1]) and np.allclose(chance, want[2])
 
 
@@ -476,8 +477,8 @@ def test_verdicts_equal_plain_em(spark, sf):
     own = d.select("doc_id", "text").collect()
     s = quality_rules.statistics([r.text or "" for r in own])
     votes = (quality_rules.votes(s)[:, None] // 3 ** np.arange(len(quality_rules.RULES))) % 3
-    good = brute_estimate(votes, quality_rules.ROUNDS)[0]
     failed = (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"])
+    good = brute_estimate(votes, ~failed, quality_rules.ROUNDS)[0]
     got = {r.doc_id: r for r in quality_rules.judge(d).collect()}
     assert len(got) == len(own)
     for r, g, f in zip(own, good, failed):
@@ -487,12 +488,16 @@ def test_verdicts_equal_plain_em(spark, sf):
 def test_rules_outvote_each_other(spark, sf):
     big = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
     own = big.select("doc_id", "text").toPandas()
-    votes = np.concatenate([quality_rules.votes(quality_rules.statistics([x or "" for x in own.text[i:i + 500]])) for i in range(0, len(own), 500)])
-    bad = dict(zip(own.doc_id, ((votes[:, None] // 3 ** np.arange(len(quality_rules.RULES))) % 3 == 0).sum(axis=1)))
-    kept = [r.doc_id for r in quality_rules.judge(big).filter("kept").collect()]
-    assert sum(bad[i] > 0 for i in kept) >= 10  # kept with a bad vote
+    stats = [quality_rules.statistics([x or "" for x in own.text[i:i + 500]]) for i in range(0, len(own), 500)]
+    n = len(quality_rules.RULES)
+    bad = (np.concatenate([quality_rules.votes(s) for s in stats])[:, None] // 3 ** np.arange(n)) % 3 == 0
+    failed = np.concatenate([(s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"]) for s in stats])
+    kept = own.doc_id.isin([r.doc_id for r in quality_rules.judge(big).filter("kept").collect()]).to_numpy()
+    # At least six rules are outvoted on ten texts or more, and no two say the same.
+    assert sum((bad & kept[:, None]).sum(axis=0) >= 10) >= 6
+    assert (np.corrcoef(bad[~failed].T.astype(float)) - np.eye(n)).max() < 0.9
     of = quality_rules.accuracies(big).toPandas()
-    assert set(of["class"]) == {0, 1, 2, 3} and np.allclose(of.bad + of.abstain + of.good, 1)
+    assert set(of["class"]) == {0, 1} and np.allclose(of.bad + of.abstain + of.good, 1)
     repeats = of[(of.rule == "repeats") & (of["class"] == 0)].iloc[0]
     assert 0.001 < repeats.bad < 0.1  # an estimate, not a bound
 
@@ -502,7 +507,7 @@ def test_rules_agree_with_labels(spark, sf, size):
     big = sf.replace("0.001", size)
     labels = spark.read.parquet(f"{big}/labels.parquet")
     got = quality_rules.judge(spark.read.parquet(f"{big}/documents.parquet")).filter("NOT base_failed").join(labels, "doc_id").toPandas()
-    assert got[got.quality == 1].kept.mean() > 0.98 and got[got.quality == 0].kept.mean() < 0.05
+    assert got[got.quality == 1].kept.mean() > 0.998 and got[got.quality == 0].kept.mean() < 0.01
 
 
 # -- 7 ---------------------------------------------------------------------------
