@@ -10,7 +10,7 @@ character, and one that already has n backslashes there gets n + 1, so that no
 control string is left and reading back takes exactly one away.
 
 Defined results: null text or role counts as empty; turns sort by (turn, role,
-escaped text), nulls first, and repeated rows stay as turns of their own; rows with a
+text), nulls first, and repeated rows stay as turns of their own; rows with a
 null conv_id form one conversation; a conversation of any number of turns is one
 row, whose list of spans is built by appending, in time that grows with the
 square of its assistant turns; other columns are ignored; an empty table gives an
@@ -47,9 +47,10 @@ def format_chats(turns: DataFrame) -> DataFrame:
     rows = turns.select(
         F.col("conv_id"),
         F.struct(F.col("turn").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"),
-                 escape(F.coalesce(F.col("text"), F.lit(""))).alias("text")).alias("t"),
+                 F.coalesce(F.col("text"), F.lit("")).alias("text")).alias("t"),
     )
     t = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    t = t.withColumn("t", F.transform("t", lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), escape(x["text"]).alias("text"))))  # sorted as they came
     role_at = lambda i: F.get(F.col("t"), i)["role"]
     t = t.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (role_at(i) != role_at(i - 1))))
 

@@ -9,7 +9,8 @@ digest are answered without a shuffle.
 
 Defined results: a null text counts as empty; rows that repeat a document id
 with the same text are one document and stay or go together; a null id never
-wins over another id; an empty table gives an empty result; other columns are
+wins over another id; equal ids are one; texts of any length are hashed whole and
+not moved, but must fit a row; an empty table gives an empty result; other columns are
 ignored.
 """
 

@@ -201,9 +201,15 @@ class LineIndex:
     def frequent(self) -> DataFrame:
         return self.counts.filter(F.col("n") >= self.min_documents).select("key")
 
-    def clean(self, docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
-        """docs with the text's frequent lines dropped, and n_lines and n_dropped. docs must have been inserted."""
+    def clean(self, docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BYTES, inserted: bool = True) -> DataFrame:
+        """docs with the text's frequent lines dropped, and n_lines and n_dropped.
+
+        inserted: every line of docs has been inserted, so that the filters with their wrongly claimed keys are exact. If not so, say False:
+        what the filters claim is then looked up in the exact counts.
+        """
         docs = docs.drop("n_lines", "n_dropped")
+        if not inserted:
+            return self._by_shards(docs, text_col, exactly=True)
         size = self.filters.agg(F.sum(F.length("filter") + F.length("wrong"))).first()[0] or 0
         return self._by_sent_filters(docs, text_col) if size <= filter_bytes else self._by_shards(docs, text_col)
 
@@ -250,7 +256,7 @@ class LineIndex:
 
         return docs.mapInArrow(run, schema)
 
-    def _by_shards(self, docs: DataFrame, text_col: str) -> DataFrame:
+    def _by_shards(self, docs: DataFrame, text_col: str, exactly: bool = False) -> DataFrame:
         """The same for filters of any size: documents' keys meet their shard's filter, and what is frequent goes back by row."""
         at = unused("row", docs.columns)
         numbered = stored(docs.withColumn(at, F.monotonically_increasing_id()), "numbered")
@@ -282,6 +288,8 @@ class LineIndex:
             return rows.select(["row", "key"]).filter(pa.array(frequent))
 
         found = dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(ask, "row bigint, key binary")
+        if exactly:
+            found = found.join(self.frequent(), "key", "left_semi")
         held = unused("keys", docs.columns)
         drop = found.groupBy("row").agg(F.collect_set("key").alias(held)).withColumnRenamed("row", at)
         joined = numbered.join(drop, at, "left").select(*[F.col(f"`{c}`") for c in docs.columns], held)

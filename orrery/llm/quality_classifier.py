@@ -10,7 +10,9 @@ scoring covers every row.
 
 Defined results: null or empty text is scored like any text, from zero counts;
 a document labelled more than once counts by its highest label; rows with a null
-id or label don't teach; with no labelled rows every score is 0.5; an empty
+id or label don't teach; with no labelled rows every score is 0.5; equal raw
+scores get one calibrated score, of a block that has all of them; texts of any
+length are read whole, one at a time; an empty
 table gives an empty result; labels, lang, source and ids are never inputs.
 """
 

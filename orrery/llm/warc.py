@@ -12,7 +12,9 @@ repeated task leaves a whole file.
 
 Defined results: a null payload is empty; a null page id or URL stays null;
 rows that repeat a page id and payload are records of their own, of which one is
-the response; an empty table gives an empty result; other columns are ignored.
+the response; of equal page ids either may be; payloads of any length are written
+and inflated in bounded pieces, and held whole one at a time while they are read
+back; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -407,6 +407,15 @@ def test_deleting_what_was_not_inserted_is_an_error(spark, docs):
         line_dedup.LineIndex(spark).insert(docs).delete(spark.createDataFrame([("a line of nobody",)], "text string"))
 
 
+def test_lines_that_were_not_inserted_stay(spark, docs, monkeypatch):
+    """A filter may claim a line that it never saw; asked exactly, none is dropped."""
+    index = line_dedup.LineIndex(spark).insert(docs)
+    strange = spark.createDataFrame([("\n".join(f"line {i} of nobody" for i in range(j, j + 2000)),) for j in range(0, 40_000, 2000)], "text string")
+    both = strange.union(docs.filter("text LIKE 'Common Line%'").select("text"))
+    got = index.clean(both, inserted=False).collect()
+    assert sum(r.n_dropped for r in got) == 2 * 12 and sum(r.n_lines for r in got) == 40_000 + 12 * 4
+
+
 def test_line_dedup_is_reversible(spark, docs):
     more = docs.limit(20).select("text")
     one = line_dedup.LineIndex(spark).insert(docs)
@@ -625,6 +634,13 @@ def test_chat_reads_back(spark):
     assert chat.digests(chat.read_back(chat.format_chats(df.limit(0)))).count() == 0
 
 
+def test_turns_sort_by_what_was_said(spark):
+    rows = [(1, 0, "user", "<s>"), (1, 0, "user", "<a"), (1, 0, "user", "<z"), (1, None, "user", "[INST] b")]
+    said = sorted(rows, key=lambda r: (r[1] is not None, r[2], r[3]))
+    got = chat.read_back(chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).first()
+    assert [t.text for t in got.turns] == [r[3] for r in said]
+
+
 def test_chat_of_odd_turns(spark):
     long = [(3, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(3000)]
     rows = [(None, 1, "user", "a"), (None, 0, "user", "b"), (1, None, "user", "late?"), (1, 0, "user", "x"), (2, 0, "user", "same"), (2, 0, "user", "same"), *long]
