@@ -135,31 +135,30 @@ class Vamana:
             self.connect_labels()
         return self
 
-    def connect_labels(self) -> None:
-        """Every row of a label can be reached from the one nearest to their mean through rows of the label: where pruning has cut some
-        off, the nearest pair on both sides is linked, beyond the degree if need be."""
+    def connect_labels(self, only: set | None = None) -> None:
+        """Every row of a label (of those in only, if given) can be reached from the one nearest to their mean through rows of the label: where pruning has cut one
+        off, the nearest row that a search within the label finds is linked to it, beyond the degree if need be."""
         members: dict[int, list[int]] = {}
         for i, own in enumerate(self.labels):
-            for label in own:
-                members.setdefault(label, []).append(i)
+            if i not in self.deleted:
+                for label in own if only is None else own & only:
+                    members.setdefault(label, []).append(i)
         for label in sorted(members):
             rows = members[label]
             inside, first = set(rows), rows[medoid(self.x[rows])]
-            seen, front = {first}, [first]
+            seen, front, todo = {first}, [first], iter(rows)
             while True:
                 while front:
                     new = [v for v in self.nbrs[front.pop()] if v in inside and v not in seen]
                     seen.update(new)
                     front += new
-                apart = np.array([i for i in rows if i not in seen], dtype=np.int64)
-                if not len(apart):
+                apart = next((i for i in todo if i not in seen), None)
+                if apart is None:
                     break
-                near = np.array(sorted(seen), dtype=np.int64)
-                d = (self.x[near] ** 2).sum(1)[:, None] + (self.x[apart] ** 2).sum(1)[None] - 2 * self.x[near] @ self.x[apart].T
-                a, b = np.unravel_index(int(d.argmin()), d.shape)
-                self.nbrs[int(near[a])].append(int(apart[b]))
-                seen.add(int(apart[b]))
-                front = [int(apart[b])]
+                near = self.search(self.x[apart], self.length, start=[first], allowed=inside.__contains__)["pool"][0][1]  # of what is reached
+                self.nbrs[near].append(apart)
+                seen.add(apart)
+                front = [apart]
 
     def prune(self, p: int, ids) -> list[int]:
         ids = [i for i in ids if i not in self.deleted]
@@ -195,7 +194,10 @@ class Vamana:
     def insert(self, vectors: np.ndarray, labels: list[set] | None = None) -> range:
         """The new nodes' numbers. Each is searched for, pruned and linked back, in turn."""
         first, vectors = len(self.nbrs), np.atleast_2d(np.asarray(vectors, dtype=np.float64))
-        self.raw = np.vstack([self.raw, vectors]) if len(self.raw) == first and first else vectors
+        if not first:
+            self.raw = vectors
+        elif self.raw.shape == self.x.shape:  # else who shapes the vectors sets raw as well
+            self.raw = np.vstack([self.raw, vectors])
         self.x = np.vstack([self.x, vectors]) if first else vectors
         if self.codes is not None:
             self.codes = np.vstack([self.codes, self.book.encode(vectors)])
@@ -208,6 +210,8 @@ class Vamana:
         for p, own in enumerate(self.nbrs):
             if len(own) > self.degree:
                 self.nbrs[p] = self.prune(p, own)
+        if self.labels is not None:
+            self.connect_labels(set().union(*self.labels[first:]))
         return range(first, len(self.nbrs))
 
     def delete(self, p: int) -> None:

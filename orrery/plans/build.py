@@ -117,6 +117,7 @@ def opened(row, params: BuildParams | None = None) -> tuple[np.ndarray, Vamana]:
     g.start = int(row["start"])
     if row["labels"] is not None:
         g.labels = [set(x.tolist()) for x in np.split(np.asarray(row["labels"], dtype=np.int64), np.asarray(row["label_offsets"])[1:-1])] if n else []
+        g.entries = dict(zip(map(int, row["label_ids"]), map(int, row["label_medoids"]), strict=True))
     return ids, g
 
 
@@ -125,9 +126,9 @@ def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         yield from pdf.to_dict("records")
 
 
-def local_graphs(parts: DataFrame, params: BuildParams, book: Quantiser | None = None, by_codes: bool = False) -> DataFrame:
+def local_graphs(parts: DataFrame, params: BuildParams, book: Quantiser | None = None, by_codes: bool = False, keep: bool = True) -> DataFrame:
     """GRAPHS of parts (id, vec, part, maybe labels). With labels, no node hides another's label while pruning. book: codes are stored with the graph;
-    by_codes: and searches while building rank by them."""
+    by_codes: and searches while building rank by them. keep: they are written."""
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         labels = [set(map(int, x)) for x in pdf["labels"]] if "labels" in pdf else None
@@ -136,7 +137,8 @@ def local_graphs(parts: DataFrame, params: BuildParams, book: Quantiser | None =
         g.raw = x
         return as_row(key[0], pdf["id"].to_numpy(), g, book)
 
-    return stored(parts.groupBy("part").applyInPandas(build, GRAPHS), "local-graphs")
+    graphs = parts.groupBy("part").applyInPandas(build, GRAPHS)
+    return stored(graphs, "local-graphs") if keep else graphs
 
 
 EDGES = "src bigint, dst bigint"
