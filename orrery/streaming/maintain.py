@@ -65,14 +65,15 @@ class LiveTable:
 
 class LiveIndex:
     """An index that follows a stream of (op, tag, vec, seq): inserts enter the graphs, deletes become tombstones, and these are
-    consolidated when they are over a share of the rows. Each batch saves a version."""
+    consolidated when they are over a share of the rows. Each batch notes a version, which shares with the one before all partitions
+    that the batch didn't touch."""
 
     def __init__(self, index: VectorIndex, folder: str, share: float = 0.2):
         self.folder, self.share, self.spark = folder, share, index.spark
-        index.save(f"{folder}/v-start")
+        index.kept_under(folder).note(f"{folder}/v-start")
 
     def read(self, version: int | None = None) -> VectorIndex:
-        return VectorIndex.load(self.spark, f"{self.folder}/v-start" if version is None or version < 0 else f"{self.folder}/v{version:08d}")
+        return VectorIndex.noted(self.spark, f"{self.folder}/v-start" if version is None or version < 0 else f"{self.folder}/v{version:08d}")[0]
 
     def apply(self, batch: DataFrame, number: int) -> None:
         last = batch.groupBy("tag").agg(F.max_by(F.struct("op", "vec", "seq"), "seq").alias("r")).select("tag", "r.*")
@@ -80,7 +81,7 @@ class LiveIndex:
         if index.dead.count() > self.share * index.rows.count():
             index, _ = index.consolidate()
         index, _ = index.insert(last.filter("op = 'insert'"), "tag", "vec")
-        index.save(f"{self.folder}/v{number:08d}")
+        index.note(f"{self.folder}/v{number:08d}")
 
     def follow(self, changes: DataFrame, checkpoint: str) -> StreamingQuery:
         return changes.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
