@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.catalogue import EVERY, L2_SQL, PARAMS, TOP, K, asked, base, dot, knn_sql, local, n2, query, rounded, truth
+from orrery.catalogue import EVERY, L2_SQL, PARAMS, SQL, TOP, K, asked, base, centres, dot, knn_sql, local, n2, query, rounded, truth
 from orrery.index import VectorIndex
+from orrery.operators import partitioning as P
 from orrery.operators import quantise as Q
 from orrery.operators import recall as C
 from orrery.operators.knn import knn
@@ -145,6 +147,27 @@ def routed_search_hits(spark, d):
     return out
 
 
+# -- k-means over all rows --------------------------------------------------------------
+@query(SQL["kmeans_two_rounds"])
+def kmeans_by_bounds(spark, d):
+    """Two rounds of k-means in which bounds leave distances out: what kmeans_two_rounds gives."""
+    df = base(spark, d)
+    found, _, _ = P.kmeans_by_bounds(df, np.array([v for _, v in centres(df)]), 2)
+    rows = [(c, j, float(x)) for c, row in enumerate(found) for j, x in enumerate(row)]
+    return spark.createDataFrame(rows, "centre bigint, pos int, mean double").withColumn("mean", F.round("mean", 5))
+
+
+@query()
+def kmeans_work(spark, d):
+    """From oversampled seeds and from random rows: the residual of each round, and the distances computed with bounds, of how many."""
+    df, out = base(spark, d), []
+    n = df.count()
+    for kind, first in (("oversampled", P.seeds(df, 16)), ("random", P.random_pivots(df, 16))):
+        _, residuals, asked = P.kmeans_by_bounds(df, first, 8)
+        out += [(kind, r, x, asked, n * 16 * len(residuals)) for r, x in enumerate(residuals)]
+    return spark.createDataFrame(out, "seeds string, round int, residual double, distances bigint, most bigint")
+
+
 # -- truth of windows over all rows -----------------------------------------------------
 @query(f"""WITH w AS (SELECT s AS step, s * (n - n * 2 // 5) // 5 AS first, n * 2 // 5 AS width FROM (SELECT count(*) AS n FROM embeddings), range(6) t(s)), b AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     r AS (SELECT step, q.vec_id AS qid, b.vec_id AS id, {L2_SQL} AS dist FROM b q JOIN w ON q.vec_id % {EVERY} = 0 JOIN b ON b.vec_id >= first AND b.vec_id < first + width),

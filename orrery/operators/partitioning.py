@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.operators.knn import exact, matrix
-from orrery.storage import stored
+from orrery.storage import discard, stored
 
 
 def index_bytes(n: int, dim: int, element_bytes: int = 4, degree: int = 32) -> float:
@@ -173,28 +174,68 @@ def kmeans_shards(df: DataFrame, centres: np.ndarray, copies: int, id_col: str =
     return df.filter(F.col(vec_col).isNotNull()).select(id_col, vec_col).mapInArrow(run, "id bigint, shard bigint, rank int, dist double")
 
 
-def lloyd_step(df: DataFrame, centres: np.ndarray, vec_col: str = "embedding") -> tuple[np.ndarray, float]:
-    """One round of k-means over all rows: new centres, and the residual under the old ones. A task returns one sum for each centre."""
-    sent, k, dim = df.sparkSession.sparkContext.broadcast(centres), len(centres), centres.shape[1]
+#: How many partial sums a task adds up.
+ADDED = 64
+
+
+def added_up(parts: DataFrame) -> np.ndarray | None:
+    """The sums of rows (adder, sums binary): flat numbers, a row for each task, with adder its number. In levels of ADDED, so that no task reads them all."""
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x) for x in pdf["sums"])
+        return pd.DataFrame({"adder": pdf["adder"].iloc[:1] // ADDED, "sums": [total.tobytes()]})
+
+    kind = "adder bigint, sums binary"
+    for _ in range(2):
+        parts = parts.withColumn("adder", F.floor(F.col("adder") / ADDED)).groupBy("adder").applyInPandas(add, kind)
+    row = parts.withColumn("adder", F.lit(0).cast("bigint")).groupBy("adder").applyInPandas(add, kind).first()
+    return None if row is None else np.frombuffer(row.sums)
 
+
+def sums_of(rows: DataFrame, k: int, dim: int, measured: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, float]:
+    """(centres' sums, numbers of rows, residual) over rows. measured: vectors of a batch, their centres and their squared distances from these."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n, residual = np.zeros((k, dim)), np.zeros(k, dtype=np.int64), 0.0
+        sums, n, residual = np.zeros((k, dim)), np.zeros(k), 0.0
         for b in batches:
             if b.num_rows:
-                x = matrix(b.column(0))
-                d = np.stack([exact("l2", one, x) for one in sent.value], axis=1)
-                near = d.argmin(axis=1)
+                x, near, d = measured(b)
                 np.add.at(sums, near, x)
                 n += np.bincount(near, minlength=k)
-                residual += float(d[np.arange(len(x)), near].sum())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k * dim + 1, dim), pa.int32()), pa.array(sums.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), lists, pa.array(n), pa.array(np.full(k, residual / k))], names=["centre", "sums", "n", "residual"])
+                residual += float(d.sum())
+        flat = np.concatenate([sums.ravel(), n, [residual]])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["adder", "sums"])
+
+    flat = added_up(rows.mapInArrow(run, "adder bigint, sums binary"))
+    if flat is None:
+        flat = np.zeros(k * dim + k + 1)
+    return flat[: k * dim].reshape(k, dim), flat[k * dim:-1], float(flat[-1])
+
+
+def moved(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Means; a centre without rows becomes zero."""
+    return np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], 0.0)
+
+
+def all_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.stack([exact("l2", one, x) for one in centres], axis=1)
+
+
+def lloyd_step(df: DataFrame, centres: np.ndarray, vec_col: str = "embedding") -> tuple[np.ndarray, float]:
+    """One round of k-means over all rows: new centres, and the residual under the old ones. A task returns one row of sums."""
+    sent = df.sparkSession.sparkContext.broadcast(centres)
+
+    def measured(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = matrix(b.column(0))
+        d = all_distances(x, sent.value)
+        near = d.argmin(axis=1)
+        return x, near, d[np.arange(len(x)), near]
+
+    sums, n, residual = sums_of(df.filter(F.col(vec_col).isNotNull()).select(vec_col), len(centres), centres.shape[1], measured)
+    return moved(sums, n), residual
+
 
-    parts = df.filter(F.col(vec_col).isNotNull()).select(vec_col).mapInArrow(run, "centre bigint, sums array<double>, n bigint, residual double")
-    added = parts.select("centre", "n", "residual", F.posexplode("sums").alias("pos", "s")).groupBy("centre", "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("residual").alias("residual"))
-    rows = added.toPandas().sort_values(["centre", "pos"])  # k * dim rows
-    n = rows["n"].to_numpy().reshape(k, dim)[:, :1]
-    return np.where(n > 0, rows["s"].to_numpy().reshape(k, dim) / np.maximum(n, 1), 0.0), float(rows[rows["pos"] == 0]["residual"].sum())
+def settled(residuals: list[float]) -> bool:
+    """Whether the residual has become nothing, or fell by under 1e-5 of what it has become."""
+    return residuals[-1] < 2.2e-16 or len(residuals) > 1 and (residuals[-2] - residuals[-1]) / residuals[-1] < 1e-5
 
 
 def kmeans(df: DataFrame, centres: np.ndarray, rounds: int = 12, vec_col: str = "embedding") -> tuple[np.ndarray, list[float]]:
@@ -204,11 +245,114 @@ def kmeans(df: DataFrame, centres: np.ndarray, rounds: int = 12, vec_col: str =
     for _ in range(rounds):
         centres, residual = lloyd_step(df, centres, vec_col)
         residuals.append(residual)
-        if residual < 2.2e-16 or len(residuals) > 1 and (residuals[-2] - residual) / residual < 1e-5:
+        if settled(residuals):
             break
     return centres, residuals
 
 
+BOUNDS = "vec array<double>, near int, upper double, lower double, dist double, asked bigint"
+
+
+def kmeans_by_bounds(df: DataFrame, centres: np.ndarray, rounds: int = 12, vec_col: str = "embedding") -> tuple[np.ndarray, list[float], int]:
+    """kmeans() by the triangle inequality, and how many distances were computed: the same centres.
+
+    Between rounds a table has for each row its centre, a bound from above of the distance from it, and one from below of that from any
+    other. When centres move the bounds give way by as much; only where they overlap are distances computed, to all centres.
+    The residual takes one distance a row and round.
+    """
+    rows = df.filter(F.col(vec_col).isNotNull()).select(F.col(vec_col).cast("array<double>").alias("vec"))
+    table = rows.select("vec", F.lit(-1).alias("near"), F.lit(0.0).alias("upper"), F.lit(0.0).alias("lower"), F.lit(0.0).alias("dist"), F.lit(0).cast("bigint").alias("asked"))
+    k, dim = centres.shape
+    residuals, asked, moves, before = [], 0, np.zeros(k), None
+    for _ in range(rounds):
+        between = np.sqrt(np.maximum(all_distances(centres, centres), 0))
+        np.fill_diagonal(between, np.inf)
+        sent = df.sparkSession.sparkContext.broadcast((centres, moves, between.min(axis=1) / 2 if k > 1 else np.full(k, np.inf)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            centres, moves, half = sent.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, near, lower = matrix(b.column(0)), b.column(1).to_numpy().copy(), b.column(3).to_numpy() - moves.max(initial=0)
+                new, asked = near < 0, np.ones(len(near), dtype=np.int64)
+                own = np.where(new, 0, near)
+                dist = ((x - centres[own]) ** 2).sum(axis=1)
+                upper = np.sqrt(dist)
+                open_ = np.flatnonzero(new | (upper >= np.maximum(lower, half[own])))
+                if len(open_):
+                    d = all_distances(x[open_], centres)
+                    best = d.argmin(axis=1)
+                    near[open_], dist[open_] = best, d[np.arange(len(open_)), best]
+                    upper[open_] = np.sqrt(dist[open_])
+                    d[np.arange(len(open_)), best] = np.inf
+                    lower[open_] = np.sqrt(d.min(axis=1))
+                    asked[open_] += d.shape[1]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.astype(np.int32)), pa.array(upper), pa.array(lower), pa.array(dist), pa.array(asked)], names=["vec", "near", "upper", "lower", "dist", "asked"])
+
+        table = stored(table.mapInArrow(run, BOUNDS), "bounds")
+        if before is not None:
+            discard(before)
+        before = table
+        asked += table.agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0]
+        sums, n, residual = sums_of(table.select("vec", "near", "dist"), k, dim, lambda b: (matrix(b.column(0)), b.column(1).to_numpy(), b.column(2).to_numpy()))
+        new = moved(sums, n)
+        moves, centres = np.sqrt(((new - centres) ** 2).sum(axis=1)), new
+        residuals.append(residual)
+        if settled(residuals):
+            break
+    if before is not None:
+        discard(before)
+    return centres, residuals, asked
+
+
+def seeds(df: DataFrame, k: int, rounds: int = 5, share: float = 2.0, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 0) -> np.ndarray:
+    """k first centres by oversampled D-squared seeding over all rows: in each round every row joins the candidates with a chance of
+
+    share * k times its share of the residual, by a hash of its id; the candidates, about rounds * share * k of them, are weighed
+    by the rows nearest to them, and k of them are chosen by D-squared seeding with these weights.
+    """
+    rows = df.filter(F.col(vec_col).isNotNull()).select(id_col, vec_col)
+    own = random_pivots(df, 1, id_col, vec_col, seed)
+    context, dim = df.sparkSession.sparkContext, own.shape[1]
+
+    def nearest(sent):
+        def measured(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            x = matrix(b.column(0))
+            d = all_distances(x, sent.value)
+            return x, d.argmin(axis=1), d.min(axis=1)
+
+        return measured
+
+    for n in range(rounds):
+        sent = context.broadcast(own)
+        _, _, residual = sums_of(rows.select(vec_col), len(own), dim, nearest(sent))
+        if residual <= 0:
+            break
+
+        def pick(batches: Iterator[pa.RecordBatch], sent=sent, residual=residual) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    d = all_distances(matrix(b.column(0)), sent.value).min(axis=1)
+                    yield pa.RecordBatch.from_arrays([b.column(0).filter(c := pa.array(b.column(1).to_numpy() * residual < share * k * d)), b.column(2).filter(c)], names=["vec", "h"])
+
+        draw = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}.{n}"), id_col)), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+        found = rows.select(F.col(vec_col).cast("array<double>").alias("vec"), draw.alias("draw"), F.md5(F.concat_ws(":", F.lit(seed), id_col)).alias("h")).mapInArrow(pick, "vec array<double>, h string").orderBy("h").collect()
+        if found:
+            own = np.vstack([own, *[np.array(r.vec)[None] for r in found]])
+    own = np.array(list(dict.fromkeys(map(tuple, own))))
+    if len(own) < k:
+        return random_pivots(df, k, id_col, vec_col, seed)
+    _, weight, _ = sums_of(rows.select(vec_col), len(own), dim, nearest(context.broadcast(own)))
+    rng, chosen = np.random.default_rng(seed), [int(weight.argmax())]
+    d = ((own - own[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        mass = weight * d if (weight * d).sum() > 0 else d
+        chosen.append(int(rng.choice(len(own), p=mass / mass.sum())))
+        d = np.minimum(d, ((own - own[chosen[-1]]) ** 2).sum(axis=1))
+    return own[chosen]
+
+
 def random_pivots(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 0) -> np.ndarray:
     """k rows as first centres, those with the least hashes of their ids, equal vectors once."""
     rows = fixed_sample(df.filter(F.col(vec_col).isNotNull()).select(id_col, vec_col), id_col, 4 * k, seed).collect()

@@ -75,6 +75,27 @@ def test_elkan_equals_lloyd(x):
     assert np.allclose(Q.elkan(own, first, 12), Q.lloyd(own, first, 12))
 
 
+def test_bounds_leave_distances_out(table, x):
+    first = P.random_pivots(table, 12)
+    want, residuals = P.kmeans(table, first, 8)
+    got, own, asked = P.kmeans_by_bounds(table, first, 8)
+    assert np.allclose(got, want) and np.allclose(own, residuals) and asked < 0.8 * 400 * 12 * len(own)
+
+
+def test_seeds_are_as_good_as_those_of_one_machine(spark):
+    rng = np.random.default_rng(2)
+    means = rng.normal(size=(20, 6)) * 9
+    own = np.concatenate([m + rng.normal(size=(n, 6)) * 0.3 for m, n in zip(means, rng.integers(5, 120, 20))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(own)], "vec_id bigint, embedding array<double>")
+    residual = lambda c: ((own[:, None] - c[None]) ** 2).sum(2).min(1).sum()
+    driver = np.median([residual(Q.kmeans_pp(own, 20, np.random.default_rng(s))) for s in range(9)])
+    found = [P.seeds(rows, 20, seed=s) for s in range(3)]
+    assert all(f.shape == (20, 6) for f in found) and np.median([residual(f) for f in found]) <= driver
+    assert np.array_equal(found[0], P.seeds(rows.repartition(7), 20, seed=0))
+    same = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(30)], "vec_id bigint, embedding array<double>")
+    assert len(P.seeds(same, 2)) == 2
+
+
 def test_kmeans_over_rows(table, x):
     first = P.random_pivots(table, 6)
     assert len(first) == 6 and np.array_equal(first, P.random_pivots(table.repartition(5), 6))
