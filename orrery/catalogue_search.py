@@ -12,11 +12,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.catalogue import EVERY, L2_SQL, PARAMS, SQL, TOP, K, asked, base, centres, dot, knn_sql, local, n2, query, rounded, truth
+from orrery.catalogue import EVERY, L2_SQL, PARAMS, PRUNED, SQL, TOP, K, asked, base, book, centres, dot, edges, knn_sql, local, n2, query, rounded, truth
 from orrery.index import VectorIndex
 from orrery.operators import partitioning as P
 from orrery.operators import quantise as Q
 from orrery.operators import recall as C
+from orrery.operators import updates as U
 from orrery.operators.knn import knn
 from orrery.plans import build as B
 from orrery.plans import routing as R
@@ -92,16 +93,16 @@ def metric_index_hits(spark, d):
 
 # -- codes of bits --------------------------------------------------------------------
 def coded(df: DataFrame, bits: int) -> tuple[DataFrame, Q.RotatedBits]:
-    book = Q.RotatedBits.train(df, bits, 16)
-    return B.local_graphs(B.partitioned(df, PARAMS), PARAMS, book), book
+    own = Q.RotatedBits.train(df, bits, 16)
+    return B.local_graphs(B.partitioned(df, PARAMS), PARAMS, own), own
 
 
 @query(f"{knn_sql(L2_SQL)} {TOP}")
 def rotated_bits_full_pool(spark, d):
     """Ranked by codes of one bit a dimension, with every row in the pool, and exact distances at the end."""
     df = base(spark, d)
-    graphs, book = coded(df, 1)
-    return result(S.search_partitions(asked(df), graphs, whole(df, entries=4), book))
+    graphs, bits = coded(df, 1)
+    return result(S.search_partitions(asked(df), graphs, whole(df, entries=4), bits))
 
 
 @query()
@@ -110,8 +111,8 @@ def rotated_bits_hits(spark, d):
     df = base(spark, d)
     wanted, out = stored(truth(df), "truth"), None
     for bits in (1, 2, 4, 8):
-        graphs, book = coded(df, bits)
-        row = hits(S.search_partitions(asked(df), graphs, S.SearchParams(k=K, length=80), book), wanted).select(F.lit(bits).alias("bits"), F.lit(book.width).alias("code_bytes"), "*")
+        graphs, own = coded(df, bits)
+        row = hits(S.search_partitions(asked(df), graphs, S.SearchParams(k=K, length=80), own), wanted).select(F.lit(bits).alias("bits"), F.lit(own.width).alias("code_bytes"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -147,6 +148,22 @@ def routed_search_hits(spark, d):
     return out
 
 
+# -- deletes merged into lists, on codes --------------------------------------------------
+MERGED_SQL = f"""df AS (SELECT src, dst, min(pos) AS pos FROM e GROUP BY src, dst), dk AS (SELECT src, dst FROM df WHERE src % 7 <> 0),
+    ds AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY pos, dst) AS n FROM df WHERE src % 7 = 0 AND dst % 7 <> 0),
+    dx AS (SELECT src, dst FROM dk WHERE dst % 7 <> 0 UNION SELECT dk.src, ds.dst FROM dk JOIN ds ON ds.src = dk.dst WHERE ds.n <= 3), dm AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS n FROM dx WHERE src <> dst),
+    m AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS location FROM embeddings WHERE vec_id % 7 <> 0), c AS (SELECT src, dst FROM dm WHERE n > {PRUNED})"""
+
+
+@query(SQL["t_occlusion_prune_on_codes"].replace("c AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst)", MERGED_SQL).replace(
+    f"SELECT src, pos, dst, round(d / 1e6, 6) AS dist FROM f WHERE pos < {PRUNED}",
+    f"SELECT s.location AS src, t.location AS dst FROM (SELECT src, dst FROM f WHERE pos < {PRUNED} UNION ALL SELECT src, dst FROM dm WHERE n <= {PRUNED}) g JOIN m s ON s.vec_id = g.src JOIN m t ON t.vec_id = g.dst"))
+def delete_merge_on_codes(spark, d):
+    """A seventh of the rows leaves the lists; long ones are pruned by code distances, and all are numbered densely."""
+    df = base(spark, d)
+    return U.delete_merge_on_codes(edges(df), df.filter(F.col("vec_id") % 7 == 0).select(F.col("vec_id").alias("id")), df, book(df), PRUNED, 3, 0)[0]
+
+
 # -- k-means over all rows --------------------------------------------------------------
 @query(SQL["kmeans_two_rounds"])
 def kmeans_by_bounds(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators.ranking import numbered
+from orrery.storage import stored
 
 
 def upsert(live: DataFrame, new: DataFrame, key: str = "tag", order: str = "seq") -> DataFrame:
@@ -63,6 +64,23 @@ def delete_merge(edges: DataFrame, tombstones: DataFrame, sampled: int) -> DataF
     return kept.unionByName(through.join(first, "via").select("src", "dst")).filter("src <> dst").distinct()
 
 
+def delete_merge_on_codes(edges: DataFrame, tombstones: DataFrame, vectors: DataFrame, book, degree: int, sampled: int, entry: int, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, int | None]:
+    """(src, dst) of the live rows under dense numbers, and the entry's new number: delete_merge(), whose lists of over `degree` are
+
+    pruned by code distances, so that no vectors move. Lists that are short enough stay as they are. The entry, if it is deleted, gives way as in entry_after_deletes().
+    """
+    from orrery.operators.graph import occlusion_prune_codes
+
+    merged = stored(delete_merge(edges, tombstones, sampled), "merged-lists")
+    long = stored(merged.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > degree).select("src"), "long-lists")
+    pruned = occlusion_prune_codes(merged.join(long, "src", "left_semi"), vectors, book, degree, 1, id_col, vec_col).select("src", "dst")
+    lists = merged.join(long, "src", "left_anti").unionByName(pruned)
+    numbers = compact_ids(after_deletes(vectors.select(id_col), tombstones.select(F.col("id").alias(id_col)), id_col), id_col)
+    at = entry_after_deletes(edges, tombstones, entry)
+    place = None if at is None else numbers.filter(F.col(id_col) == at).first()
+    return renumbered(lists, numbers, id_col), None if place is None else place["location"]
+
+
 def entry_after_deletes(edges: DataFrame, tombstones: DataFrame, entry: int) -> int:
     """The entry, or if it is deleted its first live neighbour by position; of none, the least live source."""
     dead = tombstones.select("id").distinct()
