@@ -152,3 +152,27 @@ def test_rows_of_a_new_label_are_found(table):
         want = {(r.qid, r.id) for r in knn(queries, rows, 5).collect()}
         got = {(r.qid, r.id) for r in index.search(queries, S.SearchParams(k=5, length=80), label_col="want").collect()}
         assert len(got & want) >= 0.9 * len(want), label
+
+
+def test_one_shot_build_with_labels(spark, table, tmp_path):
+    from orrery.operators.partitioning import index_bytes
+    from orrery.plans.oneshot import STAGES, merged_index
+
+    own = table.withColumn("labels", F.array((F.col("vec_id") % 3).cast("int"), F.when(F.col("vec_id") < 60, 9).otherwise(8)))
+    params = B.BuildParams(degree=24, length=60, alpha=1.2)
+    build = lambda: merged_index(own, params, index_bytes(400, 12, degree=16) * 0.8, "labels", f"file://{tmp_path}/one")
+    index = build()
+    assert sorted(p.name for p in (tmp_path / "one").iterdir()) == sorted(STAGES) and index.medoids.count() >= 3
+    entries = {r.label: r for r in index.entries.collect()}
+    labels = {r.vec_id: r.labels for r in own.select("vec_id", "labels").collect()}
+    assert set(entries) == {0, 1, 2, 8, 9} and all(label in labels[r.id] for label, r in entries.items())
+    queries = own.filter("vec_id % 40 = 7")
+    recall = lambda got, want: len({(r.qid, r.id) for r in got.collect()} & (w := {(r.qid, r.id) for r in want.collect()})) / len(w)
+    assert recall(index.search(queries, 5, 60), knn(queries, own, 5)) >= 0.95
+    for label in (1, 9):
+        assert recall(index.search_label(queries, label, 5, 60), knn(queries, own.filter(F.array_contains("labels", label)), 5)) >= 0.9
+    with pytest.raises(ValueError):
+        index.search_label(queries, 77)
+    stamps = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "one").iterdir()}
+    assert build().edges.count() == index.edges.count()  # stages that are complete are read
+    assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "one").iterdir()} == stamps
