@@ -229,25 +229,77 @@ def write_truth_rows(truth: DataFrame, path: str) -> None:
 
 
 def write_range_truth(truth: DataFrame, queries: DataFrame, path: str) -> None:
-    """Ragged lists of (qid, id, dist), nearest first, for every query (qid): the counts of queries and of all ids, each query's count, then ids."""
-    lists = queries.select("qid").distinct().join(truth, "qid", "left").groupBy("qid").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("dist", "id")))).alias("l"))
-    rows = [[x["id"] for x in r.l] for r in lists.orderBy("qid").collect()]  # of a stated query set
-    fs, inner = opened(path)
-    with fs.open_output_stream(inner) as f:
-        f.write(np.array([len(rows), sum(map(len, rows)), *map(len, rows)], "<u4").tobytes() + np.array([i for r in rows for i in r], "<u4").tobytes())
+    """Ragged lists of (qid, id, dist), nearest first, for every query (qid): the counts of queries and of all ids, each query's count, then ids.
+
+    Tasks write the ids of ranges of queries beside it, and one task puts them behind the counts, in bounded pieces. The driver sees
+    a count for each query.
+    """
+    spark = truth.sparkSession
+    lists = queries.select("qid").distinct().join(truth.select("qid", "id", "dist"), "qid", "left").groupBy("qid").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("dist", "id")))).alias("l"))
+    lists = lists.select("qid", F.transform("l", lambda x: x["id"]).alias("ids")).repartitionByRange("qid").sortWithinPartitions("qid")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, inner = opened(path)
+        name, n = f"{inner}.{uuid.uuid4().hex}.part", 0
+        with fs.open_output_stream(name) as f:
+            for b in batches:
+                f.write(b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+                n += b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).value_lengths().cast(pa.int64()), pa.array([name] * b.num_rows)], names=["qid", "n", "name"])
+        if not n:
+            fs.delete_file(name)
+
+    rows = lists.mapInArrow(write, "qid bigint, n bigint, name string").toArrow()  # of a stated query set
+    order = np.argsort(rows.column("qid").to_numpy(), kind="stable")
+    sizes, names = rows.column("n").to_numpy()[order], rows.column("name").to_pylist()
+    pieces = list(dict.fromkeys(names[i] for i in order))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fs, inner = opened(path)
+            with fs.open_output_stream(inner) as f:
+                f.write(np.array([len(sizes), sizes.sum(), *sizes], "<u4").tobytes())
+                for name in pieces:
+                    with fs.open_input_stream(name) as g:
+                        while piece := g.read(8 << 20):
+                            f.write(piece)
+            yield b
+
+    spark.range(1).coalesce(1).mapInArrow(join, "id bigint").collect()
+    fs, _ = opened(path)
+    for name in pieces:
+        fs.delete_file(name)
+
+
+#: Ids of a range truth file that a task reads.
+IDS_A_SPLIT = 1 << 20
 
 
 def range_truth_rows(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
-    """(qid, ids) of a range truth file, its sizes checked."""
+    """(qid, ids) of a range truth file, its sizes checked. The driver reads the counts, tasks the ids."""
     fs, inner = opened(path)
+    size = fs.get_file_info(inner).size
     with fs.open_input_file(inner) as f:
-        data = np.frombuffer(f.read(), "<u4")
-    n, total = (int(x) for x in data[:2])
-    sizes = data[2:2 + n].astype(np.int64)
-    if len(data) != 2 + n + total or sizes.sum() != total:
+        n, total = np.frombuffer(f.read(8), "<u4").tolist()
+        sizes = np.frombuffer(f.read(4 * n), "<u4").astype(np.int64)
+    if size != 4 * (2 + n + total) or len(sizes) != n or sizes.sum() != total:
         raise ValueError(f"{path} is no range truth file of {n} queries and {total} ids")
-    lists = np.split(data[2 + n:].astype(np.int64), np.cumsum(sizes)[:-1]) if n else []
-    return spark.createDataFrame([(first + i, x.tolist()) for i, x in enumerate(lists)], "qid bigint, ids array<bigint>")
+    ends = np.cumsum(sizes)
+    split = (ends - sizes) // IDS_A_SPLIT
+    begins = np.flatnonzero(np.diff(split, prepend=-1)).tolist()
+    splits = [(first + a, 4 * (2 + n) + 4 * int(ends[a] - sizes[a]), sizes[a:b].tolist()) for a, b in zip(begins, [*begins[1:], n], strict=True)]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, inner = opened(path)
+        with fs.open_input_file(inner) as f:
+            for b in batches:
+                for qid, at, own in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                    ids = np.frombuffer(f.read_at(4 * sum(own), at), "<u4").astype(np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own)]), pa.int32()), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(qid, qid + len(own))), lists], names=["qid", "ids"])
+
+    table = spark.createDataFrame(splits, "qid bigint, at bigint, sizes array<bigint>").repartition(max(1, len(splits)))
+    return table.mapInArrow(read, "qid bigint, ids array<bigint>")
 
 
 def id_lines(lines: DataFrame) -> DataFrame:
