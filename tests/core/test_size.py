@@ -1,9 +1,23 @@
-"""Pruning without slack."""
+"""Pruning without slack, and queries dealt to tasks."""
 
 import numpy as np
-from test_whole import points
+from test_whole import points, table_of
 
 from orrery.operators import kernels as N
+from orrery.plans import build as B
+from orrery.plans import search as S
+
+
+def test_many_queries_are_dealt_to_several_tasks(spark, monkeypatch):
+    df = table_of(spark, points(300))
+    graphs = B.local_graphs(B.partitioned(df, B.BuildParams(partitions=2, degree=8)), B.BuildParams(partitions=2, degree=8))
+    key = lambda found: sorted((r.qid, r["rank"], r.id, r.comparisons) for r in found.collect())
+    whole = key(S.search_partitions(df, graphs, S.SearchParams(k=5, length=20)))
+    monkeypatch.setattr(S, "ASKED", 64)
+    assert [len(ids) for ids, _, _ in S.dealt(df, "vec_id", "embedding", [])] == [64, 64, 64, 64, 44]
+    assert key(S.search_partitions(df, graphs, S.SearchParams(k=5, length=20))) == whole
+    monkeypatch.setattr(S, "BLOCKS", 2)
+    assert len(list(S.dealt(df, "vec_id", "embedding", []))) == 2
 
 
 def test_pruning_without_slack_is_that_of_single_nodes():
