@@ -39,6 +39,8 @@ LENGTH = 2048
 #: A sequence's limits besides its tokens: segments, and tokens that bear loss.
 MAX_SEGMENTS, MAX_LOSS = 8, 2016
 POOL = 512
+#: Documents that are encoded at once, and where the ids leave with their pieces, so that a worker holds fewer of both.
+AT_ONCE, WITH_IDS = 1024, 256
 SLACK = 32
 #: Words whose ids are kept for reuse in a task.
 CACHE_WORDS = 400_000
@@ -277,7 +279,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, m
                 names.append("ids")
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        for b in slices(batches, 1024):
+        for b in slices(batches, WITH_IDS if with_ids else AT_ONCE):
             rows: list[tuple] = []
             heads = [whole_words(x, n) if n else 0 for x, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             for key, (ids, free) in zip(b.column(0).to_pylist(), tokens.encode_batch(b.column(1), np.array(heads, dtype=np.int64)), strict=True):
