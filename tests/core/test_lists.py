@@ -7,6 +7,8 @@ from test_whole import points, table_of
 from orrery.operators import graph as G
 from orrery.operators.kernels import best_first
 from orrery.operators.knn import knn
+from orrery.operators.partitioning import all_pairs
+from orrery.plans import build as B
 from orrery.plans import frontier as J
 
 
@@ -57,3 +59,32 @@ def test_taking_in_what_is_cut_off_makes_levels_of_the_whole_graph_once(spark, m
     out = G.reached_from_least(graph, df, 3)
     assert len(levels) == 1
     assert plain(out, 0, 100).count() == 40 and out.groupBy("src").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_probing_finds_by_either_row_what_the_other_misses(spark):
+    n, params = 400, B.BuildParams(partitions=2, degree=6, length=6)  # short searches, which miss much
+    x = points(n, seed=3)
+    df = table_of(spark, x)
+    local = B.local_graphs(B.partitioned(df, params), params)
+    e = {(r.src, r.dst) for r in B.cross_edges(local, all_pairs(spark, 2), params).collect()}
+    assert all((s < n // 2) != (d < n // 2) for s, d in e)
+    near = lambda i, part: part[((x[part] - x[i]) ** 2).sum(axis=1).argmin()]
+    low, high = np.arange(n // 2), np.arange(n // 2, n)
+    wanted = [(int(i), int(near(i, high if i < n // 2 else low))) for i in range(n)]
+    searched = {(r.src, r.dst) for r in once_probed(local, params)}
+    share = lambda found: np.mean([w in found for w in wanted])
+    assert share(e) > share(searched) + 0.05
+
+
+def once_probed(local, params):
+    """What single searches lead to: edges before those of the other way are added."""
+    written, plain = [], B.stored
+    B.stored = lambda t, name: written.append((name, plain(t, name))) or written[-1][1]
+    try:
+        B.cross_edges(local, all_pairs(local.sparkSession, 2), params).count()
+    finally:
+        B.stored = plain
+    led = dict(written)["probed"]
+    ids = local.select(F.col("part"), F.posexplode("ids").alias("at", "id"))
+    name = lambda part, at, c: ids.select(F.col("part").alias(part), F.col("at").alias(at), F.col("id").alias(c))
+    return led.join(name("i", "x", "src"), ["i", "x"]).join(name("j", "y", "dst"), ["j", "y"]).collect()
