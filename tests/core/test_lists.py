@@ -10,6 +10,7 @@ from orrery.operators.knn import knn
 from orrery.operators.partitioning import all_pairs
 from orrery.plans import build as B
 from orrery.plans import frontier as J
+from orrery.plans import search as S
 
 
 def ring(spark, n: int, step: int = 7):
@@ -88,3 +89,13 @@ def once_probed(local, params):
     ids = local.select(F.col("part"), F.posexplode("ids").alias("at", "id"))
     name = lambda part, at, c: ids.select(F.col("part").alias(part), F.col("at").alias(at), F.col("id").alias(c))
     return led.join(name("i", "x", "src"), ["i", "x"]).join(name("j", "y", "dst"), ["j", "y"]).collect()
+
+
+def test_a_sweep_with_a_check_tells_what_the_graphs_alone_find(spark):
+    df, params = table_of(spark, points(600, seed=4)), B.BuildParams(partitions=2, degree=4, length=8)
+    graphs, q = B.local_graphs(B.partitioned(df, params), params), df.filter("vec_id % 10 = 0")
+    truth = knn(q, df, 5)
+    both, alone = (S.sweep(q, graphs, truth, [5, 10], 5, beam=1, check=c).orderBy("length").collect() for c in (True, False))
+    assert [r.recall for r in both] == [1, 1] and alone[0].recall < 1
+    assert [r.graph_recall for r in both] == [r.recall for r in alone] == [r.graph_recall for r in alone]
+    assert both[0].mean_comparisons < both[1].mean_comparisons
