@@ -20,3 +20,30 @@ def test_an_insert_leaves_no_row_cut_off(spark):
     after = J.insert(edges, df.filter("vec_id < 160"), df.filter("vec_id >= 160"), start, degree, 16)
     assert G.bfs_levels(after, 0).count() == 240
     assert after.groupBy("src").count().agg(F.max("count")).first()[0] <= degree
+
+
+def test_a_check_adds_what_a_search_by_joins_has_missed(spark):
+    df = table_of(spark, points(60))
+    ring = spark.createDataFrame([(i, (i + 1) % 30) for i in range(30)] + [(i, 30 + (i + 1) % 30) for i in range(30, 60)], "src bigint, dst bigint")
+    start = spark.createDataFrame([(0,)], "id bigint")
+    found = J.graph_search(df, ring, df, start, 5, 10, check=True).collect()
+    wanted = {(r.qid, r.id, r["rank"]) for r in C.knn(df, df, 5).collect()}
+    assert {(r.qid, r.id, r["rank"]) for r in found} == wanted and not all(r.own for r in found)
+    with pytest.raises(ValueError, match="check"):
+        J.graph_search(df, ring, df, start, 5, 10, expanded=True, check=True)
+
+
+@pytest.mark.parametrize("name", ["final_graph_search_facts", "sampled_entries_facts"])
+def test_searches_by_joins_are_whole_on_a_graph_that_leads_nowhere(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(C, "final_graph", lambda df: df.sparkSession.createDataFrame([(0, i) for i in range(1, 20)], "src bigint, dst bigint"))
+    row = C.QUERIES[name](spark, sf).first()
+    assert (row.queries, row.fewest, row.repeated, row.recall_holds) == (10, 10, 0, True)
+
+
+@pytest.mark.parametrize("name", ["tiered_index_facts", "universal_label_facts"])
+def test_recall_holds_on_poor_graphs(spark, monkeypatch, tmp_path, name):
+    x = np.random.default_rng(3).normal(size=(1600, 24))
+    table_of(spark, x / np.linalg.norm(x, axis=1, keepdims=True)).withColumn("label", (F.col("vec_id") % 10).cast("int")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(C, "PARAMS", B.BuildParams(partitions=C.PARTS, degree=3, length=4))
+    row = C.QUERIES[name](spark, str(tmp_path)).first()
+    assert (row.queries, row.fewest, row.repeated, row.recall_holds) == (32, 10, 0, True)
