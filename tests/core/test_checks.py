@@ -47,3 +47,13 @@ def test_recall_holds_on_poor_graphs(spark, monkeypatch, tmp_path, name):
     monkeypatch.setattr(C, "PARAMS", B.BuildParams(partitions=C.PARTS, degree=3, length=4))
     row = C.QUERIES[name](spark, str(tmp_path)).first()
     assert (row.queries, row.fewest, row.repeated, row.recall_holds) == (32, 10, 0, True)
+
+
+def test_pairs_that_probing_finds_are_kept_in_blocks(spark, monkeypatch):
+    kept, plain, params = {}, B.stored, B.BuildParams(partitions=2, degree=6, length=12)
+    monkeypatch.setattr(B, "stored", lambda df, name: kept.setdefault(name, plain(df, name)))
+    graphs = B.local_graphs(B.partitioned(table_of(spark, points(300)), params), params)
+    edges = B.cross_edges(graphs, B.all_pairs(spark, 2), params)
+    found = edges.collect()
+    assert found and all((r.src < 150) != (r.dst < 150) for r in found)
+    assert kept["probed"].count() == 4  # 150 rows of each side in one block, under both ways
