@@ -55,5 +55,15 @@ def test_pairs_that_probing_finds_are_kept_in_blocks(spark, monkeypatch):
     graphs = B.local_graphs(B.partitioned(table_of(spark, points(300)), params), params)
     edges = B.cross_edges(graphs, B.all_pairs(spark, 2), params)
     found = edges.collect()
-    assert found and all((r.src < 150) != (r.dst < 150) for r in found)
+    assert all((r.src < 150) != (r.dst < 150) for r in found) and {r.src for r in found} == set(range(300))
     assert kept["probed"].count() == 4  # 150 rows of each side in one block, under both ways
+
+
+def test_a_checked_probe_leads_more_rows_to_their_nearest_elsewhere(spark, monkeypatch):
+    x, params = points(300), B.BuildParams(partitions=2, degree=4, length=4)
+    graphs = B.local_graphs(B.partitioned(table_of(spark, x), params), params)
+    small = x[150:].astype(np.float32)
+    monkeypatch.setattr(B, "COMPARED", 64)
+    assert B.nearest_of(x[:150].astype(np.float32), small, (small * small).sum(axis=1)).tolist() == ((x[:150, None] - x[None, 150:]) ** 2).sum(axis=2).argmin(axis=1).tolist()
+    hits = lambda check: sum(((x[r.src] - x[r.dst]) ** 2).sum() == ((x[r.src] - x[150 * (r.src < 150):][:150]) ** 2).sum(axis=1).min() for r in B.cross_edges(graphs, B.all_pairs(spark, 2), params, check=check).collect())
+    assert hits(True) > hits(False)
